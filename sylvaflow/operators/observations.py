@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sylvaflow import params as P
 from sylvaflow.functions.columns import finite, reasons
-from sylvaflow.operators.ranks import exact_quantiles
+from sylvaflow.operators.ranks import exact_quantiles, several_quantiles
 
 KEY = ["stand_id", "year"]
 INDEX_WIDTH = 1 / 256
@@ -64,21 +64,24 @@ def mask_propagation_errors(obs: DataFrame, index: str = "ndvi") -> DataFrame:
     return obs.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(bad, 1)).alias("n_bad"))
 
 
-def season_level(kept: DataFrame, index: str = "ndvi", season: dict = P.SEASON) -> DataFrame:
-    """Growing-season mean per stand and year, with median and count as support."""
+def season_mean(kept: DataFrame, index: str = "ndvi", season: dict = P.SEASON) -> DataFrame:
+    """Growing-season mean per stand and year with its observation count, null under the minimum."""
     lo, hi, least = season["doy_min"], season["doy_max"], season["min_obs"]
     rows = kept.where(F.col("doy").between(lo, hi) & finite(index).isNotNull())
-    rows = rows.select(*KEY, finite(index).alias("_v"))
-    level = rows.groupBy(*KEY).agg(F.count("_v").alias("n"), F.avg("_v").alias("m"))
-    med = exact_quantiles(rows, KEY, "_v", {"med": 0.5}, INDEX_WIDTH)
     short = F.concat(F.lit("n_obs="), F.col("n"), F.lit(f" in DOY {lo}-{hi} < min_obs={least}"))
-    return level.join(med, KEY, "left").select(
+    return rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.avg(finite(index)).alias("m")).select(
         *KEY,
         F.when(F.col("n") >= least, F.col("m")).alias("ndvi_mean"),
         F.col("n").alias("sat_ndvi_mean_n_obs"),
-        F.col("med").alias("sat_ndvi_mean_median"),
         F.when(F.col("n") < least, short).alias("_why_mean"),
-    )
+    )
+
+
+def season_level(kept: DataFrame, index: str = "ndvi", season: dict = P.SEASON) -> DataFrame:
+    """``season_mean`` with the median of the season as support."""
+    rows = kept.where(F.col("doy").between(season["doy_min"], season["doy_max"]))
+    med = exact_quantiles(rows.select(*KEY, finite(index).alias("_v")), KEY, "_v", {"sat_ndvi_mean_median": 0.5}, INDEX_WIDTH)
+    return season_mean(kept, index, season).join(med, KEY, "left")
 
 
 def _condition(a: dict[str, Column]) -> Column:
@@ -255,15 +258,20 @@ def annual_frame(obs: DataFrame, years: tuple[int, int] | None = None, quality:
         F.avg(F.when(F.col("sensor") == "L7", 1.0).otherwise(0.0)).alias("sat_frac_l7"),
         F.countDistinct("wrs_path").alias("sat_n_paths"),
     )
-    cover = exact_quantiles(kept.select(*KEY, finite("coverage_fraction").alias("c")), KEY, "c", {"sat_median_coverage_fraction": 0.5}, 1 / 64)
-    pixels = exact_quantiles(kept.select(*KEY, finite("n_pixels").alias("p")), KEY, "p", {"sat_median_n_pixels": 0.5}, 1.0)
+    in_season = F.col("doy").between(P.SEASON["doy_min"], P.SEASON["doy_max"])
+    medians = several_quantiles(kept, KEY, {
+        "sat_median_coverage_fraction": (finite("coverage_fraction"), 0.5, 1 / 64),
+        "sat_median_n_pixels": (finite("n_pixels"), 0.5, 1.0),
+        "med": (F.when(in_season, finite("ndvi")), 0.5, INDEX_WIDTH),
+    })
     frame = stand_years(obs, years).join(drop_columns(obs), "stand_id", "left")
-    for part in (raw, used, cover, pixels, season_level(kept), harmonic_fit(kept)):
+    for part in (raw, used, medians, season_mean(kept), harmonic_fit(kept)):
         frame = frame.join(part, KEY, "left")
     lo, hi, least = P.SEASON["doy_min"], P.SEASON["doy_max"], P.SEASON["min_obs"]
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     frame = frame.select(
-        *[c for c in frame.columns if c not in ("sat_n_observations", "sat_n_observations_raw", "sat_sensor_mix", "sat_ndvi_mean_n_obs", "_why_mean", "sat_amplitude_n_obs", "_why_amplitude")],
+        *[c for c in frame.columns if c not in ("sat_n_observations", "sat_n_observations_raw", "sat_sensor_mix", "sat_ndvi_mean_n_obs", "_why_mean", "sat_amplitude_n_obs", "_why_amplitude", "med")],
+        F.col("med").alias("sat_ndvi_mean_median"),
         none("sat_n_observations").alias("sat_n_observations"), none("sat_n_observations_raw").alias("sat_n_observations_raw"),
         F.coalesce("sat_sensor_mix", F.lit("")).alias("sat_sensor_mix"),
         none("sat_ndvi_mean_n_obs").alias("sat_ndvi_mean_n_obs"), none("sat_amplitude_n_obs").alias("sat_amplitude_n_obs"),

@@ -79,6 +79,27 @@ def exact_quantiles(
     return agg.select(*out)
 
 
+def several_quantiles(
+    df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[Column, float, float]]
+) -> DataFrame:
+    """Quantiles of several columns in one pass: ``name -> (value, probability, width)``."""
+    keys = list(keys)
+    items = [
+        F.struct(F.lit(n).alias("m"), (v.cast("double") / F.lit(float(w))).alias("v"))
+        for n, (v, _p, w) in wanted.items()
+    ]
+    long = df.select(*keys, F.inline(F.array(*items)))
+    probs = sorted({p for _v, p, _w in wanted.values()})
+    names = {p: f"_q{i}" for i, p in enumerate(probs)}
+    q = exact_quantiles(long, [*keys, "m"], "v", {names[p]: p for p in probs}, 1.0)
+    return q.groupBy(*keys).agg(
+        *[
+            (F.max(F.when(F.col("m") == n, F.col(names[p]))) * F.lit(float(w))).alias(n)
+            for n, (_v, p, w) in wanted.items()
+        ]
+    )
+
+
 def robust_stats(
     df: DataFrame, keys: Sequence[str], value: str, width: float, *, min_rows: int, scale: float
 ) -> DataFrame:
