@@ -12,6 +12,11 @@ from sylvaflow.plans.catalog import query, s6
 from sylvaflow.plans.stand_ins import SPARSE, sparse_cells, table
 
 
+def s8(expression: str, name: str) -> str:
+    """Digital numbers scale to seven decimals, so these are compared at eight."""
+    return f"round(CAST({expression} AS DOUBLE), 8) + 0.0 AS {name}"
+
+
 def bands(spark, sf):
     line = table(spark, sf, "lineitem")
     return line.select(
@@ -45,11 +50,11 @@ def sensor_pixels(spark, sf):
 n AS (SELECT *, sensor IN ('L8', 'L9') AS oli FROM b),
 h AS (SELECT *, sr[CASE WHEN oli THEN 4 ELSE 3 END] AS red, sr[CASE WHEN oli THEN 5 ELSE 4 END] AS nir, sr[CASE WHEN oli THEN 6 ELSE 5 END] AS swir1, sr[7] AS swir2,
       (radsat & CASE WHEN oli THEN 120 ELSE 92 END) = 0 AND (qa & 63) = 0 AND ((qa >> 8) & 3) < 2 AS clear FROM n)
-SELECT l_orderkey, l_linenumber, sensor, {', '.join(s6(f'CASE WHEN clear AND least(red, nir, swir1, swir2) >= 0 AND greatest(red, nir, swir1, swir2) <= 1 THEN {b} END', b) for b in ('red', 'nir', 'swir1', 'swir2'))} FROM h""",
+SELECT l_orderkey, l_linenumber, sensor, {', '.join(s8(f'CASE WHEN clear AND least(red, nir, swir1, swir2) >= 0 AND greatest(red, nir, swir1, swir2) <= 1 THEN {b} END', b) for b in ('red', 'nir', 'swir1', 'swir2'))} FROM h""",
 )
 def sensor_pixel_query(spark, sf):
     x = C.prepare_pixels(sensor_pixels(spark, sf), spark, medium_confidence=True)
-    return x.select("l_orderkey", "l_linenumber", "sensor", *[r6(n).alias(n) for n in ("red", "nir", "swir1", "swir2")])
+    return x.select("l_orderkey", "l_linenumber", "sensor", *[F.round(n, 8).alias(n) for n in ("red", "nir", "swir1", "swir2")])
 
 
 @query(
