@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sylvaflow import params as P
 from sylvaflow.functions.columns import finite, holds
 from sylvaflow.operators.ranks import exact_quantiles, robust_stats
+from sylvaflow.session import cut_lineage
 
 DATE = ["unit", "t"]
 CELL = ["unit", "row", "col"]
@@ -158,7 +159,7 @@ def stable_forest(masks: DataFrame) -> DataFrame:
 
 def reference_stats(values: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
     """Median and scaled MAD of reference cells; the scale is 1 when the MAD is zero."""
-    med = exact_quantiles(values, keys, value, {"median": 0.5}, width)
+    med = cut_lineage(exact_quantiles(values, keys, value, {"median": 0.5}, width))
     dev = values.join(med, list(keys)).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_d"))
     mad = exact_quantiles(dev, keys, "_d", {"mad": 0.5}, width)
     s = F.col("mad") * P.MAD_SCALE
@@ -229,7 +230,7 @@ def shrunk_sd(hist: DataFrame, population: str, *, prior_df: float = 2.0, min_po
     size = pool.groupBy(*DATE).agg(F.count(F.lit(1)).alias("_p")).where(F.col("_p") >= min_pop)
     df = F.greatest(F.col("hist_n") - 1, F.lit(0))
     sd = F.sqrt((df * F.col("hist_var") + prior_df * F.col("s0")) / (df + prior_df))
-    return hist.join(median.join(size, DATE), DATE, "left").withColumn("hist_sd", sd).drop("s0", "_p")
+    return hist.join(cut_lineage(median.join(size, DATE)), DATE, "left").withColumn("hist_sd", sd).drop("s0", "_p")
 
 
 def logit(p: Column) -> Column:
@@ -357,11 +358,14 @@ def kernel(sigma: float) -> list[float]:
     return [r / total for r in raw]
 
 
-def convolve(cells: DataFrame, columns: Mapping[str, Column], sigma: float) -> DataFrame:
-    """Gaussian sum of each column over a complete grid, zero outside."""
-    weights = kernel(sigma)
+def convolve(cells: DataFrame, columns: Mapping[str, tuple[Column, float]]) -> DataFrame:
+    """Gaussian sums ``name -> (column, sigma)`` over a complete grid, zero outside.
 
-    def line(name: str, window) -> Column:
+    All columns share one pass along the rows and one along the columns.
+    """
+
+    def line(name: str, sigma: float, window) -> Column:
+        weights = kernel(sigma)
         total = F.col(name) * weights[0]
         for k, w in enumerate(weights[1:], start=1):
             total = total + w * (F.coalesce(F.lag(name, k).over(window), F.lit(0.0)) + F.coalesce(F.lead(name, k).over(window), F.lit(0.0)))
@@ -369,16 +373,25 @@ def convolve(cells: DataFrame, columns: Mapping[str, Column], sigma: float) -> D
 
     along = W.partitionBy(*DATE, "row").orderBy("col")
     across = W.partitionBy(*DATE, "col").orderBy("row")
-    df = cells.withColumns({f"_k_{n}": F.coalesce(c, F.lit(0.0)) for n, c in columns.items()})
-    df = df.withColumns({f"_k_{n}": line(f"_k_{n}", along) for n in columns})
-    return df.withColumns({n: line(f"_k_{n}", across) for n in columns}).drop(*[f"_k_{n}" for n in columns])
+    df = cells.withColumns({f"_k_{n}": F.coalesce(c, F.lit(0.0)) for n, (c, _s) in columns.items()})
+    df = df.withColumns({f"_k_{n}": line(f"_k_{n}", s, along) for n, (_c, s) in columns.items()})
+    return df.withColumns({n: line(f"_k_{n}", s, across) for n, (_c, s) in columns.items()}).drop(*[f"_k_{n}" for n in columns])
+
+
+def smooth_fields(cells: DataFrame, fields: Mapping[str, tuple[Column, Column, float]]) -> DataFrame:
+    """Gaussian means over valid cells: ``out -> (value, use, sigma)``, null where not in use."""
+    use = {n: holds(u & v.isNotNull()) for n, (v, u, _s) in fields.items()}
+    parts = {}
+    for n, (v, _u, s) in fields.items():
+        parts[f"_n_{n}"] = (F.when(use[n], v), s)
+        parts[f"_d_{n}"] = (F.when(use[n], 1.0), s)
+    df = convolve(cells, parts)
+    return df.withColumns({n: F.when(use[n], F.col(f"_n_{n}") / F.col(f"_d_{n}")) for n in fields}).drop(*parts)
 
 
 def smooth_z(cells: DataFrame, z: str, where: str, sigma: float, out: str) -> DataFrame:
     """Gaussian mean over valid cells of a complete grid (normalized convolution)."""
-    use = holds(F.col(where) & F.col(z).isNotNull())
-    df = convolve(cells, {"_num": F.when(use, F.col(z)), "_den": F.when(use, 1.0)}, sigma)
-    return df.withColumn(out, F.when(use, F.col("_num") / F.col("_den"))).drop("_num", "_den")
+    return smooth_fields(cells, {out: (F.col(z), F.col(where), sigma)})
 
 
 def residual_z(cells: DataFrame, *, n_bins: int = 10, min_reference: int = 200, keys: Sequence[str] = ("unit", "k"), width: float = Z_WIDTH) -> DataFrame:
@@ -395,14 +408,14 @@ def residual_z(cells: DataFrame, *, n_bins: int = 10, min_reference: int = 200,
     index = F.lit(0)
     for name in probs:
         index = index + (F.col("pre") >= F.col(name)).cast("int")
-    df = cells.join(edges.join(size, keys), keys, "left").withColumn("bin", index).drop(*probs, "_n")
+    df = cells.join(cut_lineage(edges.join(size, keys)), keys, "left").withColumn("bin", index).drop(*probs, "_n")
     by = [*keys, "bin"]
     ref = df.where(ok & F.col("bin").isNotNull())
-    med = exact_quantiles(ref, by, "post", {"median": 0.5}, width)
+    med = cut_lineage(exact_quantiles(ref, by, "post", {"median": 0.5}, width))
     dev = ref.join(med, by).select(*by, F.abs(F.col("post") - F.col("median")).alias("_d"))
     mad = exact_quantiles(dev, by, "_d", {"mad": 0.5}, width)
     many = ref.groupBy(*by).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= 5)
-    stats = med.join(mad, by).join(many.select(*by), by)
+    stats = cut_lineage(med.join(mad, by).join(many.select(*by), by))
     z = F.when(F.col("pre").isNotNull(), (F.col("post") - F.col("median")) / (F.col("mad") * P.MAD_SCALE + 1e-4))
     return df.join(stats, by, "left").withColumn("z", z).drop("median", "mad", "bin")
 

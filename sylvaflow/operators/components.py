@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sylvaflow import params as P
 from sylvaflow.functions.columns import holds
@@ -96,7 +97,7 @@ def label_components(cells: DataFrame, keys: Sequence[str] = DATE, *, connectivi
         number = pdf["row"].to_numpy("int64") * _STRIDE + pdf["col"].to_numpy("int64")
         return pdf.assign(label=_label_tile(number, connectivity))
 
-    schema = base.schema.add("label", "bigint")
+    schema = T.StructType([*base.schema.fields, T.StructField("label", T.LongType())])
     local = cut_lineage(base.groupBy(*keys, "_tr", "_tc").applyInPandas(label, schema))
     edge = lambda a, lo: F.pmod(F.col(a), F.lit(tile)) == (0 if lo else tile - 1)
     border = local.where(edge("row", True) | edge("row", False) | edge("col", True) | edge("col", False))
@@ -129,8 +130,8 @@ def fill_holes(cells: DataFrame, grid: DataFrame, largest: int, keys: Sequence[s
     size = back.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     small = size.where(F.col("n") <= largest)
     if not touch_border:
-        box = grid.groupBy(*keys).agg(F.min("row").alias("R0"), F.max("row").alias("R1"), F.min("col").alias("C0"), F.max("col").alias("C1"))
-        small = small.join(box, keys).where("r0 > R0 AND r1 < R1 AND c0 > C0 AND c1 < C1")
+        box = grid.groupBy(*keys).agg(F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("col").alias("left"), F.max("col").alias("right"))
+        small = small.join(box, keys).where("r0 > top AND r1 < bottom AND c0 > `left` AND c1 < `right`")
     holes = back.join(small.select(*keys, "label"), [*keys, "label"], "left_semi").select(*cell)
     return cells.select(*cell).unionByName(holes).distinct()
 

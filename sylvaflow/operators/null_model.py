@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from sylvaflow import params as P
 from sylvaflow.functions.columns import holds
-from sylvaflow.operators.cells import DATE, LFDR_CLIP, Z_WIDTH, logit, over_dates, smooth_z
+from sylvaflow.operators.cells import DATE, LFDR_CLIP, Z_WIDTH, logit, over_dates, smooth_fields
 from sylvaflow.operators.ranks import exact_quantiles, ordered_counts
+from sylvaflow.session import cut_lineage
 
 
 def solve_quadratic(x: Sequence[Column], y: Sequence[Column]) -> tuple[Column, Column, Column]:
@@ -44,7 +45,7 @@ def fit_null(cells: DataFrame, z: str, where: str | None = None, *, keys: Sequen
     probs = {"lo": pct0, "hi": 1 - pct0, "q1": 0.25, "med": 0.5, "q3": 0.75}
     stats = exact_quantiles(rows, keys, "_z", probs, Z_WIDTH)
     size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_z").alias("sd"), F.min("_z").alias("z_min")).where(F.col("n") >= min_values)
-    stats = stats.join(size, keys)
+    stats = cut_lineage(stats.join(size, keys))
     # edges start at lo with a step of bin_w and reach at least hi; the last bin keeps its right edge
     bins = F.ceil((F.col("hi") + bin_w - F.col("lo")) / bin_w) - 1
     at = (F.col("_z") - F.col("lo")) / bin_w
@@ -105,32 +106,38 @@ def lfdr_curves(cells: DataFrame, z: str, where: str | None, null: DataFrame, *,
     return frame.groupBy(*keys).agg(*named, (F.first("lo") + 0.5 * bin_w).alias("first"), curve.alias("curve"))
 
 
-def interpolate(z: Column, bin_w: float) -> Column:
-    """Local fdr of a value from the curve of its date: linear between bin centres, flat outside."""
-    last = F.size("curve") - 1
-    at = F.least(F.greatest((z - F.col("first")) / bin_w, F.lit(0.0)), last.cast("double"))
+def interpolate(z: Column, model: Column, bin_w: float) -> Column:
+    """Local fdr of a value from a model struct: linear between bin centres, flat outside."""
+    curve = model["curve"]
+    last = F.size(curve) - 1
+    at = F.least(F.greatest((z - model["first"]) / bin_w, F.lit(0.0)), last.cast("double"))
     i = F.least(F.floor(at).cast("int"), F.greatest(last - 1, F.lit(0)))
-    a, b = F.get("curve", i), F.get("curve", F.least(i + 1, last))
-    return F.when(z >= F.col("mu0"), 1.0).otherwise(a + (b - a) * (at - i))
+    a, b = F.get(curve, i), F.get(curve, F.least(i + 1, last))
+    return F.when(model.isNull() | z.isNull(), None).when(z >= model["mu0"], 1.0).otherwise(a + (b - a) * (at - i))
 
 
 def prior_of(p0: Column, min_prior: float = 0.0) -> Column:
     return F.least(F.lit(LFDR_CLIP[1]), F.greatest(F.lit(LFDR_CLIP[0]), 1.0 - p0, F.lit(min_prior)))
 
 
+def with_model(cells: DataFrame, models: DataFrame, keys: Sequence[str] = DATE) -> DataFrame:
+    """Cells with the model of their date as one struct column ``_model``."""
+    one = models.select(*keys, F.struct("mu0", "sigma0", "p0", "first", "curve").alias("_model"))
+    return cells.join(one, list(keys), "left")
+
+
 def loss_probability(cells: DataFrame, z: str, models: DataFrame, out: str, *, keys: Sequence[str] = DATE, bin_w: float = P.DECIDE["bin_w"]) -> DataFrame:
     """Posterior of loss, ``1 - lfdr``; null for cells without z or dates without a model."""
-    df = cells.join(models.select(*keys, "mu0", "first", "curve"), list(keys), "left")
-    p = 1.0 - interpolate(F.col(z), bin_w)
-    return df.withColumn(out, F.when(F.col("mu0").isNotNull() & F.col(z).isNotNull(), p)).drop("mu0", "first", "curve")
+    return with_model(cells, models, keys).withColumn(out, 1.0 - interpolate(F.col(z), F.col("_model"), bin_w)).drop("_model")
 
 
 def likelihood_ratio(cells: DataFrame, z: str, models: DataFrame, out: str = "llr", *, min_prior: float = 0.0, keys: Sequence[str] = DATE, bin_w: float = P.DECIDE["bin_w"]) -> DataFrame:
     """Posterior minus prior log-odds of loss, 0 where unknown."""
-    df = cells.join(models.select(*keys, "mu0", "p0", "first", "curve"), list(keys), "left")
-    lf = F.least(F.lit(LFDR_CLIP[1]), F.greatest(F.lit(LFDR_CLIP[0]), interpolate(F.col(z), bin_w)))
-    value = logit(1.0 - lf) - logit(prior_of(F.col("p0"), min_prior))
-    return df.withColumn(out, F.coalesce(F.when(F.col(z).isNotNull(), value), F.lit(0.0))).drop("mu0", "p0", "first", "curve")
+    df = with_model(cells, models, keys)
+    lf = interpolate(F.col(z), F.col("_model"), bin_w)
+    lf = F.when(lf.isNotNull(), F.least(F.lit(LFDR_CLIP[1]), F.greatest(F.lit(LFDR_CLIP[0]), lf)))
+    value = logit(1.0 - lf) - logit(prior_of(F.col("_model.p0"), min_prior))
+    return df.withColumn(out, F.coalesce(value, F.lit(0.0))).drop("_model")
 
 
 def date_models(cells: DataFrame, z: str, where: str, *, keys: Sequence[str] = DATE, rule: Mapping = P.DECIDE) -> tuple[DataFrame, DataFrame]:
@@ -140,27 +147,39 @@ def date_models(cells: DataFrame, z: str, where: str, *, keys: Sequence[str] = D
     size = cells.groupBy(*keys).agg(F.count(F.when(use, 1)).alias("n_cells"))
     enough = size.where(F.col("n_cells") >= rule["min_fit_cells"])
     rows = cells.join(enough.select(*keys), keys, "left_semi")
-    null = fit_null(rows, z, where, keys=keys, pct0=rule["pct0"], bin_w=rule["bin_w"])
-    models = lfdr_curves(rows, z, where, null, keys=keys, bin_w=rule["bin_w"], smooth_bins=rule["smooth_bins"])
-    fits = size.join(null.select(*keys, "mu0", "sigma0", "p0", "method"), keys, "left")
-    fits = fits.withColumn("skipped", F.col("method").isNull()).withColumn("method", F.coalesce("method", F.lit("skipped")))
-    return models, fits
+    null = cut_lineage(fit_null(rows, z, where, keys=keys, pct0=rule["pct0"], bin_w=rule["bin_w"]))
+    models = cut_lineage(lfdr_curves(rows, z, where, null, keys=keys, bin_w=rule["bin_w"], smooth_bins=rule["smooth_bins"]))
+    return models, fit_rows(size, null, keys)
+
+
+def fit_rows(size: DataFrame, null: DataFrame, keys: Sequence[str]) -> DataFrame:
+    fits = size.join(null.select(*keys, "mu0", "sigma0", "p0", "method"), list(keys), "left")
+    return fits.withColumn("skipped", F.col("method").isNull()).withColumn("method", F.coalesce("method", F.lit("skipped")))
+
+
+def field_models(cells: DataFrame, fields: Mapping[str, Column], *, pct0: Mapping[str, float] | None = None, rule: Mapping = P.DECIDE) -> tuple[DataFrame, DataFrame]:
+    """Null and curve of several fields of every date in one pass.
+
+    ``fields`` maps a name to its value, null where the cell is not in use. Returns the
+    nulls (unit, t, field, ...) and one row per date with a map from field to model.
+    """
+    long = cells.select(*DATE, F.inline(F.array(*[F.struct(F.lit(n).alias("field"), v.alias("x")) for n, v in fields.items()]))).where("x IS NOT NULL")
+    keys = [*DATE, "field"]
+    null = cut_lineage(fit_null(long, "x", keys=keys, pct0=rule["pct0"], bin_w=rule["bin_w"]))
+    curves = lfdr_curves(long, "x", None, null, keys=keys, bin_w=rule["bin_w"], smooth_bins=rule["smooth_bins"])
+    entry = F.struct("field", F.struct("mu0", "sigma0", "p0", "first", "curve").alias("model"))
+    return null, cut_lineage(curves.groupBy(*DATE).agg(F.map_from_entries(F.collect_list(entry)).alias("models")))
 
 
 def spatial_probability(cells: DataFrame, z: str, where: str, sigmas: Sequence[float], out: str, *, gain: bool = False, rule: Mapping = P.DECIDE) -> DataFrame:
     """Highest posterior over smoothing scales, 0 where unknown; with ``gain`` of the mirrored field."""
-    df, names = cells, []
-    for i, sigma in enumerate(sigmas):
-        zs, p = f"_zs{i}", f"_p{i}"
-        df = smooth_z(df, z, where, sigma, zs)
-        if gain:
-            df = df.withColumn(zs, -F.col(zs))
-        null = fit_null(df, zs, where, bin_w=rule["bin_w"])
-        models = lfdr_curves(df, zs, where, null, bin_w=rule["bin_w"], smooth_bins=rule["smooth_bins"])
-        df = loss_probability(df, zs, models, p, bin_w=rule["bin_w"])
-        names += [zs, p]
-    best = F.greatest(F.lit(0.0), *[F.coalesce(F.col(f"_p{i}"), F.lit(0.0)) for i in range(len(sigmas))])
-    return df.withColumn(out, best).drop(*names)
+    sign = -1.0 if gain else 1.0
+    smooth = {f"_s{i}": (sign * F.col(z), F.col(where), s) for i, s in enumerate(sigmas)}
+    df = cut_lineage(smooth_fields(cells, smooth))
+    _null, models = field_models(df, {n: F.col(n) for n in smooth}, rule=rule)
+    df = df.join(models, DATE, "left")
+    probs = [F.coalesce(1.0 - interpolate(F.col(n), F.col("models")[n], rule["bin_w"]), F.lit(0.0)) for n in smooth]
+    return df.withColumn(out, F.greatest(F.lit(0.0), *probs)).drop("models", *smooth)
 
 
 def bh_reject(cells: DataFrame, z: str, null: DataFrame, *, q: float = 0.05, keys: Sequence[str] = DATE) -> DataFrame:
@@ -199,48 +218,57 @@ def decide_flags(cells: DataFrame, rule_name: str, cell_m: float = P.GRAIN_M, *,
 
     D1 threshold, D2 posterior, D5 spatial support, D6 with the rebound check at the next
     date, D7 with the two-step changes (``back_z``, ``forward_z``); a trailing ``s`` is strict.
-    Probability is null where the cell is not monitored or the date was skipped.
+    Probability is null where the cell is not monitored or the date was skipped. All smoothed
+    fields of a rule are fitted together, so the cells are read a fixed number of times.
     """
     name, strict = rule_name.rstrip("s"), rule_name.endswith("s")
-    cells = cells.withColumn("_use", F.col("monitored") & F.col(z).isNotNull())
-    models, fits = date_models(cells, z, "monitored", rule=rule)
-    if name == "D1":
-        return cells.withColumns({"flag": holds(F.col("monitored") & (F.col(z) <= -rule["baseline_z"])), "probability": F.lit(None).cast("double")}).drop("_use"), fits
-    df = loss_probability(cells, z, models, "_own", bin_w=rule["bin_w"]).join(fits.select(*DATE, "skipped", "p0"), DATE, "left")
-    decided = F.col("monitored") & ~F.col("skipped")
-    if name == "D2":
-        p = F.coalesce(F.col("_own"), F.lit(0.0))
-        hit = holds(decided & (F.col("_own") > rule["p_boundary"]))
-        return df.withColumns({"flag": hit, "probability": F.when(decided, p)}).drop("_own", "_use", "skipped", "p0"), fits
-    sigmas = sigmas_in_cells(cell_m, rule)
-
-    def support(frame: DataFrame, value: str, out: str) -> DataFrame:
-        """Spatial probability on the dates that could be fitted, 0 elsewhere."""
-        frame = frame.withColumn("_w", holds(F.col("monitored") & ~F.col("skipped") & F.col(value).isNotNull()))
-        return spatial_probability(frame, value, "_w", sigmas, out, rule=rule).drop("_w")
-
-    df = support(df, z, "probability")
-    if name == "D6":
-        w = over_dates()
-        df = df.withColumn("_next", F.lead(z).over(w))
-        df = df.withColumn("_w", holds(F.col("monitored") & ~F.col("skipped") & F.col("_next").isNotNull()))
-        many = df.groupBy(*DATE).agg(F.count(F.when(F.col("_w"), 1)).alias("_k")).where(F.col("_k") >= rule["min_fit_cells"])
-        df = df.join(many.select(*DATE, F.lit(True).alias("_many")), DATE, "left").withColumn("_w", F.col("_w") & holds(F.col("_many")))
-        df = spatial_probability(df, "_next", "_w", sigmas, "_gain", gain=True, rule=rule)
-        df = df.withColumn("probability", F.col("probability") * (1.0 - F.col("_gain"))).drop("_next", "_w", "_many", "_gain")
-    elif name == "D7":
-        for value in ("back_z", "forward_z"):
-            _models, check = date_models(df, value, "monitored", rule=rule)
-            df = df.join(check.select(*DATE, F.col("skipped").alias("_cs")), DATE, "left")
-            df = df.withColumn("_w", holds(F.col("monitored") & ~F.col("_cs") & F.col(value).isNotNull()))
-            df = spatial_probability(df, value, "_w", sigmas, f"_{value}", rule=rule)
-            df = df.withColumn(f"_{value}", F.when(F.col("_w"), F.col(f"_{value}"))).drop("_w", "_cs")
-        df = df.withColumn("probability", F.least("probability", "_back_z", "_forward_z")).drop("_back_z", "_forward_z")
-    elif name != "D5":
+    if name not in ("D1", "D2", "D5", "D6", "D7"):
         raise ValueError(f"Unknown decision rule {rule_name!r}")
-    floor = F.lit(rule["p_boundary"]) if strict else prior_of(F.col("p0"), rule["min_prior"])
-    lean = holds(F.col("_own") > floor)
-    hit = holds(decided & lean & (F.col("probability") > rule["p_boundary"]))
-    return df.withColumns({"flag": hit, "probability": F.when(decided, F.col("probability"))}).drop("_own", "_use", "skipped", "p0"), fits
-
-
+    sides = {"D7": ["back_z", "forward_z"]}.get(name, [])
+    missing = [c for c in sides if c not in cells.columns]
+    if missing:
+        raise ValueError(f"Rule {rule_name} needs the two-step changes {missing}")
+    least, bin_w, half = rule["min_fit_cells"], rule["bin_w"], rule["p_boundary"]
+    df = cells
+    if name == "D6":
+        df = df.withColumn("_next", F.lead(z).over(over_dates()))
+        sides = ["_next"]
+    values = [z, *sides]
+    # a date takes part in a check when enough monitored cells have the value
+    n = {v: F.count(F.when(F.col("monitored") & F.col(v).isNotNull(), 1)) for v in values}
+    size = cut_lineage(df.groupBy(*DATE).agg(*[c.alias(f"_n_{v}") for v, c in n.items()]))
+    own = size.select(*DATE, F.col(f"_n_{z}").alias("n_cells"))
+    df = df.join(size, DATE, "left")
+    ok = {v: F.col("monitored") & (F.col(f"_n_{v}") >= least) for v in values}
+    if name == "D6":
+        ok["_next"] = ok["_next"] & (F.col(f"_n_{z}") >= least)
+    smooth = {}
+    if name in ("D5", "D6", "D7"):
+        for v in values:
+            sign = -1.0 if v == "_next" else 1.0
+            for i, s in enumerate(sigmas_in_cells(cell_m, rule)):
+                smooth[f"_s{i}_{v}"] = (sign * F.col(v), ok[v], s)
+        df = cut_lineage(smooth_fields(df, smooth))
+    fields = {"own": F.when(ok[z], F.col(z)), **{n: F.col(n) for n in smooth}}
+    null, models = field_models(df, fields, rule=rule)
+    fits = fit_rows(own, null.where("field = 'own'").drop("field"), DATE)
+    df = df.join(models, DATE, "left")
+    posterior = lambda n, x: 1.0 - interpolate(x, F.col("models")[n], bin_w)
+    decided = F.col("monitored") & (F.col(f"_n_{z}") >= least)
+    mine = posterior("own", F.col(z))
+    drop = ["models", *smooth, *[f"_n_{v}" for v in values], *(["_next"] if name == "D6" else [])]
+    if name == "D1":
+        hit, p = F.col("monitored") & (F.col(z) <= -rule["baseline_z"]), F.lit(None).cast("double")
+    elif name == "D2":
+        hit, p = decided & (mine > half), F.coalesce(mine, F.lit(0.0))
+    else:
+        best = lambda v: F.greatest(F.lit(0.0), *[F.coalesce(posterior(n, F.col(n)), F.lit(0.0)) for n in smooth if n.endswith(f"_{v}")])
+        p = best(z)
+        if name == "D6":
+            p = p * (1.0 - best("_next"))
+        for v in sides if name == "D7" else []:
+            p = F.least(p, F.when(ok[v] & F.col(v).isNotNull(), best(v)))
+        floor = F.lit(half) if strict else prior_of(F.col("models")["own"]["p0"], rule["min_prior"])
+        hit = decided & (mine > floor) & (p > half)
+    df = df.withColumns({"flag": holds(hit), "probability": F.when(decided, p)})
+    return df.drop(*drop), fits

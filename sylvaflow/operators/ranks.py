@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sylvaflow.session import cut_lineage
+
 
 def ordered_counts(
     df: DataFrame,
@@ -110,23 +112,20 @@ def robust_stats(
     """
     keys = list(keys)
     use = df.where(F.col(value).isNotNull()).select(*keys, value)
-    med = exact_quantiles(use, keys, value, {"median": 0.5}, width)
     moments = use.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd")
     )
+    med = exact_quantiles(use, keys, value, {"median": 0.5}, width).join(moments, keys)
+    # one row per group: written once, so that the second pass does not repeat the first
+    med = cut_lineage(med.where(F.col("n") >= min_rows))
     deviation = use.join(med, keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_dev"))
     mad = exact_quantiles(deviation, keys, "_dev", {"mad": 0.5}, width)
     spread = F.col("mad") * F.lit(scale)
     robust = spread > 0
-    return (
-        moments.where(F.col("n") >= min_rows)
-        .join(med, keys)
-        .join(mad, keys)
-        .select(
-            *keys,
-            F.when(robust, F.col("median")).otherwise(F.col("mean")).alias("centre"),
-            F.when(robust, spread).otherwise(F.col("sd")).alias("scale"),
-            "n",
-        )
-        .where(F.col("scale") > 0)
+    out = med.join(mad, keys).select(
+        *keys,
+        F.when(robust, F.col("median")).otherwise(F.col("mean")).alias("centre"),
+        F.when(robust, spread).otherwise(F.col("sd")).alias("scale"),
+        "n",
     )
+    return cut_lineage(out.where(F.col("scale") > 0))
