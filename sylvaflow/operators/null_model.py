@@ -116,6 +116,26 @@ def interpolate(z: Column, model: Column, bin_w: float) -> Column:
     return F.when(model.isNull() | z.isNull(), None).when(z >= model["mu0"], 1.0).otherwise(a + (b - a) * (at - i))
 
 
+def posteriors(df: DataFrame, values: Mapping[str, tuple[str, Column]], bin_w: float) -> DataFrame:
+    """Posterior columns ``out -> (field, value)`` from the ``models`` map of the date.
+
+    Model, position and interpolation are separate steps, so that each is generated once.
+    """
+    df = df.withColumns({f"_m_{o}": F.col("models")[f] for o, (f, _x) in values.items()})
+    last = lambda o: F.size(F.col(f"_m_{o}")["curve"]) - 1
+    df = df.withColumns({
+        f"_at_{o}": F.least(F.greatest((x - F.col(f"_m_{o}")["first"]) / bin_w, F.lit(0.0)), last(o).cast("double")) for o, (_f, x) in values.items()
+    })
+    df = df.withColumns({f"_i_{o}": F.least(F.floor(f"_at_{o}").cast("int"), F.greatest(last(o) - 1, F.lit(0))) for o in values})
+    out = {}
+    for o, (_f, x) in values.items():
+        m, i = F.col(f"_m_{o}"), F.col(f"_i_{o}")
+        a, b = F.get(m["curve"], i), F.get(m["curve"], F.least(i + 1, last(o)))
+        out[o] = 1.0 - F.when(m.isNull() | x.isNull(), None).when(x >= m["mu0"], 1.0).otherwise(a + (b - a) * (F.col(f"_at_{o}") - i))
+    df = df.withColumns(out)
+    return df.drop(*[f"_{k}_{o}" for o in values for k in ("m", "at", "i")])
+
+
 def prior_of(p0: Column, min_prior: float = 0.0) -> Column:
     return F.least(F.lit(LFDR_CLIP[1]), F.greatest(F.lit(LFDR_CLIP[0]), 1.0 - p0, F.lit(min_prior)))
 
@@ -177,9 +197,9 @@ def spatial_probability(cells: DataFrame, z: str, where: str, sigmas: Sequence[f
     smooth = {f"_s{i}": (sign * F.col(z), F.col(where), s) for i, s in enumerate(sigmas)}
     df = cut_lineage(smooth_fields(cells, smooth))
     _null, models = field_models(df, {n: F.col(n) for n in smooth}, rule=rule)
-    df = df.join(models, DATE, "left")
-    probs = [F.coalesce(1.0 - interpolate(F.col(n), F.col("models")[n], rule["bin_w"]), F.lit(0.0)) for n in smooth]
-    return df.withColumn(out, F.greatest(F.lit(0.0), *probs)).drop("models", *smooth)
+    df = posteriors(df.join(models, DATE, "left"), {f"_p{n}": (n, F.col(n)) for n in smooth}, rule["bin_w"])
+    probs = [F.coalesce(F.col(f"_p{n}"), F.lit(0.0)) for n in smooth]
+    return df.withColumn(out, F.greatest(F.lit(0.0), *probs)).drop("models", *smooth, *[f"_p{n}" for n in smooth])
 
 
 def bh_reject(cells: DataFrame, z: str, null: DataFrame, *, q: float = 0.05, keys: Sequence[str] = DATE) -> DataFrame:
@@ -253,16 +273,16 @@ def decide_flags(cells: DataFrame, rule_name: str, cell_m: float = P.GRAIN_M, *,
     null, models = field_models(df, fields, rule=rule)
     fits = fit_rows(own, null.where("field = 'own'").drop("field"), DATE)
     df = df.join(models, DATE, "left")
-    posterior = lambda n, x: 1.0 - interpolate(x, F.col("models")[n], bin_w)
+    df = posteriors(df, {"_p_own": ("own", F.col(z)), **{f"_p{n}": (n, F.col(n)) for n in smooth}}, bin_w)
     decided = F.col("monitored") & (F.col(f"_n_{z}") >= least)
-    mine = posterior("own", F.col(z))
-    drop = ["models", *smooth, *[f"_n_{v}" for v in values], *(["_next"] if name == "D6" else [])]
+    mine = F.col("_p_own")
+    drop = ["models", "_p_own", *[f"_p{n}" for n in smooth], *smooth, *[f"_n_{v}" for v in values], *(["_next"] if name == "D6" else [])]
     if name == "D1":
         hit, p = F.col("monitored") & (F.col(z) <= -rule["baseline_z"]), F.lit(None).cast("double")
     elif name == "D2":
         hit, p = decided & (mine > half), F.coalesce(mine, F.lit(0.0))
     else:
-        best = lambda v: F.greatest(F.lit(0.0), *[F.coalesce(posterior(n, F.col(n)), F.lit(0.0)) for n in smooth if n.endswith(f"_{v}")])
+        best = lambda v: F.greatest(F.lit(0.0), *[F.coalesce(F.col(f"_p{n}"), F.lit(0.0)) for n in smooth if n.endswith(f"_{v}")])
         p = best(z)
         if name == "D6":
             p = p * (1.0 - best("_next"))
