@@ -64,9 +64,9 @@ def exact_quantiles(
 
     ``weight`` is a row count when the input is already counted.
     """
-    ranked = ordered_counts(df, keys, value, width, sums={"n": weight if weight is not None else F.lit(1)})
-    v, below, here, total = F.col(value), F.col("n_below"), F.col("n"), F.col("n_total")
-    aggs = [F.max("n_total").alias("_n")]
+    ranked = ordered_counts(df, keys, value, width, sums={"_c": weight if weight is not None else F.lit(1)})
+    v, below, here, total = F.col(value), F.col("_c_below"), F.col("_c"), F.col("_c_total")
+    aggs = [F.max("_c_total").alias("_n")]
     for name, p in probs.items():
         lo = F.floor(F.lit(p) * (total - 1))
         hi = F.least(lo + 1, total - 1)

@@ -320,7 +320,7 @@ def assign_blocks(chips: DataFrame, classes: Sequence[str], *, block_chips: int
     block = df.groupBy("block", "unit").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in classes]).join(unit_n, "unit")
     share = block.crossJoin(F.broadcast(totals.select(*[F.col(c).alias(f"_t_{c}") for c in classes])))
     share = share.select("block", "unit", (F.col("_n") / F.col("_u")).alias("unit_share"), *[F.coalesce(F.try_divide(F.col(c), F.col(f"_t_{c}")), F.lit(0.0)).alias(c) for c in classes])
-    share = share.withColumn("key", random_key(seed, F.col("block")))
+    share = share.withColumns({"key": random_key(seed, F.col("block")), "_all": F.lit(0)})
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         units = sorted(pdf["unit"].unique())
@@ -337,7 +337,7 @@ def assign_blocks(chips: DataFrame, classes: Sequence[str], *, block_chips: int
         return pdf[["block"]].assign(val=chosen)
 
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("val", T.BooleanType())])
-    picked = share.groupBy(F.lit(0)).applyInPandas(greedy, schema)
+    picked = share.groupBy("_all").applyInPandas(greedy, schema)
     df = df.join(picked, "block")
     moves = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     beside = df.where("val").select("epsg", "ix", "iy", moves.alias("_o")).select("epsg", (F.col("ix") + F.col("_o.a")).alias("ix"), (F.col("iy") + F.col("_o.b")).alias("iy"), F.lit(True).alias("_near")).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sylvaflow import params as P
 from sylvaflow.functions.columns import holds, lookup
+from sylvaflow.session import cut_lineage
 
 ANSWER = "states array<string>, affected_share string, change_type string, outline_fit string, confidence string, reason string"
 
@@ -206,7 +207,7 @@ def choose_outline(candidates: DataFrame, cells: DataFrame, cell_ha: float, rule
     inside, poly = F.col("in_candidate"), F.col("in_polygon")
     n = lambda c: F.count(F.when(c, 1))
     size = cells.groupBy("cand_id").agg((n(inside) * cell_ha).alias("cand_ha"), (n(poly) * cell_ha).alias("poly_ha"), (n(inside & poly) / F.greatest(n(inside), F.lit(1))).alias("covered"))
-    df = candidates.where(F.col("first_loss").isNotNull()).join(size, "cand_id", "left")
+    df = cut_lineage(candidates).where(F.col("first_loss").isNotNull()).join(size, "cand_id", "left")
     fits, shares = F.col("outline_fit"), F.col("affected_share")
     doubt = holds(F.exists(fits, lambda f: holds(f.isin("too_large", "wrong_shape")))) | holds(F.array_contains(shares, "under_25"))
     use = polygon_usable(F.col("poly_ha"), F.col("cand_ha"), F.col("covered"), rule)
@@ -236,6 +237,7 @@ def settle_agent(routed: DataFrame, cells: DataFrame, burned: DataFrame, dates:
 
     ``cells`` (cand_id, row, col), ``burned`` (row, col, burned_on), ``dates`` (unit, k, start, end).
     """
+    routed = cut_lineage(routed)
     fire = F.exists("change_types", lambda t: holds(t == "fire"))
     asked = routed.where(F.col("first_loss").isNotNull() & F.col("agent").isNull() & holds(fire))
     asked = asked.join(dates, (asked["unit"] == dates["unit"]) & (asked["first_loss"] == dates["k"])).select("cand_id", "start", "end")
