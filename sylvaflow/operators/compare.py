@@ -112,3 +112,8 @@ def stratum_table(places: DataFrame, base: str) -> DataFrame:
     """Places and area per stratum, with those the baseline has at another date too."""
     other = F.col(f"ha_{base}") > F.col(f"same_ha_{base}") + 1e-9
     return places.groupBy("stratum").agg(F.count(F.lit(1)).alias("places"), F.sum("area_ha").alias("union_ha"), F.count(F.when(other, 1)).alias("baseline_other_interval"))
+
+
+def overlap_shapes(cells: DataFrame, runs: Sequence[str]) -> DataFrame:
+    """Percent of a run's outline pixels inside another run's outlines (union of shapes per run)."""
+    return overlap(cells.select("run", *CELL).distinct(), runs, same_interval=False)

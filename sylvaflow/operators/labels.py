@@ -234,3 +234,81 @@ def event_survival(labels: DataFrame, candidates: DataFrame, keys: Sequence[str]
     )
 
 
+
+
+# --- candidates --------------------------------------------------------------------------------
+def window_candidates(cells: DataFrame, visible: DataFrame, cell_ha: float, min_ha: float = P.CANDIDATES["min_ha"]) -> DataFrame:
+    """Candidates reaching into a window: visible area, clipped and judged flags.
+
+    ``cells`` are all cells of the candidates, ``visible`` those inside a window_id.
+    """
+    whole = cells.groupBy("cand_id").agg((F.count(F.lit(1)) * cell_ha).alias("area_ha"))
+    seen = visible.groupBy("window_id", "cand_id").agg((F.count(F.lit(1)) * cell_ha).alias("visible_ha"))
+    return seen.join(whole, "cand_id").withColumns({
+        "clipped": F.col("visible_ha") < 0.98 * F.col("area_ha"), "judged": (F.col("area_ha") >= min_ha) & (F.col("visible_ha") >= min_ha),
+    })
+
+
+def unit_candidates(objects: DataFrame, others: DataFrame, years: DataFrame, refined: DataFrame | None = None) -> DataFrame:
+    """Detected, weak and height-loss candidates with one schema.
+
+    ``objects`` as from the detection, ``others`` (unit, t, label, source, n_cells, area_ha, mean_prob).
+    """
+    from pyspark.sql import Window as W
+
+    from sylvaflow.functions.scalars import interval_label
+
+    fine = refined if refined is not None else objects.select("unit", "object_id", F.lit(None).cast("double").alias("fine_ha")).where("false")
+    di = objects.join(fine, ["unit", "object_id"], "left").select(
+        F.concat_ws("-", "unit", F.lit("di"), "onset_year", "object_id").alias("cand_id"), "unit", F.lit("di").alias("source"), "interval", F.coalesce("fine_ha", "area_ha").alias("area_ha"),
+        F.col("object_id").cast("bigint").alias("object_id"), F.when(F.col("fine_ha").isNotNull(), "refined").otherwise("cells").alias("geom_src"), "mean_prob",
+    )
+    named = years.withColumn("before", F.lag("year").over(W.partitionBy("unit").orderBy("t")))
+    n = F.row_number().over(W.partitionBy("unit", "t").orderBy("label"))
+    rest = others.join(named, ["unit", "t"]).select(
+        F.concat_ws("-", "unit", "source", "year", n).alias("cand_id"), "unit", "source", interval_label(F.col("before"), F.col("year")).alias("interval"), "area_ha",
+        F.lit(-1).cast("bigint").alias("object_id"), F.lit("cells").alias("geom_src"), "mean_prob",
+    )
+    return di.unionByName(rest)
+
+
+def eligible_windows(windows: DataFrame, excluded: DataFrame, strata: Sequence[str] = ("di", "other", "quiet")) -> DataFrame:
+    """Seeded windows with a known probability that are not excluded."""
+    keep = windows.where(F.col("stratum").isin(list(strata)) & F.col("incl_prob").isNotNull())
+    return keep.join(excluded.select("window_id"), "window_id", "left_anti")
+
+
+def absent_files(chips: DataFrame, files: DataFrame, parts: Sequence[str] = ("naip", "change", "aux", "agent")) -> DataFrame:
+    """Expected chip files that are not in the listing."""
+    want = chips.select(F.explode(F.array(*[F.concat(F.col("chip_id"), F.lit(f"_{p}.tif")) for p in parts])).alias("file"))
+    return want.join(files.select("file"), "file", "left_anti")
+
+
+def window_pixels(cells: DataFrame, window: DataFrame, unstable: DataFrame, imagery: DataFrame, cell_px: int) -> DataFrame:
+    """Pixels of a window with the coarse cell layers spread to them, one row per interval.
+
+    ``cells``: unit, t, row, col, forest (dips filled), chm_cover, chm_height, probability;
+    ``window``: window_id, unit, row, col (fine pixels); ``imagery``: window_id, t, row, col of
+    seen pixels; ``unstable``: unit, k, unstable. The probability is that of the later date,
+    and a pixel without imagery on either date is no data.
+    """
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("unit", "row", "col").orderBy("t")
+    lead = lambda c: F.lead(c).over(w)
+    step = cells.select("unit", F.col("t").alias("k"), F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("forest").alias("forest_before"), lead("forest").alias("forest_after"), F.col("chm_cover").alias("cover_before"), F.col("chm_height").alias("height_before"), lead("probability").alias("prob"))
+    step = step.where("forest_after IS NOT NULL").join(unstable.select("unit", "k", "unstable"), ["unit", "k"], "left")
+    px = window.withColumns({"_r": F.floor(F.col("row") / cell_px).cast("int"), "_c": F.floor(F.col("col") / cell_px).cast("int")}).join(step, ["unit", "_r", "_c"])
+    seen = lambda shift, name: imagery.select("window_id", (F.col("t") - shift).alias("k"), "row", "col", F.lit(True).alias(name))
+    keys = ["window_id", "k", "row", "col"]
+    px = px.join(seen(0, "_a"), keys, "left").join(seen(1, "_b"), keys, "left")
+    missing = F.col("_a").isNull() | F.col("_b").isNull()
+    return px.withColumns({"no_data": missing, "unstable": holds(F.col("unstable")), "never_green": F.lit(False)}).drop("_r", "_c", "_a", "_b")
+
+
+def window_labels(pixels: DataFrame, parts: DataFrame, rule: Mapping = P.RULES) -> DataFrame:
+    """Reason, agent, change and probability in percent of every pixel and interval of a window."""
+    from sylvaflow.functions.scalars import to_percent
+
+    out = interval_reasons(pixels, parts, rule)
+    return out.join(pixels.select(*PIXEL, F.coalesce(to_percent(F.col("prob")), F.lit(P.IGNORE)).alias("percent")), PIXEL, "left")

@@ -292,3 +292,24 @@ def decide_flags(cells: DataFrame, rule_name: str, cell_m: float = P.GRAIN_M, *,
         hit = decided & (mine > floor) & (p > half)
     df = df.withColumns({"flag": holds(hit), "probability": F.when(decided, p)})
     return df.drop(*drop), fits
+
+
+def standardize(cells: DataFrame, value: str, population: str, method: str, size: int, *, cell_m: float = P.GRAIN_M, rule: Mapping = P.DECIDE) -> DataFrame:
+    """z of every date by method: scene, scenemean, local, local_twopass.
+
+    The second local pass leaves out cells of spatially supported loss, so that a large
+    event does not set its own baseline.
+    """
+    from sylvaflow.operators.cells import local_z, scene_z
+
+    if method in ("scene", "scenemean"):
+        return scene_z(cells, value, population, robust=method == "scene")
+    first = local_z(cells, value, population, size, out="z")
+    if method == "local":
+        return first
+    if method != "local_twopass":
+        raise ValueError(f"Unknown method {method!r}")
+    use = first.withColumn("_use", holds(F.col(population) & F.col("z").isNotNull()))
+    p = spatial_probability(use, "z", "_use", sigmas_in_cells(cell_m, rule), "_p", rule=rule)
+    calm = p.withColumn("_calm", F.col(population) & ~(F.col("_p") > rule["p_boundary"])).drop("z", "_p", "_use")
+    return local_z(calm, value, "_calm", size, out="z").drop("_calm")

@@ -21,7 +21,10 @@ SENSOR_OF = {"1": "L5", "2": "L7", "3": "L8", "4": "L9", "5": "L7"}
 
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders")
+    return observation_rows(table(spark, sf, "orders"))
+
+
+def observation_rows(o: DataFrame) -> DataFrame:
     key, stand = F.col("o_orderkey"), F.col("o_custkey") % 100
     area = F.when(stand % 25 == 0, 2700.0).otherwise(900.0 * (8 + stand % 30))
     cover = (4 + key % 7) / 8.0

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,10 +39,17 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared is None:
         if not context.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="sylvaflow-ckpt-", dir=os.environ.get("TMPDIR"))
+        shared = tempfile.mkdtemp(prefix="sylvaflow-ckpt-")
     context.setCheckpointDir(shared)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, for tables and stream checkpoints."""
+    _ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Materialize ``df`` in the shared checkpoint folder.
 
