@@ -9,7 +9,7 @@ date.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from math import ceil, exp, pi
+from math import ceil, cos, exp, pi, sin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -504,9 +504,10 @@ def linearity(edges: DataFrame, zone: Sequence[str], n_angles: int = 90) -> Data
     depend on where it lies.
     """
     zone = list(zone)
-    theta = F.col("a") * (pi / n_angles) - pi / 2
-    points = edges.select(*zone, "x", "y", F.explode(F.sequence(F.lit(0), F.lit(n_angles - 1))).alias("a"))
-    rho = F.round(F.round(F.cos(theta), 12) * F.col("x") + F.round(F.sin(theta), 12) * F.col("y")).cast("int")
+    angles = [a * pi / n_angles - pi / 2 for a in range(n_angles)]
+    turns = [F.struct(F.lit(i).alias("a"), F.lit(round(cos(t), 12)).alias("cos"), F.lit(round(sin(t), 12)).alias("sin")) for i, t in enumerate(angles)]
+    points = edges.select(*zone, "x", "y", F.inline(F.array(*turns)))
+    rho = F.round(F.col("cos") * F.col("x") + F.col("sin") * F.col("y")).cast("int")
     bins = points.groupBy(*zone, "a", rho.alias("rho")).agg(F.count(F.lit(1)).alias("n"))
     return bins.groupBy(*zone).agg((1.0 - F.avg("n") / F.max("n")).alias("linearity_index"))
 

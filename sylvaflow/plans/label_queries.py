@@ -541,7 +541,7 @@ def stream_annual(spark, sf):
 @query(
     "window_candidates",
     """WITH c AS (SELECT l_partkey % 200 AS cand, l_orderkey % 64 AS row, l_partkey % 64 AS col FROM lineitem GROUP BY ALL), s AS (SELECT cand, count(*) AS n FROM c GROUP BY 1), w AS (SELECT * FROM (VALUES ('w1', 0, 31, 0, 63), ('w2', 20, 60, 10, 40)) t(window_id, r0, r1, c0, c1))
-SELECT window_id, cand AS cand_id, round(count(*) * 0.036864, 6) AS visible_ha, count(*) * 0.036864 < 0.98 * any_value(n) * 0.036864 AS clipped, any_value(n) * 0.036864 >= 0.9 AND count(*) * 0.036864 >= 0.9 AS judged FROM c JOIN s USING (cand) JOIN w ON row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1 GROUP BY window_id, cand""",
+SELECT window_id, cand AS cand_id, round(count(*) * 0.036864::DOUBLE, 6) AS visible_ha, count(*) * 0.036864 < 0.98 * any_value(n) * 0.036864 AS clipped, any_value(n) * 0.036864 >= 0.9 AND count(*) * 0.036864 >= 0.9 AS judged FROM c JOIN s USING (cand) JOIN w ON row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1 GROUP BY window_id, cand""",
 )
 def window_candidates(spark, sf):
     row, c = F.col("l_orderkey") % 64, F.col("l_partkey") % 64
