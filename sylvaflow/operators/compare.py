@@ -44,7 +44,7 @@ def agreement_area(detected: DataFrame, n_runs: int, cell_ha: float) -> DataFram
     agg = per.groupBy("variants").agg(F.count(F.lit(1)).alias("n"))
     frame = detected.sparkSession.range(1, n_runs + 1).select(F.col("id").alias("variants"))
     out = frame.join(agg, "variants", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.select("variants", (F.col("n") * cell_ha).alias("area_ha"), (100.0 * F.col("n") / F.sum("n").over(W.partitionBy())).alias("share_of_union_pct"))
+    return out.select("variants", (F.col("n") * cell_ha).alias("area_ha"), F.try_divide(100.0 * F.col("n"), F.sum("n").over(W.partitionBy())).alias("share_of_union_pct"))
 
 
 def objects_kept(base: DataFrame, other: DataFrame) -> DataFrame:

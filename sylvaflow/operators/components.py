@@ -250,7 +250,7 @@ def cluster_probability(cells: DataFrame, z: str, null: DataFrame, flag: str, mi
 
     def mass(mask: str, sign: int) -> DataFrame:
         use = rows.where(F.col(mask))
-        weight = F.greatest(F.lit(0.0), sign * (F.col("mu0") - F.col(z)) / F.col("sigma0"))
+        weight = F.greatest(F.lit(0.0), F.try_divide(sign * (F.col("mu0") - F.col(z)), F.col("sigma0")))
         lab = label_components(use, keys).join(use.select(*keys, "row", "col", weight.alias("w")), [*keys, "row", "col"])
         return lab.groupBy(*keys, "label").agg(F.sum("w").alias("mass"), F.count(F.lit(1)).alias("n_cells"))
 

@@ -97,9 +97,10 @@ def lfdr_curves(cells: DataFrame, z: str, where: str | None, null: DataFrame, *,
         f = f + (raw[k] / norm) * (left + right)
     frame = frame.withColumn("f", f)
     centre = F.col("lo") + (F.col("b") + 0.5) * bin_w
-    u = (centre - F.col("mu0")) / F.col("sigma0")
-    f0 = F.col("n") * bin_w * F.col("p0") * F.exp(-0.5 * u * u) / (F.col("sigma0") * (2 * pi) ** 0.5)
-    raw_lf = F.when(F.col("f") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), f0 / F.col("f")))).otherwise(1.0)
+    # a null without spread has no density: its curve stays at one
+    u = F.try_divide(centre - F.col("mu0"), F.col("sigma0"))
+    f0 = F.try_divide(F.col("n") * bin_w * F.col("p0") * F.exp(-0.5 * u * u), F.col("sigma0") * (2 * pi) ** 0.5)
+    raw_lf = F.when((F.col("f") > 0) & f0.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), f0 / F.col("f")))).otherwise(1.0)
     frame = frame.withColumn("lf", raw_lf).withColumn("lf", F.min("lf").over(line.rowsBetween(0, W.unboundedFollowing)))
     curve = F.transform(F.array_sort(F.collect_list(F.struct("b", "lf"))), lambda s: s["lf"])
     named = [F.first(c).alias(c) for c in ("n", "mu0", "sigma0", "p0", "method")]
@@ -210,7 +211,7 @@ def bh_reject(cells: DataFrame, z: str, null: DataFrame, *, q: float = 0.05, key
     """
     keys = list(keys)
     df = cells.join(null.select(*keys, "mu0", "sigma0"), keys)
-    u = (F.col(z) - F.col("mu0")) / F.col("sigma0")
+    u = F.try_divide(F.col(z) - F.col("mu0"), F.col("sigma0"))
     df = df.withColumn("p_value", normal_cdf(u)).drop("mu0", "sigma0")
     ranked = ordered_counts(df.where(F.col("p_value").isNotNull()), keys, "p_value", 1 / 512, sums={"n": F.lit(1)})
     rank = F.col("n_below") + F.col("n")

@@ -46,7 +46,7 @@ def curve_summary(curve: DataFrame, keys: Sequence[str], threshold: float) -> Da
     cut = round(threshold * 100)
     p = F.col("p")
     called = F.col("tp") + F.col("fp")
-    step = F.col("pos") / F.col("n_pos") * F.when(called > 0, F.col("tp") / called).otherwise(1.0)
+    step = F.try_divide(F.col("pos"), F.col("n_pos")) * F.when(called > 0, F.col("tp") / called).otherwise(1.0)
     at = lambda c, t: F.max(F.when(p == t, F.col(c)))
     best = F.when(p >= 1, F.struct(F.coalesce("f1", F.lit(-1.0)).alias("f"), (-p).alias("q")))
     out = curve.groupBy(*keys).agg(
@@ -233,8 +233,8 @@ def separation(values: DataFrame, keys: Sequence[str], value: str, phase: str, w
     )
     a, b = F.col("n_pre"), F.col("n_post")
     enough = (a >= least) & (b >= least)
-    pooled = F.sqrt(((a - 1) * F.col("var_pre") + (b - 1) * F.col("var_post")) / (a + b - 2))
-    auc = F.when(enough, F.col("_u") / (a * b))
+    pooled = F.sqrt(F.try_divide((a - 1) * F.col("var_pre") + (b - 1) * F.col("var_post"), (a + b - 2)))
+    auc = F.when(enough, F.try_divide(F.col("_u"), a * b))
     return m.join(wins, keys, "left").select(
         *keys, "n_pre", "n_post", F.col("mean_pre").alias("pre_mean"), F.col("mean_post").alias("post_mean"), auc.alias("auc"),
         F.when(enough & (pooled > 0), (F.col("mean_post") - F.col("mean_pre")) / pooled).alias("cohens_d"), (F.abs(auc - 0.5) * 2).alias("separation"),
@@ -266,7 +266,7 @@ def spearman(pairs: DataFrame, x: str, y: str, width_x: float, width_y: float, k
     n, a, b = F.col("_n"), F.col("_r_x"), F.col("_r_y")
     s = lambda e: F.sum(n * e)
     N = F.sum(n)
-    rho = (N * s(a * b) - s(a) * s(b)) / F.sqrt((N * s(a * a) - s(a) ** 2) * (N * s(b * b) - s(b) ** 2))
+    rho = F.try_divide(N * s(a * b) - s(a) * s(b), F.sqrt((N * s(a * a) - s(a) ** 2) * (N * s(b * b) - s(b) ** 2)))
     return both.groupBy(*keys).agg(N.alias("n"), F.when(N >= 3, rho).alias("rho"))
 
 
@@ -319,7 +319,7 @@ def bootstrap_support(pool: DataFrame, value: str, sizes: Sequence[int], replica
     draws = frame.select("n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b")).select("n", "b", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("j"))
     pick = F.floor(random_key(seed, F.concat_ws(":", "n", "b", "j")) * size).cast("bigint")
     drawn = draws.withColumn("i", pick).join(numbered, "i")
-    cv = drawn.groupBy("n", "b").agg((F.stddev_pop(value) / F.avg(value)).alias("cv"))
+    cv = drawn.groupBy("n", "b").agg(F.try_divide(F.stddev_pop(value), F.avg(value)).alias("cv"))
     q = exact_quantiles(cv, ["n"], "cv", {"ci90_low": 0.05, "ci90_high": 0.95}, 1 / 256)
     m = cv.groupBy("n").agg(F.avg("cv").alias("cv_mean"), F.stddev_pop("cv").alias("cv_std"))
     width = F.col("ci90_high") - F.col("ci90_low")

@@ -65,7 +65,7 @@ def classify_stages(
                 continue
             n_eval, n_match, failed = stage_match(values, env)
             items.append(F.struct(
-                (-n_match / n_eval).alias("neg"), F.lit(position).alias("pos"), F.lit(stage).alias("stage"),
+                (-n_match / F.greatest(n_eval, F.lit(1))).alias("neg"), F.lit(position).alias("pos"), F.lit(stage).alias("stage"),
                 n_eval.alias("n"), failed.alias("failed"),
             ))
         if not items:

@@ -63,7 +63,7 @@ def write_batch(frame: DataFrame, path: str, batch: int) -> None:
 
 def read_observations(spark: SparkSession, path: str, index: str = "ndvi") -> DataFrame:
     """Observations of all batches, every stand and scene once (the latest batch wins)."""
-    schema = observation_schema(index).add("batch", "int")
+    schema = observation_schema(index).add("batch", T.IntegerType())
     rows = spark.read.schema(schema).parquet(path)
     return latest_by(rows, KEY, ["batch", "time_ms"]).select(observation_schema(index).names)
 
