@@ -248,26 +248,35 @@ def stand_years(obs: DataFrame, years: tuple[int, int] | None = None) -> DataFra
 def annual_frame(obs: DataFrame, years: tuple[int, int] | None = None, quality: dict = P.QUALITY) -> DataFrame:
     """Yearly metrics of every stand, with a row also for years without observations."""
     obs = obs.withColumn("year", F.col("year").cast("int"))
-    kept = filter_observations(obs, quality=quality)
-    raw = obs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("sat_n_observations_raw"))
-    used = kept.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("sat_n_observations"),
-        F.array_join(F.array_sort(F.collect_set("sensor")), ",").alias("sat_sensor_mix"),
-        F.min("n_pixels").alias("sat_min_n_pixels"),
-        F.size(F.collect_set("sensor")).alias("sat_n_sensors"),
-        F.avg(F.when(F.col("sensor") == "L7", 1.0).otherwise(0.0)).alias("sat_frac_l7"),
-        F.countDistinct("wrs_path").alias("sat_n_paths"),
-    )
-    in_season = F.col("doy").between(P.SEASON["doy_min"], P.SEASON["doy_max"])
+    lo, hi, least = P.SEASON["doy_min"], P.SEASON["doy_max"], P.SEASON["min_obs"]
+    marked = obs.withColumn("_ok", drop_cause(quality=quality).isNull())
+    kept = marked.where("_ok")
+    in_season = F.col("doy").between(lo, hi)
+    ok = F.col("_ok")
+    used = lambda c: F.when(ok, F.col(c))
+    season = F.when(ok & in_season, finite("ndvi"))
+    short = F.concat(F.lit("n_obs="), F.col("sat_ndvi_mean_n_obs"), F.lit(f" in DOY {lo}-{hi} < min_obs={least}"))
+    # one pass over the observations for everything that is a plain aggregate
+    counted = marked.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("sat_n_observations_raw"), F.count(F.when(ok, 1)).alias("sat_n_observations"),
+        F.array_sort(F.collect_set(used("sensor"))).alias("_sensors"), F.min(used("n_pixels")).alias("sat_min_n_pixels"),
+        F.avg(F.when(ok, (F.col("sensor") == "L7").cast("double"))).alias("sat_frac_l7"), F.size(F.collect_set(used("wrs_path"))).alias("_paths"),
+        F.count(season).alias("sat_ndvi_mean_n_obs"), F.avg(season).alias("_mean"),
+    )
+    some = F.col("sat_n_observations") > 0
+    counted = counted.select(
+        *KEY, "sat_n_observations_raw", "sat_n_observations", "sat_min_n_pixels", "sat_frac_l7", "sat_ndvi_mean_n_obs",
+        F.array_join("_sensors", ",").alias("sat_sensor_mix"), F.when(some, F.size("_sensors")).alias("sat_n_sensors"), F.when(some, F.col("_paths")).cast("bigint").alias("sat_n_paths"),
+        F.when(F.col("sat_ndvi_mean_n_obs") >= least, F.col("_mean")).alias("ndvi_mean"), F.when(F.col("sat_ndvi_mean_n_obs") < least, short).alias("_why_mean"),
+    )
     medians = several_quantiles(kept, KEY, {
         "sat_median_coverage_fraction": (finite("coverage_fraction"), 0.5, 1 / 64),
         "sat_median_n_pixels": (finite("n_pixels"), 0.5, 1.0),
         "med": (F.when(in_season, finite("ndvi")), 0.5, INDEX_WIDTH),
     })
     frame = stand_years(obs, years).join(drop_columns(obs), "stand_id", "left")
-    for part in (raw, used, medians, season_mean(kept), harmonic_fit(kept)):
+    for part in (counted, medians, harmonic_fit(kept)):
         frame = frame.join(part, KEY, "left")
-    lo, hi, least = P.SEASON["doy_min"], P.SEASON["doy_max"], P.SEASON["min_obs"]
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     frame = frame.select(
         *[c for c in frame.columns if c not in ("sat_n_observations", "sat_n_observations_raw", "sat_sensor_mix", "sat_ndvi_mean_n_obs", "_why_mean", "sat_amplitude_n_obs", "_why_amplitude", "med")],

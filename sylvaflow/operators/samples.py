@@ -315,11 +315,10 @@ def assign_blocks(chips: DataFrame, classes: Sequence[str], *, block_chips: int
     corner = chips.groupBy("window_id").agg(F.min("ix").alias("_x"), F.min("iy").alias("_y"))
     name = F.concat_ws(":", "unit", F.floor(F.col("_x") / block_chips), F.floor(F.col("_y") / block_chips))
     df = chips.join(corner, "window_id").withColumn("block", name).drop("_x", "_y")
-    totals = df.agg(*[F.sum(c).alias(c) for c in classes])
     unit_n = df.groupBy("unit").agg(F.count(F.lit(1)).alias("_u"))
     block = df.groupBy("block", "unit").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in classes]).join(unit_n, "unit")
-    share = block.crossJoin(F.broadcast(totals.select(*[F.col(c).alias(f"_t_{c}") for c in classes])))
-    share = share.select("block", "unit", (F.col("_n") / F.col("_u")).alias("unit_share"), *[F.coalesce(F.try_divide(F.col(c), F.col(f"_t_{c}")), F.lit(0.0)).alias(c) for c in classes])
+    total = lambda c: df.agg(F.sum(c)).scalar()
+    share = block.select("block", "unit", (F.col("_n") / F.col("_u")).alias("unit_share"), *[F.coalesce(F.try_divide(F.col(c), total(c)), F.lit(0.0)).alias(c) for c in classes])
     share = share.withColumns({"key": random_key(seed, F.col("block")), "_all": F.lit(0)})
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -16,7 +16,8 @@ HEIGHT_WIDTH = 0.25
 
 
 def share_where(condition: Column) -> Column:
-    return F.avg(F.when(condition, 1.0).otherwise(0.0))
+    """Share of the rows on which the condition is known and holds."""
+    return F.avg(condition.cast("double"))
 
 
 def pixel_aggregates(height: Column, canopy_m: float = P.CANOPY_M) -> list[Column]:
@@ -36,22 +37,20 @@ def zone_pixel_metrics(
     keys = list(keys)
     rows = pixels.select(*keys, finite(height).alias("_h"))
     h = F.col("_h")
-    valid = rows.where(h.isNotNull())
     canopy = F.when(h >= canopy_m, h)
-    out = valid.groupBy(*keys).agg(
-        F.count("_h").alias("n_valid_pixels"), *pixel_aggregates(h, canopy_m),
+    out = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_inside"), F.count("_h").alias("n_valid_pixels"), *pixel_aggregates(h, canopy_m),
         F.count(canopy).alias("_n"), F.avg(canopy).alias("height_mean"), F.max(canopy).alias("height_max"),
         F.stddev_pop(canopy).alias("_sd"),
     )
     tall = exact_quantiles(
-        valid.where(h >= canopy_m), keys, "_h", {"height_median": 0.5, "height_p90": 0.9}, HEIGHT_WIDTH
+        rows.where(h >= canopy_m), keys, "_h", {"height_median": 0.5, "height_p90": 0.9}, HEIGHT_WIDTH
     )
-    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_inside"))
-    out = whole.join(out, keys, "left").join(tall, keys, "left")
+    out = out.join(tall, keys, "left")
     gate = lambda c: F.when(F.col("_n") >= min_pixels, c)
     return out.select(
-        *keys, F.coalesce("n_valid_pixels", F.lit(0)).alias("n_valid_pixels"),
-        (1.0 - F.coalesce("n_valid_pixels", F.lit(0)) / F.col("_inside")).alias("nodata_fraction"),
+        *keys, "n_valid_pixels",
+        (1.0 - F.col("n_valid_pixels") / F.col("_inside")).alias("nodata_fraction"),
         "gap_fraction", "crown_fraction", *P.HEIGHT_BANDS,
         *[gate(F.col(c)).alias(c) for c in ("height_mean", "height_median", "height_p90", "height_max")],
         gate(share(F.col("_sd"), F.col("height_mean"))).alias("height_cv"),

@@ -406,7 +406,7 @@ def append_observations(spark, sf):
 
 @query(
     "decoded_stands",
-    f"""WITH d AS (SELECT s_suppkey, (['ElkNE', 'Brown', 'NashSW'])[CAST(s_suppkey % 3 + 1 AS INTEGER)] AS doqq, s_suppkey % 20 AS u, CASE WHEN s_suppkey % 11 = 0 THEN 999 ELSE 110 + s_suppkey % 35 END AS dt, (40 + s_suppkey % 60)::DOUBLE AS w FROM supplier), e AS (SELECT * FROM d WHERE dt <> 999),
+    f"""WITH d AS (SELECT s_suppkey, (['AlderNE', 'Birch', 'CedarSW'])[CAST(s_suppkey % 3 + 1 AS INTEGER)] AS doqq, s_suppkey % 20 AS u, CASE WHEN s_suppkey % 11 = 0 THEN 999 ELSE 110 + s_suppkey % 35 END AS dt, (40 + s_suppkey % 60)::DOUBLE AS w FROM supplier), e AS (SELECT * FROM d WHERE dt <> 999),
 b AS (SELECT *, upper(left(regexp_replace(doqq, '[NSEW]*$', ''), 3) || regexp_extract(doqq, '([NSEW]*)$', 1)) || '-U' || u || '-0-' || (s_suppkey % 2) AS base, abs((0.25 * 0.25 - w * 0.25) + (w * w - w * 0.25) + (w * w / 3 - w / 2 * w) + (w / 2 * w - 0.25 * w / 3) + (0.25 * 0.25 - 0.25 * w)) / 2 AS area FROM e)
 SELECT s_suppkey, base || CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN chr(CAST(96 + row_number() OVER (PARTITION BY base ORDER BY area DESC) AS INTEGER)) ELSE '' END AS stand_id, CASE WHEN dt = 120 THEN 'Clearcut' ELSE 'Unknown' END AS dist_label, CASE dt // 10 * 10 WHEN 110 THEN 'Fire' WHEN 120 THEN 'Harvest' WHEN 130 THEN 'Weather' WHEN 140 THEN 'Mining' ELSE 'Unknown' END AS dist_group, {s6('area', 'area_m2')}, {s6('area / ((w - 0.25) * (w - 0.25))', 'bbox_fill')} FROM b""",
 )
@@ -414,7 +414,7 @@ def decoded_stands(spark, sf):
     k = F.col("s_suppkey")
     w = 40.0 + k % 60
     v = lambda a, b: F.struct(F.lit(a).cast("double").alias("x") if not hasattr(a, "alias") else a.alias("x"), F.lit(b).cast("double").alias("y") if not hasattr(b, "alias") else b.alias("y"))
-    d = table(spark, sf, "supplier").select("s_suppkey", pick(["ElkNE", "Brown", "NashSW"], k).alias("doqq"), (k % 20).alias("uid1"), F.lit(0).alias("uid2"), (k % 2).alias("uid3"), F.when(k % 11 == 0, 999).otherwise(110 + k % 35).cast("int").alias("dist_type"),
+    d = table(spark, sf, "supplier").select("s_suppkey", pick(["AlderNE", "Birch", "CedarSW"], k).alias("doqq"), (k % 20).alias("uid1"), F.lit(0).alias("uid2"), (k % 2).alias("uid3"), F.when(k % 11 == 0, 999).otherwise(110 + k % 35).cast("int").alias("dist_type"),
                                             F.array(v(0.25, 0.25), v(w, 0.25), v(w, w), v(w / 2, w / 3), v(0.25, w)).alias("vertices"))
     return ST.read_stands(d, {120: "Clearcut"}).select("s_suppkey", "stand_id", "dist_label", "dist_group", r6("area_m2").alias("area_m2"), r6("bbox_fill").alias("bbox_fill"))
 
