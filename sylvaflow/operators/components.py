@@ -90,10 +90,11 @@ def merge_labels(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 def label_components(cells: DataFrame, keys: Sequence[str] = DATE, *, connectivity: int = 8, tile: int = TILE) -> DataFrame:
     """Adds ``label``, the first cell number of the component, to a cell set (keys, row, col, ...)."""
     keys = list(keys)
-    base = cells.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
+    base = cells.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
     base = base.withColumns({"_tr": F.floor(F.col("row") / tile).cast("int"), "_tc": F.floor(F.col("col") / tile).cast("int")})
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["row", "col"])
         number = pdf["row"].to_numpy("int64") * _STRIDE + pdf["col"].to_numpy("int64")
         return pdf.assign(label=_label_tile(number, connectivity))
 

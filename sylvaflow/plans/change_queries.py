@@ -211,7 +211,7 @@ def unmatched_patches(spark, sf):
 
 @query(
     "other_candidates",
-    f"""WITH RECURSIVE {YGRID}, l AS (SELECT *, coalesce(lag(forest) OVER w, FALSE) AS f0, coalesce(lag(forest) OVER w AND NOT forest AND lag(chm_cover) OVER w - chm_cover >= 0.2, FALSE) AS lost FROM yg WINDOW w AS (PARTITION BY row, col ORDER BY t)),
+    f"""WITH RECURSIVE {YGRID}, l AS (SELECT *, coalesce(lag(forest) OVER w, FALSE) AS f0, coalesce(lag(forest) OVER w AND NOT forest AND lag(chm_cover) OVER w - chm_cover >= 0.5, FALSE) AS lost FROM yg WINDOW w AS (PARTITION BY row, col ORDER BY t)),
 near AS (SELECT DISTINCT t, row + dr AS row, col + dc AS col FROM yg, (SELECT a.i AS dr, b.i AS dc FROM (SELECT unnest([-1, 0, 1]) AS i) a, (SELECT unnest([-1, 0, 1]) AS i) b) o WHERE z < -2.6),
 fl AS (SELECT l.t, l.row, l.col FROM l LEFT JOIN near n ON n.t = l.t AND n.row = l.row AND n.col = l.col WHERE f0 AND (z / 5 >= 0.2 OR lost) AND n.t IS NULL), {comp_sql('fl')}
 SELECT c.t, CAST(c.label AS BIGINT) AS label, CASE WHEN avg(lost::INT) >= 0.5 THEN 'chm' ELSE 'weak' END AS source, count(*) AS n_cells, {s6('count(*) * 0.036864', 'area_ha')}, {s6('avg(z / 5)', 'mean_prob')} FROM comp c JOIN l ON l.t = c.t AND l.row = c.row AND l.col = c.col
@@ -219,7 +219,7 @@ GROUP BY c.t, c.label HAVING count(*) >= 9""",
 )
 def other_candidates(spark, sf):
     g = years_grid(spark, sf).withColumn("probability", F.col("z") / 5)
-    o = G.other_candidates(g, g.where("z < -2.6"))
+    o = G.other_candidates(g, g.where("z < -2.6"), rule={**P.CANDIDATES, "chm_loss_min_drop": 0.5})
     return o.select("t", "label", "source", "n_cells", r6("area_ha").alias("area_ha"), r6("mean_prob").alias("mean_prob"))
 
 
