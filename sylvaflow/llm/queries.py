@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaflow.llm import packing, token_store
+from sylvaflow.llm import ball_tree, language, packing, quality, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int):
+    """crc32 of the document's id as text, modulo ``n``: the folds of the contract."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.where(remainder(5) != 0))
+    return language.predict(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 @query("op3_vector_packing")
 def op3_vector_packing(spark, sf_dir):
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -37,3 +49,25 @@ def op3_vector_packing(spark, sf_dir):
 def op5_token_store(spark, sf_dir):
     found = token_store.stored_ids(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(remainder(4) != 2)
+    scored = quality.score(docs, quality.learn(docs, labels))
+    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
+TOPK = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+@query("op7_ball_tree_topk", TOPK)
+def op7_ball_tree_topk(spark, sf_dir):
+    vectors = ball_tree.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return ball_tree.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
