@@ -115,14 +115,14 @@ def _search_group(k: int):
         if not left.num_rows or not right.num_rows:
             return empty
         out = []
-        sizes, query_sizes = left["v"].combine_chunks().value_lengths().to_numpy(), right["v"].combine_chunks().value_lengths().to_numpy()
+        sizes, query_sizes = left["v"].combine_chunks().value_lengths().to_numpy(), right["q"].combine_chunks().value_lengths().to_numpy()
         for dim in np.unique(query_sizes).tolist():
             rows, cols = left.filter(pa.array(sizes == dim)), right.filter(pa.array(query_sizes == dim))
             if not rows.num_rows:
                 continue
-            cut = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, dim)  # noqa: B023, E731
-            vectors, queries = cut(rows), cut(cols)
-            ids, query_ids, shard = rows["vec_id"].to_numpy(), cols["vec_id"].to_numpy(), rows["shard"].to_numpy()
+            cut = lambda c: c.combine_chunks().flatten().to_numpy().reshape(len(c), dim)  # noqa: B023, E731
+            vectors, queries = cut(rows["v"]), cut(cols["q"])
+            ids, query_ids, shard = rows["vec_id"].to_numpy(), cols["query_id"].to_numpy(), rows["shard"].to_numpy()
             floor = cols["floor"].to_pandas().fillna(-np.inf).to_numpy(np.float64) if "floor" in cols.column_names else np.full(len(queries), -np.inf)
             best = Best(len(queries), k, floor)
             wide, wide_queries = vectors.astype(np.float64), queries.astype(np.float64)
@@ -150,17 +150,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     groups, blocks = max(1, -(-shards // group_shards)), max(1, -(-n_queries // query_block))
     held = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("g", F.col("shard") % groups)
     held = held.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    asked = queries.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("b"))
     schema = "query_id long, vec_id long, score long"
     home = F.col("b") % groups
 
     def meet(candidates: DataFrame, block: DataFrame) -> DataFrame:
-        return candidates.groupBy("b", "g").cogroup(block.groupBy("b", "g")).applyInArrow(_search_group(k), schema)
+        left = candidates.select("b", "g", "shard", "vec_id", "v")
+        right = block.toDF(*[{"b": "b_", "g": "g_"}.get(c, c) for c in block.columns])
+        return left.groupBy("b", "g").cogroup(right.groupBy("b_", "g_")).applyInArrow(_search_group(k), schema)
 
     found = meet(held.where(F.col("g") == home), asked.withColumn("g", home))
     if groups > 1:
         kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        known = asked.join(kth, asked["vec_id"] == kth["query_id"], "left").drop("query_id")
+        known = asked.join(kth, "query_id", "left")
         everywhere = known.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).where(F.col("g") != home)
         found = found.unionByName(meet(held.where(F.col("g") != home), everywhere))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
