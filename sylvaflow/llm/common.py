@@ -221,6 +221,51 @@ def from_binary(value: bytes | None, dtype) -> np.ndarray:
     return np.frombuffer(value or b"", dtype=dtype)
 
 
-def with_row_key(df: DataFrame, names: list[str]) -> DataFrame:
-    """Only ``names``, in this order; clashing extra columns stay out of the plan."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+BITMAP_BITS = 1 << 25
+
+
+def bitmap_slot(name: str):
+    return F.pmod(F.xxhash64(name), F.lit(BITMAP_BITS))
+
+
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits of a fixed size (4 MB) with one set for every id: it may say yes for others, never no for one of them.
+
+    The words are made by the tasks; at most 2^19 of them reach the driver.
+    """
+    name = ids.columns[0]
+    slots = ids.where(F.col(name).isNotNull()).select(bitmap_slot(name).alias("slot"))
+    rows = slots.groupBy(F.expr("shiftright(slot, 6) AS w")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT))) AS bits"))
+    got = rows.toArrow()
+    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    out[got["w"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bitmap(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bitmap[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted unsigned keys as differences of the fewest bytes that hold the largest one."""
+    if not len(keys):
+        return b""
+    step = np.empty(len(keys), np.uint64)
+    step[0] = keys[0]
+    np.subtract(keys[1:], keys[:-1], out=step[1:])
+    first, step[0] = int(step[0]), 0
+    width = max(1, -(-int(step.max()).bit_length() // 8))
+    body = np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    return bytes([width]) + first.to_bytes(8, "little") + body.tobytes()
+
+
+def unpack_sorted(value: bytes | None) -> np.ndarray:
+    if not value:
+        return np.zeros(0, np.uint64)
+    width = value[0]
+    body = np.frombuffer(value, np.uint8, offset=9).reshape(-1, width)
+    step = np.zeros((len(body), 8), np.uint8)
+    step[:, :width] = body
+    step = step.view("<u8").ravel()
+    step[0] = int.from_bytes(value[1:9], "little")
+    return np.cumsum(step, dtype=np.uint64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaflow.llm import ball_tree, language, packing, quality, token_store
+from sylvaflow.llm import ball_tree, language, packing, parity_join, quality, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,18 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 def op7_ball_tree_topk(spark, sf_dir):
     vectors = ball_tree.integer_vectors(table(spark, sf_dir, "embeddings"))
     return ball_tree.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+NEAR = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM g),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM i WHERE 100 * c >= 80 * (na + nb - c)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM g JOIN m USING (doc_id)"""
+
+
+@query("op8_parity_join", NEAR)
+def op8_parity_join(spark, sf_dir):
+    return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
