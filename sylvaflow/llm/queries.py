@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaflow.llm import ball_tree, language, packing, parity_join, quality, token_store
+from sylvaflow.llm import ball_tree, language, packing, parity_join, quality, repeats, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,12 @@ def op3_vector_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("op4_suffix_repeats")
+def op4_suffix_repeats(spark, sf_dir):
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_token_store")
 def op5_token_store(spark, sf_dir):
     found = token_store.stored_ids(table(spark, sf_dir, "documents"))
