@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaflow.llm import ball_tree, language, packing, parity_join, quality, repeats, token_store
+from sylvaflow.llm import backoff_scores, ball_tree, language, packing, parity_join, quality, repeats, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,8 @@ SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM g JOIN m
 @query("op8_parity_join", NEAR)
 def op8_parity_join(spark, sf_dir):
     return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_backoff_scores")
+def op10_backoff_scores(spark, sf_dir):
+    return backoff_scores.score_documents(table(spark, sf_dir, "documents"))
