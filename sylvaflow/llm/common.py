@@ -8,6 +8,8 @@ bucket, so that a key that half of the documents hold crosses once per task.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,13 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TEXT_BLOCK = 2 << 20  # bytes of text that one vectorised step works on
+TEXT_BLOCK = 1 << 20  # bytes of text that one vectorised step works on
 BATCH_ROWS = 1000  # rows of an Arrow batch; texts are long
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _G1, _G2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Arrow batches of at most ``rows`` rows, so that a batch of long texts fits a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

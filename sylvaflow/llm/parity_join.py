@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.common import BASE, Texts, bitmap_slot, blocks, bounds_of, cut_points, grams, id_bitmap, in_bitmap, mix, pack_sorted, partitions_for, small_batches, text_bytes, text_column, unpack_sorted, words, written
+from sylvaflow.llm.common import BASE, Texts, bitmap_slot, blocks, bounds_of, cut_points, grams, id_bitmap, in_bitmap, mix, pack_sorted, partitions_for, small_batches, text_bytes, text_column, tidy, unpack_sorted, words, written
 
 SHINGLE = 5
 SHARE = Fraction(4, 5)
@@ -187,11 +187,14 @@ def _postings(buckets: int):
                     held.append((keys, place[row] + entries, cls[rows], (level << 24) + slack))
                     count += len(keys)
                     entries += len(rows)
-                if count > 1 << 21:
+                if count > 1 << 20:
                     yield out(held)
                     held, seen, count, entries = [], np.zeros(0, np.int64), 0, 0
+                    tidy()
         if held:
             yield out(held)
+        held = []
+        tidy()
 
     def out(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         keys, entry, cls, meta = (np.concatenate([h[i] for h in held]) for i in range(4))
@@ -232,6 +235,7 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     del keys, cls, metas
     order = np.argsort(key, kind="stable")
     key, of, meta = key[order], of[order], meta[order]
+    del order
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(start, len(key)))
     pairs, frequent = [], []
@@ -246,6 +250,8 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(mine) > 1:
                 frequent.append((np.full(len(mine), key[s]).view(np.int64), mine, meta[s : s + n][where].astype(np.int64), np.full(len(mine), len(mine))))
     names = ["kind", "part", "x", "y", "meta", "df"]
+    del key, of, meta
+    tidy()
     if pairs:
         found = np.concatenate(pairs)
         found = np.unique(np.ascontiguousarray(found[found[:, 0] != found[:, 1]]).view([("x", np.int64), ("y", np.int64)]).ravel())
