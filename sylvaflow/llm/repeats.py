@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.common import Texts, bitmap_slot, blocks, cut_points, id_bitmap, in_bitmap, mix, pack_sorted, partitions_for, prefix_hash, range_hash, small_batches, text_bytes, text_column, unpack_sorted, written
+from sylvaflow.llm.common import Texts, bitmap_slot, blocks, cut_points, id_bitmap, in_bitmap, mix, pack_sorted, partitions_for, prefix_hash, range_hash, small_batches, text_bytes, text_column, tidy, unpack_sorted, written
 
 LENGTH = 400
 GRAM = 32
-OPEN_IN_TASK = 4096
+OPEN_IN_TASK = 2048
+ANCHORS_AT_ONCE = 512
 BUCKET_TEXT = 32 << 20
 
 
@@ -96,6 +97,8 @@ def _send_anchors(buckets: int, length: int, q: int):
                 held, size = [], 0
         if size:
             yield out(held)
+        held = []
+        tidy()
 
     def out(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         gram, place, rid = (np.concatenate([h[i] for h in held]) for i in range(3))
@@ -171,6 +174,8 @@ def _surroundings(length: int, q: int):
             made = pa.record_batch([pa.array(r, t) for r, t in zip(rows, types)], names=["rid", "kind", "gram", "position", "first", "last", "around"])
             for at in range(0, made.num_rows, 5000):
                 yield made.slice(at, 5000)
+            del rows, made, texts
+        tidy()
 
     return run
 
@@ -214,12 +219,14 @@ def _decide(length: int, q: int):
         group_start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
         low = 0
         while low < len(group_start):  # whole buckets, some thousand anchors at a time
-            high = max(low + 1, int(np.searchsorted(group_start, group_start[low] + 2 * OPEN_IN_TASK)))
+            high = max(low + 1, int(np.searchsorted(group_start, group_start[low] + ANCHORS_AT_ONCE)))
             a, b = group_start[low], group_start[high] if high < len(group_start) else len(gram)
             found = decided(table.take(pa.array(order[a:b])), length, q)
             if found.num_rows:
                 yield found
             low = high
+        del got, table
+        tidy()
 
     return run
 
