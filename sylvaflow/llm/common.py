@@ -237,13 +237,13 @@ def bitmap_slot(name: str):
     return F.pmod(F.xxhash64(name), F.lit(BITMAP_BITS))
 
 
-def id_bitmap(ids: DataFrame) -> np.ndarray:
+def id_bitmap(ids: DataFrame, slot=None) -> np.ndarray:
     """Bits of a fixed size (4 MB) with one set for every id: it may say yes for others, never no for one of them.
 
     The words are made by the tasks; at most 2^19 of them reach the driver.
     """
     name = ids.columns[0]
-    slots = ids.where(F.col(name).isNotNull()).select(bitmap_slot(name).alias("slot"))
+    slots = ids.where(F.col(name).isNotNull()).select((bitmap_slot(name) if slot is None else slot).alias("slot"))
     rows = slots.groupBy(F.expr("shiftright(slot, 6) AS w")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT))) AS bits"))
     got = rows.toArrow()
     out = np.zeros(BITMAP_BITS // 64, np.int64)
@@ -278,3 +278,21 @@ def unpack_sorted(value: bytes | None) -> np.ndarray:
     step = step.view("<u8").ravel()
     step[0] = int.from_bytes(value[1:9], "little")
     return np.cumsum(step, dtype=np.uint64)
+
+
+def only_marked(bitmap: np.ndarray, wanted: bool):
+    """For ``mapInArrow``: rows whose slot (the last column, which goes) is in the bitmap, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = in_bitmap(bitmap, batch.column(batch.num_columns - 1).to_numpy()) == wanted
+            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def split_marked(df: DataFrame, key: str, bitmap: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` may be one of a bitmap's ids, and the rows that surely are not: only the first need a join."""
+    slotted = df.withColumn("__slot", bitmap_slot(key))
+    kept = df.schema
+    return slotted.mapInArrow(only_marked(bitmap, True), kept), slotted.mapInArrow(only_marked(bitmap, False), kept)

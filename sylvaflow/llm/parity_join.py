@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.common import BASE, Texts, bitmap_slot, blocks, bounds_of, cut_points, grams, id_bitmap, in_bitmap, mix, pack_sorted, partitions_for, small_batches, text_bytes, text_column, tidy, unpack_sorted, words, written
+from sylvaflow.llm.common import BASE, Texts, bitmap_slot, blocks, bounds_of, cut_points, grams, id_bitmap, in_bitmap, mix, pack_sorted, partitions_for, small_batches, split_marked, text_bytes, text_column, tidy, unpack_sorted, words, written
 
 SHINGLE = 5
 SHARE = Fraction(4, 5)
@@ -398,3 +398,24 @@ class Join:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id reachable by links) of every document."""
     return Join(docs).components()
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each group the row with the smallest id stays, of rows that repeat it one.
+
+    Rows without words stay. Only rows that may have to go are joined.
+    """
+    keyed = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
+    join = Join(keyed.select(F.col("__rid").alias("doc_id"), "text"))
+    component = join.components().where("n_shingles > 0").select(F.col("doc_id").alias("rid"), F.col("component_id").alias("component"))
+    component = written(component.groupBy("rid").agg(F.min("component").alias("component"), F.count("*").alias("rows")), "components")
+    more = component.groupBy("component").agg(F.sum("rows").alias("n")).where("n > 1").select("component")
+    grouped = component.join(more, "component").select("rid", "component")
+    ids = keyed.select("doc_id", F.col("__rid").alias("rid")).distinct().join(grouped, "rid")
+    first = W.partitionBy("component").orderBy(F.col("doc_id").isNull(), "doc_id", "rid")
+    state = written(ids.select(F.col("rid").alias("__r"), (F.row_number().over(first) == 1).alias("__stays")), "states")
+    some, none = split_marked(keyed, "__rid", id_bitmap(state.select("__r")))
+    named = [F.col(f"`{n}`") for n in docs.columns]
+    place = F.row_number().over(W.partitionBy("__rid").orderBy(F.lit(1)))
+    kept = some.join(state, F.expr("__r = __rid"), "left").withColumn("__at", place).where("__r IS NULL OR (__stays AND __at = 1)")
+    return kept.select(*named).unionByName(none.select(*named))

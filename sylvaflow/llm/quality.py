@@ -255,3 +255,16 @@ def score(docs: DataFrame, scorer: Scorer, accept: float = ACCEPT) -> DataFrame:
 
     key_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key_type}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, scorer: Scorer, accept: float = ACCEPT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least ``accept``."""
+    small_batches(docs.sparkSession)
+    name = "text"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [scorer.network.score(pooled(texts, scorer.vectors).astype(np.float64)) for _, texts in blocks(text_column(batch, name))]
+            yield batch.filter(pa.array(np.concatenate(made) >= accept)) if made else batch
+
+    return docs.mapInArrow(run, docs.schema)

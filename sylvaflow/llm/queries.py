@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaflow.llm import backoff_scores, ball_tree, language, packing, parity_join, quality, repeats, token_store
+from sylvaflow.llm import backoff_scores, ball_tree, decontaminate, language, packing, parity_join, quality, repeats, templates, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,12 @@ def op1_language_id(spark, sf_dir):
     return language.predict(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@query("op2_line_templates")
+def op2_line_templates(spark, sf_dir):
+    cut = templates.drop_recurring(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 @query("op3_vector_packing")
 def op3_vector_packing(spark, sf_dir):
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -94,6 +100,11 @@ def op8_parity_join(spark, sf_dir):
     return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op9_decontamination")
+def op9_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_backoff_scores")
 def op10_backoff_scores(spark, sf_dir):
     return backoff_scores.score_documents(table(spark, sf_dir, "documents"))
