@@ -11,9 +11,10 @@ documents share, and parts that many sets agree in are only used where a set
 has too few others: see ``Join.frequent``.
 
 Sets that are equal are one class from the start. Candidates are verified on
-the whole sets, a frequent part first against its most connected member; only
+the whole sets, a frequent part first against its most connected member. Only
 members that are still in different components are then compared with each
-other. The result is one row per document.
+other, block by block on their sketches; the few pairs that pass are verified.
+The result is one row per document.
 
 Cases: no words or null text: empty set, linked with nothing; fewer words than
 a shingle: the whole sequence is the one shingle; repeated rows are one class;
@@ -36,6 +37,7 @@ from sylvaflow.llm.common import BASE, Texts, bitmap_slot, blocks, bounds_of, cu
 
 SHINGLE = 5
 SHARE = Fraction(4, 5)
+BLOCK = 4096  # members of a frequent part that are compared in one step
 FREQUENT = 12  # members from which a part is frequent
 PARTS = 0.3  # parts per shingle of the largest set of a band
 BUCKET_TEXT = 16 << 20
@@ -273,6 +275,52 @@ def _close_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([x, y], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _cross_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components in one frequent part whose sizes and sketches allow a link; only these leave the task.
+
+    Columns: part, both blocks, the row's own block, class, component, size, sketch.
+    """
+    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+    if table is None or not table.num_rows:
+        return
+    part, low, high, block, x, component, n = (table[i].to_numpy() for i in range(7))
+    order = np.lexsort((n, high, low, part))
+    part, low, high = part[order], low[order], high[order]
+    cut = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+    found = []
+    for a, b in zip(cut.tolist(), np.append(cut[1:], len(order)).tolist()):
+        rows = order[a:b]
+        c = component[rows]
+        if (c == c[0]).all():
+            continue
+        sketch = [np.frombuffer(table[7][i].as_py(), np.uint64) for i in rows.tolist()]
+        width = min(map(len, sketch))
+        bits = np.empty((len(rows), width), np.uint64)
+        for k, sk in enumerate(sketch):
+            while len(sk) > width:
+                sk = _fold(sk)
+            bits[k] = sk
+        size, name, own = n[rows], x[rows], block[rows]
+        far = np.searchsorted(size, largest_partner(size), side="right")
+        for i in range(0, len(rows), 128):
+            j = min(len(rows), i + 128)
+            to = int(far[j - 1])
+            apart = np.zeros((j - i, to - i), np.uint32)
+            for w in range(width):
+                apart += np.bitwise_count(bits[i:j, w][:, None] ^ bits[None, i:to, w])
+            ok = apart <= difference_bound(size[i:j][:, None], size[None, i:to])
+            ok &= (c[i:j][:, None] != c[None, i:to]) & (np.arange(i, to)[None, :] < far[i:j][:, None]) & (np.arange(i, to)[None, :] > np.arange(i, j)[:, None])
+            if low[a] != high[a]:
+                ok &= own[i:j][:, None] != own[None, i:to]
+            p, q = np.nonzero(ok)
+            found.append(np.stack([np.maximum(name[i + p], name[i + q]), np.minimum(name[i + p], name[i + q])], axis=1))
+    tidy()
+    if found:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        for some in np.array_split(pairs, max(1, len(pairs) // 100_000)):
+            yield pa.record_batch([pa.array(some[:, 0]), pa.array(some[:, 1])], names=["x", "y"])
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose whole sets are similar enough."""
     for batch in batches:
@@ -380,10 +428,11 @@ class Join:
         of = lambda t, c, name: t.join(component.toDF(c, name), c, "left").withColumn(name, F.coalesce(name, c))
         rest = of(of(close.join(forest, ["x", "y"], "left_anti"), "x", "cx"), "y", "cy").where("cx <> cy").select("x", "y")
         placed = of(hot, "x", "cx")
-        mixed = placed.groupBy("part").agg(F.min("cx").alias("a"), F.max("cx").alias("b")).where("a <> b").select("part")
-        left = placed.join(mixed, "part")
-        cross = left.join(left.toDF("part", "y", "cy"), "part").where("x > y AND cx <> cy").select("x", "y").distinct()
-        cross = self.close(cross.join(close, ["x", "y"], "left_anti"))
+        mixed = placed.groupBy("part").agg(F.min("cx").alias("a"), F.max("cx").alias("b"), F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).where("a <> b")
+        left = placed.join(mixed, "part").select("part", "x", "cx", "blocks", F.pmod(F.xxhash64("x"), F.col("blocks")).alias("own"))
+        left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(self.classes.select(F.col("cls").alias("x"), "n", "sketch"), "x")
+        left = left.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "cx", "n", "sketch")
+        cross = left.repartition(self.buckets, "part", "i", "j").mapInArrow(_cross_close, "x long, y long").distinct().join(close, ["x", "y"], "left_anti")
         rest = written(rest.unionByName(cross).distinct(), "rest")
         return links.unionByName(self.verify(rest))
 

@@ -23,7 +23,7 @@ def test_same_as_sql(spark, name):
 def test_ball_tree_is_brute_force(spark):
     rng = random.Random(5)
     rows = [(i, [rng.choice((-1.5, -0.25, 0.0, 0.5, 1.0)) for _ in range(6)]) for i in range(400)]
-    rows += [(1000 + i, [0.5] * 6) for i in range(60)] + [(500, None), (501, [1.0, None, 0, 0, 0, 0]), (502, [float("nan")] * 6), (503, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (600, [0.25, 0.5]), (700, [0.5, 0.5]), (800, []), (0, rows[0][1])]
+    rows += [(1000 + i, [0.5] * 6) for i in range(60)] + [(500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 6), (503, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (600, [0.25, 0.5]), (700, [0.5, 0.5]), (800, []), (0, rows[0][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumnRenamed("vec_id", "vec_id")
     vectors = ball_tree.integer_vectors(df)
     got = ball_tree.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10, shard_rows=40, group_shards=2, query_block=3).collect()
