@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.common import blocks, bounds_of, cut_points, grams, pack_sorted, partitions_for, small_batches, text_column, unpack_sorted, word_spans, words
+from sylvaflow.llm.common import blocks, bounds_of, cut_points, grams, pack_sorted, partitions_for, small_batches, text_column, tidy, unpack_sorted, word_spans, words
 
 ORDER = 3
 GIVE_UP = float(np.log(0.4))
@@ -63,12 +63,16 @@ def chunk_grams(word: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 
 def _narrow(counts: np.ndarray) -> bytes:
-    kind = np.min_scalar_type(int(counts.max(initial=0)))
-    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+    """Counts in a byte each; those from 255 on follow in full."""
+    large = counts[counts >= 255].astype("<i8")
+    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
 
 
 def _wide(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, f"<u{value[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(value[:8], "little")
+    counts = np.frombuffer(value, np.uint8, n, 8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(value, "<i8", offset=8 + n)
+    return counts
 
 
 def _count_chunk(order: int, tables: int):
