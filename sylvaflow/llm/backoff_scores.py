@@ -154,7 +154,7 @@ def _score_chunk(order: int, tables: int, all_words: int):
             count[at] = total[number] - own[same]
             others.append(count)
         score, found = position_scores(word, row, others, (all_words - size)[row])
-        total = np.bincount(row, weights=score, minlength=n)
+        total = np.bincount(row, weights=score, minlength=n).astype(np.float64)
         full = np.bincount(row, weights=found == order, minlength=n).astype(np.int64)
         mean = pa.array(total / np.maximum(size, 1), mask=size == 0)
         return pa.table([docs["doc_id"], pa.array(size), pa.array(total), mean, pa.array(full)], names=names)
