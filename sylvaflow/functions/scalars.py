@@ -120,31 +120,40 @@ def quad_id(lon: Column, lat: Column) -> Column:
     return F.when((lon < 0) & (lat > 0), text)
 
 
+QUARTERS = {"sw": (0, 0), "se": (1, 0), "nw": (0, 1), "ne": (1, 1)}
+
+
 def quad_bounds(quad: Column, quarter: Column | None = None) -> Column:
-    """west, south, east, north of a cell or of its quarter, null for text that is not a cell ID."""
-    pattern = r"^q(\d{2})(\d{3})(\d{2})$"
-    part = lambda i: F.regexp_extract(quad, pattern, i).try_cast("int")
-    number = part(3) - 1
-    ok = number.between(0, 63)
-    north = part(1) + 1 - F.floor(number / 8) * 0.125
-    west = -(part(2) + 1) + (number % 8) * 0.125
-    south, east = north - 0.125, west + 0.125
+    """west, south, east, north of a cell or of its quarter, null for text that is not a cell ID.
+
+    An ID is two digits of latitude, three of longitude and the number of the cell in its
+    degree, with or without a leading q. Counted in eighths of a degree, the number less one
+    splits into rows from the north and columns from the west.
+    """
+    digits = F.when(quad.rlike("^q?[0-9]{7}$"), F.right(quad, F.lit(7))).cast("int")
+    cell = digits % 100 - 1
+    west = (cell % 8 - 8 * F.floor(digits / 100) % 8000) / 8 - 1
+    south = F.floor(digits / 100000) + (7 - F.floor(cell / 8)) / 8
+    ok, side = digits.isNotNull() & cell.between(0, 63), 0.125
     if quarter is not None:
-        mx, my = (west + east) / 2, (south + north) / 2
-        ok = ok & quarter.isin("nw", "ne", "sw", "se")
-        is_w, is_n = F.substring(quarter, 2, 1) == "w", F.substring(quarter, 1, 1) == "n"
-        west, east = F.when(is_w, west).otherwise(mx), F.when(is_w, mx).otherwise(east)
-        south, north = F.when(is_n, my).otherwise(south), F.when(is_n, north).otherwise(my)
-    names = zip(("west", "south", "east", "north"), (west, south, east, north), strict=True)
-    return F.when(ok, F.struct(*[c.cast("double").alias(n) for n, c in names]))
+        side /= 2
+        step = lambda axis: F.coalesce(*[F.when(quarter == name, offset[axis] * side) for name, offset in QUARTERS.items()])
+        ok, west, south = ok & quarter.isin(*QUARTERS), west + step(0), south + step(1)
+    edges = {"west": west, "south": south, "east": west + side, "north": south + side}
+    return F.when(ok, F.struct(*[c.cast("double").alias(n) for n, c in edges.items()]))
+
+
+KM_PER_DEGREE = 111.32
+WIDEST_KM = 8
 
 
 def point_bounds(lon: Column, lat: Column, buffer_km: Column) -> Column:
-    """Box of a given half side around a point, null outside (0, 8] km."""
-    dlat = buffer_km / 111.32
-    dlon = buffer_km / (111.32 * F.cos(F.radians(lat)))
-    box = zip(("west", "south", "east", "north"), (lon - dlon, lat - dlat, lon + dlon, lat + dlat), strict=True)
-    return F.when((buffer_km > 0) & (buffer_km <= 8), F.struct(*[F.round(c, 6).alias(n) for n, c in box]))
+    """Box of a given half side around a point; a half side outside (0, 8] km is an error, a null one gives null."""
+    reach = buffer_km / KM_PER_DEGREE
+    across = reach / F.cos(F.radians(lat))
+    box = F.struct(*[F.round(c, 6).alias(n) for n, c in {"west": lon - across, "south": lat - reach, "east": lon + across, "north": lat + reach}.items()])
+    refused = F.raise_error(F.concat(F.lit(f"half side outside (0, {WIDEST_KM}] km: "), buffer_km.cast("string")))
+    return F.when((buffer_km > 0) & (buffer_km <= WIDEST_KM), box).when(buffer_km.isNotNull(), refused)
 
 
 def chip_window(lo: Column, hi: Column, *, margin_m: float = 19.2, max_chips: int = 3, side_m: float = 307.2, anchor: Column | None = None) -> Column:
@@ -186,18 +195,25 @@ def off_season(date: Column, first_month: int = 5, last_month: int = 9) -> Colum
     return (month < first_month) | (month > last_month)
 
 
-ITEM_PATTERN = r"(?:^|_)m_(\d{7})_([ns][ew])_\d{1,2}_([^_]+)_(\d{8})"
-
-
 def parse_item(name: Column) -> Column:
-    """Quad, quarter, date and resolution of an image item name; null when it is none."""
-    part = lambda i: F.regexp_extract(name, ITEM_PATTERN, i)
-    token = part(3).try_cast("int")
-    res = F.when(F.length(part(3)) == 1, token.cast("double")).otherwise(token / 100.0)
-    return F.when(
-        name.rlike(ITEM_PATTERN),
-        F.struct(part(1).alias("quad"), part(2).alias("quarter"), F.to_date(F.try_to_timestamp(part(4), F.lit("yyyyMMdd"))).alias("date"), res.alias("gsd")),
-    )
+    """Quad, quarter, date and resolution of an image item name; null when it is none.
+
+    The name is a row of tokens: m, seven digits of the quad, the quarter, the zone, the
+    resolution (three digits are hundredths, one digit or a decimal is metres) and the date.
+    """
+    token = F.split(name, "_")
+    at = lambda i, k: F.get(token, i + k)
+
+    def item(i: Column) -> Column:
+        return (
+            (at(i, 0) == "m") & at(i, 1).rlike("^[0-9]{7}$") & at(i, 2).isin(*QUARTERS) & at(i, 3).rlike("^[0-9]{1,2}$") & (at(i, 4) != "") & at(i, 5).rlike("^[0-9]{8}")
+        )
+
+    start = F.get(F.filter(F.sequence(F.lit(0), F.size(token) - 1), lambda i: F.coalesce(item(i), F.lit(False))), F.lit(0))
+    res = at(start, 4)
+    metres = F.when(res.rlike("^[0-9]{3}$"), res.try_cast("double") / 100).when(res.rlike("^[0-9]$") | res.rlike("^[.][0-9]+$"), res.try_cast("double"))
+    date = F.to_date(F.try_to_timestamp(F.left(at(start, 5), F.lit(8)), F.lit("yyyyMMdd")))
+    return F.when(start.isNotNull(), F.struct(at(start, 1).alias("quad"), at(start, 2).alias("quarter"), date.alias("date"), metres.alias("gsd")))
 
 
 def acquisition_date(path: Column) -> Column:

@@ -9,12 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sylvaflow import params as P
 from sylvaflow.functions.columns import holds, random_key
@@ -309,35 +306,23 @@ def assign_blocks(chips: DataFrame, classes: Sequence[str], *, block_chips: int
     """Ground blocks to validation so that every class and unit nears a share; train chips
     beside a validation chip are dropped.
 
-    Spark folds the chips to block shares and joins the neighbours; only the greedy pass over
-    the blocks, one row per block, is a grouped job.
+    The blocks of a unit are put in strata by the class that they hold the largest part of.
+    In the key order of a stratum every block at which the running share passes a whole
+    number is held out, from a start that is random per stratum: a systematic sample, one
+    window per unit and class.
     """
     corner = chips.groupBy("window_id").agg(F.min("ix").alias("_x"), F.min("iy").alias("_y"))
     name = F.concat_ws(":", "unit", F.floor(F.col("_x") / block_chips), F.floor(F.col("_y") / block_chips))
     df = chips.join(corner, "window_id").withColumn("block", name).drop("_x", "_y")
-    unit_n = df.groupBy("unit").agg(F.count(F.lit(1)).alias("_u"))
-    block = df.groupBy("block", "unit").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in classes]).join(unit_n, "unit")
-    total = lambda c: df.agg(F.sum(c)).scalar()
-    share = block.select("block", "unit", (F.col("_n") / F.col("_u")).alias("unit_share"), *[F.coalesce(F.try_divide(F.col(c), total(c)), F.lit(0.0)).alias(c) for c in classes])
-    share = share.withColumns({"key": random_key(seed, F.col("block")), "_all": F.lit(0)})
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        units = sorted(pdf["unit"].unique())
-        column = {u: len(classes) + i for i, u in enumerate(units)}
-        values = np.zeros((len(pdf), len(classes) + len(units)))
-        values[:, : len(classes)] = pdf[list(classes)].to_numpy("float64")
-        values[np.arange(len(pdf)), pdf["unit"].map(column)] = pdf["unit_share"]
-        target = np.where(values.sum(axis=0) > 0, val_share, 0.0)
-        held, chosen = np.zeros(values.shape[1]), np.zeros(len(pdf), dtype=bool)
-        for i in np.lexsort((pdf["key"], -values.max(axis=1))):
-            gain = ((held - target) ** 2).sum() - ((held + values[i] - target) ** 2).sum()
-            if gain > 0:
-                held, chosen[i] = held + values[i], True
-        return pdf[["block"]].assign(val=chosen)
-
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("val", T.BooleanType())])
-    picked = share.groupBy("_all").applyInPandas(greedy, schema)
-    df = df.join(picked, "block")
+    block = df.groupBy("block", "unit").agg(*[F.sum(c).cast("double").alias(c) for c in classes])
+    part = lambda c: F.coalesce(F.try_divide(F.col(c), df.agg(F.sum(c).cast("double")).scalar()), F.lit(0.0))
+    shares = F.array(*[F.struct(F.round(part(c), 12).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(classes)])
+    most = F.array_max(shares)
+    block = block.withColumn("main", F.when(most["s"] > 0, -most["i"]).otherwise(-1))
+    turn = F.row_number().over(W.partitionBy("unit", "main").orderBy(random_key(seed, F.col("block")), "block"))
+    start = random_key(f"{seed}:start", F.concat_ws(":", "unit", F.col("main").cast("string")))
+    passed = F.floor(turn * val_share + start) > F.floor((turn - 1) * val_share + start)
+    df = df.join(block.select("block", passed.alias("val")), "block")
     moves = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     beside = df.where("val").select("epsg", "ix", "iy", moves.alias("_o")).select("epsg", (F.col("ix") + F.col("_o.a")).alias("ix"), (F.col("iy") + F.col("_o.b")).alias("iy"), F.lit(True).alias("_near")).distinct()
     side = F.when(F.col("val"), "val").when(F.col("_near"), "dropped").otherwise("train")

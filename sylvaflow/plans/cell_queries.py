@@ -346,13 +346,6 @@ def texture_properties(spark, sf):
     return t.select("wr", "wc", *[r6(c).alias(c) for c in ("contrast", "dissimilarity", "homogeneity", "asm", "energy")])
 
 
-@query("row_directionality")
-def row_directionality(spark, sf):
-    from sylvaflow.operators.spectrum import row_directionality as directed
-
-    return directed(tiles(spark, sf, 16), ["wr", "wc"], "v").select("wr", "wc", r6("row_directionality").alias("row_directionality"), r6("support_fraction").alias("support_fraction"))
-
-
 @query(
     "relative_elevation",
     f"""WITH {ZGRID}, n AS (SELECT max(row) + 1 AS rows FROM zg), o AS (SELECT a.i AS dr, b.i AS dc FROM (SELECT unnest(generate_series(-2, 2)) AS i) a, (SELECT unnest(generate_series(-2, 2)) AS i) b),

@@ -278,7 +278,18 @@ def unit_split(spark, sf):
     return M.make_split(s, folds, 2, ["u3", "u7"]).groupBy("unit", "side").agg(F.count(F.lit(1)).alias("n")).join(folds, "unit").select("unit", F.col("fold").cast("long").alias("fold"), "side", "n")
 
 
-@query("assign_blocks")
+@query(
+    "assign_blocks",
+    f"""WITH c AS (SELECT l_orderkey % 60 AS ix, l_partkey % 40 AS iy, count(*) FILTER (l_quantity > 30) AS harvest, count(*) FILTER (l_quantity < 10) AS fire FROM lineitem GROUP BY ALL),
+u AS (SELECT *, 'u' || (ix // 20) AS unit, ix // 3 || '_' || iy // 3 AS w FROM c), k AS (SELECT w, min(ix) AS x, min(iy) AS y FROM u GROUP BY w),
+d AS (SELECT u.*, unit || ':' || x // 8 || ':' || y // 8 AS block FROM u JOIN k USING (w)), t AS (SELECT sum(harvest) AS h, sum(fire) AS f FROM d),
+b AS (SELECT block, unit, round(coalesce(sum(harvest) / nullif(any_value(h), 0)::DOUBLE, 0), 12) AS h, round(coalesce(sum(fire) / nullif(any_value(f), 0)::DOUBLE, 0), 12) AS f FROM d, t GROUP BY block, unit),
+m AS (SELECT *, CASE WHEN greatest(h, f) <= 0 THEN -1 WHEN h >= f THEN 0 ELSE 1 END AS main FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY unit, main ORDER BY {key_sql(0, 'block')}, block) AS n, {key_sql('0:start', "unit || ':' || main")} AS s FROM m),
+v AS (SELECT d.*, floor(n * 0.2::DOUBLE + s) > floor((n - 1) * 0.2::DOUBLE + s) AS val FROM d JOIN r USING (block)),
+z AS (SELECT a.unit, a.harvest, CASE WHEN a.val THEN 'val' WHEN EXISTS (SELECT 1 FROM v b WHERE b.val AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1) THEN 'dropped' ELSE 'train' END AS side FROM v a)
+SELECT unit, side, count(*) AS chips, sum(harvest) AS harvest FROM z GROUP BY ALL""",
+)
 def assign_blocks(spark, sf):
     line = table(spark, sf, "lineitem")
     k = F.col("l_orderkey")

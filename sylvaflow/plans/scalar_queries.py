@@ -181,17 +181,15 @@ def season_gaps(spark, sf):
 
 @query(
     "item_names",
-    r"""WITH n AS (SELECT o_orderkey, 'x/m_' || lpad(CAST(o_orderkey % 10000000 AS VARCHAR), 7, '0') || '_' || (['nw', 'ne', 'sw', 'se', 'xx'])[CAST(o_orderkey % 5 + 1 AS INTEGER)] || '_16_' || (['1', '060', '030'])[CAST(o_orderkey % 3 + 1 AS INTEGER)] || '_' || strftime(o_orderdate, '%Y%m%d') || '_' AS name FROM orders),
-p AS (SELECT o_orderkey, name, replace(name, 'x/', '') AS base FROM n)
-SELECT o_orderkey, nullif(regexp_extract(base, '^m_(\d{7})_([ns][ew])_\d{1,2}_([^_]+)_(\d{8})', 1), '') AS quad, nullif(regexp_extract(base, '^m_(\d{7})_([ns][ew])_\d{1,2}_([^_]+)_(\d{8})', 2), '') AS quarter,
-  strftime(strptime(nullif(regexp_extract(base, '^m_(\d{7})_([ns][ew])_\d{1,2}_([^_]+)_(\d{8})', 4), ''), '%Y%m%d'), '%Y-%m-%d') AS date,
-  CASE nullif(regexp_extract(base, '^m_(\d{7})_([ns][ew])_\d{1,2}_([^_]+)_(\d{8})', 3), '') WHEN '1' THEN 1.0::DOUBLE WHEN '060' THEN 0.6::DOUBLE WHEN '030' THEN 0.3::DOUBLE END AS gsd,
-  strftime(strptime(regexp_extract(base, '_(\d{8})_$', 1), '%Y%m%d'), '%Y-%m-%d') AS acquired FROM p""",
+    """WITH n AS (SELECT o_orderkey, ['m', lpad(CAST(o_orderkey % 10000000 AS VARCHAR), 7, '0'), (['nw', 'ne', 'sw', 'se', 'xx'])[CAST(o_orderkey % 5 + 1 AS INTEGER)], '16',
+  (['1', '060', '.6', '30', '030'])[CAST(o_orderkey // 5 % 5 + 1 AS INTEGER)], strftime(o_orderdate, '%Y%m%d')] AS t, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)
+SELECT o_orderkey, CASE WHEN t[3] <> 'xx' THEN t[2] END AS quad, CASE WHEN t[3] <> 'xx' THEN t[3] END AS quarter, CASE WHEN t[3] <> 'xx' THEN d END AS date,
+  CASE WHEN t[3] <> 'xx' THEN CASE t[5] WHEN '1' THEN 1.0::DOUBLE WHEN '060' THEN 0.6::DOUBLE WHEN '.6' THEN 0.6::DOUBLE WHEN '030' THEN 0.3::DOUBLE END END AS gsd, d AS acquired FROM n""",
 )
 def item_names(spark, sf):
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
     pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
-    base = F.concat(F.lit("m_"), F.lpad((k % 10000000).cast("string"), 7, "0"), F.lit("_"), pick("nw", "ne", "sw", "se", "xx"), F.lit("_16_"), pick("1", "060", "030"), F.lit("_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"))
+    base = F.concat(F.lit("m_"), F.lpad((k % 10000000).cast("string"), 7, "0"), F.lit("_"), pick("nw", "ne", "sw", "se", "xx"), F.lit("_16_"), F.element_at(F.array(*[F.lit(x) for x in ("1", "060", ".6", "30", "030")]), (F.floor(k / 5) % 5 + 1).cast("int")), F.lit("_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"))
     item = C.parse_item(base)
     return o.select("o_orderkey", item["quad"].alias("quad"), item["quarter"].alias("quarter"), F.date_format(item["date"], "yyyy-MM-dd").alias("date"), item["gsd"].alias("gsd"),
                     F.date_format(C.acquisition_date(F.concat(F.lit("x/"), base)), "yyyy-MM-dd").alias("acquired"))
