@@ -11,9 +11,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from math import ceil, cos, exp, pi, sin
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sylvaflow import params as P
 from sylvaflow.functions.columns import finite, holds
@@ -453,24 +456,41 @@ def within(cells: DataFrame, seeds: DataFrame, pixels: float, keys: Sequence[str
     return cells.join(near, [*keys, "row", "col"], "left_semi")
 
 
-def distance_to(cells: DataFrame, seed: Column, max_cells: int, keys: Sequence[str] = DATE) -> DataFrame:
-    """Euclidean distance in cells to the nearest seed cell, null beyond ``max_cells``.
+ROW_BLOCK = 64
 
-    Column pass: nearest seed above and below within the column. Row pass: smallest
-    combination over the bounded row of columns. Needs a complete grid.
+
+def distance_to(cells: DataFrame, seed: Column, keys: Sequence[str] = DATE) -> DataFrame:
+    """Exact Euclidean distance in cells to the nearest seed cell, null only where the grid has none.
+
+    Column pass: nearest seed above and below within the column. Row pass: the smallest
+    combination over the columns of the row, for blocks of rows; the reach grows until it
+    exceeds the largest distance that is left. Needs a complete grid.
     """
     keys = list(keys)
     up = W.partitionBy(*keys, "col").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
     down = W.partitionBy(*keys, "col").orderBy("row").rowsBetween(0, W.unboundedFollowing)
     at = F.when(seed, F.col("row"))
     gap = F.least(F.col("row") - F.last(at, ignorenulls=True).over(up), F.first(at, ignorenulls=True).over(down) - F.col("row"))
-    df = cells.withColumn("_g", gap)
-    line = W.partitionBy(*keys, "row").orderBy("col")
-    best = F.col("_g") * F.col("_g")
-    for k in range(1, max_cells + 1):
-        for g in (F.lag("_g", k).over(line), F.lead("_g", k).over(line)):
-            best = F.least(best, g * g + k * k)
-    return df.withColumn("distance", F.when(best <= max_cells * max_cells, F.sqrt(best.cast("double")))).drop("_g")
+    df = cells.withColumns({"_g": gap.cast("double"), "_b": F.floor(F.col("row") / ROW_BLOCK)})
+    schema = T.StructType([*cells.schema.fields, T.StructField("distance", T.DoubleType())])
+
+    def across(table: pa.Table) -> pa.Table:
+        row, col = table["row"].to_numpy(), table["col"].to_numpy()
+        g = table["_g"].to_pandas().to_numpy("float64")
+        field = np.full((row.max() - row.min() + 1, col.max() - col.min() + 1), np.inf)
+        y, x = row - row.min(), col - col.min()
+        field[y, x] = np.where(np.isnan(g), np.inf, g**2)
+        best = field.copy()
+        some = np.isfinite(field).any(axis=1)
+        for k in range(1, field.shape[1]):
+            if not some.any() or k * k >= best[some].max():
+                break
+            best[:, k:] = np.minimum(best[:, k:], field[:, :-k] + k * k)
+            best[:, :-k] = np.minimum(best[:, :-k], field[:, k:] + k * k)
+        out = np.sqrt(best[y, x])
+        return table.drop_columns(["_g", "_b"]).append_column("distance", pa.array(out, mask=~np.isfinite(out)))
+
+    return df.groupBy(*keys, "_b").applyInArrow(across, schema)
 
 
 def edge_cells(cells: DataFrame, flag: str, zone: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sylvaflow import params as P
 from sylvaflow.functions.columns import holds, lookup
 from sylvaflow.functions.scalars import change_label, reason_group
-from sylvaflow.operators.cells import dilate, disk, shifted
+from sylvaflow.operators.cells import dilate, disk
 
 PIXEL_M = 0.6
 PIXEL = ["window_id", "k", "row", "col"]
@@ -105,8 +105,9 @@ def interval_reasons(pixels: DataFrame, parts: DataFrame, rule: Mapping = P.RULE
             out = dilate(mine, disk(outer), PIXEL[:2]).join(footprint, PIXEL, "left_anti")
             layers.append(layer(out.withColumn("seq", F.lit(0)), "boundary_outside", F.lit(code["boundary_outside"])))
         if inner > 0:
-            hits = shifted(footprint, [(-r, -c) for r, c in disk(inner)]).groupBy(*PIXEL).agg(F.count(F.lit(1)).alias("_n"))
-            edge = mine.join(hits.where(F.col("_n") == len(disk(inner))), PIXEL, "left_anti")
+            # depth counts to pixels of the window only; the nearest pixel outside the footprint touches it
+            touch = dilate(footprint, [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)], PIXEL[:2]).join(footprint, PIXEL, "left_anti").join(pixels.select(*PIXEL), PIXEL, "left_semi")
+            edge = mine.join(dilate(touch, disk(inner), PIXEL[:2]), PIXEL, "left_semi")
             layers.append(layer(edge.withColumn("seq", F.lit(0)), "boundary_inside", F.lit(code["boundary_inside"])))
     base = layer(pixels.withColumn("seq", F.lit(0)), "base", base_reason(rule))
     gone = layer(pixels.where(F.col("no_data") | F.col("cover_before").isNull()).withColumn("seq", F.lit(0)), "no_data", F.lit(code["no_data"]))

@@ -58,9 +58,11 @@ def smallest_keys(rows: DataFrame, keys: Sequence[str], limit: int, key: str = "
 def take(rows: DataFrame, shares: DataFrame, keys: Sequence[str], limit: int, *, reserve: float = 0.0, tie: Sequence[str] = ()) -> DataFrame:
     """The share of every stratum by key plus a reserve: population, rank, reserve flag.
 
-    ``shares`` has n and share per stratum; ``limit`` bounds share and reserve together.
+    ``shares`` has n and share per stratum; ``limit`` bounds the rows a map task keeps per
+    stratum, and a share with its reserve over it is an error, never a shorter draw.
     """
     total = F.least(F.col("n"), F.col("share") + F.ceil(F.col("share") * reserve))
+    total = F.when(total <= limit, total).otherwise(F.raise_error(F.concat(F.lit(f"limit {limit} is under the share with its reserve: "), total.cast("string"))))
     drawn = smallest_keys(rows, keys, limit, tie=tie).join(shares.select(*keys, "n", "share"), list(keys))
     return drawn.where(F.col("rank") <= total).select(*rows.columns, F.col("n").alias("n_population"), "rank", (F.col("rank") > F.col("share")).alias("reserve"))
 

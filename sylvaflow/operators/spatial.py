@@ -65,19 +65,19 @@ def zone_support(cells: DataFrame, zone: str, cell: float) -> DataFrame:
     return agg.select(zone, "n_inside", (F.col("n_inside") * cell * cell).alias("area_m2"), (F.col("n_inside") / F.col("_b")).alias("bbox_fill_fraction"))
 
 
-def code_under_points(points: DataFrame, cells: DataFrame, cell: float, code: str, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """Code of the cell under each point, 0 outside the coded cells."""
+def code_under_points(points: DataFrame, cells: DataFrame, cell: float, code: str, origin: tuple[float, float] = (0.0, 0.0), keys: Sequence[str] = ("unit",)) -> DataFrame:
+    """Code of the cell of the same unit under each point, 0 outside the coded cells."""
     left, top = origin
     at = points.withColumns({"row": F.floor((F.lit(top) - F.col("y")) / cell).cast("int"), "col": F.floor((F.col("x") - left) / cell).cast("int")})
-    return at.join(cells.select("row", "col", code), ["row", "col"], "left").withColumn(code, F.coalesce(code, F.lit(0)))
+    return at.join(cells.select(*keys, "row", "col", code), [*keys, "row", "col"], "left").withColumn(code, F.coalesce(code, F.lit(0)))
 
 
-def at_centres(fine: DataFrame, coarse: DataFrame, fine_m: float, coarse_m: float, value: str) -> DataFrame:
-    """Coarse value under the centre of each fine cell, with a flag for cells outside."""
+def at_centres(fine: DataFrame, coarse: DataFrame, fine_m: float, coarse_m: float, value: str, keys: Sequence[str] = ("unit",)) -> DataFrame:
+    """Coarse value of the same unit under the centre of each fine cell, with a flag for cells outside."""
     own = lambda a: F.floor((F.col(a) + 0.5) * fine_m / coarse_m).cast("int")
     df = fine.withColumns({"_r": own("row"), "_c": own("col")})
-    c = coarse.select(F.col("row").alias("_r"), F.col("col").alias("_c"), value, F.lit(True).alias("_in"))
-    out = df.join(c, ["_r", "_c"], "left")
+    c = coarse.select(*keys, F.col("row").alias("_r"), F.col("col").alias("_c"), value, F.lit(True).alias("_in"))
+    out = df.join(c, [*keys, "_r", "_c"], "left")
     return out.withColumns({"inside": F.coalesce("_in", F.lit(False)), value: F.coalesce(value, F.lit(0))}).drop("_r", "_c", "_in")
 
 
@@ -133,13 +133,13 @@ def whole_tiles(extent: DataFrame, size: float) -> DataFrame:
     return df.select("unit", "tx", "ty", (F.col("minx") + F.col("tx") * size).alias("x0"), (F.col("miny") + F.col("ty") * size).alias("y0"))
 
 
-def ring_series(heights: DataFrame, objects: DataFrame, ring_cells: float, keys: Sequence[str] = ("object_id",)) -> DataFrame:
-    """Mean height inside each object and in a ring around it, per year."""
+def ring_series(heights: DataFrame, objects: DataFrame, ring_cells: float, keys: Sequence[str] = ("unit", "object_id")) -> DataFrame:
+    """Mean height inside each object and in a ring around it, per year; ``heights`` has the unit of the objects."""
     from sylvaflow.operators.cells import dilate, disk
 
     keys = list(keys)
     inside = objects.select(*keys, "row", "col").withColumn("zone", F.lit("inside"))
     ring = dilate(objects, disk(ring_cells), keys).join(objects.select(*keys, "row", "col"), [*keys, "row", "col"], "left_anti").withColumn("zone", F.lit("ring"))
-    both = inside.unionByName(ring).join(heights, ["row", "col"])
+    both = inside.unionByName(ring).join(heights, ["unit", "row", "col"])
     mean = lambda z: F.avg(F.when(F.col("zone") == z, F.col("height"))).alias(z)
     return both.groupBy(*keys, "year").agg(mean("inside"), mean("ring"))

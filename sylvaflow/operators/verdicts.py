@@ -235,15 +235,15 @@ def settle_agent(routed: DataFrame, cells: DataFrame, burned: DataFrame, dates:
     """Fire as agent where one judge said fire, the agents differ and enough of the object
     burned in the interval of its first loss.
 
-    ``cells`` (cand_id, row, col), ``burned`` (row, col, burned_on), ``dates`` (unit, k, start, end).
+    ``cells`` (cand_id, row, col), ``burned`` (unit, row, col, burned_on), ``dates`` (unit, k, start, end).
     """
     routed = cut_lineage(routed)
     fire = F.exists("change_types", lambda t: holds(t == "fire"))
     asked = routed.where(F.col("first_loss").isNotNull() & F.col("agent").isNull() & holds(fire))
-    asked = asked.join(dates, (asked["unit"] == dates["unit"]) & (asked["first_loss"] == dates["k"])).select("cand_id", "start", "end")
+    asked = asked.join(dates, (asked["unit"] == dates["unit"]) & (asked["first_loss"] == dates["k"])).select("cand_id", dates["unit"], "start", "end")
     own = cells.join(asked, "cand_id")
     total = own.groupBy("cand_id").agg(F.countDistinct("row", "col").alias("n"))
-    hit = own.join(burned, ["row", "col"]).where("burned_on > start AND burned_on <= end").groupBy("cand_id").agg(F.countDistinct("row", "col").alias("b"))
+    hit = own.join(burned, ["unit", "row", "col"]).where("burned_on > start AND burned_on <= end").groupBy("cand_id").agg(F.countDistinct("row", "col").alias("b"))
     settled = total.join(hit, "cand_id").where(F.col("b") / F.col("n") >= min_share).select("cand_id", F.lit("fire").alias("_fire"))
     out = routed.join(settled, "cand_id", "left")
     return out.withColumns({"agent": F.coalesce("agent", "_fire"), "agent_source": F.when(F.col("_fire").isNotNull(), "fire_perimeter")}).drop("_fire")

@@ -275,13 +275,13 @@ def otsu_threshold(spark, sf):
 
 @query(
     "within_distance",
-    f"""WITH {ZGRID}, s AS (SELECT row, col FROM zg WHERE v > 2.2), o AS (SELECT a.i AS dr, b.i AS dc FROM (SELECT unnest(generate_series(-6, 6)) AS i) a, (SELECT unnest(generate_series(-6, 6)) AS i) b WHERE a.i * a.i + b.i * b.i <= 36),
-d AS (SELECT s.row + dr AS row, s.col + dc AS col, min(dr * dr + dc * dc) AS q FROM s, o GROUP BY 1, 2)
+    f"""WITH {ZGRID}, s AS (SELECT row, col FROM zg WHERE v > 2.2),
+d AS (SELECT z.row, z.col, min((z.row - s.row) * (z.row - s.row) + (z.col - s.col) * (z.col - s.col)) AS q FROM zg z, s GROUP BY 1, 2)
 SELECT z.row, z.col, {s6('sqrt(q)', 'distance')}, coalesce(q <= 6.25, FALSE) AS near FROM zg z LEFT JOIN d ON d.row = z.row AND d.col = z.col""",
 )
 def within_distance(spark, sf):
     g = z_grid(spark, sf)
-    dist = K.distance_to(g, K.holds(F.col("v") > 2.2), 6)
+    dist = K.distance_to(g, K.holds(F.col("v") > 2.2))
     near = K.within(g, g.where("v > 2.2"), 2.5).select(*K.DATE, "row", "col", F.lit(True).alias("near"))
     return dist.join(near, [*K.DATE, "row", "col"], "left").select("row", "col", r6("distance").alias("distance"), F.coalesce("near", F.lit(False)).alias("near"))
 
@@ -443,14 +443,14 @@ def halo_blocks(spark, sf):
 
 @query(
     "distance_bins",
-    f"""WITH {ZGRID}, s AS (SELECT row, col FROM zg WHERE v > 2.2), o AS (SELECT a.i AS dr, b.i AS dc FROM (SELECT unnest(generate_series(-9, 9)) AS i) a, (SELECT unnest(generate_series(-9, 9)) AS i) b WHERE a.i * a.i + b.i * b.i <= 81),
-d AS (SELECT z.row, z.col, any_value(z.v) AS h, sqrt(min(dr * dr + dc * dc)) * 0.6 AS dist FROM s, o JOIN zg z ON z.row = s.row + dr AND z.col = s.col + dc GROUP BY z.row, z.col),
+    f"""WITH {ZGRID}, s AS (SELECT row, col FROM zg WHERE v > 2.2),
+d AS (SELECT z.row, z.col, any_value(z.v) AS h, sqrt(min((z.row - s.row) * (z.row - s.row) + (z.col - s.col) * (z.col - s.col))) * 0.6 AS dist FROM zg z, s GROUP BY z.row, z.col),
 b(lo, hi) AS (VALUES (0.0::DOUBLE, 0.6::DOUBLE), (0.6, 1.8), (1.8, 3.6), (3.6, 5.5), (50, 60))
 SELECT lo AS bin_lo, hi AS bin_hi, count(h) AS n_pixels, {s6('CASE WHEN count(h) >= 10 THEN avg(CASE WHEN h >= 2 THEN 1.0 WHEN h IS NOT NULL THEN 0.0 END) END', 'canopy_fraction')}, {s6('CASE WHEN count(h) >= 10 THEN median(h) END', 'height_median')}, {s6('CASE WHEN count(h) >= 10 THEN quantile_cont(h, 0.9) END', 'height_p90')}
 FROM b LEFT JOIN d ON dist >= lo AND dist < hi GROUP BY lo, hi""",
 )
 def distance_bins(spark, sf):
-    d = K.distance_to(z_grid(spark, sf), K.holds(F.col("v") > 2.2), 9)
+    d = K.distance_to(z_grid(spark, sf), K.holds(F.col("v") > 2.2))
     out = Z.height_by_distance(d.select(F.col("v").alias("height"), (F.col("distance") * 0.6).alias("distance")), [0.0, 0.6, 1.8, 3.6, 5.5])
     far = Z.height_by_distance(d.select(F.col("v").alias("height"), (F.col("distance") * 0.6).alias("distance")), [50.0, 60.0])
     return out.unionByName(far).select("bin_lo", "bin_hi", "n_pixels", *[r6(c).alias(c) for c in ("canopy_fraction", "height_median", "height_p90")])

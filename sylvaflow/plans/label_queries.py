@@ -64,7 +64,7 @@ pt AS (SELECT *, oc LIKE 'loss%' AS loss, CASE WHEN oc NOT LIKE 'loss%' THEN 'ma
 ring AS (SELECT * FROM pt WHERE oc NOT IN ('intact', 'open', 'stressed_recovered', 'under_min')), rw AS (SELECT * FROM ring WHERE wide), rp AS (SELECT * FROM ring WHERE NOT wide AND pre AND loss), rn AS (SELECT * FROM ring WHERE NOT wide AND NOT (pre AND loss)),
 mg AS (SELECT * FROM {_near('rw', 9)} UNION SELECT * FROM {_near('rn', 4)} UNION SELECT k, r, c FROM rp),
 lo AS (SELECT * FROM pt WHERE loss AND (part = 'core' OR (part = 'extension' AND crisp))), fp AS (SELECT DISTINCT k, r, c FROM pt WHERE loss AND part IN ('core', 'extension')), lp AS (SELECT * FROM lo WHERE pre), 
-bo AS (SELECT * FROM {_near('lo', 1)} EXCEPT SELECT * FROM fp), nf AS (SELECT k, r, c FROM (SELECT k, r, c FROM px UNION SELECT k, r + dr, c + dc FROM px, o WHERE abs(dr) + abs(dc) <= 1) z EXCEPT SELECT * FROM fp), bi AS (SELECT DISTINCT l.k, l.r, l.c FROM lp l JOIN {_near('nf', 1)} n USING (k, r, c)),
+bo AS (SELECT * FROM {_near('lo', 1)} EXCEPT SELECT * FROM fp), nf AS (SELECT k, r, c FROM px EXCEPT SELECT * FROM fp), bi AS (SELECT DISTINCT l.k, l.r, l.c FROM lp l JOIN {_near('nf', 1)} n USING (k, r, c)),
 fin AS (SELECT x.*, p.oc, p.loss, p.part, p.crisp, p.b, m.k IS NOT NULL AS mg, bo.k IS NOT NULL AS bo, bi.k IS NOT NULL AS bi FROM px x LEFT JOIN pt p USING (k, r, c) LEFT JOIN mg m USING (k, r, c) LEFT JOIN bo USING (k, r, c) LEFT JOIN bi USING (k, r, c)),
 res AS (SELECT k, r, c, b, part, bi, cov, CASE WHEN c = 63 OR cov IS NULL THEN 1 WHEN bi THEN 20 WHEN bo THEN 21 WHEN loss AND part = 'core' THEN CASE oc WHEN 'loss_full' THEN 10 WHEN 'loss_partial' THEN 11 ELSE 12 END WHEN loss AND part = 'extension' AND crisp THEN CASE oc WHEN 'loss_full' THEN 13 ELSE 14 END
   WHEN loss AND part = 'extension' THEN 22 WHEN loss AND part = 'trimmed' THEN 23 WHEN oc = 'disagree' THEN 24 WHEN oc = 'rejected_weak' THEN 27 WHEN oc = 'stressed' THEN 38 WHEN oc = 'intact' THEN 40 WHEN oc = 'open' THEN 41 WHEN mg THEN 30 WHEN oc = 'under_min' THEN 31
@@ -254,19 +254,21 @@ SELECT coalesce(component, 0) AS component, count(*) AS n FROM p LEFT JOIN cc US
 )
 def crowns_by_component(spark, sf):
     v = F.col("v")
-    cells = z_grid(spark, sf).where("v IS NOT NULL").select("row", "col", F.when(v > 1, 1).when(v > 0, 2).otherwise(3).alias("component"))
-    at = A.code_under_points(crowns(spark, sf), cells, 2.0, "component", (0.0, 1000.0))
+    cells = z_grid(spark, sf).where("v IS NOT NULL").select(F.lit("g").alias("unit"), "row", "col", F.when(v > 1, 1).when(v > 0, 2).otherwise(3).alias("component"))
+    at = A.code_under_points(crowns(spark, sf).withColumn("unit", F.lit("g")), cells, 2.0, "component", (0.0, 1000.0))
     return at.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "at_centres",
-    f"""WITH {ZGRID}, f AS (SELECT row, col, CAST(floor((row + 0.5) * 4.8 / 19.2) AS INTEGER) AS r, CAST(floor((col + 0.5) * 4.8 / 19.2) AS INTEGER) AS c FROM zg), k AS (SELECT row AS r, col AS c, CAST(row % 7 + col % 3 AS INTEGER) AS code FROM zg WHERE row < 100 AND col < 12)
+    f"""WITH {ZGRID}, f AS (SELECT row, col, CAST(floor((row + 0.5) * 4.8 / 19.2) AS INTEGER) AS r, CAST(floor((col + 0.5) * 4.8 / 19.2) AS INTEGER) AS c FROM zg), k AS (SELECT row AS r, col AS c, CAST(row % 7 + col % 3 AS INTEGER) AS code FROM zg WHERE row < (SELECT max(row) FROM zg) * 0.2 AND col < 12)
 SELECT f.row, f.col, coalesce(code, 0) AS code, code IS NOT NULL AS inside FROM f LEFT JOIN k USING (r, c)""",
 )
 def at_centres(spark, sf):
     g = z_grid(spark, sf).select("row", "col")
-    coarse = g.where("row < 100 AND col < 12").withColumn("code", F.col("row") % 7 + F.col("col") % 3)
+    g = g.withColumn("unit", F.lit("g"))
+    extent = g.agg(F.max("row") * 0.2).scalar()  # the coarse grid covers most of the fine one, not all
+    coarse = g.where((F.col("row") < extent) & (F.col("col") < 12)).withColumn("code", F.col("row") % 7 + F.col("col") % 3)
     return A.at_centres(g, coarse, 4.8, 19.2, "code").select("row", "col", "code", "inside")
 
 
@@ -337,8 +339,8 @@ al AS (SELECT label, row, col, 'i' AS zn FROM ob UNION ALL SELECT label, row, co
 SELECT CAST(label AS BIGINT) AS object_id, year, {s6("avg(chm_height) FILTER (zn = 'i')", 'inside')}, {s6("avg(chm_height) FILTER (zn = 'r')", 'ring')} FROM al JOIN yg ON yg.row = al.row AND yg.col = al.col GROUP BY label, year""",
 )
 def ring_series(spark, sf):
-    obj = G.drop_small(flag_cells(spark, sf).where("t = 0"), 8).select(F.col("label").alias("object_id"), "row", "col")
-    heights = years_grid(spark, sf).select("row", "col", "year", F.col("chm_height").alias("height"))
+    obj = G.drop_small(flag_cells(spark, sf).where("t = 0"), 8).select(F.lit("g").alias("unit"), F.col("label").alias("object_id"), "row", "col")
+    heights = years_grid(spark, sf).select(F.lit("g").alias("unit"), "row", "col", "year", F.col("chm_height").alias("height"))
     return A.ring_series(heights, obj, 2).select("object_id", "year", r6("inside").alias("inside"), r6("ring").alias("ring"))
 
 
@@ -395,13 +397,15 @@ def normalize_observations(spark, sf):
 
 @query(
     "append_observations",
-    """WITH e AS (SELECT o_custkey % 100 AS stand_id, o_orderkey % 4000 AS image_id, o_orderkey AS time_ms, o_totalprice AS v FROM orders WHERE o_orderkey < 4000), n AS (SELECT * FROM (SELECT o_custkey % 100 AS stand_id, o_orderkey % 4000 AS image_id, o_orderkey AS time_ms, o_totalprice AS v FROM orders WHERE o_orderkey >= 2000) q QUALIFY row_number() OVER (PARTITION BY stand_id, image_id ORDER BY time_ms DESC) = 1)
+    """WITH a AS (SELECT o_custkey % 100 AS stand_id, o_orderkey // 3 AS image_id, o_orderkey AS time_ms, o_totalprice AS v, o_orderdate AS d FROM orders),
+e AS (SELECT stand_id, image_id, time_ms, v FROM a WHERE d < DATE '1999-01-01'), n AS (SELECT * FROM (SELECT stand_id, image_id, time_ms, v FROM a WHERE d >= DATE '1998-01-01') q QUALIFY row_number() OVER (PARTITION BY stand_id, image_id ORDER BY time_ms DESC) = 1)
 SELECT * FROM n UNION ALL SELECT e.* FROM e ANTI JOIN n USING (stand_id, image_id)""",
 )
 def append_observations(spark, sf):
     k = F.col("o_orderkey")
-    o = table(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("stand_id"), (k % 4000).alias("image_id"), k.alias("time_ms"), F.col("o_totalprice").alias("v"))
-    return SO.append(o.where("time_ms < 4000"), o.where("time_ms >= 2000"))
+    o, day = table(spark, sf, "orders"), F.col("o_orderdate")
+    row = lambda t: t.select((F.col("o_custkey") % 100).alias("stand_id"), F.floor(k / 3).alias("image_id"), k.alias("time_ms"), F.col("o_totalprice").alias("v"))
+    return SO.append(row(o.where(day < "1999-01-01")), row(o.where(day >= "1998-01-01")))
 
 
 @query(
@@ -474,9 +478,17 @@ def year_stack(spark, sf):
 
 
 # --- streams ------------------------------------------------------------------------------------------
-def stream_of(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+def in_batches(spark, df, parts, start):
+    """Run a stream job over rows that arrive part by part; each part is at least one micro-batch with the state of those before."""
+    folder = shared_folder(spark, "stream-in")
+    for part in parts:
+        df.where(part).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(df.schema).parquet(folder)).awaitTermination()
+
+
+def thirds(key):
+    """Three parts that interleave in time, so later parts hold late rows; the second repeats some rows of the first."""
+    return [key % 3 == 0, (key % 3 == 1) | (key % 6 == 0), key % 3 == 2]
 
 
 
@@ -487,8 +499,13 @@ def stream_of(spark, sf, name):
 )
 def stream_dedup(spark, sf):
     out, ckpt = shared_folder(spark, "stream"), shared_folder(spark, "stream-state")
-    s = stream_of(spark, sf, "events").select(F.col("user_id").alias("stand_id"), (F.col("event_id") % 40).alias("image_id"), F.col("ts").cast("timestamp").alias("time"))
-    J.start_once(J.dedup_observations(s, delay="60 days"), J.append_sink(out, ["stand_id", "image_id"]), ckpt).awaitTermination()
+    e = table(spark, sf, "events")
+
+    def start(stream):
+        s = stream.select(F.col("user_id").alias("stand_id"), (F.col("event_id") % 40).alias("image_id"), F.col("ts").cast("timestamp").alias("time"))
+        return J.start_once(s, J.append_sink(out, ["stand_id", "image_id"]), ckpt)
+
+    in_batches(spark, e, thirds(F.col("event_id")), start)
     return spark.read.parquet(out).select("stand_id", "image_id")
 
 
@@ -500,9 +517,14 @@ SELECT interpreter, item, answer FROM (SELECT *, row_number() OVER (PARTITION BY
 def stream_latest(spark, sf):
     out, ckpt = shared_folder(spark, "stream"), shared_folder(spark, "stream-state")
     u, i = F.col("user_id"), F.col("event_id")
-    s = stream_of(spark, sf, "events").select((u % 7).alias("interpreter"), (u % 50).alias("item"), F.col("event_type").alias("answer"), (i % 6 == 0).alias("void"), F.col("ts").alias("saved"), i.alias("line"))
-    J.start_once(s, J.upsert_sink(out, ["interpreter", "item"], ["saved", "line"]), ckpt).awaitTermination()
-    last = J.latest_version(spark, out)
+    keys, order = ["interpreter", "item"], ["saved", "line"]
+
+    def start(stream):
+        s = stream.select((u % 7).alias("interpreter"), (u % 50).alias("item"), F.col("event_type").alias("answer"), (i % 6 == 0).alias("void"), F.col("ts").alias("saved"), i.alias("line"))
+        return J.start_once(s, J.upsert_sink(out, keys, order), ckpt)
+
+    in_batches(spark, table(spark, sf, "events"), thirds(i), start)
+    last = J.latest_rows(spark, out, keys, order)
     return last.where(~F.col("void")).select("interpreter", "item", "answer")
 
 
@@ -517,9 +539,11 @@ def _evidence_sql() -> str:
 @query("stream_evidence", _evidence_sql())
 def stream_evidence(spark, sf):
     out, ckpt = shared_folder(spark, "stream"), shared_folder(spark, "stream-state")
-    s = stream_of(spark, sf, "embeddings").select(F.lit("g").alias("unit"), F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "llr"))
+    s = table(spark, sf, "embeddings").select(F.lit("g").alias("unit"), F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "llr"))
     cells = s.select("unit", "row", (F.col("col") % 16).cast("int").alias("col"), F.floor(F.col("col") / 16).cast("int").alias("t"), (F.col("llr") * 8).cast("double").alias("llr"))
-    J.start_once(J.running_evidence(cells, 0.05, decay=0.8), lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"), ckpt).awaitTermination()
+    save = lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    t = F.col("t")
+    in_batches(spark, cells, [t == 0, t.isin(1, 2), t > 2], lambda stream: J.start_once(J.running_evidence(stream, 0.05, decay=0.8), save, ckpt))
     r = spark.read.parquet(out)
     return r.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("onset") >= 0, 1)).alias("running"), F.round(F.avg("prob"), 5).alias("mean_prob"))
 
@@ -531,8 +555,9 @@ SELECT stand_id, year, n_obs, {s6('ndvi_mean', 'ndvi_mean')}, {s6('amplitude', '
 )
 def stream_annual(spark, sf):
     obs, annual, state = (shared_folder(spark, n) for n in ("observations", "annual", "stream-state"))
-    o = stream_of(spark, sf, "orders")
-    J.start_once(observation_rows(o), J.annual_sink(obs, annual, (1995, 2001)), state).awaitTermination()
+    o = observation_rows(table(spark, sf, "orders"))
+    late = F.pmod(F.xxhash64("stand_id", "image_id"), F.lit(6))
+    in_batches(spark, o, thirds(late), lambda stream: J.start_once(stream, J.annual_sink(obs, annual, (1995, 2001)), state))
     a = J.read_annual(spark, annual).where("sat_n_observations_raw > 0")
     return a.select("stand_id", "year", F.col("sat_n_observations").alias("n_obs"), r6("ndvi_mean").alias("ndvi_mean"), r6("ndvi_seasonal_amplitude").alias("amplitude"), r6("ndvi_trend").alias("slope"))
 

@@ -24,10 +24,19 @@ def sql_pick(values, index):
     return "([" + ", ".join(f"'{v}'" for v in values) + f"])[CAST({index} % {len(values)} + 1 AS INTEGER)]"
 
 
-def answers(spark, sf):
-    """JSON answers of two judges per candidate: the first five events of a user and judge give the states."""
+CALL = 1_000_003
+
+
+def events_by_call(spark, sf):
+    """All events with candidates for users: every five events of a user and judge are one call, and a candidate is a user's call."""
     e = table(spark, sf, "events").select("user_id", "event_id", "ts", (F.col("event_id") % 2).alias("j"))
-    first = e.withColumn("n", F.row_number().over(W.partitionBy("user_id", "j").orderBy("ts", "event_id"))).where("n <= 5")
+    n = F.row_number().over(W.partitionBy("user_id", "j").orderBy("ts", "event_id"))
+    return e.withColumn("user_id", F.col("user_id") * CALL + F.floor((n - 1) / 5))
+
+
+def answers(spark, sf):
+    """JSON answers of two judges per candidate; a last short call gives an invalid verdict."""
+    first = events_by_call(spark, sf).withColumn("n", F.row_number().over(W.partitionBy("user_id", "j").orderBy("ts", "event_id")))
     seq = F.transform(F.array_sort(F.collect_list(F.struct("n", "event_id"))), lambda s: pick(STATE_OF, s["event_id"]))
     per = first.groupBy("user_id", "j").agg(seq.alias("states"), F.max("event_id").alias("m"))
     body = F.struct(
@@ -38,8 +47,9 @@ def answers(spark, sf):
     return per.select("user_id", "j", F.to_json(body).alias("answer"))
 
 
-ANSWERS = f"""firsts AS (SELECT user_id, event_id % 2 AS j, event_id, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS n FROM events),
-ans AS (SELECT user_id, j, list({sql_pick(STATE_OF, 'event_id')} ORDER BY n) AS states, max(event_id) % 5 AS conf FROM firsts WHERE n <= 5 GROUP BY ALL),
+ANSWERS = f"""calls AS (SELECT user_id * {CALL} + (row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) - 1) // 5 AS user_id, event_id, ts FROM events),
+firsts AS (SELECT user_id, event_id % 2 AS j, event_id, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS n FROM calls),
+ans AS (SELECT user_id, j, list({sql_pick(STATE_OF, 'event_id')} ORDER BY n) AS states, max(event_id) % 5 AS conf FROM firsts GROUP BY ALL),
 verd AS (SELECT user_id, j, len(states) = 5 AND user_id % 29 <> 3 AS valid, CASE WHEN len(states) = 5 AND user_id % 29 <> 3 THEN states ELSE [] END AS states, conf,
   {sql_pick(TYPE_OF, '(user_id + CASE WHEN user_id % 3 = 0 THEN j ELSE 0 END)')} AS ctype, {sql_pick(FIT_OF, '(user_id + j)')} AS fit, {sql_pick(SHARE_OF, '(user_id + j)')} AS share FROM ans)"""
 
@@ -84,7 +94,7 @@ def latest_calls(spark, sf):
 
 
 def candidates(spark, sf):
-    u = table(spark, sf, "events").select("user_id").distinct()
+    u = events_by_call(spark, sf).select("user_id").distinct()
     c = F.col("user_id")
     return u.select(
         F.concat(F.lit("W"), c % 20).alias("window_id"), c.alias("cand_id"), (c % 4).cast("int").alias("flagged"), ((c % 10) / 10.0).alias("area_ha"), (c % 13 != 5).alias("judged"),
@@ -93,7 +103,7 @@ def candidates(spark, sf):
 
 
 # The oracle works on one row per candidate and interval instead of on arrays.
-ROUTE = f"""{ANSWERS}, cands AS (SELECT DISTINCT user_id FROM events),
+ROUTE = f"""{ANSWERS}, cands AS (SELECT DISTINCT user_id FROM calls),
 pairs AS (SELECT c.user_id AS u, c.user_id % 4 AS flagged, (c.user_id % 10) / 10.0 AS area_ha, c.user_id % 13 <> 5 AS judged, a.states AS sa, b.states AS sb, a.valid AND b.valid AND len(a.states) = len(b.states) AS ok, a.conf AS ca, b.conf AS cb, a.ctype AS ta, b.ctype AS tb,
   a.fit AS fa_, b.fit AS fb_, a.share AS sha, b.share AS shb, c.user_id % 13 <> 5 AND a.user_id IS NOT NULL AND b.user_id IS NOT NULL AS ready
   FROM cands c LEFT JOIN verd a ON a.user_id = c.user_id AND a.j = 0 LEFT JOIN verd b ON b.user_id = c.user_id AND b.j = 1),
@@ -185,7 +195,7 @@ def candidate_layer(spark, sf):
 
 def outline_cells(spark, sf):
     """Cells of a candidate and of its outline: boxes derived from the events of the user."""
-    e = table(spark, sf, "events").select(F.col("user_id").alias("cand_id"), (F.col("event_id") % 40).alias("row"), (F.col("event_id") % 25).alias("col")).distinct()
+    e = events_by_call(spark, sf).select(F.col("user_id").alias("cand_id"), (F.col("event_id") % 40).alias("row"), (F.col("event_id") % 25).alias("col")).distinct()
     c = F.col("cand_id")
     poly = F.when(c % 4 == 0, F.col("row") < 2).when(c % 4 == 1, F.col("col") >= 8).otherwise(F.col("row") < 26)
     return e.select("cand_id", "row", "col", (F.col("row") < 20).alias("in_candidate"), poly.alias("in_polygon"))
@@ -193,7 +203,7 @@ def outline_cells(spark, sf):
 
 @query(
     "choose_outline",
-    f"""WITH {ROUTE}, oc AS (SELECT DISTINCT user_id AS c, event_id % 40 AS r, event_id % 25 AS k FROM events), of AS (SELECT c, r, k, r < 20 AS i, CASE WHEN c % 4 = 0 THEN r < 2 WHEN c % 4 = 1 THEN k >= 8 ELSE r < 26 END AS p FROM oc),
+    f"""WITH {ROUTE}, oc AS (SELECT DISTINCT user_id AS c, event_id % 40 AS r, event_id % 25 AS k FROM calls), of AS (SELECT c, r, k, r < 20 AS i, CASE WHEN c % 4 = 0 THEN r < 2 WHEN c % 4 = 1 THEN k >= 8 ELSE r < 26 END AS p FROM oc),
 sz AS (SELECT c, count(*) FILTER (i) * 0.01 AS ch, count(*) FILTER (p) * 0.01 AS ph, count(*) FILTER (i AND p) / greatest(count(*) FILTER (i), 1)::DOUBLE AS cov FROM of GROUP BY c),
 ev AS (SELECT r.*, z.*, fa_ <> 'about_right' OR fb_ <> 'about_right' OR sha = 'under_25' OR shb = 'under_25' AS needs, fa_ IN ('too_large', 'wrong_shape') OR fb_ IN ('too_large', 'wrong_shape') OR sha = 'under_25' OR shb = 'under_25' AS doubt,
   ch > 0 AND ph >= 0.1 AND cov >= 0.5 AS base, ph <= 10 * ch AS lim FROM routed r JOIN sz z ON z.c = r.cand_id WHERE first_loss IS NOT NULL),
@@ -210,14 +220,15 @@ def choose_outline(spark, sf):
 
 @query(
     "fire_agents",
-    f"""WITH {ROUTE}, oc AS (SELECT DISTINCT user_id AS c, event_id % 40 AS r, event_id % 25 AS k FROM events WHERE event_id % 40 < 20), bu AS (SELECT DISTINCT o_orderkey % 40 AS r, o_orderkey % 25 AS k, year(o_orderdate) - (o_orderkey % 25) AS y FROM orders WHERE o_orderkey % 25 < 16),
+    f"""WITH {ROUTE}, oc AS (SELECT DISTINCT user_id AS c, event_id % 40 AS r, event_id % 25 AS k FROM calls WHERE event_id % 40 < 20), bu AS (SELECT DISTINCT o_orderkey % 40 AS r, o_orderkey % 25 AS k, year(o_orderdate) - (o_orderkey % 25) AS y FROM orders WHERE o_orderkey % 25 < 16),
 ak AS (SELECT cand_id, first_loss FROM routed WHERE first_loss IS NOT NULL AND agent IS NULL AND (ta = 'fire' OR tb = 'fire')),
 sh AS (SELECT a.cand_id, count(DISTINCT (o.r, o.k)) FILTER (b.r IS NOT NULL) / count(DISTINCT (o.r, o.k))::DOUBLE AS s FROM ak a JOIN oc o ON o.c = a.cand_id LEFT JOIN bu b ON b.r = o.r AND b.k = o.k AND b.y > 1980 + first_loss * 4 AND b.y <= 1984 + first_loss * 4 GROUP BY a.cand_id)
 SELECT r.cand_id, CASE WHEN s >= 0.2 THEN 'fire' ELSE agent END AS agent, CASE WHEN s >= 0.2 THEN 'fire_perimeter' END AS agent_source FROM routed r LEFT JOIN sh ON sh.cand_id = r.cand_id""",
 )
 def fire_agents(spark, sf):
     k = F.col("o_orderkey")
-    burned = table(spark, sf, "orders").where(k % 25 < 16).select((k % 40).alias("row"), (k % 25).alias("col"), (F.year("o_orderdate") - k % 25).alias("burned_on"))
+    units = F.explode(F.array(*[F.lit(f"U{i}") for i in range(6)])).alias("unit")
+    burned = table(spark, sf, "orders").where(k % 25 < 16).select(units, (k % 40).alias("row"), (k % 25).alias("col"), (F.year("o_orderdate") - k % 25).alias("burned_on"))
     cells = outline_cells(spark, sf).where("in_candidate").select("cand_id", "row", "col")
     k4 = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
     dates = candidates(spark, sf).select("unit").distinct().select("unit", k4)

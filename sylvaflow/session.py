@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +30,11 @@ def get_spark(app: str = "sylvaflow", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def default_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables of a local session without settings: below the warehouse folder, in its file system."""
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir():
@@ -39,14 +43,14 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared is None:
         if not context.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="sylvaflow-ckpt-")
+        shared = default_folder(spark)
     context.setCheckpointDir(shared)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder, for tables and stream checkpoints."""
     _ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or default_folder(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

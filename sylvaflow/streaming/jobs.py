@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from math import exp, log
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,33 +26,37 @@ def start_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkp
 
 
 # --- observations ------------------------------------------------------------------------
-def dedup_observations(stream: DataFrame, *, time: str = "time", delay: str = "30 days") -> DataFrame:
-    """Repeats of a stand and scene within the delay are dropped; state older than it is freed."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["stand_id", "image_id"])
+SLOTS = 64
 
 
 def append_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Append rows whose key is not in the table yet, in any delay.
+    """Append rows whose key is not in the table yet, in any delay: no row is too late.
 
-    A batch owns one partition, and only other batches count as known, so that a replay
-    writes the same rows.
+    A batch owns one partition, and only earlier batches count as known, so that a replay
+    writes the same rows. Inside a batch the rows lie in slots by a hash of the key, so the
+    comparison with earlier batches is pruned to the slots of the new rows.
     """
+    join = [*keys, "slot"]
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
+        fresh = batch.dropDuplicates(keys).withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int"))
         known = existing(spark, path)
         if known is not None:
-            fresh = fresh.join(known.where(F.col("batch") < number).select(*keys), keys, "left_anti")
-        fresh.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={number}")
+            fresh = fresh.join(known.where(F.col("batch") < number).select(*join), join, "left_anti")
+        fresh.drop("batch").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/batch={number}")
 
     return write
 
 
 def existing(spark: SparkSession, path: str) -> DataFrame | None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if fs.exists(hadoop) else None
+    """The table at a path, or None before the first batch has written rows."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 # --- answers -------------------------------------------------------------------------------
@@ -67,40 +72,38 @@ def answers_from(running: DataFrame) -> DataFrame:
 
 
 def upsert_sink(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """Keep the latest row per key: every batch folds the table before it into a new version."""
+    """Keep the latest row per key: a batch writes its own latest rows, readers fold the batches.
+
+    A batch never rewrites earlier ones, and rows that come late lose to later ones by their order.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        last = latest_by(batch, keys, order).select(batch.columns)
-        spark = batch.sparkSession
-        before = existing(spark, f"{path}/version={number - 1}") if number else None
-        out = last if before is None else latest_by(before.unionByName(last), keys, order).select(batch.columns)
-        out.write.mode("overwrite").parquet(f"{path}/version={number}")
+        latest_by(batch, keys, order).select(batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
-def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    versions = spark.read.parquet(path)
-    return versions.where(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
+def latest_rows(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The row in force of every key over all batches."""
+    return latest_by(spark.read.parquet(path), keys, [*order, "batch"]).drop("batch")
 
 
 # --- yearly metrics ---------------------------------------------------------------------------
-def annual_sink(observations: str, annual: str, years: tuple[int, int], window: int = 5) -> Callable[[DataFrame, int], None]:
-    """Recompute the stand-years a batch touches: its years and those whose trailing window holds them.
+def annual_sink(observations: str, annual: str, years: tuple[int, int]) -> Callable[[DataFrame, int], None]:
+    """Recompute all years of the stands a batch touches.
 
-    Observations are appended first; the affected rows go to the batch's own partition, and
-    readers take the latest batch of a stand-year.
+    Drop counts and area belong to the stand, so every year of it changes with them.
+    Observations are appended first; the rows go to the batch's own partition, and readers
+    take the latest batch of a stand-year.
     """
     add = append_sink(observations, ["stand_id", "image_id"])
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         add(batch, number)
-        touched = batch.select("stand_id", F.explode(F.sequence(F.col("year"), F.least(F.col("year") + window - 1, F.lit(years[1])))).alias("year")).distinct()
-        every = spark.read.parquet(observations).where(F.col("batch") <= number).drop("batch")
-        mine = every.join(touched.select("stand_id").distinct(), "stand_id", "left_semi")
-        frame = annual_frame(mine, years).join(touched, ["stand_id", "year"], "left_semi")
-        frame.write.mode("overwrite").parquet(f"{annual}/batch={number}")
+        every = spark.read.parquet(observations).where(F.col("batch") <= number).drop("batch", "slot")
+        mine = every.join(batch.select("stand_id").distinct(), "stand_id", "left_semi")
+        annual_frame(mine, years).write.mode("overwrite").parquet(f"{annual}/batch={number}")
 
     return write
 

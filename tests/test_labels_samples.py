@@ -178,5 +178,5 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
     up(spark.createDataFrame([("i", "x", 1, False), ("i", "y", 1, False)], schema), 0)
     for _ in range(2):
         up(spark.createDataFrame([("i", "x", 2, True), ("i", "y", 0, True)], schema), 1)
-    last = {r["item"]: r["void"] for r in J.latest_version(spark, str(tmp_path / "a")).collect()}
+    last = {r["item"]: r["void"] for r in J.latest_rows(spark, str(tmp_path / "a"), ["interpreter", "item"], ["saved"]).collect()}
     assert last == {"x": True, "y": False}
