@@ -263,12 +263,13 @@ def decide_flags(cells: DataFrame, rule_name: str, cell_m: float = P.GRAIN_M, *,
     ok = {v: F.col("monitored") & (F.col(f"_n_{v}") >= least) for v in values}
     if name == "D6":
         ok["_next"] = ok["_next"] & (F.col(f"_n_{z}") >= least)
-    smooth = {}
+    smooth, names = {}, {v: [] for v in values}
     if name in ("D5", "D6", "D7"):
         for v in values:
             sign = -1.0 if v == "_next" else 1.0
             for i, s in enumerate(sigmas_in_cells(cell_m, rule)):
                 smooth[f"_s{i}_{v}"] = (sign * F.col(v), ok[v], s)
+                names[v].append(f"_s{i}_{v}")
         df = cut_lineage(smooth_fields(df, smooth))
     fields = {"own": F.when(ok[z], F.col(z)), **{n: F.col(n) for n in smooth}}
     null, models = field_models(df, fields, rule=rule)
@@ -283,7 +284,7 @@ def decide_flags(cells: DataFrame, rule_name: str, cell_m: float = P.GRAIN_M, *,
     elif name == "D2":
         hit, p = decided & (mine > half), F.coalesce(mine, F.lit(0.0))
     else:
-        best = lambda v: F.greatest(F.lit(0.0), *[F.coalesce(F.col(f"_p{n}"), F.lit(0.0)) for n in smooth if n.endswith(f"_{v}")])
+        best = lambda v: F.greatest(F.lit(0.0), *[F.coalesce(F.col(f"_p{n}"), F.lit(0.0)) for n in smooth if n in names[v]])
         p = best(z)
         if name == "D6":
             p = p * (1.0 - best("_next"))

@@ -9,8 +9,9 @@ from sylvaflow.functions.columns import r6
 from sylvaflow.operators import cells as K
 from sylvaflow.operators import components as G
 from sylvaflow.operators import null_model as N
+from sylvaflow.operators.decide import decide
 from sylvaflow.plans.catalog import query, s6
-from sylvaflow.plans.cell_queries import YGRID, ZGRID, years_grid, z_grid
+from sylvaflow.plans.cell_queries import YGRID, ZGRID, gauss_sql, years_grid, z_grid
 from sylvaflow.session import cut_lineage
 
 # The fit works on moments about the first edge, the oracle on centred ones.
@@ -97,29 +98,82 @@ def date_fits(spark, sf):
     return fits.select("t", "n_cells", "skipped")
 
 
-def _complete(spark, sf):
-    """Cells present on all three dates, so that the kernels see a complete grid."""
-    g = years_grid(spark, sf)
-    return K.monitored_flags(g)
-
-
-@query("decide_posterior")
+def model_sql(source: str) -> str:
+    """Null, local fdr and posterior of every field ``k`` of a table (k, row, col, v), as ``pr`` (k, row, col, prob) and ``nul``."""
+    return f"""qs AS (SELECT k, quantile_cont(v, 0.25) AS lo, quantile_cont(v, 0.75) AS hi, count(*) AS n, min(v) AS zmin FROM {source} GROUP BY k),
+nb AS (SELECT *, CAST(ceil((hi + 0.05 - lo) / 0.05) AS INTEGER) - 1 AS nb FROM qs),
+hist AS (SELECT k, least(CAST(floor((v - lo) / 0.05) AS INTEGER), nb - 1) AS b, count(*) AS c FROM {source} JOIN nb USING (k) WHERE (v - lo) / 0.05 BETWEEN 0 AND nb GROUP BY 1, 2),
+pts AS (SELECT k, lo + (b + 0.5) * 0.05 AS x, ln(c) AS y, c::DOUBLE AS w FROM hist JOIN nb USING (k)), mean AS (SELECT k, sum(w * x) / sum(w) AS mx FROM pts GROUP BY k),
+ctr AS (SELECT *, x - mx AS d FROM pts JOIN mean USING (k)),
+mo AS (SELECT k, any_value(mx) AS mx, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * d * d * d) AS s3, sum(w * d * d * d * d) AS s4, sum(w * y) AS t0, sum(w * d * y) AS t1, sum(w * d * d * y) AS t2 FROM ctr GROUP BY k),
+sol AS (SELECT *, s2 - s1 * s1 / s0 AS a, s3 - s1 * s2 / s0 AS b, s4 - s2 * s2 / s0 AS c, t1 - s1 * t0 / s0 AS e, t2 - s2 * t0 / s0 AS f FROM mo),
+coef AS (SELECT *, (f * a - e * b) / (c * a - b * b) AS c2, (e - b * ((f * a - e * b) / (c * a - b * b))) / a AS c1 FROM sol), fin AS (SELECT *, (t0 - c1 * s1 - c2 * s2) / s0 AS c0 FROM coef),
+nul AS (SELECT k, mx - c1 / (2 * c2) AS mu0, sqrt(-1 / (2 * c2)) AS sigma0, n, zmin, least(1.0, exp(c0 - c1 * c1 / (4 * c2) + ln(sqrt(2 * pi()) * sqrt(-1 / (2 * c2)) / (n * 0.05)))) AS p0 FROM fin JOIN qs USING (k)),
+base AS (SELECT *, least(zmin, mu0 - 8 * sigma0) - 0.05 AS clo FROM nul), bn AS (SELECT *, CAST(ceil((mu0 + 0.05 - clo) / 0.05) AS INTEGER) - 1 AS nbins FROM base),
+ch AS (SELECT k, least(CAST(floor((v - clo) / 0.05) AS INTEGER), nbins - 1) AS b, count(*) AS c FROM {source} JOIN bn USING (k) WHERE (v - clo) / 0.05 BETWEEN 0 AND nbins GROUP BY 1, 2),
+slot AS (SELECT k, CAST(unnest(generate_series(0, nbins - 1)) AS INTEGER) AS b FROM bn), fr AS (SELECT k, b, coalesce(c, 0) AS c FROM slot LEFT JOIN ch USING (k, b)),
+kw AS (SELECT CAST(j AS INTEGER) AS j, exp(-0.5 * (j / 2.0) * (j / 2.0)) / (SELECT sum(exp(-0.5 * (i / 2.0) * (i / 2.0))) FROM (SELECT unnest(generate_series(-8, 8)) AS i) q) AS w FROM (SELECT unnest(generate_series(-8, 8)) AS j) q),
+sm AS (SELECT a.k, a.b, sum(w * s.c) AS f FROM fr a JOIN bn ON bn.k = a.k CROSS JOIN kw JOIN fr s ON s.k = a.k AND s.b = greatest(0, least(nbins - 1, a.b + j)) GROUP BY a.k, a.b),
+lf0 AS (SELECT k, b, CASE WHEN f > 0 THEN greatest(0, least(1, n * 0.05 * p0 * exp(-0.5 * ((clo + (b + 0.5) * 0.05 - mu0) / sigma0) ** 2) / (sigma0 * sqrt(2 * pi())) / f)) ELSE 1 END AS r FROM sm JOIN bn USING (k)),
+lf AS (SELECT k, b, min(r) OVER (PARTITION BY k ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lf FROM lf0),
+sc AS (SELECT k, row, col, v, mu0, least(greatest((v - clo - 0.025) / 0.05, 0), nbins - 1) AS pos, nbins FROM {source} JOIN bn USING (k)),
+pr AS (SELECT s.k, s.row, s.col, CASE WHEN v >= mu0 THEN 0 ELSE 1 - (a.lf + (b.lf - a.lf) * (pos - a.b)) END AS prob FROM sc s JOIN lf a ON a.k = s.k AND a.b = least(CAST(floor(pos) AS INTEGER), nbins - 2) JOIN lf b ON b.k = s.k AND b.b = a.b + 1)"""
+
+
+def decision_sql(sides: dict[str, int], smooth: bool, p: str, floor: str) -> str:
+    """A decision rule as ``dec`` (t, row, col, flag, prob): ``sides`` maps a value beside z to its sign."""
+    values = {"z": 1, **sides}
+    parts = [YGRID, """m AS (SELECT *, coalesce(lag(forest) OVER w, FALSE) AS monitored, lead(z) OVER w AS nx, (z - lag(z, 2) OVER w) / 1.4::DOUBLE AS bz, (lead(z) OVER w - lag(z) OVER w) / 1.4::DOUBLE AS fz FROM yg WINDOW w AS (PARTITION BY row, col ORDER BY t))"""]
+    parts.append(f"cnt AS (SELECT t, {', '.join(f'count(*) FILTER (monitored AND {v} IS NOT NULL) AS n{v}' for v in values)} FROM m GROUP BY t)")
+    enough = lambda v: f"n{v} >= 1000" + (" AND nz >= 1000" if v == "nx" else "")
+    parts.append(f"m2 AS (SELECT m.*, {', '.join(f'monitored AND {enough(v)} AS ok{v}' for v in values)} FROM m JOIN cnt USING (t))")
+    fields = ["SELECT t || ':own' AS k, row, col, z AS v FROM m2 WHERE okz AND z IS NOT NULL"]
+    for i, sigma in enumerate(N.sigmas_in_cells(P.GRAIN_M) if smooth else []):
+        parts.append(gauss_sql(sigma).replace("ker AS", f"ker{i} AS", 1))
+        for v, sign in values.items():
+            parts.append(f"x{v}{i} AS (SELECT t, row, col, {sign} * {v} AS x FROM m2 WHERE ok{v} AND {v} IS NOT NULL)")
+            parts.append(f"h{v}{i} AS (SELECT t, row, col + i AS col, sum(w * x) AS s, sum(w) AS d FROM x{v}{i}, ker{i} GROUP BY 1, 2, 3)")
+            parts.append(f"v{v}{i} AS (SELECT t, row + i AS row, col, sum(w * s) AS s, sum(w * d) AS d FROM h{v}{i}, ker{i} GROUP BY 1, 2, 3)")
+            fields.append(f"SELECT t || ':{v}{i}' AS k, row, col, s / d AS v FROM x{v}{i} JOIN v{v}{i} USING (t, row, col)")
+    parts.append(f"fld AS ({' UNION ALL '.join(fields)})")
+    parts.append(model_sql("fld"))
+    best = ", ".join(f"greatest(0, max(prob) FILTER (k LIKE '%:{v}%')) AS p{v}" for v in values) if smooth else "NULL AS pz"
+    parts.append(f"bs AS (SELECT CAST(split_part(k, ':', 1) AS INTEGER) AS t, row, col, max(prob) FILTER (k LIKE '%:own') AS own, {best} FROM pr GROUP BY 1, 2, 3)")
+    parts.append(f"""dd AS (SELECT m2.t, m2.row, m2.col, okz, own, {p} AS p, {floor} AS floor FROM m2 LEFT JOIN bs ON bs.t = m2.t AND bs.row = m2.row AND bs.col = m2.col LEFT JOIN nul ON nul.k = m2.t || ':own'),
+dec AS (SELECT t, row, col, coalesce(okz AND own > floor AND p > 0.5, FALSE) AS flag, CASE WHEN okz THEN round(coalesce(p, 0), 5) + 0.0 END AS prob FROM dd)""")
+    return ", ".join(parts)
+
+
+PRIOR = "least(0.9999, greatest(0.0001, 1 - p0, 0.01))"
+RULES = {
+    "D2": decision_sql({}, False, "own", "0.5"),
+    "D6": decision_sql({"nx": -1}, True, "coalesce(pz, 0) * (1 - coalesce(pnx, 0))", PRIOR),
+    "D7s": decision_sql({"bz": 1, "fz": 1}, True, "least(coalesce(pz, 0), CASE WHEN okbz AND bz IS NOT NULL THEN coalesce(pbz, 0) END, CASE WHEN okfz AND fz IS NOT NULL THEN coalesce(pfz, 0) END)", "0.5"),
+}
+
+
+def decided(flags):
+    return flags.select("t", "row", "col", "flag", F.round("probability", 5).alias("prob"))
+
+
+def monitored(spark, sf):
+    return K.monitored_flags(years_grid(spark, sf))
+
+
+@query("decide_posterior", f"WITH {RULES['D2']} SELECT t, row, col, flag, prob FROM dec")
 def decide_posterior(spark, sf):
-    flags, _ = N.decide_flags(_complete(spark, sf), "D2")
-    return flags.groupBy("t").agg(F.count(F.when(F.col("flag"), 1)).alias("n_flagged"), F.count("probability").alias("n_decided"), r6(F.max("probability")).alias("top"))
+    return decided(N.decide_flags(monitored(spark, sf), "D2")[0])
 
 
-@query("decide_spatial")
+@query("decide_spatial", f"WITH {RULES['D6']} SELECT t, row, col, flag, prob FROM dec")
 def decide_spatial(spark, sf):
-    flags, _ = N.decide_flags(_complete(spark, sf), "D6")
-    return flags.groupBy("t").agg(F.count(F.when(F.col("flag"), 1)).alias("n_flagged"), F.count("probability").alias("n_decided"), r6(F.max("probability")).alias("top"))
+    return decided(N.decide_flags(monitored(spark, sf), "D6")[0])
 
 
-@query("decide_bracketed")
+@query("decide_bracketed", f"WITH {RULES['D7s']} SELECT t, row, col, flag, prob FROM dec")
 def decide_bracketed(spark, sf):
-    m = K.change_layer(_complete(spark, sf), "z").withColumns({"back_z": F.col("back") / 1.4, "forward_z": F.col("forward") / 1.4})
-    flags, _ = N.decide_flags(m, "D7s")
-    return flags.groupBy("t").agg(F.count(F.when(F.col("flag"), 1)).alias("n_flagged"), F.count("probability").alias("n_decided"), r6(F.max("probability")).alias("top"))
+    m = K.change_layer(monitored(spark, sf), "z").withColumns({"back_z": F.col("back") / 1.4, "forward_z": F.col("forward") / 1.4})
+    return decided(N.decide_flags(m, "D7s")[0])
 
 
 # --- components ------------------------------------------------------------------------
@@ -183,6 +237,18 @@ def detection_objects(spark, sf):
     return o.select("object_id", "onset_year", "interval", "n_cells", *[r6(c).alias(c) for c in ("area_ha", "earlier_share")], "growth", *[r6(c).alias(c) for c in ("mean_prob", "max_prob", "mean_z")], "follow_up", r6("x").alias("x"), r6("y").alias("y"))
 
 
+@query(
+    "decide_full",
+    f"""WITH RECURSIVE {RULES['D2']}, fl AS (SELECT t, row, col FROM dec WHERE flag), {comp_sql('fl')}, {KEPT},
+ot AS (SELECT row, col, min(t) AS a FROM fl GROUP BY ALL), om AS (SELECT row, col, min(t) AS a FROM det GROUP BY ALL)
+SELECT d.t, d.row, d.col, flag, det.t IS NOT NULL AS detected, prob, coalesce(ot.a, -1) AS onset_index, coalesce(om.a, -1) AS onset_index_mmu FROM dec d
+LEFT JOIN det ON det.t = d.t AND det.row = d.row AND det.col = d.col LEFT JOIN ot ON ot.row = d.row AND ot.col = d.col LEFT JOIN om ON om.row = d.row AND om.col = d.col""",
+)
+def decide_full(spark, sf):
+    out, _ = decide(monitored(spark, sf), [0, 1, 2], "D2", least=6, growth=3)
+    return out.select("t", "row", "col", "flag", "detected", F.round("probability", 5).alias("prob"), "onset_index", "onset_index_mmu")
+
+
 @query(
     "onset_objects",
     f"""WITH RECURSIVE {YGRID}, o AS (SELECT row, col, CAST(min(t) AS INTEGER) AS t FROM yg WHERE z > 1.1 GROUP BY row, col), {comp_sql('o')}
