@@ -112,13 +112,13 @@ def draw_windows(spark, sf):
 @query(
     "quiet_chips",
     f"""WITH {YGRID}, pc AS (SELECT row, col, arg_min(forest, t) AS f, bool_or(chm_cover >= 0.9 AND t > 0) AS r FROM yg GROUP BY row, col), ch AS (SELECT col // 8 AS ix, row // 8 AS iy, count(*) AS n, avg(f::INT) AS fs, avg(r::INT) AS rs FROM pc GROUP BY ALL),
-cb AS (SELECT l_orderkey % 64 AS minx, l_orderkey % 64 + l_linenumber AS maxx, l_partkey % 500 AS miny, l_partkey % 500 + 2 AS maxy FROM lineitem WHERE l_suppkey % 50 = 0 AND l_quantity > 40)
+cb AS (SELECT l_orderkey * 7 % 64000 AS minx, l_orderkey * 7 % 64000 + l_linenumber AS maxx, l_partkey * 13 % 5000 AS miny, l_partkey * 13 % 5000 + 2 AS maxy FROM lineitem)
 SELECT CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy FROM ch WHERE n = 64 AND fs >= 0.4 AND rs <= 0.2 AND NOT EXISTS (SELECT 1 FROM cb WHERE floor((minx - 1.5) / 8) <= ix AND ix <= floor((maxx + 1.5) / 8) AND floor((miny - 1.5) / 8) <= iy AND iy <= floor((maxy + 1.5) / 8))""",
 )
 def quiet_chips(spark, sf):
     g = years_grid(spark, sf).withColumn("probability", F.col("chm_cover"))
-    line = table(spark, sf, "lineitem").where("l_suppkey % 50 = 0 AND l_quantity > 40")
-    x, y = F.col("l_orderkey") % 64, F.col("l_partkey") % 500
+    line = table(spark, sf, "lineitem")  # boxes over a wider area than the grid
+    x, y = F.col("l_orderkey") * 7 % 64000, F.col("l_partkey") * 13 % 5000
     boxes = line.select(F.lit("g").alias("unit"), x.alias("minx"), (x + F.col("l_linenumber")).alias("maxx"), y.alias("miny"), (y + 2).alias("maxy"))
     return M.quiet_chips(g, boxes, 8, 1.5, forest_share=0.4, raised_share=0.2, weak=0.9).select("ix", "iy")
 

@@ -169,12 +169,12 @@ def date_chunks(spark, sf):
 
 @query(
     "season_gaps",
-    """WITH d AS (SELECT o_custkey % 100 AS site, year(o_orderdate) AS y, min(CAST(o_orderdate AS DATE)) AS d FROM orders WHERE month(o_orderdate) >= 4 GROUP BY ALL),
+    """WITH d AS (SELECT o_custkey % 100 AS site, year(o_orderdate) AS y, min(CAST(o_orderdate AS DATE)) AS d FROM orders GROUP BY ALL),
 g AS (SELECT site, y, d, lag(y) OVER w AS y0, lag(d) OVER w AS d0 FROM d WINDOW w AS (PARTITION BY site ORDER BY y))
 SELECT site, y0 || '-' || y AS interval, abs(dayofyear(d) - dayofyear(d0)) AS gap_days, month(d) < 5 OR month(d) > 9 AS off_season FROM g WHERE abs(dayofyear(d) - dayofyear(d0)) > 42""",
 )
 def season_gaps(spark, sf):
-    o = table(spark, sf, "orders").where(F.month("o_orderdate") >= 4)
+    o = table(spark, sf, "orders")
     images = o.select((F.col("o_custkey") % 100).alias("site"), F.year("o_orderdate").alias("year"), F.to_date("o_orderdate").alias("date"))
     return R.season_gaps(images, ["site"]).select("site", "interval", F.col("gap_days").cast("long").alias("gap_days"), "off_season")
 

@@ -153,17 +153,17 @@ VERDICTS = ["confirmed", "likely", "rejected", "uncertain"]
 def reviewed(spark, sf):
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
     y = F.year("o_orderdate")
-    s = o.where(k % 4 == 0).select(k.alias("sample_id"), F.concat(F.lit("u"), F.col("o_custkey") % 9).alias("unit"), F.concat_ws("-", y - 1, y).alias("interval"), (1.0 / (k % 5 + 2)).alias("incl_prob"), (F.col("o_totalprice") % 13).alias("assessed_ha"))
-    labels = o.where(k % 3 == 0).select(k.alias("sample_id"), pick(VERDICTS, F.floor(k / 12)).alias("verdict"), F.when(k % 7 == 0, "unsure").otherwise(F.concat_ws("-", F.lit(1996), 1996 + k % 5)).alias("ref_interval"),
+    s = o.select(k.alias("sample_id"), F.concat(F.lit("u"), F.col("o_custkey") % 9).alias("unit"), F.concat_ws("-", y - 1, y).alias("interval"), (1.0 / (k % 5 + 2)).alias("incl_prob"), (F.col("o_totalprice") % 13).alias("assessed_ha"))
+    labels = o.select(k.alias("sample_id"), pick(VERDICTS, F.floor(k / 12)).alias("verdict"), F.when(k % 7 == 0, "unsure").otherwise(F.concat_ws("-", F.lit(1996), 1996 + k % 5)).alias("ref_interval"),
                                         pick(["about_right", "too_large", "", "wrong_shape"], F.floor(k / 5)).alias("outline"), pick(["clearcut", "", "wind"], F.floor(k / 12)).alias("change_type"), (k % 47).cast("double").alias("seconds_spent"))
-    line = table(spark, sf, "lineitem").where("l_orderkey % 24 = 0")
+    line = table(spark, sf, "lineitem")
     cells = line.select(F.col("l_orderkey").alias("sample_id"), (F.col("l_partkey") % 9).alias("row"), F.col("l_linenumber").alias("col"), (F.col("l_quantity") > 15).alias("detected"), (F.col("l_quantity") < 40).alias("redrawn")).distinct()
     return S.labelled_sample(s, labels, cells)
 
 
 REVIEW = f"""sm AS (SELECT o_orderkey AS id, 'u' || (o_custkey % 9) AS unit, year(o_orderdate) AS det, 1.0 / (o_orderkey % 5 + 2) AS ip, o_totalprice % 13 AS ha, {sql_pick(VERDICTS, '(o_orderkey // 12)')} AS verdict, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 1996 + o_orderkey % 5 END AS ref,
-  {sql_pick(['about_right', 'too_large', '', 'wrong_shape'], '(o_orderkey // 5)')} AS outline, {sql_pick(['clearcut', '', 'wind'], '(o_orderkey // 12)')} AS ctype, o_orderkey % 47 AS sec FROM orders WHERE o_orderkey % 12 = 0),
-cl AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 9 AS r, l_linenumber AS c, l_quantity > 15 AS d, l_quantity < 40 AS e FROM lineitem WHERE l_orderkey % 24 = 0),
+  {sql_pick(['about_right', 'too_large', '', 'wrong_shape'], '(o_orderkey // 5)')} AS outline, {sql_pick(['clearcut', '', 'wind'], '(o_orderkey // 12)')} AS ctype, o_orderkey % 47 AS sec FROM orders),
+cl AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 9 AS r, l_linenumber AS c, l_quantity > 15 AS d, l_quantity < 40 AS e FROM lineitem),
 sp AS (SELECT id, count(*) FILTER (d AND e) AS i, count(*) FILTER (d OR e) AS u, count(*) FILTER (d) AS nd, count(*) FILTER (e) AS ne FROM cl GROUP BY id HAVING count(*) FILTER (e) > 0),
 lb AS (SELECT sm.*, verdict IN ('confirmed', 'likely') AS tr, CASE WHEN verdict NOT IN ('confirmed', 'likely') THEN '' WHEN ref IS NULL THEN 'unsure' WHEN det = ref THEN 'match' WHEN det > ref THEN 'detected_late' ELSE 'detected_early' END AS timing, 1 / ip AS weight, i / u::DOUBLE AS iou, nd / ne::DOUBLE AS ratio FROM sm LEFT JOIN sp USING (id))"""
 

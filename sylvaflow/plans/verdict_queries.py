@@ -220,7 +220,7 @@ def choose_outline(spark, sf):
 
 @query(
     "fire_agents",
-    f"""WITH {ROUTE}, oc AS (SELECT DISTINCT user_id AS c, event_id % 40 AS r, event_id % 25 AS k FROM calls WHERE event_id % 40 < 20), bu AS (SELECT DISTINCT o_orderkey % 40 AS r, o_orderkey % 25 AS k, year(o_orderdate) - (o_orderkey % 25) AS y FROM orders WHERE o_orderkey % 25 < 16),
+    f"""WITH {ROUTE}, oc AS (SELECT DISTINCT user_id AS c, event_id % 40 AS r, event_id % 25 AS k FROM calls WHERE event_id % 40 < 20), bu AS (SELECT DISTINCT o_orderkey % 40 AS r, o_orderkey % 25 AS k, year(o_orderdate) - (o_orderkey % 25) AS y FROM orders),
 ak AS (SELECT cand_id, first_loss FROM routed WHERE first_loss IS NOT NULL AND agent IS NULL AND (ta = 'fire' OR tb = 'fire')),
 sh AS (SELECT a.cand_id, count(DISTINCT (o.r, o.k)) FILTER (b.r IS NOT NULL) / count(DISTINCT (o.r, o.k))::DOUBLE AS s FROM ak a JOIN oc o ON o.c = a.cand_id LEFT JOIN bu b ON b.r = o.r AND b.k = o.k AND b.y > 1980 + first_loss * 4 AND b.y <= 1984 + first_loss * 4 GROUP BY a.cand_id)
 SELECT r.cand_id, CASE WHEN s >= 0.2 THEN 'fire' ELSE agent END AS agent, CASE WHEN s >= 0.2 THEN 'fire_perimeter' END AS agent_source FROM routed r LEFT JOIN sh ON sh.cand_id = r.cand_id""",
@@ -228,7 +228,7 @@ SELECT r.cand_id, CASE WHEN s >= 0.2 THEN 'fire' ELSE agent END AS agent, CASE W
 def fire_agents(spark, sf):
     k = F.col("o_orderkey")
     units = F.explode(F.array(*[F.lit(f"U{i}") for i in range(6)])).alias("unit")
-    burned = table(spark, sf, "orders").where(k % 25 < 16).select(units, (k % 40).alias("row"), (k % 25).alias("col"), (F.year("o_orderdate") - k % 25).alias("burned_on"))
+    burned = table(spark, sf, "orders").select(units, (k % 40).alias("row"), (k % 25).alias("col"), (F.year("o_orderdate") - k % 25).alias("burned_on"))
     cells = outline_cells(spark, sf).where("in_candidate").select("cand_id", "row", "col")
     k4 = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
     dates = candidates(spark, sf).select("unit").distinct().select("unit", k4)
