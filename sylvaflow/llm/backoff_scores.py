@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.common import blocks, bounds_of, cut_points, grams, pack_sorted, partitions_for, small_batches, text_column, tidy, unpack_sorted, word_spans, words
+from sylvaflow.llm.common import blocks, bounds_of, cut_points, grams, pack_sorted, partitions_for, small_batches, text_column, tidied, tidy, unpack_sorted, word_spans, words
 
 ORDER = 3
 GIVE_UP = float(np.log(0.4))
-CHUNK_TEXT = 8 << 20
-TABLE_TEXT = 16 << 20
+CHUNK_TEXT = 6 << 20
+TABLE_TEXT = 8 << 20
 KEEP = np.uint64(0xFFFFFFFFFFFFFF00)
 
 
@@ -46,7 +46,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def corpus_size(docs: DataFrame) -> tuple[int, int]:
     """Bytes and words of all texts."""
-    r = docs.select("text").mapInArrow(_sizes, "nbytes long, nwords long").agg(F.sum("nbytes"), F.sum("nwords")).first()
+    r = docs.select("text").mapInArrow(tidied(_sizes), "nbytes long, nwords long").agg(F.sum("nbytes"), F.sum("nwords")).first()
     return int(r[0] or 0), int(r[1] or 0)
 
 
@@ -141,6 +141,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
     size = np.fromiter(map(len, keys), np.int64, len(keys))
     key = np.concatenate(keys)
+    del keys
     counts = np.concatenate([_wide(c) for c in table["counts"].to_pylist()])
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -148,7 +149,10 @@ def _add_up(table: pa.Table) -> pa.Table:
     total = np.empty(len(key), np.int64)
     total[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.append(first, len(key))))
     ends = np.cumsum(size)
-    return pa.table([table["chunk"], table["tab"], pa.array([_narrow(total[e - s : e]) for s, e in zip(size.tolist(), ends.tolist())], pa.binary())], names=["chunk", "tab", "totals"])
+    answer = [_narrow(total[e - s : e]) for s, e in zip(size.tolist(), ends.tolist())]
+    del key, counts, order, first, total
+    tidy()
+    return pa.table([table["chunk"], table["tab"], pa.array(answer, pa.binary())], names=["chunk", "tab", "totals"])
 
 
 def position_scores(word: np.ndarray, row: np.ndarray, others: list[np.ndarray], all_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,10 +195,13 @@ def _score_chunk(order: int, tables: int, all_words: int):
             count = np.zeros(len(word), np.int64)
             count[at] = total[number] - own[same]
             others.append(count)
+            del keys, number, code, same, own, at
         score, found = position_scores(word, row, others, (all_words - size)[row])
         total = np.bincount(row, weights=score, minlength=n).astype(np.float64)
         full = np.bincount(row, weights=found == order, minlength=n).astype(np.int64)
         mean = pa.array(total / np.maximum(size, 1), mask=size == 0)
+        del word, row, others, score, found
+        tidy()
         return pa.table([docs["doc_id"], pa.array(size), pa.array(total), mean, pa.array(full)], names=names)
 
     return run
@@ -208,8 +215,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, chunk_text: int = CHUNK
     chunks, tables = partitions_for(spark, nbytes, chunk_text), partitions_for(spark, nbytes, table_text)
     key_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "text", "doc_id")
-    dealt = rows.mapInArrow(_pack(), "chunk long, docs binary").repartition(chunks, "chunk")
-    sent = dealt.mapInArrow(_count_chunk(order, tables), "tab long, chunk long, keys binary, counts binary")
+    dealt = rows.mapInArrow(tidied(_pack()), "chunk long, docs binary").repartition(chunks, "chunk")
+    sent = dealt.mapInArrow(tidied(_count_chunk(order, tables)), "tab long, chunk long, keys binary, counts binary")
     answers = sent.groupBy("tab").applyInArrow(_add_up, "chunk long, tab long, totals binary").toDF("chunk_", "tab", "totals").repartition(chunks, "chunk_")
     schema = f"doc_id {key_type}, n_words long, log_score double, mean_log_score double, n_full long"
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk_")).applyInArrow(_score_chunk(order, tables, nwords), schema)

@@ -32,6 +32,16 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidied(run):
+    """A task function that gives memory back when its partition is done."""
+
+    def whole(batches):
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Arrow batches of at most ``rows`` rows, so that a batch of long texts fits a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -295,4 +305,4 @@ def split_marked(df: DataFrame, key: str, bitmap: np.ndarray) -> tuple[DataFrame
     """Rows whose ``key`` may be one of a bitmap's ids, and the rows that surely are not: only the first need a join."""
     slotted = df.withColumn("__slot", bitmap_slot(key))
     kept = df.schema
-    return slotted.mapInArrow(only_marked(bitmap, True), kept), slotted.mapInArrow(only_marked(bitmap, False), kept)
+    return slotted.mapInArrow(tidied(only_marked(bitmap, True)), kept), slotted.mapInArrow(tidied(only_marked(bitmap, False)), kept)

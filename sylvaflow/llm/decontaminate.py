@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.common import blocks, bounds_of, grams, small_batches, text_column, words
+from sylvaflow.llm.common import blocks, bounds_of, grams, small_batches, text_column, tidied, words
 
 SEED = 3
 LEAST_SEEDS = 4
@@ -143,7 +143,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
     for items in slices(benchmark):
         if not len(items.vocabulary):
             continue
-        counted = docs.select("text").mapInArrow(_word_counts(items.vocabulary), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+        counted = docs.select("text").mapInArrow(tidied(_word_counts(items.vocabulary)), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
         w, n = counted["w"].to_numpy(), counted["n"].to_numpy()
         counts = np.zeros(len(items.vocabulary), np.int64)
         counts[w[w >= 0]] = n[w >= 0]
@@ -193,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                     row, item, score, first, last = zip(*found)
                     yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array([items.ids[i] for i in item]), pa.array(score), pa.array(first), pa.array(last)], names=["doc_id", "item_id", "score", "first_word", "last_word"])
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(tidied(run), schema))
     return out
 
 
@@ -208,5 +208,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                 keep[[m[0] for m in matches(text_column(batch, batch.schema.field(at).name), items, threshold)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.common import Texts, blocks, prefix_hash, range_hash, small_batches, text_column, word_spans
+from sylvaflow.llm.common import blocks, prefix_hash, range_hash, small_batches, text_column, Texts, tidied, word_spans
 
 DIMENSIONS = 1 << 13
 SAMPLE_ROWS = 1600  # labelled rows learned from, over all languages
@@ -168,7 +168,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     each = max(1, sample_rows // len(counts))
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))])
     chosen = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < share[F.col("lang")])
-    got = chosen.select("text", "lang").mapInArrow(_features, "lang string, shares binary").toArrow()
+    got = chosen.select("text", "lang").mapInArrow(tidied(_features), "lang string, shares binary").toArrow()
     if not got.num_rows:
         return None
     labels = np.array(got["lang"].to_pylist())
@@ -207,4 +207,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(names), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     key_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key_type}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {key_type}, lang_pred string, score double")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sylvaflow.llm.common import small_batches
+from sylvaflow.llm.common import small_batches, tidied
 from sylvaflow.llm.tokens import encoder
 
 LENGTH = 2048
@@ -165,7 +165,7 @@ def pack_documents(
             yield out()
 
     schema = f"`{key}` {key_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(tidied(run), schema)
 
 
 def pack_examples(df: DataFrame, key: str, tokens: str, loss: str, length: int = LENGTH, segments: int = 16, loss_tokens: int = LENGTH) -> DataFrame:
@@ -215,4 +215,4 @@ def pack_examples(df: DataFrame, key: str, tokens: str, loss: str, length: int =
             yield out()
 
     schema = f"`{key}` {key_type}, tokens long, loss_tokens long, sequence_id long, offset long, over_limit boolean"
-    return df.selectExpr(f"`{key}`", f"CAST(`{tokens}` AS LONG)", f"CAST(`{loss}` AS LONG)").mapInArrow(run, schema)
+    return df.selectExpr(f"`{key}`", f"CAST(`{tokens}` AS LONG)", f"CAST(`{loss}` AS LONG)").mapInArrow(tidied(run), schema)

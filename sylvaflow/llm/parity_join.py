@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.common import BASE, Texts, bitmap_slot, blocks, bounds_of, cut_points, grams, id_bitmap, in_bitmap, mix, pack_sorted, partitions_for, small_batches, split_marked, text_bytes, text_column, tidy, unpack_sorted, words, written
+from sylvaflow.llm.common import BASE, bitmap_slot, blocks, bounds_of, cut_points, grams, id_bitmap, in_bitmap, mix, pack_sorted, partitions_for, small_batches, split_marked, text_bytes, text_column, Texts, tidied, tidy, unpack_sorted, words, written
 
 SHINGLE = 5
 SHARE = Fraction(4, 5)
@@ -379,12 +379,12 @@ class Join:
         spark = self.spark = docs.sparkSession
         small_batches(spark)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.members = written(self.docs.mapInArrow(_members, "doc_id long, n long, cls long, sketch binary"), "members")
+        self.members = written(self.docs.mapInArrow(tidied(_members), "doc_id long, n long, cls long, sketch binary"), "members")
         self.classes = self.members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
         self.buckets = partitions_for(spark, text_bytes(self.docs), BUCKET_TEXT)
         schema = "bucket long, keys binary, classes binary, metas binary, numbers binary"
-        dealt = self.docs.mapInArrow(_postings(self.buckets), schema).repartition(self.buckets, "bucket")
-        self.found = written(dealt.mapInArrow(_agree, "kind long, part long, x long, y long, meta long, df long"), "agreeing")
+        dealt = self.docs.mapInArrow(tidied(_postings(self.buckets)), schema).repartition(self.buckets, "bucket")
+        self.found = written(dealt.mapInArrow(tidied(_agree), "kind long, part long, x long, y long, meta long, df long"), "agreeing")
 
     def frequent(self) -> DataFrame:
         """Frequent parts and the classes that need them: each class leaves out its most frequent parts as far as its slack goes."""
@@ -398,17 +398,17 @@ class Join:
         a = s.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
         b = s.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
         sized = pairs.distinct().join(a, "x").join(b, "y").where(F.least("nx", "ny") * SHARE.denominator >= F.greatest("nx", "ny") * SHARE.numerator)
-        return sized.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(_close_sketches, "x long, y long")
+        return sized.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(tidied(_close_sketches), "x long, y long")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Pairs that link, from the whole sets."""
         ends = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct()
         wanted = self.classes.select("cls", "doc_id").join(ends, "cls")
         bitmap = id_bitmap(wanted.select("doc_id"))
-        made = self.docs.select("doc_id", "text", bitmap_slot("doc_id").alias("slot")).mapInArrow(_sets(bitmap), "doc_id long, cls long, tokens binary")
+        made = self.docs.select("doc_id", "text", bitmap_slot("doc_id").alias("slot")).mapInArrow(tidied(_sets(bitmap)), "doc_id long, cls long, tokens binary")
         sets = written(made.join(wanted.toDF("c", "d"), F.expr("c = cls AND d <=> doc_id"), "left_semi").select("cls", "tokens").dropDuplicates(["cls"]), "sets")
         a, b = sets.toDF("x", "tx"), sets.toDF("y", "ty")
-        return pairs.join(a, "x").join(b, "y").select("x", "y", "tx", "ty").mapInArrow(_linked, "x long, y long")
+        return pairs.join(a, "x").join(b, "y").select("x", "y", "tx", "ty").mapInArrow(tidied(_linked), "x long, y long")
 
     def links(self) -> DataFrame:
         """Links between classes that connect everything that is connected."""
@@ -432,7 +432,7 @@ class Join:
         left = placed.join(mixed, "part").select("part", "x", "cx", "blocks", F.pmod(F.xxhash64("x"), F.col("blocks")).alias("own"))
         left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(self.classes.select(F.col("cls").alias("x"), "n", "sketch"), "x")
         left = left.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "cx", "n", "sketch")
-        cross = left.repartition(self.buckets, "part", "i", "j").mapInArrow(_cross_close, "x long, y long").distinct().join(close, ["x", "y"], "left_anti")
+        cross = left.repartition(self.buckets, "part", "i", "j").mapInArrow(tidied(_cross_close), "x long, y long").distinct().join(close, ["x", "y"], "left_anti")
         rest = written(rest.unionByName(cross).distinct(), "rest")
         return links.unionByName(self.verify(rest))
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.common import Texts, blocks, bounds_of, mix, prefix_hash, range_hash, small_batches, text_column, word_spans
+from sylvaflow.llm.common import blocks, bounds_of, mix, prefix_hash, range_hash, small_batches, text_column, Texts, tidied, word_spans
 
 BUCKETS = 1 << 12
 SIZE = 32
@@ -134,7 +134,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         return pa.table({"part": table["part"][:1], "team": table["team"][:1], "sums": [total[0].tobytes()], "counts": [total[1].tobytes()]})
 
     schema = "part long, team long, sums binary, counts binary"
-    teams = docs.select("text").mapInArrow(_contexts, schema).groupBy("part", "team").applyInArrow(add, schema)
+    teams = docs.select("text").mapInArrow(tidied(_contexts), schema).groupBy("part", "team").applyInArrow(add, schema)
     parts = teams.groupBy("part").applyInArrow(add, schema).collect()
     out = DENSE.copy()
     for r in parts:
@@ -233,7 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
             made = [x.tobytes() for _, texts in blocks(text_column(batch)) for x in pooled(texts, vectors)]
             yield pa.record_batch([batch.column(1), pa.array(made, pa.binary())], names=["y", "x"])
 
-    got = docs.select("doc_id", "text").join(known, "doc_id").select("text", "y").mapInArrow(run, "y double, x binary").toArrow()
+    got = docs.select("doc_id", "text").join(known, "doc_id").select("text", "y").mapInArrow(tidied(run), "y double, x binary").toArrow()
     if not got.num_rows:
         return Scorer(vectors, Constant(1.0))
     y = got["y"].to_numpy()
@@ -254,7 +254,7 @@ def score(docs: DataFrame, scorer: Scorer, accept: float = ACCEPT) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(value), pa.array((value >= accept).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     key_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key_type}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {key_type}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, scorer: Scorer, accept: float = ACCEPT) -> DataFrame:
@@ -267,4 +267,4 @@ def accepted(docs: DataFrame, scorer: Scorer, accept: float = ACCEPT) -> DataFra
             made = [scorer.network.score(pooled(texts, scorer.vectors).astype(np.float64)) for _, texts in blocks(text_column(batch, name))]
             yield batch.filter(pa.array(np.concatenate(made) >= accept)) if made else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

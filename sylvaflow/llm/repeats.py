@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.common import Texts, bitmap_slot, blocks, cut_points, id_bitmap, mix, only_marked, pack_sorted, partitions_for, prefix_hash, range_hash, small_batches, text_bytes, text_column, tidy, unpack_sorted, written
+from sylvaflow.llm.common import bitmap_slot, blocks, cut_points, id_bitmap, mix, only_marked, pack_sorted, partitions_for, prefix_hash, range_hash, small_batches, text_bytes, text_column, Texts, tidied, tidy, unpack_sorted, written
 
 LENGTH = 400
 GRAM = 32
@@ -291,15 +291,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = GRAM) -> Data
     """Spans of starts of repeated strings: ``rid``, ``first``, ``last``; ``docs`` has ``rid`` and ``text``."""
     spark = docs.sparkSession
     buckets = partitions_for(spark, text_bytes(docs), BUCKET_TEXT)
-    dealt = docs.select("rid", "text").mapInArrow(_send_anchors(buckets, length, q), "bucket long, grams binary, places binary, rids binary, numbers binary").repartition(buckets, "bucket")
-    found = written(dealt.mapInArrow(_first_buckets(length, OPEN_IN_TASK), "kind long, rid long, gram long, position long, first long, last long"), "anchors")
+    dealt = docs.select("rid", "text").mapInArrow(tidied(_send_anchors(buckets, length, q)), "bucket long, grams binary, places binary, rids binary, numbers binary").repartition(buckets, "bucket")
+    found = written(dealt.mapInArrow(tidied(_first_buckets(length, OPEN_IN_TASK)), "kind long, rid long, gram long, position long, first long, last long"), "anchors")
     opened = found.where("kind > 0").groupBy("rid").agg(F.collect_set(F.struct("kind", "gram", "position", "first", "last")).alias("opened"))
     bitmap = id_bitmap(found.where("kind > 0").select("rid"))
-    some = docs.select("rid", "text", bitmap_slot("rid").alias("slot")).mapInArrow(only_marked(bitmap, True), "rid long, text string").join(opened, "rid").select("rid", "text", "opened")
+    some = docs.select("rid", "text", bitmap_slot("rid").alias("slot")).mapInArrow(tidied(only_marked(bitmap, True)), "rid long, text string").join(opened, "rid").select("rid", "text", "opened")
     columns = "rid long, kind long, gram long, position long, first long, last long, around binary"
-    around = written(some.mapInArrow(_surroundings(length, q), columns), "surroundings")
-    small = around.where("kind IN (1, 3)").repartition(buckets, "gram").mapInArrow(_decide(length, q), "rid long, first long, last long")
-    starts = around.where("kind IN (2, 4)").mapInArrow(_starts(length, q), "key long, rid long, start long, open boolean")
+    around = written(some.mapInArrow(tidied(_surroundings(length, q)), columns), "surroundings")
+    small = around.where("kind IN (1, 3)").repartition(buckets, "gram").mapInArrow(tidied(_decide(length, q)), "rid long, first long, last long")
+    starts = around.where("kind IN (2, 4)").mapInArrow(tidied(_starts(length, q)), "key long, rid long, start long, open boolean")
     again = starts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     large = starts.where("open").join(again, "key").select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
     return found.where("kind = 0").select("rid", "first", "last").unionByName(small).unionByName(large)
@@ -340,6 +340,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kind = f"doc_id {key_type}, text string, rid long"
     slotted = rows.select("doc_id", "text", "rid", bitmap_slot("rid").alias("slot"))
     lists = spans.distinct().groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    some = slotted.mapInArrow(only_marked(bitmap, True), kind).join(lists, "rid", "left").select("doc_id", "text", "spans")
-    none = slotted.mapInArrow(only_marked(bitmap, False), kind).select("doc_id", "text", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("spans"))
-    return some.unionByName(none).mapInArrow(_cut_out(length), f"doc_id {key_type}, kept binary, n_bytes long, removed array<struct<first:bigint,last:bigint>>")
+    some = slotted.mapInArrow(tidied(only_marked(bitmap, True)), kind).join(lists, "rid", "left").select("doc_id", "text", "spans")
+    none = slotted.mapInArrow(tidied(only_marked(bitmap, False)), kind).select("doc_id", "text", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("spans"))
+    return some.unionByName(none).mapInArrow(tidied(_cut_out(length)), f"doc_id {key_type}, kept binary, n_bytes long, removed array<struct<first:bigint,last:bigint>>")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.common import BASE, Texts, bitmap_slot, blocks, cut_points, id_bitmap, in_bitmap, mix, pack_sorted, partitions_for, powers, prefix_hash, range_hash, small_batches, split_marked, text_bytes, text_column, tidy, unpack_sorted, word_spans, written
+from sylvaflow.llm.common import BASE, bitmap_slot, blocks, cut_points, id_bitmap, in_bitmap, mix, pack_sorted, partitions_for, powers, prefix_hash, range_hash, small_batches, split_marked, text_bytes, text_column, Texts, tidied, tidy, unpack_sorted, word_spans, written
 
 DEPTH = 3
 MIN_WORDS = 4
@@ -190,11 +190,11 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Places of lines to drop: ``rid``, ``line``. ``docs`` has ``doc_id``, ``rid``, ``text``."""
     spark = docs.sparkSession
     buckets = partitions_for(spark, text_bytes(docs), BUCKET_TEXT)
-    counted = docs.select("text").mapInArrow(_leaf_counts(buckets), "bucket long, leaves binary, counts binary").repartition(buckets, "bucket")
-    often = counted.mapInArrow(_often(min_docs), "leaf long")
+    counted = docs.select("text").mapInArrow(tidied(_leaf_counts(buckets)), "bucket long, leaves binary, counts binary").repartition(buckets, "bucket")
+    often = counted.mapInArrow(tidied(_often(min_docs)), "leaf long")
     bitmap = id_bitmap(often, slot=F.expr(f"shiftrightunsigned(leaf, 20) & {(1 << 25) - 1}L"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = written(docs.select("doc_id", "rid", "text").mapInArrow(_lines_of(bitmap), f"leaf long, template long, words binary, doc_id {kind}, rid long, line long"), "lines")
+    lines = written(docs.select("doc_id", "rid", "text").mapInArrow(tidied(_lines_of(bitmap)), f"leaf long, template long, words binary, doc_id {kind}, rid long, line long"), "lines")
     places = lines.where("words IS NULL").select("template", "doc_id", "rid", "line")
     seen = places.groupBy("template").agg(F.count("*").alias("n"))
     words = lines.where("words IS NOT NULL").groupBy("leaf", "template").agg(F.min("words").alias("words"))
@@ -239,4 +239,4 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     without = none.select(*[F.col(f"`{n}`") for n in names], F.lit(None).cast("array<bigint>").alias("__drop"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_dropped long"
     chars = names.index("n_chars") if "n_chars" in names else None
-    return with_lists.unionByName(without).mapInArrow(_cut_lines(names.index("text"), chars), schema)
+    return with_lists.unionByName(without).mapInArrow(tidied(_cut_lines(names.index("text"), chars)), schema)

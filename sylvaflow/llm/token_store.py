@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.common import mix, partitions_for, shared_folder, small_batches, text_bytes
+from sylvaflow.llm.common import mix, partitions_for, shared_folder, small_batches, text_bytes, tidied
 from sylvaflow.llm.tokens import encoder
 
 MAGIC = b"IDSHARD1"
@@ -208,7 +208,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.json
     dealt = docs.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
     schema = "name string, shard long, docs long, ids long, first_key long, last_key long"
     table = f"{folder}/manifest.parquet"
-    dealt.mapInArrow(_write_shards(folder, vocabulary, kind, end_id, width), schema).write.parquet(table)
+    dealt.mapInArrow(tidied(_write_shards(folder, vocabulary, kind, end_id, width)), schema).write.parquet(table)
     manifest = [r.asDict() for r in spark.read.schema(schema).parquet(table).orderBy("shard").collect()]
     total = 0
     for entry in manifest:
@@ -253,7 +253,7 @@ def read_ids(spark: SparkSession, folder: str, manifest: list[dict], key: str =
     if not manifest:
         return spark.createDataFrame([], schema)
     shards = spark.range(0, len(manifest), 1, len(manifest))
-    return shards.mapInArrow(_read_shards(folder, manifest), "key long, start long, n_tokens long, ids binary").toDF(key, "start", "n_tokens", "ids")
+    return shards.mapInArrow(tidied(_read_shards(folder, manifest)), "key long, start long, n_tokens long, ids binary").toDF(key, "start", "n_tokens", "ids")
 
 
 def lookup_ids(keys: DataFrame, folder: str, manifest: list[dict], key: str = "doc_id") -> DataFrame:
@@ -285,7 +285,7 @@ def lookup_ids(keys: DataFrame, folder: str, manifest: list[dict], key: str = "d
             yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["key", "ids"])
 
     small_batches(spark)
-    return keys.select(F.col(key).cast("long").alias("key")).mapInArrow(run, "key long, ids binary").toDF(key, "ids")
+    return keys.select(F.col(key).cast("long").alias("key")).mapInArrow(tidied(run), "key long, ids binary").toDF(key, "ids")
 
 
 def stored_ids(docs: DataFrame, **options) -> DataFrame:
