@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LATIN = "à-öø-ÿß"
 UNUSUAL = re.compile("[^\\x20-\\x7e\n\t\rÀ-ÖØ-öø-ÿ]|<\\|")
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000  # of a generation; the one before is kept too
 LONG_PIECE = 64
 
 #: How a vocabulary splits text, with lower case only for the word vocabulary; fixed by the tokenizer files.
@@ -37,15 +37,21 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.kind = kind
         self.split = SPLITS[kind]
+        self.place = None
         if kind == "word":
             self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
             for piece, number in self.library.get_vocab().items():
                 self.ends[number] = piece.endswith("</w>")
         else:
             self.line_feed = self.library.encode("\n", add_special_tokens=False).ids[0]
+            self.blank = np.zeros(self.library.get_vocab_size(), dtype=bool)  # ids that begin with a blank, and so begin a piece
+            for piece, number in self.library.get_vocab().items():
+                self.blank[number] = piece.startswith("Ġ")
         self.forget()
 
     def forget(self) -> None:
+        """A new generation of known pieces; those of the last one that are met again move over."""
+        self.older = (self.place, self.first, self.size, self.flat) if self.place is not None else ({}, None, None, None)
         self.place: dict[str, int] = {}
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
@@ -56,6 +62,15 @@ class Encoder:
 
     def _bulk(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of pieces, many per call: joined by a character that ends a piece, and cut again at the ids that show it."""
+        if self.kind == "byte":
+            spaced = [p for p in pieces if p[0] == " "]
+            if spaced and len(spaced) < len(pieces):
+                of = dict(zip(spaced, self._bulk(spaced)))
+                rest = [p for p in pieces if p[0] != " "]
+                of.update(zip(rest, self._bulk(rest)))
+                return [of[p] for p in pieces]
+            if spaced:
+                return self._bulk_spaced(pieces)
         groups = [pieces[i : i + 200] for i in range(0, len(pieces), 200)]
         glue = " " if self.kind == "word" else "\n"
         out: list[np.ndarray] = []
@@ -71,12 +86,25 @@ class Encoder:
             out += [ids[a:b] for a, b in zip(start, stop)] if whole else self.whole(group)
         return out
 
+    def _bulk_spaced(self, pieces: list[str]) -> list[np.ndarray]:
+        """Pieces that begin with a blank need nothing between them."""
+        groups = [pieces[i : i + 400] for i in range(0, len(pieces), 400)]
+        out: list[np.ndarray] = []
+        for group, ids in zip(groups, self.whole(["".join(g) for g in groups])):
+            start = np.flatnonzero(self.blank[ids])
+            whole = len(start) == len(group) and start[0] == 0
+            out += np.split(ids, start[1:]) if whole else self.whole(group)
+        return out
+
     def _learn(self, pieces: list[str]) -> None:
+        older, first, size, flat = self.older
+        met = [p for p in pieces if p in older]
+        pieces = [p for p in pieces if p not in older]
         plain = [p for p in pieces if len(p) <= LONG_PIECE and not p.isspace()]
         odd = [p for p in pieces if len(p) > LONG_PIECE or p.isspace()]
-        ids = self._bulk(plain) + (self.whole(odd) if odd else [])
+        ids = [flat[first[k] : first[k] + size[k]] for k in map(older.__getitem__, met)] + self._bulk(plain) + (self.whole(odd) if odd else [])
         number = len(self.place)
-        for piece in plain + odd:
+        for piece in met + plain + odd:
             self.place[piece] = number
             number += 1
         size = np.fromiter(map(len, ids), np.int64, len(ids))
