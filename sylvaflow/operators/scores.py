@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import log, pi
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -86,39 +87,70 @@ def object_scores(cells: DataFrame, keys: Sequence[str], cut: int) -> DataFrame:
 
 
 # --- exact intervals -------------------------------------------------------------------------
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series ten steps up, and back."""
+    y = x + 10.0
+    series = (y - 0.5) * F.ln(y) - y + 0.5 * log(2 * pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    product = x
+    for i in range(1, 10):
+        product = product * (x + float(i))
+    return series - F.ln(product)
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, scale: Column, terms: Column) -> Column:
+    """Regularized incomplete beta function by its continued fraction, from the side where it converges.
+
+    ``scale`` is the logarithm of 1 / B(a, b); ``terms`` the number of pairs of terms.
+    """
+    tiny = F.lit(1e-300)
+    safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+    def fraction(a: Column, b: Column, x: Column) -> Column:
+        d0 = 1.0 / safe(1.0 - (a + b) * x / (a + 1.0))
+
+        def pair(s: Column, i: Column) -> Column:
+            m = i.cast("double")
+            even, odd = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            one = F.struct((1.0 / safe(1.0 + even * s["d"])).alias("d"), safe(1.0 + even / s["c"]).alias("c"), s["h"].alias("h"))
+            two = lambda t: F.struct((1.0 / safe(1.0 + odd * t["d"])).alias("d"), safe(1.0 + odd / t["c"]).alias("c"), (t["h"] * t["d"] * t["c"]).alias("h"))
+            done = lambda t: F.struct(t["d"].alias("d"), t["c"].alias("c"), (t["h"] * t["d"] * t["c"]).alias("h"))
+            return F.get(F.transform(F.transform(F.array(one), two), done), F.lit(0))
+
+        start = F.struct(d0.alias("d"), F.lit(1.0).alias("c"), d0.alias("h"))
+        return F.aggregate(F.sequence(F.lit(1), terms), start, pair, lambda s: s["h"])
+
+    front = F.exp(scale + a * F.ln(x) + b * F.ln(1.0 - x))
+    left = x < (a + 1.0) / (a + b + 2.0)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(left, front * fraction(a, b, x) / a).otherwise(1.0 - front * fraction(b, a, 1.0 - x) / b)
+
+
 def exact_interval(k: Column, n: Column, level: float = 0.95, steps: int = 60) -> Column:
-    """Clopper-Pearson interval by bisection of the binomial tail: ``struct(low, high)``.
+    """Clopper-Pearson interval by bisection of the incomplete beta function: ``struct(low, high)``.
 
-    The tail is summed over an array of log factorials, so ``n`` should be the size of a
-    sample (thousands), not of a population.
+    The number of terms grows with the square root of ``n`` at most, nothing of length ``n`` is built.
     """
     tail = (1.0 - level) / 2.0
-    logs = F.aggregate(
-        F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.expr("CAST(array() AS array<int>)")),
-        F.array(F.lit(0.0)), lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.ln(i.cast("double")))),
-    )
-    box = F.struct(logs.alias("f"))
+    k, n = k.cast("double"), n.cast("double")
+    terms = (F.lit(20) + F.ceil(F.sqrt(n) * 2)).cast("int")
 
-    def at_least(f: Column, p: Column, first: Column) -> Column:
-        """Probability of ``first`` or more successes."""
-        term = lambda i: F.exp(F.get(f, n.cast("int")) - F.get(f, i) - F.get(f, n.cast("int") - i) + i * F.ln(p) + (n - i) * F.ln(1.0 - p))
-        return F.aggregate(F.sequence(first.cast("int"), n.cast("int")), F.lit(0.0), lambda acc, i: acc + term(i))
-
-    def bisect(f: Column, first: Column, goal: float) -> Column:
+    def bisect(a: Column, b: Column, goal: float) -> Column:
+        fixed = F.array(F.struct(a.alias("a"), b.alias("b"), (log_gamma(a + b) - log_gamma(a) - log_gamma(b)).alias("scale"), terms.alias("terms")))
         start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
 
-        def step(s: Column, _i: Column) -> Column:
-            mid = (s["lo"] + s["hi"]) / 2.0
-            low = at_least(f, mid, first) < goal
-            return F.struct(F.when(low, mid).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(mid).alias("hi"))
+        def search(f: Column) -> Column:
+            def step(s: Column, _i: Column) -> Column:
+                mid = (s["lo"] + s["hi"]) / 2.0
+                low = incomplete_beta(f["a"], f["b"], mid, f["scale"], f["terms"]) < goal
+                return F.struct(F.when(low, mid).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(mid).alias("hi"))
+
+            return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: (s["lo"] + s["hi"]) / 2.0)
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: (s["lo"] + s["hi"]) / 2.0)
+        return F.get(F.transform(fixed, search), F.lit(0))
 
-    both = F.transform(F.array(box), lambda b: F.struct(
-        F.when(n == 0, None).when(k == 0, 0.0).otherwise(bisect(b["f"], k, tail)).alias("low"),
-        F.when(n == 0, None).when(k == n, 1.0).otherwise(bisect(b["f"], k + 1, 1.0 - tail)).alias("high"),
-    ))
-    return F.get(both, F.lit(0))
+    return F.struct(
+        F.when(n == 0, None).when(k == 0, 0.0).otherwise(bisect(k, n - k + 1.0, tail)).alias("low"),
+        F.when(n == 0, None).when(k == n, 1.0).otherwise(bisect(k + 1.0, n - k, 1.0 - tail)).alias("high"),
+    )
 
 
 def judged_table(items: DataFrame, answers: DataFrame) -> DataFrame:

@@ -121,12 +121,14 @@ def test_validation_blocks_near_the_share_and_apart(spark):
 
 
 def test_exact_interval(spark):
-    df = spark.createDataFrame([(0, 0), (0, 10), (10, 10), (3, 10), (40, 200)], "k int, n int").withColumn("c", S.exact_interval(F.col("k"), F.col("n")))
+    df = spark.createDataFrame([(0, 0), (0, 10), (10, 10), (3, 10), (40, 200), (300_000, 1_000_000)], "k int, n int").withColumn("c", S.exact_interval(F.col("k"), F.col("n")))
     got = {(r["k"], r["n"]): (r["c"]["low"], r["c"]["high"]) for r in df.collect()}
     assert got[0, 0] == (None, None)
     assert got[0, 10] == pytest.approx((0.0, 0.3084971), abs=1e-6)
     assert got[10, 10] == pytest.approx((0.6915029, 1.0), abs=1e-6)
     assert got[3, 10] == pytest.approx((0.0667395, 0.6524529), abs=1e-6)
+    half = 1.959964 * (0.3 * 0.7 / 1e6) ** 0.5  # a large sample nears the normal interval
+    assert got[300_000, 1_000_000] == pytest.approx((0.3 - half, 0.3 + half), abs=2e-6)
 
 
 def test_refused_inputs(spark):
