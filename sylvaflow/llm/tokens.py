@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LATIN = "à-öø-ÿß"
 UNUSUAL = re.compile("[^\\x20-\\x7e\n\t\rÀ-ÖØ-öø-ÿ]|<\\|")
-KEPT_PIECES = 250_000  # of a generation; the one before is kept too
+KEPT_PIECES = 800_000  # about 150 MB; then a worker starts anew
 LONG_PIECE = 64
 
 #: How a vocabulary splits text, with lower case only for the word vocabulary; fixed by the tokenizer files.
@@ -28,6 +28,15 @@ SPLITS = {
 }
 
 
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """The array, or one of twice the length or more that holds ``n`` items."""
+    if n <= len(array):
+        return array
+    out = np.zeros(max(n, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 class Encoder:
     """Ids of texts; ``kind`` is ``word`` for a vocabulary with word ends in lower case, ``byte`` for a byte-level one."""
 
@@ -37,7 +46,6 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.kind = kind
         self.split = SPLITS[kind]
-        self.place = None
         if kind == "word":
             self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
             for piece, number in self.library.get_vocab().items():
@@ -50,12 +58,11 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """A new generation of known pieces; those of the last one that are met again move over."""
-        self.older = (self.place, self.first, self.size, self.flat) if self.place is not None else ({}, None, None, None)
         self.place: dict[str, int] = {}
-        self.first = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.first = np.zeros(1 << 12, np.int64)  # all three grow by doubling
+        self.size = np.zeros(1 << 12, np.int64)
+        self.flat = np.zeros(1 << 14, np.uint32)
+        self.used = 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -97,20 +104,19 @@ class Encoder:
         return out
 
     def _learn(self, pieces: list[str]) -> None:
-        older, first, size, flat = self.older
-        met = [p for p in pieces if p in older]
-        pieces = [p for p in pieces if p not in older]
         plain = [p for p in pieces if len(p) <= LONG_PIECE and not p.isspace()]
         odd = [p for p in pieces if len(p) > LONG_PIECE or p.isspace()]
-        ids = [flat[first[k] : first[k] + size[k]] for k in map(older.__getitem__, met)] + self._bulk(plain) + (self.whole(odd) if odd else [])
+        ids = self._bulk(plain) + (self.whole(odd) if odd else [])
         number = len(self.place)
-        for piece in met + plain + odd:
-            self.place[piece] = number
-            number += 1
+        for k, piece in enumerate(plain + odd, start=number):
+            self.place[piece] = k
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.flat) + np.cumsum(size) - size
-        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *ids])
+        new = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        self.first, self.size, self.flat = _room(self.first, number + len(ids)), _room(self.size, number + len(ids)), _room(self.flat, self.used + len(new))
+        self.first[number : number + len(ids)] = self.used + np.cumsum(size) - size
+        self.size[number : number + len(ids)] = size
+        self.flat[self.used : self.used + len(new)] = new
+        self.used += len(new)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of ids per text; null is taken as empty."""
