@@ -1,6 +1,6 @@
 """Queries against their SQL on the given tables.
 
-By default a spread of queries; SYLVAFLOW_FULL=1 runs every query (about a quarter of an hour).
+By default a spread of queries; SYLVAFLOW_FULL=1 runs every query (about half an hour).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ SPREAD = [
     "decision_filters", "forest_dips", "cell_change_brackets", "onset", "local_z", "smooth_z", "edge_density", "texture_entropy", "null_fit", "components", "mmu_objects",
     "parse_verdicts", "latest_answers", "route_verdicts", "alloc_strata", "keyed_sample", "seed_windows", "sample_weights", "score_curve", "interval_scores", "judged_table",
     "rank_auc", "run_overlap", "interval_reasons", "chip_index", "crowns_in_stand", "review_store", "stream_latest",
+    "decide_full", "decide_bracketed", "distance_bins", "assign_blocks", "stored_observations", "batch_units", "stream_dedup", "window_labels", "labelled_sample",
 ]
 NAMES = sorted(ORACLES) if os.environ.get("SYLVAFLOW_FULL") else SPREAD
 
