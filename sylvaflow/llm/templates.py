@@ -9,8 +9,8 @@ least ``min_docs`` documents is dropped, but for its place in the document with
 the smallest id, so no text leaves the corpus altogether.
 
 Only leaves that at least ``min_docs`` documents reach are parsed further;
-their lines are counted before they meet. A leaf with more lines than
-``LEAF_LINES`` gets further levels of leading words.
+their lines are counted before they meet. In a leaf with more lines than
+``LEAF_LINES`` templates are looked up by rare words; the result is the same.
 
 Cases: lines of fewer than ``MIN_WORDS`` words are always kept; null text stays
 null; a text that loses all its lines becomes empty; repeated rows (same id and
@@ -20,6 +20,7 @@ pass through, ``n_chars`` is that of the new text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ DEPTH = 3
 MIN_WORDS = 4
 MIN_DOCS = 5
 ALIKE = 0.75
-LEAF_LINES = 2048
+LEAF_LINES = 256
 BUCKET_TEXT = 64 << 20
 STAR = np.uint64(0x2A2A2A2A2A2A2A2A)
 
@@ -146,23 +147,22 @@ def _slot(leaf: np.ndarray) -> np.ndarray:
 
 
 def parse_leaf(words: np.ndarray, alike: float = ALIKE, depth: int = DEPTH) -> np.ndarray:
-    """Template number of each line of a leaf (rows of word hashes, most frequent first): the first template that shares enough words."""
-    n = len(words)
+    """Template number of each line of a leaf (rows of word hashes, most frequent first): the first template that shares enough words.
+
+    The lines agree in their first ``depth`` words. ``LEAF_LINES`` only says how templates are looked up, never which one is found.
+    """
+    n, width = words.shape
+    least = math.ceil(alike * width)
+    if n > LEAF_LINES:
+        return _parse_large(words[:, depth:], least - depth)
     out = np.full(n, -1, np.int64)
-    if n > LEAF_LINES and depth < words.shape[1]:
-        taken = 0
-        for head in np.unique(words[:, depth]):
-            rows = np.flatnonzero(words[:, depth] == head)
-            out[rows] = parse_leaf(words[rows], alike, depth + 1) + taken
-            taken = int(out[rows].max()) + 1
-        return out
-    made = np.zeros((n, words.shape[1]), np.uint64)
+    made = np.zeros((n, width), np.uint64)
     count = 0
     for i in range(n):
         if count:
-            same = (made[:count] == words[i]).mean(axis=1)
-            k = int(np.argmax(same >= alike))
-            if same[k] >= alike:
+            same = (made[:count] == words[i]).sum(axis=1) >= least
+            k = int(np.argmax(same))
+            if same[k]:
                 out[i] = k
                 made[k] = np.where(made[k] == words[i], made[k], STAR)
                 continue
@@ -172,6 +172,51 @@ def parse_leaf(words: np.ndarray, alike: float = ALIKE, depth: int = DEPTH) -> n
     return out
 
 
+def _parse_large(words: np.ndarray, need: int) -> np.ndarray:
+    """The same for many lines. Of a line and a template that agree in ``need`` places, the ``width - need + 1`` rarest words (with their places) have one in common, so only templates with a common rare word are compared."""
+    n, width = words.shape
+    out = np.zeros(n, np.int64)
+    if need <= 0:
+        return out
+    ids, often = np.empty((n, width), np.int32), np.empty((n, width), np.int32)
+    star, star_often = np.full(width, -1, np.int32), np.zeros(width, np.int32)  # -1: no line has it, equal to none
+    seen = 0
+    for p in range(width):
+        value, number, total = np.unique(words[:, p], return_inverse=True, return_counts=True)
+        ids[:, p], often[:, p] = number + seen, total[number]
+        k = int(np.searchsorted(value, STAR))
+        if k < len(value) and value[k] == STAR:
+            star[p], star_often[p] = k + seen, total[k]
+        seen += len(value)
+    first = width - need + 1
+    made, rarity = np.empty((n, width), np.int32), {}
+    holders: dict[int, list[int]] = {}
+    count = 0
+    for i in range(n):
+        rare = ids[i, np.argsort(often[i], kind="stable")[:first]].tolist()
+        lists = [holders[w] for w in rare if w in holders]
+        near = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+        same = (made[near] == ids[i]).sum(axis=1) >= need
+        if same.any():
+            k = int(near[np.argmax(same)])
+            out[i] = k
+            other = made[k] != ids[i]
+            other &= made[k] != star
+            if not other.any():
+                continue
+            made[k, other], rarity[k][other] = star[other], star_often[other]
+            rare = made[k, np.argsort(rarity[k], kind="stable")[:first]].tolist()
+        else:
+            k = out[i] = count
+            made[k], rarity[k] = ids[i], often[i].copy()
+            count += 1
+        for w in rare:
+            held = holders.setdefault(w, [])
+            if w >= 0 and k not in held[-1:]:
+                held.append(k)
+    return out
+
+
 def _parse(table: pa.Table) -> pa.Table:
     leaf, template, docs = table["leaf"].to_numpy(), table["template"].to_numpy(), table["n"].to_numpy()
     width = len(table["words"][0].as_py())

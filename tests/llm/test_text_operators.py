@@ -123,6 +123,35 @@ def test_leaf_with_many_lines_gets_more_levels(monkeypatch):
     assert (number >= 0).all() and len(set(number.tolist())) > 1
 
 
+def test_size_of_a_leaf_does_not_change_its_templates(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for width, values, n in ((4, 3, 60), (5, 4, 200), (8, 3, 400), (12, 4, 300), (12, 40, 900), (21, 3, 300)):
+        words = rng.integers(1, values + 1, (n, width)).astype(np.uint64)
+        some = rng.random((n, width)) < 0.5
+        words[some] = np.broadcast_to(words[0], (n, width))[some]
+        words[rng.random((n, width)) < 0.15] = templates.STAR
+        words[:, :3] = 1
+        made, want = [], []
+        for w in words.tolist():
+            j = next((j for j, m in enumerate(made) if sum(a == b for a, b in zip(m, w)) >= templates.ALIKE * width), len(made))
+            made[j:] = [w] if j == len(made) else [[a if a == b else int(templates.STAR) for a, b in zip(made[j], w)], *made[j + 1 :]]
+            want.append(j)
+        for limit in (4, 10**9):
+            monkeypatch.setattr(templates, "LEAF_LINES", limit)
+            assert templates.parse_leaf(words).tolist() == want
+
+
+def test_recurring_line_with_many_names_is_one_template(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    docs = [(i, f"Failed login for {name(i)} from host alpha over the secure shell port\nbody {name(i)} of {name(i * 7 + 1)} {name(i * 5 + 2)} {name(i * 3)}") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in templates.drop_recurring(df).collect()}
+    assert sum("Failed login" in t for t in got.values()) == 1
+    assert [got[i] for i, _ in docs] == brute_templates(docs, templates.MIN_DOCS)
+
+
 def test_planted_copies_are_found_and_clean_text_is_not(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(900)] + ["the", "of", "and"] * 200
