@@ -8,8 +8,12 @@ lines first, and words that differ become variable. A template that is in at
 least ``min_docs`` documents is dropped, but for its place in the document with
 the smallest id, so no text leaves the corpus altogether.
 
-Only leaves that at least ``min_docs`` documents reach are parsed further;
-their lines are counted before they meet. In a leaf with more lines than
+Lines of ``LONG_WORDS`` words or more hardly recur by chance: ``long_docs``
+documents are enough if the words are the same, or if three quarters of the
+template, and ``LONG_WORDS`` of its words, are no variable fields (rows of
+numbers are all one template).
+
+Only leaves that so many documents reach are parsed further; their lines are counted before they meet. In a leaf with more lines than
 ``LEAF_LINES`` templates are looked up by rare words; the result is the same.
 
 Cases: lines of fewer than ``MIN_WORDS`` words are always kept; null text stays
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvaflow.llm.common import BASE, bitmap_slot, blocks, cut_points, id_bitmap, in_bitmap, mix, pack_sorted, partitions_for, powers, prefix_hash, range_hash, small_batches, split_marked, text_bytes, text_column, Texts, tidied, tidy, unpack_sorted, word_spans, written
@@ -33,17 +37,20 @@ from sylvaflow.llm.common import BASE, bitmap_slot, blocks, cut_points, id_bitma
 DEPTH = 3
 MIN_WORDS = 4
 MIN_DOCS = 5
+LONG_WORDS = 50
+LONG_DOCS = 2
 ALIKE = 0.75
 LEAF_LINES = 256
 BUCKET_TEXT = 64 << 20
 STAR = np.uint64(0x2A2A2A2A2A2A2A2A)
+LAST_BIT_OFF = ~np.uint64(1)
 
 VARIABLE = np.zeros(256, bool)
 VARIABLE[48:58] = VARIABLE[64] = True
 
 
 class Lines:
-    """Lines of a block with at least ``MIN_WORDS`` words: row in the block, number in its text, leaf, template, and word hashes."""
+    """Lines of a block with at least ``MIN_WORDS`` words: row in the block, number in its text, leaf, template, word hashes, and for long lines a hash of the very words."""
 
     def __init__(self, texts: Texts, depth: int = DEPTH):
         data = texts.data
@@ -51,6 +58,7 @@ class Lines:
         word = mix(range_hash(prefix_hash(data), start, end))
         seen = np.zeros(len(data) + 1, np.int64)
         np.cumsum(VARIABLE[data], out=seen[1:])
+        raw = word.copy()
         word[seen[end] > seen[start]] = STAR
         feeds = np.flatnonzero(data == 10)
         line = np.searchsorted(feeds, start)
@@ -63,10 +71,16 @@ class Lines:
         leaf = self.count.astype(np.uint64)
         for k in range(depth):
             leaf = leaf * BASE + word[self.first + k]
-        self.leaf = mix(leaf)
+        self.long = self.count >= LONG_WORDS
+        self.leaf = mix(leaf) & LAST_BIT_OFF | self.long  # the last bit: long lines
         total = np.zeros(len(word) + 1, np.uint64)
         np.cumsum(word * powers("up", len(word)), out=total[1:])
         self.template = mix((total[self.first + self.count] - total[self.first]) * powers("down", len(word) + 1)[self.first] + self.leaf)
+        fixed = np.append(0, np.cumsum(word != STAR))
+        fixed = fixed[self.first + self.count] - fixed[self.first]
+        self.template = self.template & LAST_BIT_OFF | (fixed >= np.maximum(LONG_WORDS, ALIKE * self.count))  # the last bit: long_docs are enough
+        np.cumsum(raw * powers("up", len(word)), out=total[1:])
+        self.exact = mix((total[self.first + self.count] - total[self.first]) * powers("down", len(word) + 1)[self.first] + self.leaf)
 
     def words_of(self, k: int) -> bytes:
         return self.word[self.first[k] : self.first[k] + self.count[k]].tobytes()
@@ -100,7 +114,7 @@ def _leaf_counts(buckets: int):
     return run
 
 
-def _often(min_docs: int):
+def _often(min_docs: int, long_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
         for batch in batches:
@@ -109,7 +123,7 @@ def _often(min_docs: int):
         if keys:
             key, number = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(number, weights=np.concatenate(counts))
-            often = key[total >= min_docs].view(np.int64)
+            often = key[total >= np.where(key & np.uint64(1), min(long_docs, min_docs), min_docs)].view(np.int64)
             for i in range(0, len(often), 100_000):
                 yield pa.record_batch([pa.array(often[i : i + 100_000])], names=["leaf"])
         tidy()
@@ -121,7 +135,7 @@ def _lines_of(bitmap: np.ndarray):
     """Lines in often reached leaves: each place (``words`` null), and each template once per block with its words (``rid`` null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["leaf", "template", "words", "doc_id", "rid", "line"]
+        names = ["leaf", "template", "words", "doc_id", "rid", "line", "exact"]
         for batch in batches:
             ids, rids = batch.column(0), batch.column(1).to_numpy()
             for row, texts in blocks(text_column(batch)):
@@ -131,10 +145,10 @@ def _lines_of(bitmap: np.ndarray):
                     continue
                 leaf, template = lines.leaf[often].view(np.int64), lines.template[often].view(np.int64)
                 at = row + lines.row[often]
-                yield pa.record_batch([pa.array(leaf), pa.array(template), pa.nulls(len(at), pa.binary()), ids.take(pa.array(at)), pa.array(rids[at]), pa.array(lines.number[often])], names=names)
+                yield pa.record_batch([pa.array(leaf), pa.array(template), pa.nulls(len(at), pa.binary()), ids.take(pa.array(at)), pa.array(rids[at]), pa.array(lines.number[often]), pa.array(lines.exact[often].view(np.int64), mask=~lines.long[often])], names=names)
                 once = np.unique(template, return_index=True)[1]
                 none = pa.nulls(len(once), pa.int64())
-                yield pa.record_batch([pa.array(leaf[once]), pa.array(template[once]), pa.array([lines.words_of(k) for k in often[once].tolist()], pa.binary()), pa.nulls(len(once), ids.type), none, none], names=names)
+                yield pa.record_batch([pa.array(leaf[once]), pa.array(template[once]), pa.array([lines.words_of(k) for k in often[once].tolist()], pa.binary()), pa.nulls(len(once), ids.type), none, none, none], names=names)
 
     return run
 
@@ -231,23 +245,31 @@ def _parse(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(template), pa.array(group)], names=["template", "grp"])
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
     """Places of lines to drop: ``rid``, ``line``. ``docs`` has ``doc_id``, ``rid``, ``text``."""
     spark = docs.sparkSession
     buckets = partitions_for(spark, text_bytes(docs), BUCKET_TEXT)
     counted = docs.select("text").mapInArrow(tidied(_leaf_counts(buckets)), "bucket long, leaves binary, counts binary").repartition(buckets, "bucket")
-    often = counted.mapInArrow(tidied(_often(min_docs)), "leaf long")
+    often = counted.mapInArrow(tidied(_often(min_docs, long_docs)), "leaf long")
     bitmap = id_bitmap(often, slot=F.expr(f"shiftrightunsigned(leaf, 20) & {(1 << 25) - 1}L"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = written(docs.select("doc_id", "rid", "text").mapInArrow(tidied(_lines_of(bitmap)), f"leaf long, template long, words binary, doc_id {kind}, rid long, line long"), "lines")
-    places = lines.where("words IS NULL").select("template", "doc_id", "rid", "line")
+    lines = written(docs.select("doc_id", "rid", "text").mapInArrow(tidied(_lines_of(bitmap)), f"leaf long, template long, words binary, doc_id {kind}, rid long, line long, exact long"), "lines")
+    places = lines.where("words IS NULL").select("template", "doc_id", "rid", "line", "exact")
     seen = places.groupBy("template").agg(F.count("*").alias("n"))
     words = lines.where("words IS NOT NULL").groupBy("leaf", "template").agg(F.min("words").alias("words"))
     groups = words.join(seen, "template").select("leaf", "template", "words", "n").groupBy("leaf").applyInArrow(_parse, "template long, grp long")
-    placed = written(places.join(groups, "template").select("grp", "doc_id", "rid", "line"), "placed")
-    each = placed.groupBy("grp", "rid").agg(F.min("doc_id").alias("doc_id"))
-    recurring = each.groupBy("grp").agg(F.count("*").alias("docs"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("home")).where(F.col("docs") >= min_docs)
-    return placed.join(recurring, "grp").where("rid <> home").select("rid", "line").distinct()
+    placed = written(places.join(groups, "template").select("grp", "doc_id", "rid", "line", "exact"), "placed")
+    least = F.when(F.col("key").bitwiseAND(1) == 1, min(long_docs, min_docs)).otherwise(min_docs)
+    alike = _beside_home(placed.withColumnRenamed("grp", "key"), least)
+    same = _beside_home(placed.where("exact IS NOT NULL").withColumnRenamed("exact", "key"), F.lit(min(long_docs, min_docs)))
+    return alike.unionByName(same).distinct()
+
+
+def _beside_home(placed: DataFrame, least: Column) -> DataFrame:
+    """Places of every ``key`` that enough documents hold, but for those in the first of them."""
+    each = placed.groupBy("key", "rid").agg(F.min("doc_id").alias("doc_id"))
+    recurring = each.groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("home")).where(F.col("docs") >= least)
+    return placed.join(recurring, "key").where("rid <> home").select("rid", "line")
 
 
 def _cut_lines(text_at: int, chars_at: int | None):
@@ -271,12 +293,12 @@ def _cut_lines(text_at: int, chars_at: int | None):
     return run
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
     """``docs`` with recurring lines cut from ``text``, and ``n_dropped`` lines per row. Needs ``doc_id`` and ``text``."""
     small_batches(docs.sparkSession, 500)
     names = docs.columns
     keyed = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
-    drops = written(recurring_lines(keyed.select("doc_id", F.col("__rid").alias("rid"), "text"), min_docs), "drops")
+    drops = written(recurring_lines(keyed.select("doc_id", F.col("__rid").alias("rid"), "text"), min_docs, long_docs), "drops")
     bitmap = id_bitmap(drops.select("rid"))
     some, none = split_marked(keyed, "__rid", bitmap)
     lists = drops.groupBy("rid").agg(F.collect_list("line").alias("__drop")).withColumnRenamed("rid", "__r")

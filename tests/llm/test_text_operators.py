@@ -152,6 +152,20 @@ def test_recurring_line_with_many_names_is_one_template(spark):
     assert [got[i] for i, _ in docs] == brute_templates(docs, templates.MIN_DOCS)
 
 
+def test_long_lines_recur_in_two_documents(spark):
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(n))
+    own = {i: line(70) for i in range(30)}
+    long, least, short, notice = line(80), line(templates.LONG_WORDS), line(templates.LONG_WORDS - 1), line(9)
+    numbers = [" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(4)]
+    edited = " ".join([*long.split()[:60], *line(20).split()])
+    held = {0: [long], 1: [edited], 2: [least], 3: [least, long], 4: [short], 5: [short], 6: [short], 7: [short], **{i: [notice] for i in range(10, 15)}, **{20 + i: [x] for i, x in enumerate(numbers[:3])}, 23: [numbers[1]]}
+    kept = {0: [long], 2: [least], 4: [short], 5: [short], 6: [short], 7: [short], 10: [notice], **{20 + i: [x] for i, x in enumerate(numbers[:3])}}
+    text = lambda of, i: "\n".join([own[i], *of.get(i, [])])
+    df = spark.createDataFrame([(i, text(held, i)) for i in own], "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.text for r in templates.drop_recurring(df).collect()} == {i: text(kept, i) for i in own}
+
+
 def test_planted_copies_are_found_and_clean_text_is_not(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(900)] + ["the", "of", "and"] * 200
