@@ -97,17 +97,25 @@ def label_cells(pixels: DataFrame, prior: DataFrame, cell_px: int) -> DataFrame:
     return out.select(*keys, F.when(F.col("pooled") == 2, 1).otherwise(F.col("pooled")).alias("target"), "agent", F.coalesce("percent", F.lit(255)).alias("di"))
 
 
-def nearby(objects: DataFrame, focus: DataFrame, radius: float, tile: float, refined: DataFrame | None = None) -> DataFrame:
+def nearby(objects: DataFrame, focus: DataFrame, radius: float, tile: float, refined: DataFrame | None = None, one_box: bool = False) -> DataFrame:
     """Objects whose box is within a radius of a focus box; a refined outline is preferred.
 
     Boxes are minx, maxx, miny, maxy; ``focus`` has focus_id, ``refined`` object_id and area_ha.
+    With ``one_box`` no focus_id has two boxes; a pair is then made only in the tile of its common corner, so pairs need not be compared.
     """
+    if one_box:
+        objects, focus = objects.distinct(), focus.distinct()
     o = objects.select("*", _tiles("minx", "maxx", tile).alias("_tx")).select("*", _tiles("miny", "maxy", tile).alias("_ty"))
     f = focus.select("focus_id", *[F.col(c).alias(f"f_{c}") for c in ("minx", "maxx", "miny", "maxy")])
     f = f.select("*", _tiles("f_minx", "f_maxx", tile, radius).alias("_tx")).select("*", _tiles("f_miny", "f_maxy", tile, radius).alias("_ty"))
     r = F.lit(radius)
     hit = (F.col("maxx") >= F.col("f_minx") - r) & (F.col("minx") <= F.col("f_maxx") + r) & (F.col("maxy") >= F.col("f_miny") - r) & (F.col("miny") <= F.col("f_maxy") + r)
-    both = o.join(f, ["_tx", "_ty"]).where(hit).select("focus_id", *objects.columns).distinct()
+    both = o.join(f, ["_tx", "_ty"]).where(hit)
+    if one_box:
+        corner = lambda low: F.floor(F.greatest(F.col(low), F.col(f"f_{low}") - r) / tile)
+        both = both.where((F.col("_tx") == corner("minx")) & (F.col("_ty") == corner("miny"))).select("focus_id", *objects.columns)
+    else:
+        both = both.select("focus_id", *objects.columns).distinct()
     if refined is None:
         return both.withColumn("geom_src", F.lit("object"))
     out = both.join(refined.select("object_id", F.col("area_ha").alias("_fine")), "object_id", "left")

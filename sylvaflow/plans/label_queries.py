@@ -307,6 +307,14 @@ def nearby_objects(spark, sf):
     return n.groupBy("focus_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("geom_src") == "refined", 1)).alias("refined"), r6(F.sum("area_ha")).alias("area_ha"))
 
 
+@query("nearby_every_object")
+def nearby_every_object(spark, sf):
+    b = boxes(spark, sf)
+    refined = b.where("object_id % 3 = 0").select("object_id", (F.col("area_ha") * 2).alias("area_ha"))
+    n = A.nearby(b, b.withColumnRenamed("object_id", "focus_id"), 300.0, 512.0, refined, one_box=True)
+    return n.groupBy("focus_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("geom_src") == "refined", 1)).alias("refined"), r6(F.sum("area_ha")).alias("area_ha"))
+
+
 @query(
     "tile_strata",
     """WITH c AS (SELECT l_orderkey % 64 // 16 * 10 + l_partkey % 64 // 16 AS tile, 's' || (l_suppkey % 9) AS stand, (['Fire', 'Harvest', 'Weather'])[CAST(l_suppkey % 3 + 1 AS INTEGER)] AS lab, count(DISTINCT (l_orderkey % 64, l_partkey % 64)) AS n FROM lineitem GROUP BY ALL)
