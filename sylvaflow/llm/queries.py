@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaflow.llm import backoff_scores, ball_tree, decontaminate, language, packing, parity_join, quality, repeats, templates, token_store
+from sylvaflow.llm import backoff_scores, ball_tree, decontaminate, language, merge_replay, packing, parity_join, quality, repeats, templates, token_store, turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,18 @@ def op9_decontamination(spark, sf_dir):
 @query("op10_backoff_scores")
 def op10_backoff_scores(spark, sf_dir):
     return backoff_scores.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op12_merge_replay")
+def op12_merge_replay(spark, sf_dir):
+    both = merge_replay.decode(merge_replay.encode(table(spark, sf_dir, "documents")))
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op13_turn_repair")
+def op13_turn_repair(spark, sf_dir):
+    return turn_repair.summary(turn_repair.damaged(table(spark, sf_dir, "conversations")), F.col("present"))
