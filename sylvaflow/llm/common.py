@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 TEXT_BLOCK = 1 << 20  # bytes of text that one vectorised step works on
 BATCH_ROWS = 1000  # rows of an Arrow batch; texts are long
+BATCH_BYTES = 8 << 20  # bytes of an Arrow batch
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _G1, _G2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -42,17 +43,36 @@ def tidied(run):
     return whole
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches of at most ``rows`` rows, so that a batch of long texts fits a worker."""
+_HELD: dict = {}
+
+
+def held(owner: str, key, make):
+    """A table that a worker keeps between tasks; the tables of one operator go when another one asks for its own."""
+    if _HELD.get("owner") != owner:
+        _HELD.clear()
+        _HELD["owner"] = owner
+        tidy()
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, nbytes: int = BATCH_BYTES) -> None:
+    """Arrow batches of at most ``rows`` rows and about ``nbytes`` bytes, so that a batch of long texts fits a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= nbytes:
+        spark.conf.set(key, f"{nbytes}b")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset, under the warehouse folder."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, a local session takes one under the warehouse folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sylvaflow.llm.common import small_batches, tidied
+from sylvaflow.llm.common import held, small_batches, tidied
 from sylvaflow.llm.tokens import SPLITS, _room
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -230,20 +230,15 @@ def public_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-_TOKENS: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-
 def encode(docs: DataFrame, key: str = "doc_id", column: str = "text", vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
     """``key`` and ``ids`` (array of int) of every row; the split pattern is that of the public rank files unless one is given."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = (rank_file(vocabulary), pattern or public_pattern())
-        if of not in _ENCODERS:
-            _ENCODERS[of] = Encoder(*of)
+        encoder = held("merge replay", of, lambda: Encoder(*of))
         for batch in batches:
-            ids, size = _ENCODERS[of].encode(batch.column(1).to_pylist())
+            ids, size = encoder.encode(batch.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.record_batch([batch.column(0), lists], names=[key, "ids"])
 
@@ -252,19 +247,18 @@ def encode(docs: DataFrame, key: str = "doc_id", column: str = "text", vocabular
 
 
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all ids one after the other, where each begins, and how long it is; kept by the worker."""
-    if path not in _TOKENS:
-        tokens = read_ranks(path)
-        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        _TOKENS[path] = (np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size)
-    return _TOKENS[path]
+    """Bytes of all ids one after the other, where each begins, and how long it is."""
+    tokens = read_ranks(path)
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
     """``key``, ``ids`` and ``decoded`` (binary) of every row of ``encoded``; null or no ids give no bytes, an id outside the vocabulary is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, first, size = token_bytes(rank_file(vocabulary))
+        path = rank_file(vocabulary)
+        data, first, size = held("merge replay", path, lambda: token_bytes(path))
         for batch in batches:
             lists = batch.column(1)
             n_ids = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

@@ -461,8 +461,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     more = component.groupBy("component").agg(F.sum("rows").alias("n")).where("n > 1").select("component")
     grouped = component.join(more, "component").select("rid", "component")
     ids = keyed.select("doc_id", F.col("__rid").alias("rid")).distinct().join(grouped, "rid")
-    first = W.partitionBy("component").orderBy(F.col("doc_id").isNull(), "doc_id", "rid")
-    state = written(ids.select(F.col("rid").alias("__r"), (F.row_number().over(first) == 1).alias("__stays")), "states")
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("__first"))
+    state = written(ids.join(first, "component").select(F.col("rid").alias("__r"), (F.col("rid") == F.col("__first")).alias("__stays")), "states")
     some, none = split_marked(keyed, "__rid", id_bitmap(state.select("__r")))
     named = [F.col(f"`{n}`") for n in docs.columns]
     place = F.row_number().over(W.partitionBy("__rid").orderBy(F.lit(1)))

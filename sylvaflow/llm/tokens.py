@@ -10,15 +10,20 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 
+from sylvaflow.llm.common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LATIN = "à-öø-ÿß"
 UNUSUAL = re.compile("[^\\x20-\\x7e\n\t\rÀ-ÖØ-öø-ÿ]|<\\|")
-KEPT_PIECES = 800_000  # about 150 MB; then a worker starts anew
+KEPT_PIECES = 500_000  # about 100 MB; then a worker starts anew
+RUN_CHARS = 1 << 19  # characters of texts that are encoded together; a longer text is a run of its own
+NONE = np.zeros(0, np.int64)
 LONG_PIECE = 64
 
 #: How a vocabulary splits text, with lower case only for the word vocabulary; fixed by the tokenizer files.
@@ -58,7 +63,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: defaultdict[str, int] = defaultdict(count().__next__)  # a piece that is asked for gets the next number
+        self.known = 0  # numbers whose ids are in the arrays
         self.first = np.zeros(1 << 12, np.int64)  # all three grow by doubling
         self.size = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.uint32)
@@ -103,72 +109,76 @@ class Encoder:
             out += np.split(ids, start[1:]) if whole else self.whole(group)
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if len(p) <= LONG_PIECE and not p.isspace()]
-        odd = [p for p in pieces if len(p) > LONG_PIECE or p.isspace()]
-        ids = self._bulk(plain) + (self.whole(odd) if odd else [])
-        number = len(self.place)
-        for k, piece in enumerate(plain + odd, start=number):
-            self.place[piece] = k
+    def _learn(self) -> None:
+        """Ids of the pieces that were numbered since the last call."""
+        pieces = list(islice(self.place, self.known, None))
+        if not pieces:
+            return
+        number = self.known + len(pieces)
+        plain = [k for k, p in enumerate(pieces) if len(p) <= LONG_PIECE and not p.isspace()]
+        odd = [k for k, p in enumerate(pieces) if len(p) > LONG_PIECE or p.isspace()]
+        ids = self._bulk([pieces[k] for k in plain]) + (self.whole([pieces[k] for k in odd]) if odd else [])
+        at = self.known + np.array(plain + odd, np.int64)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        self.first, self.size, self.flat = _room(self.first, number + len(ids)), _room(self.size, number + len(ids)), _room(self.flat, self.used + len(new))
-        self.first[number : number + len(ids)] = self.used + np.cumsum(size) - size
-        self.size[number : number + len(ids)] = size
+        new = np.concatenate(ids)
+        self.first, self.size, self.flat = _room(self.first, number), _room(self.size, number), _room(self.flat, self.used + len(new))
+        self.first[at] = self.used + np.cumsum(size) - size
+        self.size[at] = size
         self.flat[self.used : self.used + len(new)] = new
-        self.used += len(new)
+        self.known, self.used = number, self.used + len(new)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """One array of ids per text; null is taken as empty."""
-        if len(self.place) > KEPT_PIECES:
+        """One array of ids per text; null is taken as empty.
+
+        Texts go in runs of bounded length: one lookup of all their pieces, then one gather of all their ids.
+        """
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            end, length = at + 1, len(texts[at] or "")
+            while end < len(texts) and length + len(texts[end] or "") <= RUN_CHARS:
+                length += len(texts[end] or "")
+                end += 1
+            out += self._encode_run(texts[at:end])
+            at = end
+        return out
+
+    def _encode_run(self, texts: list[str]) -> list[np.ndarray]:
+        if self.known > KEPT_PIECES:
             self.forget()
-        split, place = self.split.findall, self.place
-        out: list[np.ndarray | None] = [None] * len(texts)
-        rows, found = [], []
-        whole = []
+        split, number = self.split.findall, self.place.__getitem__
+        lower, whole, found = self.kind == "word", [], []
         for k, text in enumerate(texts):
             if not text:
-                out[k] = np.zeros(0, np.uint32)
+                found.append(NONE)
             elif UNUSUAL.search(text):
                 whole.append(k)
+                found.append(NONE)
             else:
-                rows.append(k)
-                found.append(split(text.lower() if self.kind == "word" else text))
+                pieces = split(text.lower() if lower else text)
+                found.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
+        self._learn()
+        piece = np.concatenate(found)
+        size = self.size[piece]
+        upto = np.zeros(len(piece) + 1, np.int64)
+        np.cumsum(size, out=upto[1:])
+        ids = self.flat[np.repeat(self.first[piece] - upto[:-1], size) + np.arange(upto[-1])]
+        ends = upto[np.cumsum([len(f) for f in found])].tolist()
+        out = [ids[a:b] for a, b in zip([0, *ends], ends)]
         if whole:
-            for k, ids in zip(whole, self.whole([texts[k] for k in whole])):
-                out[k] = ids
-        if rows:
-            new: dict[str, None] = {}
-            numbers = []
-            for pieces in found:
-                at = np.fromiter(map(place.get, pieces, repeat(-1)), np.int64, len(pieces))
-                numbers.append(at)
-                for i in np.flatnonzero(at < 0).tolist():
-                    new[pieces[i]] = None
-            if new:
-                self._learn(list(new))
-            for k, pieces, at in zip(rows, found, numbers):
-                missing = np.flatnonzero(at < 0)
-                if len(missing):
-                    at[missing] = [place[pieces[i]] for i in missing.tolist()]
-                size = self.size[at]
-                total = np.cumsum(size)
-                shift = self.first[at] - total + size
-                out[k] = self.flat[np.repeat(shift, size) + np.arange(total[-1] if len(total) else 0)]
-        return out  # type: ignore[return-value]
-
-
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+            for k, own in zip(whole, self.whole([texts[k] for k in whole])):
+                out[k] = own
+        return out
 
 
 def encoder(vocabulary: str, kind: str) -> Encoder:
     """The worker's encoder for a file, by path or by name of a public vocabulary."""
-    key = (vocabulary, kind)
-    if key not in _ENCODERS:
-        path = vocabulary
-        if "/" not in vocabulary:
-            import public_tokenizers
-
-            path = public_tokenizers.path(vocabulary)
-        _ENCODERS[key] = Encoder(path, kind)
-    return _ENCODERS[key]
+
+    def make() -> Encoder:
+        if "/" in vocabulary:
+            return Encoder(vocabulary, kind)
+        import public_tokenizers
+
+        return Encoder(public_tokenizers.path(vocabulary), kind)
+
+    return held("tokens", (vocabulary, kind), make)

@@ -64,16 +64,16 @@ def diagnosed(rows: DataFrame, present: Column | None = None) -> DataFrame:
     last = F.substring(F.rtrim(F.col("text"), F.lit(SPACES)), -1, 1)
     fault = F.when(last == "", "blank").when(F.col("seen"), "duplicate").when(~last.isin(".", "!", "?"), "truncated")
     initial = F.substring("role", 1, 1)
-    inside = Window.partitionBy("conv_id").orderBy(*order, "role", "text")
-    flagged = base.withColumn("seen", seen).withColumn("fault", fault).withColumn("initial", initial).drop("seen")
+    inside = Window.partitionBy("conv_id").orderBy(*order, "role", "text", "seen")  # of equal rows the first one is not a duplicate
+    flagged = base.withColumn("seen", seen).withColumn("fault", fault).withColumn("initial", initial)
     pair = F.concat(F.lag("initial").over(inside), F.col("initial"))
     same_turn = F.lag("turn").over(inside) == F.col("turn")
     return flagged.select(
-        "conv_id", "present", "turn", "role", "text", "fault", "initial",
+        "conv_id", "present", "turn", "role", "text", "seen", "fault", "initial",
         (F.row_number().over(inside) == 1).alias("head"),
         (F.col("present") & F.coalesce(~pair.isin(*LEGAL), F.lit(False))).alias("illegal"),
         (F.col("present") & F.col("turn").isNotNull() & ~F.coalesce(same_turn, F.lit(False))).alias("new_turn"),
-    ).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), *order, "role", "text")
+    ).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), *order, "role", "text", "seen")
 
 
 # ---- the min-plus transitions -------------------------------------------------
