@@ -46,7 +46,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The stages learn, parse and align; they are tested against brute force instead.
+#: The stages learn, parse and align. Those after the classifier are tested against plain versions of them, each on its own input.
 ORACLE_SQL = None
 
 

@@ -493,6 +493,41 @@ def distance_to(cells: DataFrame, seed: Column, keys: Sequence[str] = DATE) -> D
     return df.groupBy(*keys, "_b").applyInArrow(across, schema)
 
 
+def distances(cells: DataFrame, seeds: Mapping[str, Column], reach: int, keys: Sequence[str] = DATE) -> DataFrame:
+    """Exact distance in cells to the nearest seed of every mask, null beyond ``reach``.
+
+    All masks share one column pass (windows) and one row pass (blocks of rows), which looks
+    at most ``reach`` columns to both sides: the work does not grow with the area of a disk.
+    Needs a complete grid.
+    """
+    keys, reach = list(keys), int(reach)
+    up = W.partitionBy(*keys, "col").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*keys, "col").orderBy("row").rowsBetween(0, W.unboundedFollowing)
+    gap = lambda at: F.least(F.col("row") - F.last(at, ignorenulls=True).over(up), F.first(at, ignorenulls=True).over(down) - F.col("row"))
+    df = cells.withColumns({n: gap(F.when(seed, F.col("row"))).cast("double") for n, seed in seeds.items()})
+    df = df.withColumn("_b", F.floor(F.col("row") / ROW_BLOCK))
+    names = list(seeds)
+    schema = T.StructType([*cells.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def across(table: pa.Table) -> pa.Table:
+        row, col = table["row"].to_numpy(), table["col"].to_numpy()
+        y, x = row - row.min(), col - col.min()
+        out = table.drop_columns([*names, "_b"])
+        for name in names:
+            g = table[name].to_pandas().to_numpy("float64")
+            field = np.full((y.max() + 1, x.max() + 1), np.inf)
+            field[y, x] = np.where(np.isnan(g) | (g > reach), np.inf, g**2)
+            best = field.copy()
+            for k in range(1, min(reach + 1, field.shape[1])):
+                best[:, k:] = np.minimum(best[:, k:], field[:, :-k] + k * k)
+                best[:, :-k] = np.minimum(best[:, :-k], field[:, k:] + k * k)
+            far = np.sqrt(best[y, x])
+            out = out.append_column(name, pa.array(far, mask=~(far <= reach + 1e-9)))
+        return out
+
+    return df.groupBy(*keys, "_b").applyInArrow(across, schema)
+
+
 def edge_cells(cells: DataFrame, flag: str, zone: Sequence[str]) -> DataFrame:
     """Adds ``edge`` (differs from a 4-neighbour of the zone) and ``interior`` (all 8 neighbours in the zone)."""
     zone = list(zone)
@@ -673,10 +708,32 @@ def lattice_starts(axis: DataFrame, chip: int, stride: int) -> DataFrame:
     return axis.select("*", F.explode(F.when(F.col("length") <= chip, F.array(F.lit(0).cast("bigint"))).otherwise(starts)).alias("start"))
 
 
+def outward_grid(bounds: DataFrame, pixel_m: float, cell_px: int) -> DataFrame:
+    """Cells of a global lattice that cover the bounds of each unit, snapped outward: first
+    column and last row in pixels of the lattice (west and north edge), and the numbers of columns and rows.
+
+    ``bounds``: unit, minx, miny, maxx, maxy. Edges are first rounded to whole pixels.
+    """
+    edge = lambda c: F.rint(F.col(c) / pixel_m)
+    down, up = (lambda c: F.floor(edge(c) / cell_px) * cell_px), (lambda c: F.ceil(edge(c) / cell_px) * cell_px)
+    left, right, bottom, top = down("minx"), up("maxx"), down("miny"), up("maxy")
+    return bounds.select("unit", left.cast("bigint").alias("col0"), top.cast("bigint").alias("row0"), ((right - left) / cell_px).cast("bigint").alias("cols"), ((top - bottom) / cell_px).cast("bigint").alias("rows"))
+
+
+def grid_blocks(grids: DataFrame, block: int, halo: int) -> DataFrame:
+    """Blocks that tile each grid, north to south and west to east: place and size in cells, and
+    the size of the block with its halo, which may lie beyond the grid."""
+    starts = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1, F.lit(block).cast("bigint")))
+    b = grids.where("rows > 0 AND cols > 0").select("*", starts("rows").alias("row")).select("*", starts("cols").alias("col"))
+    size = lambda n, at: F.least(F.lit(block), F.col(n) - F.col(at)).cast("bigint")
+    out = b.select("unit", "row", "col", size("rows", "row").alias("n_rows"), size("cols", "col").alias("n_cols"))
+    return out.withColumns({"halo_rows": F.col("n_rows") + 2 * halo, "halo_cols": F.col("n_cols") + 2 * halo})
+
+
 def halo_blocks(cells: DataFrame, block: int, halo: int, keys: Sequence[str] = DATE) -> DataFrame:
     """Every cell with all blocks whose halo it lies in; ``core`` marks its own block."""
     own = lambda a: F.floor(F.col(a) / block)
-    reach = lambda a: F.explode(F.array_distinct(F.array(F.floor((F.col(a) - halo) / block), own(a), F.floor((F.col(a) + halo) / block))))
+    reach = lambda a: F.explode(F.sequence(F.floor((F.col(a) - halo) / block), F.floor((F.col(a) + halo) / block)))
     out = cells.select("*", reach("row").alias("block_row")).select("*", reach("col").alias("block_col"))
     return out.withColumn("core", (F.col("block_row") == own("row")) & (F.col("block_col") == own("col"))).where("block_row >= 0 AND block_col >= 0")
 

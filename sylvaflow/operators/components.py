@@ -87,8 +87,8 @@ def merge_labels(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         state = (now["n"], now["h"])
 
 
-def label_components(cells: DataFrame, keys: Sequence[str] = DATE, *, connectivity: int = 8, tile: int = TILE) -> DataFrame:
-    """Adds ``label``, the first cell number of the component, to a cell set (keys, row, col, ...)."""
+def tile_parts(cells: DataFrame, keys: Sequence[str] = DATE, *, connectivity: int = 8, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """Cells with the ``label`` of their part inside a tile, and pairs ``a``, ``b`` of parts that touch across tiles."""
     keys = list(keys)
     base = cells.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
     base = base.withColumns({"_tr": F.floor(F.col("row") / tile).cast("int"), "_tc": F.floor(F.col("col") / tile).cast("int")})
@@ -105,8 +105,13 @@ def label_components(cells: DataFrame, keys: Sequence[str] = DATE, *, connectivi
     heads = shifted(border.select(*keys, "row", "col", "_tr", "_tc", F.col("label").alias("a")), _forward(connectivity))
     heads = heads.where((F.floor(F.col("row") / tile) != F.col("_tr")) | (F.floor(F.col("col") / tile) != F.col("_tc")))
     edges = heads.select(*keys, "row", "col", "a").join(border.select(*keys, "row", "col", F.col("label").alias("b")), [*keys, "row", "col"]).select(*keys, "a", "b").distinct()
-    edges = cut_lineage(edges)
-    labelled = local.drop("_tr", "_tc")
+    return local.drop("_tr", "_tc"), cut_lineage(edges)
+
+
+def label_components(cells: DataFrame, keys: Sequence[str] = DATE, *, connectivity: int = 8, tile: int = TILE) -> DataFrame:
+    """Adds ``label``, the first cell number of the component, to a cell set (keys, row, col, ...)."""
+    keys = list(keys)
+    labelled, edges = tile_parts(cells, keys, connectivity=connectivity, tile=tile)
     if not edges.isEmpty():
         roots = merge_labels(edges, keys).withColumnRenamed("node", "label")
         labelled = labelled.join(roots, [*keys, "label"], "left").withColumn("label", F.coalesce("root", "label")).drop("root")
@@ -120,21 +125,35 @@ def drop_small(cells: DataFrame, least: int, keys: Sequence[str] = DATE, *, conn
     return lab.join(size, [*keys, "label"])
 
 
-def fill_holes(cells: DataFrame, grid: DataFrame, largest: int, keys: Sequence[str] = DATE, *, touch_border: bool = True) -> DataFrame:
+def fill_holes(cells: DataFrame, grid: DataFrame, largest: int, keys: Sequence[str] = DATE, *, touch_border: bool = True, tile: int = TILE) -> DataFrame:
     """Cell set with background components (4-connected) of at most ``largest`` cells added.
 
     ``grid`` lists all cells; without ``touch_border`` holes at the edge of the grid stay.
+    A part of a tile that is larger than a hole, or on a border that holes may not touch, is
+    open: it is never merged, it only opens the small parts beside it.
     """
     keys = list(keys)
-    cell = [*keys, "row", "col"]
-    back = label_components(grid.select(*cell).join(cells.select(*cell), cell, "left_anti"), keys, connectivity=4)
-    size = back.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    small = size.where(F.col("n") <= largest)
+    cell, part = [*keys, "row", "col"], [*keys, "label"]
+    back, edges = tile_parts(grid.select(*cell).join(cells.select(*cell), cell, "left_anti"), keys, connectivity=4, tile=tile)
+    size = back.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    is_open = F.col("n") > largest
     if not touch_border:
         box = grid.groupBy(*keys).agg(F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("col").alias("left"), F.max("col").alias("right"))
-        small = small.join(box, keys).where("r0 > top AND r1 < bottom AND c0 > `left` AND c1 < `right`")
-    holes = back.join(small.select(*keys, "label"), [*keys, "label"], "left_semi").select(*cell)
-    return cells.select(*cell).unionByName(holes).distinct()
+        size = size.join(box, keys)
+        is_open = is_open | (F.col("r0") <= F.col("top")) | (F.col("r1") >= F.col("bottom")) | (F.col("c0") <= F.col("left")) | (F.col("c1") >= F.col("right"))
+    size = cut_lineage(size.select(*part, "n", is_open.alias("open")))
+    small = size.where("NOT open").select(*part, "n")
+    both = edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+    opened = both.join(size.where("open").select(*keys, F.col("label").alias("b")), [*keys, "b"], "left_semi").select(*keys, F.col("a").alias("label")).distinct()
+    is_small = lambda end: small.select(*keys, F.col("label").alias(end))
+    inner = cut_lineage(edges.join(is_small("a"), [*keys, "a"], "left_semi").join(is_small("b"), [*keys, "b"], "left_semi"))
+    whole = small.join(opened.withColumn("_open", F.lit(True)), part, "left").withColumn("root", F.col("label"))
+    if not inner.isEmpty():
+        roots = merge_labels(inner, keys).select(*keys, F.col("node").alias("label"), F.col("root").alias("_root"))
+        whole = whole.join(roots, part, "left").withColumn("root", F.coalesce("_root", "root")).drop("_root")
+    holes = whole.groupBy(*keys, "root").agg(F.sum("n").alias("_n"), F.coalesce(F.bool_or("_open"), F.lit(False)).alias("_o")).where((F.col("_n") <= largest) & ~F.col("_o"))
+    labels = whole.join(holes.select(*keys, "root"), [*keys, "root"], "left_semi").select(*part)
+    return cells.select(*cell).unionByName(back.join(labels, part, "left_semi").select(*cell)).distinct()
 
 
 def clean_mask(cells: DataFrame, grid: DataFrame, min_patch: int, largest_hole: int, keys: Sequence[str] = DATE) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sylvaflow import params as P
 from sylvaflow.functions.columns import holds, lookup
 from sylvaflow.functions.scalars import change_label, reason_group
-from sylvaflow.operators.cells import dilate, disk
+from sylvaflow.operators.cells import distances
 
 PIXEL_M = 0.6
 PIXEL = ["window_id", "k", "row", "col"]
@@ -60,8 +60,9 @@ def interval_reasons(pixels: DataFrame, parts: DataFrame, rule: Mapping = P.RULE
     precise, wide_margin, oversize, agent.
 
     Every layer gives ``(pixel, priority, order, reason)`` and the highest one of a pixel
-    counts: one aggregation instead of a sequence of overwrites. Rings and bands are bounded
-    dilations of candidate pixels.
+    counts: one aggregation instead of a sequence of overwrites. Rings and bands come from one
+    distance field per mask, all in one pass over the pixels, so a wide margin costs no more
+    than a narrow one. ``pixels`` holds every pixel of a window.
     """
     code = P.REASONS
     loss = F.col("outcome").isin(P.LOSS_OUTCOMES)
@@ -81,34 +82,40 @@ def interval_reasons(pixels: DataFrame, parts: DataFrame, rule: Mapping = P.RULE
         layer(own.where(F.col("outcome").isin(list(_VERDICT))), "verdict", lookup("outcome", {o: code[r] for o, r in _VERDICT.items()})),
         layer(live.where(loss & (part == "trimmed")), "trimmed", F.lit(code["outline_trimmed"])),
     ]
-    # ring around candidates whose interior is loss or unlabelled
-    ring = live.where(~F.col("outcome").isin([*P.BACKGROUND_OUTCOMES, "under_min"])).where(inside | ((part == "extension") & ~loose))
+    # ring around candidates whose interior is loss or unlabelled, and bands on both sides of labelled loss
+    ring = ~F.col("outcome").isin([*P.BACKGROUND_OUTCOMES, "under_min"]) & (inside | ((part == "extension") & ~loose))
     width = F.when(F.col("wide_margin"), _px(rule["margin_wide_m"])).when(F.col("precise") & loss, _px(rule["margin_precise_m"])).otherwise(_px(rule["margin_m"]))
-    for w in sorted({_px(rule["margin_m"]), _px(rule["margin_wide_m"]), _px(rule["margin_precise_m"])}):
-        near = dilate(ring.where(width == w), disk(w) if w else [(0, 0)], PIXEL[:2])
-        layers.append(layer(near.withColumn("seq", F.lit(0)), "margin", F.lit(code["margin"])))
+    widths = sorted({_px(rule["margin_m"]), _px(rule["margin_wide_m"]), _px(rule["margin_precise_m"])})
+    is_lost = loss & ((part == "core") | ((part == "extension") & F.col("crisp")))
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    masks = live.groupBy(*PIXEL).agg(
+        *[some(ring & (width == w)).alias(f"_ring{w}") for w in widths], some(loss & part.isin("core", "extension")).alias("_foot"),
+        some(is_lost & F.col("precise")).alias("_precise"), some(is_lost).alias("_lost"),
+    )
+    field = pixels.select(*PIXEL).distinct().join(masks, PIXEL, "left").fillna(False, [c for c in masks.columns if c not in PIXEL])
+    field = field.withColumn("_envelope", F.col("_lost") & ~F.col("_precise"))
+    bands = {name: (_px(rule[f"band_{name}_m"]), _px(rule[f"band_inside_{name}_m"])) for name in ("precise", "envelope")}
+    seeds = {f"_to_ring{w}": F.col(f"_ring{w}") for w in widths} | {f"_to_{name}": F.col(f"_{name}") for name in bands} | {"_to_outside": ~F.col("_foot")}
+    field = distances(field, seeds, max([*widths, *[w for pair in bands.values() for w in pair]]), PIXEL[:2])
+    near = F.lit(False)
+    for w in widths:
+        near = near | holds(F.col(f"_to_ring{w}") <= w)
+    hits = [(near, "margin", "margin")]
+    for name, (outer, inner) in bands.items():
+        if outer > 0:
+            hits.append((holds(F.col(f"_to_{name}") <= outer) & ~F.col("_foot"), "boundary_outside", "boundary_outside"))
+        if inner > 0:  # depth counts to pixels of the window only
+            hits.append((F.col(f"_{name}") & holds(F.col("_to_outside") <= inner), "boundary_inside", "boundary_inside"))
+    found = [F.when(hit, F.struct(F.lit(PRIORITY[level]).alias("p"), F.lit(0).alias("s"), F.lit(code[reason]).alias("reason"), F.lit(P.IGNORE).alias("agent"))) for hit, level, reason in hits]
+    layers.append(field.select(*PIXEL, F.explode(F.array_compact(F.array(*found))).alias("layer")))
     ext = live.where(loss & (part == "extension") & ~F.col("crisp"))
     wooded = pixels.select(*PIXEL, base_reason(rule).isin(code["nonforest"]).alias("_open"))
     ext = ext.join(wooded, PIXEL, "left").where(~(F.col("oversize") & holds(F.col("_open"))))
     layers.append(layer(ext, "extension_ignored", F.lit(code["extension_ignored"])))
-    lost = live.where(loss & ((part == "core") | ((part == "extension") & F.col("crisp"))))
+    lost = live.where(is_lost)
     core = lookup("outcome", {o: code[r[0]] for o, r in _LOSS.items()})
     more = lookup("outcome", {o: code[r[1]] for o, r in _LOSS.items()})
     layers.append(layer(lost, "loss", F.when(part == "core", core).otherwise(more), F.coalesce("agent", F.lit(P.IGNORE))))
-    # bands on both sides of the outline of labelled loss
-    footprint = live.where(loss & part.isin("core", "extension")).select(*PIXEL).distinct()
-    is_precise = lost.groupBy(*PIXEL).agg(F.max(F.col("precise").cast("int")).alias("_pr"))
-    for name, flag in (("precise", 1), ("envelope", 0)):
-        mine = is_precise.where(F.col("_pr") == flag).select(*PIXEL)
-        outer, inner = _px(rule[f"band_{name}_m"]), _px(rule[f"band_inside_{name}_m"])
-        if outer > 0:
-            out = dilate(mine, disk(outer), PIXEL[:2]).join(footprint, PIXEL, "left_anti")
-            layers.append(layer(out.withColumn("seq", F.lit(0)), "boundary_outside", F.lit(code["boundary_outside"])))
-        if inner > 0:
-            # depth counts to pixels of the window only; the nearest pixel outside the footprint touches it
-            touch = dilate(footprint, [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)], PIXEL[:2]).join(footprint, PIXEL, "left_anti").join(pixels.select(*PIXEL), PIXEL, "left_semi")
-            edge = mine.join(dilate(touch, disk(inner), PIXEL[:2]), PIXEL, "left_semi")
-            layers.append(layer(edge.withColumn("seq", F.lit(0)), "boundary_inside", F.lit(code["boundary_inside"])))
     base = layer(pixels.withColumn("seq", F.lit(0)), "base", base_reason(rule))
     gone = layer(pixels.where(F.col("no_data") | F.col("cover_before").isNull()).withColumn("seq", F.lit(0)), "no_data", F.lit(code["no_data"]))
     every = base.unionByName(gone)

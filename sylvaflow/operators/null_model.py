@@ -213,7 +213,7 @@ def bh_reject(cells: DataFrame, z: str, null: DataFrame, *, q: float = 0.05, key
     df = cells.join(null.select(*keys, "mu0", "sigma0"), keys)
     u = F.try_divide(F.col(z) - F.col("mu0"), F.col("sigma0"))
     df = df.withColumn("p_value", normal_cdf(u)).drop("mu0", "sigma0")
-    ranked = ordered_counts(df.where(F.col("p_value").isNotNull()), keys, "p_value", 1 / 512, sums={"n": F.lit(1)})
+    ranked = ordered_counts(df.where(F.col("p_value").isNotNull()), keys, "p_value", None, sums={"n": F.lit(1)})
     rank = F.col("n_below") + F.col("n")
     cut = ranked.where(F.col("p_value") <= q * rank / F.col("n_total")).groupBy(*keys).agg(F.max("p_value").alias("_cut"))
     return df.join(cut, keys, "left").withColumn("rejected", holds(F.col("p_value") <= F.col("_cut"))).drop("_cut")

@@ -18,24 +18,49 @@ from pyspark.sql import functions as F
 from sylvaflow.session import cut_lineage
 
 
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """All rows numbered from 1 in a total order, without a task that sees them all.
+
+    The rows are sorted into range partitions and kept; a row's number is its
+    place inside its partition plus the rows of the partitions before it. Only
+    the sizes of the partitions, one row each, meet in one task.
+    """
+    placed = cut_lineage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    out = placed.withColumn("_part", part).join(starts, "_part")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return out.withColumn(name, F.col("_before") + place + 1).drop("_at", "_part", "_before")
+
+
 def ordered_counts(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    width: float,
+    width: float | None,
     *,
     sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per distinct value: for every name of ``sums`` the sum at the value,
-    ``<name>_below`` over smaller values of the group and ``<name>_total``."""
+    ``<name>_below`` over smaller values of the group and ``<name>_total``.
+
+    With a ``width`` the buckets are intervals of the value. Without one they are the
+    partitions of a range sort of the distinct values, which spreads any distribution
+    evenly, also one without keys or with most of its values close to each other.
+    """
     sums = dict(sums or {"n": F.lit(1)})
     keys = list(keys)
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-        .withColumn("_bucket", F.floor(F.col(value) / F.lit(float(width))))
     )
+    if width is None:
+        counts = cut_lineage(counts.orderBy(*keys, value).withColumn("_bucket", F.spark_partition_id()))
+    else:
+        counts = counts.withColumn("_bucket", F.floor(F.col(value) / F.lit(float(width))))
     bucket = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     group = W.partitionBy(*keys)
     earlier = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

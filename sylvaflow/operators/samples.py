@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sylvaflow import params as P
 from sylvaflow.functions.columns import holds, random_key
+from sylvaflow.operators.ranks import numbered
 
 
 def allocate(counts: DataFrame, n_total: Column | int, least: int, *, stratum: str = "stratum", groups: Sequence[str] = ()) -> DataFrame:
@@ -103,11 +104,9 @@ def merge_windows(windows: DataFrame, priority: Mapping[str, int], *, stage1: Ma
     one = first.select(*place, "_w.*").withColumns({"_rank": rank, "_stage_key": random_key(seed, F.concat(F.lit("stage:"), F.col("cand_id")))})
     turn = F.row_number().over(W.partitionBy("unit", "stratum").orderBy("_stage_key", "cand_id"))
     limit = F.coalesce(lookup("stratum", dict(stage1)), F.lit(0))
-    number = F.row_number().over(W.orderBy("_rank", "unit", "key", "cand_id"))
-    return one.withColumns({
-        "stage": F.when(F.col("stratum").isin("reviewed", "quiet") | (turn <= limit), 1).otherwise(2),
-        "window_id": F.format_string("W%04d", number),
-    }).drop("_rank", "_stage_key")
+    staged = one.withColumn("stage", F.when(F.col("stratum").isin("reviewed", "quiet") | (turn <= limit), 1).otherwise(2))
+    out = numbered(staged, "_number", "_rank", "unit", "key", "cand_id")
+    return out.withColumn("window_id", F.format_string("W%04d", "_number")).drop("_rank", "_stage_key", "_number")
 
 
 def quiet_chips(cells: DataFrame, candidates: DataFrame, side: int, pad: float, *, forest_share: float = 0.8, raised_share: float = 0.02, weak: float = P.CANDIDATES["weak_prob"]) -> DataFrame:
@@ -150,8 +149,9 @@ def extend_sample(objects: DataFrame, sample: DataFrame | None, n_target: int, s
     start = F.coalesce(sample.agg(F.max("order")).scalar(), F.lit(0))
     batch = F.coalesce(sample.agg(F.max("batch")).scalar(), F.lit(0)) + 1
     mix = random_key(f"{seed}:order", F.concat_ws(":", "unit", "object_id"))
-    number = start + F.row_number().over(W.orderBy(mix, "unit", "object_id"))
-    new = fresh.select(F.format_string("R%03d", number).alias("sample_id"), "unit", "object_id", number.alias("order"), batch.cast("int").alias("batch"))
+    number = start + F.col("_number")
+    new = numbered(fresh.withColumn("_mix", mix), "_number", "_mix", "unit", "object_id")
+    new = new.select(F.format_string("R%03d", number).alias("sample_id"), "unit", "object_id", number.alias("order"), batch.cast("int").alias("batch"))
     out = sample.unionByName(new)
     drawn = out.groupBy("unit").agg(F.count(F.lit(1)).alias("n_sampled_unit"))
     out = out.join(drawn, "unit").join(totals, "unit", "left")
@@ -160,8 +160,8 @@ def extend_sample(objects: DataFrame, sample: DataFrame | None, n_target: int, s
 
 def hand_picked(objects: DataFrame, start: int) -> DataFrame:
     """Rows named by hand: numbered X001 on, without an inclusion probability."""
-    n = F.row_number().over(W.orderBy("unit", "object_id")) + start
-    return objects.select(F.format_string("X%03d", n).alias("sample_id"), "unit", "object_id", (n + 10**6).alias("order"), F.lit(0).alias("batch"), F.lit(None).cast("double").alias("incl_prob"))
+    n = F.col("_number") + start
+    return numbered(objects, "_number", "unit", "object_id").select(F.format_string("X%03d", n).alias("sample_id"), "unit", "object_id", (n + 10**6).alias("order"), F.lit(0).alias("batch"), F.lit(None).cast("double").alias("incl_prob"))
 
 
 def audit_items(population: DataFrame, windows: DataFrame, design: Mapping = P.AUDIT) -> DataFrame:
@@ -293,9 +293,9 @@ def sample_weights(index: DataFrame, *, loss_draws: float = 0.5, unit_power: flo
 
 
 def unit_folds(units: DataFrame, k: int, seed: int) -> DataFrame:
-    """Units to ``k`` folds in the order of their key (units are few against samples)."""
+    """Units to ``k`` folds in turn, in the order of their key."""
     rows = units.select("unit").distinct().withColumn("key", random_key(seed, F.col("unit")))
-    return rows.withColumn("fold", (F.row_number().over(W.orderBy("key", "unit")) - 1) % k).drop("key")
+    return numbered(rows, "_number", "key", "unit").select("unit", ((F.col("_number") - 1) % k).alias("fold"))
 
 
 def make_split(samples: DataFrame, folds: DataFrame, fold: int, holdout: Sequence[str] = ()) -> DataFrame:

@@ -289,7 +289,7 @@ def separation_table(frame: DataFrame, metrics: Mapping[str, float], group: str
     return out.withColumns({c: F.col(c) * F.col("_w") for c in ("pre_mean", "post_mean")}).drop("_w")
 
 
-def spearman(pairs: DataFrame, x: str, y: str, width_x: float, width_y: float, keys: Sequence[str] = ()) -> DataFrame:
+def spearman(pairs: DataFrame, x: str, y: str, width_x: float | None = None, width_y: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Rank correlation over complete pairs, ties with their average rank, and the number of pairs."""
     keys = list(keys)
     use = pairs.select(*keys, finite(x).alias("_x"), finite(y).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
@@ -338,19 +338,19 @@ def sweep_means(tiles: DataFrame, keys: Sequence[str], values: Sequence[str]) ->
 def bootstrap_support(pool: DataFrame, value: str, sizes: Sequence[int], replicates: int, seed: int, band: float) -> DataFrame:
     """Spread of the coefficient of variation over resamples of each size against a band width.
 
-    Draws pick rows of the numbered pool by a stable key. The pool is numbered once by key
-    and the draws, sizes x replicates x n rows, join it by number.
+    Draws pick rows of the pool, in the order of the values, by a stable key. Every distinct
+    value holds a range of numbers, and the draws, sizes x replicates x n rows, find theirs.
     """
     from sylvaflow.session import cut_lineage
 
-    numbered = _numbered(pool.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias(value)), value)
-    numbered = cut_lineage(numbered)
-    size = numbered.agg(F.count(F.lit(1))).scalar()
+    rows = pool.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias(value))
+    ranges = cut_lineage(ordered_counts(rows, [], value, None))
+    size = F.coalesce(ranges.agg(F.max("n_total")).scalar(), F.lit(0))
     spark = pool.sparkSession
     frame = spark.createDataFrame([(int(n),) for n in sizes], "n int").where(F.col("n") <= size)
     draws = frame.select("n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b")).select("n", "b", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("j"))
     pick = F.floor(random_key(seed, F.concat_ws(":", "n", "b", "j")) * size).cast("bigint")
-    drawn = draws.withColumn("i", pick).join(numbered, "i")
+    drawn = _in_range(draws.withColumn("i", pick), ranges, value)
     cv = drawn.groupBy("n", "b").agg(F.try_divide(F.stddev_pop(value), F.avg(value)).alias("cv"))
     q = exact_quantiles(cv, ["n"], "cv", {"ci90_low": 0.05, "ci90_high": 0.95}, 1 / 256)
     m = cv.groupBy("n").agg(F.avg("cv").alias("cv_mean"), F.stddev_pop("cv").alias("cv_std"))
@@ -359,10 +359,17 @@ def bootstrap_support(pool: DataFrame, value: str, sizes: Sequence[int], replica
     return m.join(q, "n").withColumns({"ci90_width": width, "analytic_se": se, "fits_in_band": width <= band})
 
 
-def _numbered(rows: DataFrame, value: str) -> DataFrame:
-    """Rows numbered from 0 in value order through exact ranks (no global sort in one task)."""
-    ranked = ordered_counts(rows, [], value, 0.25)
-    return ranked.select(value, F.explode(F.sequence(F.col("n_below"), F.col("n_below") + F.col("n") - 1)).alias("i"))
+def _in_range(draws: DataFrame, ranges: DataFrame, value: str) -> DataFrame:
+    """Draws with the value whose range ``n_below`` to ``n_below + n`` holds their number ``i``.
+
+    The numbers are cut into as many chunks as there are values, so a frequent value lies in
+    many chunks and a chunk holds few values: the join is an equality on the chunk.
+    """
+    chunk = ranges.agg(F.greatest(F.floor(F.max("n_total") / F.count(F.lit(1))), F.lit(1))).scalar()
+    spans = F.sequence(F.floor(F.col("n_below") / chunk), F.floor((F.col("n_below") + F.col("n") - 1) / chunk))
+    placed = ranges.select(value, F.col("n_below").alias("_first"), (F.col("n_below") + F.col("n")).alias("_stop"), F.explode(spans).alias("_chunk"))
+    both = draws.withColumn("_chunk", F.floor(F.col("i") / chunk)).join(placed, "_chunk")
+    return both.where("i >= _first AND i < _stop").drop("_chunk", "_first", "_stop")
 
 
 def narrowest_band(envelopes: Mapping = P.ENVELOPES["type_00"], metric: str = "crown_cv") -> float:

@@ -88,7 +88,7 @@ def plan_years(first: DataFrame, second: DataFrame, *, min_coverage: float) -> D
     return both.select("year", source.alias("source"), F.when(source == "first", a).when(source == "second", b).alias("coverage"), F.when(source.isNull(), text).alias("skipped"))
 
 
-def decision_filters(summary: DataFrame, filters: Mapping[str, tuple[float, float]], rank_on: str, *, width: float) -> DataFrame:
+def decision_filters(summary: DataFrame, filters: Mapping[str, tuple[float, float]], rank_on: str, *, width: float | None = None) -> DataFrame:
     """A fail flag per hard filter; the rank (ties share the smallest) only among survivors, nulls last."""
     fails = {f"fail_{c}": ~holds(finite(c).between(lo, hi)) for c, (lo, hi) in filters.items() if c in summary.columns}
     out = summary.withColumns(fails)

@@ -9,8 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sylvaflow.functions.columns import finite, holds, lookup
+from sylvaflow.operators.ranks import exact_quantiles
+
 
 def contains(vertices: Column, x: Column, y: Column) -> Column:
     """Crossing-number test of a point in a ring of ``struct(x, y)`` (closing edge implied)."""
@@ -41,23 +45,50 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, tile: float) -> D
     return both.where(contains(F.col("vertices"), F.col("x"), F.col("y"))).drop("_tx", "_ty", "vertices", "minx", "maxx", "miny", "maxy")
 
 
-def zone_cells(polygons: DataFrame, zone: str, cell: float, rows: int, cols: int, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """Cells whose centre lies in each polygon, with the share of the box that is filled.
+def zone_runs(polygons: DataFrame, zone: str, cell: float, rows: int, cols: int, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Runs of cells whose centre lies in each zone: zone, row, first and last column, and the
+    cells of its box.
 
-    A polygon lists the cells of its own box, so there is no join at all.
+    Edges are dealt to the rows of cells whose centre line they cross; the crossings of a row,
+    in order, pair into runs. No row carries a polygon, and no task holds one. Rings of the
+    same zone are taken together by the even-odd rule, so holes and parts are rings too.
     """
     left, top = origin
-    box = with_box(polygons)
-    first = lambda lo, n: F.greatest(F.floor(lo).cast("int"), F.lit(0))
-    stop = lambda hi, n: F.least(F.ceil(hi).cast("int"), F.lit(n)) - 1
-    c0, c1 = first((F.col("minx") - left) / cell, cols), stop((F.col("maxx") - left) / cell, cols)
-    r0, r1 = first((F.lit(top) - F.col("maxy")) / cell, rows), stop((F.lit(top) - F.col("miny")) / cell, rows)
-    box = box.withColumns({"_r0": r0, "_r1": r1, "_c0": c0, "_c1": c1}).where("_r0 <= _r1 AND _c0 <= _c1")
-    size = (F.col("_r1") - F.col("_r0") + 1) * (F.col("_c1") - F.col("_c0") + 1)
-    grid = box.select(zone, "vertices", size.alias("box_cells"), "_c0", "_c1", F.explode(F.sequence("_r0", "_r1")).alias("row"))
-    grid = grid.select(zone, "vertices", "box_cells", "row", F.explode(F.sequence("_c0", "_c1")).alias("col"))
-    inside = contains(F.col("vertices"), (F.col("col") + 0.5) * cell + left, F.lit(top) - (F.col("row") + 0.5) * cell)
-    return grid.where(inside).drop("vertices")
+    n = F.size("vertices")
+    at = polygons.select(zone, "vertices", n.alias("_n"), F.posexplode("vertices").alias("_i", "_a"))
+    nxt = F.get("vertices", (F.col("_i") + 1) % F.col("_n"))
+    edges = at.select(zone, F.col("_a.x").alias("ax"), F.col("_a.y").alias("ay"), nxt["x"].alias("bx"), nxt["y"].alias("by"))
+    box = edges.groupBy(zone).agg(F.min("ax").alias("minx"), F.max("ax").alias("maxx"), F.min("ay").alias("miny"), F.max("ay").alias("maxy"))
+    first = lambda lo, size: F.greatest(F.floor(lo).cast("int"), F.lit(0))
+    stop = lambda hi, size: F.least(F.ceil(hi).cast("int"), F.lit(size)) - 1
+    box = box.select(
+        zone, first((F.col("minx") - left) / cell, cols).alias("_c0"), stop((F.col("maxx") - left) / cell, cols).alias("_c1"),
+        first((F.lit(top) - F.col("maxy")) / cell, rows).alias("_r0"), stop((F.lit(top) - F.col("miny")) / cell, rows).alias("_r1"),
+    ).where("_r0 <= _r1 AND _c0 <= _c1")
+    box = box.select(zone, "_c0", "_c1", "_r0", "_r1", ((F.col("_r1") - F.col("_r0") + 1) * (F.col("_c1") - F.col("_c0") + 1)).alias("box_cells"))
+    low = F.greatest(F.floor((F.lit(top) - F.greatest("ay", "by")) / cell - 0.5).cast("int"), F.lit(0))
+    high = F.least(F.ceil((F.lit(top) - F.least("ay", "by")) / cell - 0.5).cast("int"), F.lit(rows - 1))
+    y = F.lit(top) - (F.col("row") + 0.5) * cell
+    spread = edges.where((F.col("ay") != F.col("by")) & (low <= high)).select(zone, "ax", "ay", "bx", "by", F.explode(F.sequence(low, high)).alias("row"))
+    hits = spread.where((F.col("ay") > y) != (F.col("by") > y))
+    cross = F.col("ax") + (y - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
+    line = W.partitionBy(zone, "row").orderBy("x")
+    pairs = hits.select(zone, "row", cross.alias("x")).withColumns({"_turn": F.row_number().over(line), "_x1": F.lead("x").over(line)}).where("_turn % 2 = 1")
+    # the first column whose centre is not left of a crossing; the step to a neighbour settles rounding
+    centre = lambda c: (c + 0.5) * cell + left
+
+    def column(x: str) -> Column:
+        guess = F.ceil((F.col(x) - left) / cell - 0.5).cast("int")
+        return F.when(centre(guess - 1) >= F.col(x), guess - 1).when(centre(guess) < F.col(x), guess + 1).otherwise(guess)
+
+    runs = pairs.select(zone, "row", F.greatest(column("x"), F.lit(0)).alias("col0"), F.least(column("_x1") - 1, F.lit(cols - 1)).alias("col1")).where("col0 <= col1")
+    return runs.join(box.select(zone, "box_cells"), zone)
+
+
+def zone_cells(polygons: DataFrame, zone: str, cell: float, rows: int, cols: int, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Cells whose centre lies in each zone, with the number of cells of its box."""
+    runs = zone_runs(polygons, zone, cell, rows, cols, origin)
+    return runs.select(zone, "box_cells", "row", F.explode(F.sequence("col0", "col1")).alias("col"))
 
 
 def zone_support(cells: DataFrame, zone: str, cell: float) -> DataFrame:
@@ -141,6 +172,44 @@ def whole_tiles(extent: DataFrame, size: float) -> DataFrame:
     return df.select("unit", "tx", "ty", (F.col("minx") + F.col("tx") * size).alias("x0"), (F.col("miny") + F.col("ty") * size).alias("y0"))
 
 
+def tile_canopy(heights: DataFrame, tile_cells: int, *, canopy_m: float, keys: Sequence[str] = ("unit",)) -> DataFrame:
+    """Canopy statistics of tiles of ``tile_cells`` cells: shares without data and with canopy of
+    all its cells, median and 90th percentile of the canopy heights."""
+    tile = [*keys, "tr", "tc"]
+    h = finite("height")
+    rows = heights.select(*keys, F.floor(F.col("row") / tile_cells).cast("int").alias("tr"), F.floor(F.col("col") / tile_cells).cast("int").alias("tc"), h.alias("h"))
+    whole = float(tile_cells * tile_cells)
+    canopy = F.when(F.col("h") >= canopy_m, F.col("h"))
+    agg = rows.groupBy(*tile).agg((1.0 - F.count("h") / whole).alias("nodata_fraction"), (F.count(canopy) / whole).alias("canopy_fraction"))
+    tall = exact_quantiles(rows.where(F.col("h") >= canopy_m), tile, "h", {"height_median": 0.5, "height_p90": 0.9}, 0.25)
+    return agg.join(tall, tile, "left")
+
+
+def tile_cover(runs: DataFrame, zone: str, tile_cells: int) -> DataFrame:
+    """Share of each tile that a zone covers, from the runs of ``zone_runs``: a run is cut at tile borders, never spread to cells."""
+    wide = runs.select(zone, F.floor(F.col("row") / tile_cells).cast("int").alias("tr"), "col0", "col1", F.explode(F.sequence(F.floor(F.col("col0") / tile_cells).cast("int"), F.floor(F.col("col1") / tile_cells).cast("int"))).alias("tc"))
+    cells = F.least(F.col("col1"), (F.col("tc") + 1) * tile_cells - 1) - F.greatest(F.col("col0"), F.col("tc") * tile_cells) + 1
+    return wide.groupBy("tr", "tc", zone).agg((F.sum(cells) / float(tile_cells * tile_cells)).alias("cover"))
+
+
+def describe_tiles(canopy: DataFrame, cover: DataFrame, labels: DataFrame, strata: dict[str, str], *, zone: str = "stand_id", min_cover: float = 0.15, max_nodata: float = 0.02, min_canopy: float = 0.75) -> DataFrame:
+    """Stratum of every tile: that of the stand that covers most of it, else edge and gap, tall or mixed.
+
+    ``labels`` has zone and dist_label. A tile takes the stratum of its main stand when the
+    stand covers enough and its label has one. Of the others, tiles with much missing or little
+    canopy are ``edge_and_gap``; the rest is parted at the median of their median heights.
+    """
+    best = cover.groupBy("tr", "tc").agg(F.max_by(F.struct(zone, "cover"), F.struct("cover", zone)).alias("b")).select("tr", "tc", F.col(f"b.{zone}").alias(zone), F.col("b.cover").alias("cover"))
+    named = best.where(F.col("cover") >= min_cover).join(labels, zone).withColumn("stratum", lookup("dist_label", strata)).where("stratum IS NOT NULL")
+    out = canopy.join(named.select("tr", "tc", zone, "dist_label", "stratum"), ["tr", "tc"], "left")
+    broken = (F.col("nodata_fraction") > max_nodata) | (F.col("canopy_fraction") < min_canopy)
+    out = out.withColumn("stratum", F.coalesce("stratum", F.when(holds(broken), "edge_and_gap")))
+    rest = out.where("stratum IS NULL AND height_median IS NOT NULL").withColumn("_all", F.lit(0))
+    cut = exact_quantiles(rest, ["_all"], "height_median", {"m": 0.5}, 0.25).agg(F.max("m")).scalar()
+    stature = F.when(F.col("height_median") >= cut, "undisturbed_tall").when(F.col("height_median") < cut, "undisturbed_mixed").otherwise("undisturbed")
+    return out.withColumn("stratum", F.coalesce("stratum", stature))
+
+
 def ring_series(heights: DataFrame, objects: DataFrame, ring_cells: float, keys: Sequence[str] = ("unit", "object_id")) -> DataFrame:
     """Mean height inside each object and in a ring around it, per year; ``heights`` has the unit of the objects."""
     from sylvaflow.operators.cells import dilate, disk

@@ -280,3 +280,20 @@ def reviewed_layer(routed: DataFrame, intervals: Column) -> DataFrame:
     open_ = F.col("judged") & F.col("status").isin("unjudged", "failed")
     agg = routed.groupBy("window_id").agg(F.bool_or(open_).alias("_o"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("basis"))
     return agg.select("window_id", F.explode(intervals).alias("interval"), F.when(F.col("_o"), "partial").otherwise("complete").alias("finding"), "basis")
+
+
+ACQUISITION = "struct<date:string,source:string,native_m:double,item_ids:array<string>>"
+
+
+def acquisition_layer(windows: DataFrame) -> DataFrame:
+    """Imagery of every window: one row per year, from the JSON text written when it was rendered.
+
+    ``windows``: unit, window_id, meta (``{"years": {"2014": {"date", "source", "native_m", "item_ids"}}}``);
+    windows without the text, or without years, have no rows.
+    """
+    years = F.from_json("meta", f"struct<years:map<string,{ACQUISITION}>>")["years"]
+    rows = windows.select("unit", "window_id", F.explode(years).alias("year", "info"))
+    return rows.select(
+        "unit", "window_id", F.col("year").cast("int").alias("year"), F.col("info.date").alias("acquisition_date"), F.col("info.source").alias("naip_source"),
+        F.col("info.native_m").alias("native_m"), F.coalesce(F.array_join("info.item_ids", ","), F.lit("")).alias("item_ids"),
+    )

@@ -275,14 +275,13 @@ def unmatched_patches(spark, sf):
     return u.select("t", "label", "cells", *[r6(c).alias(c) for c in ("mean_percent", "forest_share", "row_centre")])
 
 
-@query(
-    "other_candidates",
-    f"""WITH RECURSIVE {YGRID}, l AS (SELECT *, coalesce(lag(forest) OVER w, FALSE) AS f0, coalesce(lag(forest) OVER w AND NOT forest AND lag(chm_cover) OVER w - chm_cover >= 0.5, FALSE) AS lost FROM yg WINDOW w AS (PARTITION BY row, col ORDER BY t)),
+OTHERS = f"""l AS (SELECT *, coalesce(lag(forest) OVER w, FALSE) AS f0, coalesce(lag(forest) OVER w AND NOT forest AND lag(chm_cover) OVER w - chm_cover >= 0.5, FALSE) AS lost FROM yg WINDOW w AS (PARTITION BY row, col ORDER BY t)),
 near AS (SELECT DISTINCT t, row + dr AS row, col + dc AS col FROM yg, (SELECT a.i AS dr, b.i AS dc FROM (SELECT unnest([-1, 0, 1]) AS i) a, (SELECT unnest([-1, 0, 1]) AS i) b) o WHERE z < -2.6),
-fl AS (SELECT l.t, l.row, l.col FROM l LEFT JOIN near n ON n.t = l.t AND n.row = l.row AND n.col = l.col WHERE f0 AND (z / 5 >= 0.2 OR lost) AND n.t IS NULL), {comp_sql('fl')}
-SELECT c.t, CAST(c.label AS BIGINT) AS label, CASE WHEN avg(lost::INT) >= 0.5 THEN 'chm' ELSE 'weak' END AS source, count(*) AS n_cells, {s6('count(*) * 0.036864', 'area_ha')}, {s6('avg(z / 5)', 'mean_prob')} FROM comp c JOIN l ON l.t = c.t AND l.row = c.row AND l.col = c.col
-GROUP BY c.t, c.label HAVING count(*) >= 9""",
-)
+fl AS (SELECT l.t, l.row, l.col FROM l LEFT JOIN near n ON n.t = l.t AND n.row = l.row AND n.col = l.col WHERE f0 AND (z / 5 >= 0.2 OR lost) AND n.t IS NULL), {comp_sql('fl', 'oth')},
+oc AS (SELECT c.t, CAST(c.label AS BIGINT) AS label, CASE WHEN avg(lost::INT) >= 0.5 THEN 'chm' ELSE 'weak' END AS source, count(*) AS n_cells, avg(z / 5) AS mean_prob FROM oth c JOIN l ON l.t = c.t AND l.row = c.row AND l.col = c.col GROUP BY c.t, c.label HAVING count(*) >= 9)"""
+
+
+@query("other_candidates", f"WITH RECURSIVE {YGRID}, {OTHERS} SELECT t, label, source, n_cells, {s6('n_cells * 0.036864', 'area_ha')}, {s6('mean_prob', 'mean_prob')} FROM oc")
 def other_candidates(spark, sf):
     g = years_grid(spark, sf).withColumn("probability", F.col("z") / 5)
     o = G.other_candidates(g, g.where("z < -2.6"), rule={**P.CANDIDATES, "chm_loss_min_drop": 0.5})
@@ -320,7 +319,7 @@ def refined_loss(spark, sf):
     g = years_grid(spark, sf)
     # patches of 6 x 6 cells share one height, so that openings have a size
     blk = (F.floor(F.col("row") / 6) * 7 + F.floor(F.col("col") / 6) * 3) % 5
-    px = g.where("t = 0").select("unit", "t", "row", "col", F.lit(15.0).alias("h0"), F.when(blk == 0, 1.0).otherwise(14.0).alias("h1"))
+    px = g.select("unit", "t", "row", "col", F.lit(15.0).alias("h0"), F.when(blk == 0, 1.0).otherwise(14.0).alias("h1"))
     seed = px.where("h1 < 5 AND row % 12 < 6")
     openings, env, stats = G.refine(px, seed, K.DATE, 0.6, open_radius_m=0.6, min_opening_m2=3.0, close_radius_m=1.2, fill_holes_m2=2.0, min_envelope_m2=5.0)
     return stats.select("t", *[r6(c).alias(c) for c in ("envelope_ha", "openings_ha", "opening_share", "canopy0_share", "iou_seed")], "n_openings")

@@ -13,7 +13,7 @@ from sylvaflow.operators import reports as R
 from sylvaflow.operators import spatial as A
 from sylvaflow.plans.catalog import query, s6
 from sylvaflow.plans.cell_queries import YGRID, ZGRID, years_grid, z_grid
-from sylvaflow.plans.change_queries import FLAGS, KEPT, OBJ, comp_sql, flag_cells
+from sylvaflow.plans.change_queries import FLAGS, KEPT, OBJ, OTHERS, comp_sql, flag_cells
 from sylvaflow.plans.observation_queries import ANNUAL, HARMONIC, LEVEL, TREND
 from sylvaflow.plans.stand_ins import OBS, observation_rows, table
 from sylvaflow.plans.stand_queries import CROWNS, crowns
@@ -37,13 +37,13 @@ def label_pixels(spark, sf):
 
 
 def label_parts(spark, sf):
-    """Candidates as 4 x 4 blocks of pixels, one in nine blocks."""
+    """A candidate of 4 x 4 pixels in every block of 6 x 6."""
     g = years_grid(spark, sf)
-    b = F.floor(F.col("row") / 4) * 16 + F.floor(F.col("col") / 4)
-    out = pick(OUTCOMES, F.floor(b / 9))
+    b = F.floor(F.col("row") / 6) * 11 + F.floor(F.col("col") / 6)
+    out = pick(OUTCOMES, b)
     loss = out.isin(P.LOSS_OUTCOMES)
-    part = F.when(~loss, "mask").when(F.col("row") % 4 < 2, "core").when(F.col("row") % 4 == 2, "trimmed").otherwise("extension")
-    return g.where(b % 9 == 0).select(
+    part = F.when(~loss, "mask").when(F.col("row") % 6 < 2, "core").when(F.col("row") % 6 == 2, "trimmed").otherwise("extension")
+    return g.where((F.col("row") % 6 < 4) & (F.col("col") % 6 < 4)).select(
         F.lit("w").alias("window_id"), F.col("t").alias("k"), "row", "col", b.alias("cand_id"), b.alias("seq"), out.alias("outcome"), part.alias("part"), (b % 2 == 0).alias("crisp"), (b % 5 == 0).alias("precise"),
         (b % 7 == 0).alias("wide_margin"), F.lit(False).alias("oversize"), (b % 6 + 1).alias("agent"),
     )
@@ -59,8 +59,8 @@ def _near(src: str, r2: int) -> str:
 # The oracle joins one flag per rule to every pixel and takes the last rule that applies.
 REASON = f"""{YGRID}, px AS (SELECT t AS k, row AS r, col AS c, forest AS fb, forest AND z < 1.8 AS fa, CASE WHEN row % 31 <> 0 THEN chm_cover END AS cov, chm_height AS h, z / 8 AS prob FROM yg),
 o AS (SELECT a.i AS dr, b.i AS dc FROM (SELECT unnest(generate_series(-3, 3)) AS i) a, (SELECT unnest(generate_series(-3, 3)) AS i) b),
-pb AS (SELECT k, r, c, r // 4 * 16 + c // 4 AS b FROM px), pa AS (SELECT *, {sql_pick(OUTCOMES, '(b // 9)')} AS oc FROM pb WHERE b % 9 = 0),
-pt AS (SELECT *, oc LIKE 'loss%' AS loss, CASE WHEN oc NOT LIKE 'loss%' THEN 'mask' WHEN r % 4 < 2 THEN 'core' WHEN r % 4 = 2 THEN 'trimmed' ELSE 'extension' END AS part, b % 2 = 0 AS crisp, b % 5 = 0 AS pre, b % 7 = 0 AS wide FROM pa),
+pb AS (SELECT k, r, c, r // 6 * 11 + c // 6 AS b FROM px WHERE r % 6 < 4 AND c % 6 < 4), pa AS (SELECT *, {sql_pick(OUTCOMES, 'b')} AS oc FROM pb),
+pt AS (SELECT *, oc LIKE 'loss%' AS loss, CASE WHEN oc NOT LIKE 'loss%' THEN 'mask' WHEN r % 6 < 2 THEN 'core' WHEN r % 6 = 2 THEN 'trimmed' ELSE 'extension' END AS part, b % 2 = 0 AS crisp, b % 5 = 0 AS pre, b % 7 = 0 AS wide FROM pa),
 ring AS (SELECT * FROM pt WHERE oc NOT IN ('intact', 'open', 'stressed_recovered', 'under_min')), rw AS (SELECT * FROM ring WHERE wide), rp AS (SELECT * FROM ring WHERE NOT wide AND pre AND loss), rn AS (SELECT * FROM ring WHERE NOT wide AND NOT (pre AND loss)),
 mg AS (SELECT * FROM {_near('rw', 9)} UNION SELECT * FROM {_near('rn', 4)} UNION SELECT k, r, c FROM rp),
 lo AS (SELECT * FROM pt WHERE loss AND (part = 'core' OR (part = 'extension' AND crisp))), fp AS (SELECT DISTINCT k, r, c FROM pt WHERE loss AND part IN ('core', 'extension')), lp AS (SELECT * FROM lo WHERE pre), 
@@ -120,7 +120,11 @@ def mean_z(spark, sf):
     return reason_frame(spark, sf).groupBy("window_id", "k", half("row"), half("col")).agg((F.avg("z") - 1).alias("z"))
 
 
-@query("suspect_clusters")
+@query(
+    "suspect_clusters",
+    f"""WITH RECURSIVE {RF}, {MAJ}, zz AS (SELECT k, row // 2 AS row, col // 2 AS col, avg(z) - 1 AS z FROM rf GROUP BY ALL), hit AS (SELECT k, row, col FROM zz JOIN mm USING (k, row, col) WHERE z <= -0.5 AND majority = 'background_forest'), {comp_sql('hit', 'comp', 'k')}
+SELECT k, CAST(label AS BIGINT) AS label, count(*) AS cells, {s6('avg(z)', 'mean_z')}, CAST(min(row) AS INTEGER) AS row0, CAST(max(row) AS INTEGER) AS row1, CAST(min(col) AS INTEGER) AS col0, CAST(max(col) AS INTEGER) AS col1 FROM comp JOIN zz USING (k, row, col) GROUP BY k, label HAVING count(*) >= 2""",
+)
 def suspect_clusters(spark, sf):
     maj = L.majority_group(reason_frame(spark, sf), 2, ["window_id", "k"])
     s = L.suspect_clusters(mean_z(spark, sf), maj, ["window_id", "k"], strong=-0.5, least=2)
@@ -129,14 +133,14 @@ def suspect_clusters(spark, sf):
 
 @query(
     "event_survival",
-    f"""WITH {RF}, cd AS (SELECT *, row // 8 * 8 + col // 8 AS cand FROM rf WHERE (row // 8 + col // 8) % 3 = 0)
+    f"""WITH {RF}, cd AS (SELECT *, row // 8 * 8 + col // 8 AS cand FROM rf)
 SELECT k, cand AS cand_id, {s6('count(*) * 0.36 / 10000', 'candidate_ha')}, {s6('avg((reason = 10)::INT)', 'loss_share')}, {s6('avg((reason = 30)::INT)', 'margin_share')} FROM cd GROUP BY k, cand""",
 )
 def event_survival(spark, sf):
     rf = reason_frame(spark, sf)
     lab = rf.select("window_id", "k", "row", "col", F.when(F.col("reason") == 30, 20).otherwise(F.col("reason")).alias("reason"), F.when(F.col("reason") == 10, 1).otherwise(0).alias("change"))
     br, bc = F.floor(F.col("row") / 8), F.floor(F.col("col") / 8)
-    cand = rf.where((br + bc) % 3 == 0).select("window_id", "k", "row", "col", (br * 8 + bc).alias("cand_id"), F.lit("loss_full").alias("outcome"))
+    cand = rf.select("window_id", "k", "row", "col", (br * 8 + bc).alias("cand_id"), F.lit("loss_full").alias("outcome"))
     return L.event_survival(lab, cand).select("k", "cand_id", r6("candidate_ha").alias("candidate_ha"), r6("loss_share").alias("loss_share"), r6("band_share").alias("margin_share"))
 
 
@@ -290,24 +294,25 @@ def label_cells(spark, sf):
 
 def boxes(spark, sf):
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
-    x, y = F.col("o_totalprice") % 9000, (k * 13 % 9000).cast("double")
+    # a strip of squares that grows with the table, so that a box has as many neighbours at any size
+    x, y = F.col("o_totalprice") % 9000 + F.floor(k / 15000) * 9600, (k * 13 % 9000).cast("double")
     return o.select(k.alias("object_id"), x.alias("minx"), (x + k % 90).alias("maxx"), y.alias("miny"), (y + k % 70).alias("maxy"), (k % 11 / 10.0).alias("area_ha"))
 
 
-@query(
-    "nearby_objects",
-    """WITH b AS (SELECT o_orderkey AS id, o_totalprice % 9000 AS x0, o_totalprice % 9000 + o_orderkey % 90 AS x1, (o_orderkey * 13 % 9000)::DOUBLE AS y0, o_orderkey * 13 % 9000 + o_orderkey % 70 AS y1, (o_orderkey % 11) / 10.0 AS ha FROM orders), f AS (SELECT * FROM b WHERE id % 500 = 3)
-SELECT f.id AS focus_id, count(*) AS n, count(*) FILTER (b.id % 3 = 0) AS refined, round(sum(CASE WHEN b.id % 3 = 0 THEN b.ha * 2 ELSE b.ha END), 6) + 0.0 AS area_ha FROM f JOIN b ON b.x1 >= f.x0 - 300 AND b.x0 <= f.x1 + 300 AND b.y1 >= f.y0 - 300 AND b.y0 <= f.y1 + 300 GROUP BY f.id""",
-)
+NEARBY = """WITH b AS (SELECT o_orderkey AS id, o_totalprice % 9000 + o_orderkey // 15000 * 9600 AS x0, o_totalprice % 9000 + o_orderkey // 15000 * 9600 + o_orderkey % 90 AS x1, (o_orderkey * 13 % 9000)::DOUBLE AS y0, o_orderkey * 13 % 9000 + o_orderkey % 70 AS y1, (o_orderkey % 11) / 10.0 AS ha FROM orders), f AS (SELECT * FROM b)
+SELECT f.id AS focus_id, count(*) AS n, count(*) FILTER (b.id % 3 = 0) AS refined, round(sum(CASE WHEN b.id % 3 = 0 THEN b.ha * 2 ELSE b.ha END), 6) + 0.0 AS area_ha FROM f JOIN b ON b.x1 >= f.x0 - 300 AND b.x0 <= f.x1 + 300 AND b.y1 >= f.y0 - 300 AND b.y0 <= f.y1 + 300 GROUP BY f.id"""
+
+
+@query("nearby_objects", NEARBY)
 def nearby_objects(spark, sf):
     b = boxes(spark, sf)
-    focus = b.where("object_id % 500 = 3").withColumnRenamed("object_id", "focus_id")
+    focus = b.withColumnRenamed("object_id", "focus_id")
     refined = b.where("object_id % 3 = 0").select("object_id", (F.col("area_ha") * 2).alias("area_ha"))
     n = A.nearby(b, focus, 300.0, 512.0, refined)
     return n.groupBy("focus_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("geom_src") == "refined", 1)).alias("refined"), r6(F.sum("area_ha")).alias("area_ha"))
 
 
-@query("nearby_every_object")
+@query("nearby_every_object", NEARBY)
 def nearby_every_object(spark, sf):
     b = boxes(spark, sf)
     refined = b.where("object_id % 3 = 0").select("object_id", (F.col("area_ha") * 2).alias("area_ha"))
@@ -341,15 +346,15 @@ def whole_tiles(spark, sf):
 
 @query(
     "ring_series",
-    f"""WITH RECURSIVE {YGRID}, {FLAGS}, f0 AS (SELECT 0 AS t, row, col FROM flags WHERE t = 0), {comp_sql('f0')}, big AS (SELECT label FROM comp GROUP BY label HAVING count(*) >= 8), ob AS (SELECT label, row, col FROM comp WHERE label IN (SELECT label FROM big)),
-o AS (SELECT a.i AS dr, b.i AS dc FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS i) a, (SELECT unnest([-2, -1, 0, 1, 2]) AS i) b WHERE a.i * a.i + b.i * b.i <= 4), rg AS (SELECT DISTINCT label, row + dr AS row, col + dc AS col FROM ob, o EXCEPT SELECT label, row, col FROM ob),
-al AS (SELECT label, row, col, 'i' AS zn FROM ob UNION ALL SELECT label, row, col, 'r' FROM rg)
-SELECT CAST(label AS BIGINT) AS object_id, year, {s6("avg(chm_height) FILTER (zn = 'i')", 'inside')}, {s6("avg(chm_height) FILTER (zn = 'r')", 'ring')} FROM al JOIN yg ON yg.row = al.row AND yg.col = al.col GROUP BY label, year""",
+    f"""WITH RECURSIVE {YGRID}, {FLAGS}, {comp_sql('flags')}, big AS (SELECT t, label FROM comp GROUP BY t, label HAVING count(*) >= 8), ob AS (SELECT t, label, row, col FROM comp JOIN big USING (t, label)),
+o AS (SELECT a.i AS dr, b.i AS dc FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS i) a, (SELECT unnest([-2, -1, 0, 1, 2]) AS i) b WHERE a.i * a.i + b.i * b.i <= 4), rg AS (SELECT DISTINCT t, label, row + dr AS row, col + dc AS col FROM ob, o EXCEPT SELECT t, label, row, col FROM ob),
+al AS (SELECT t, label, row, col, 'i' AS zn FROM ob UNION ALL SELECT t, label, row, col, 'r' FROM rg)
+SELECT al.t, CAST(label AS BIGINT) AS object_id, year, {s6("avg(chm_height) FILTER (zn = 'i')", 'inside')}, {s6("avg(chm_height) FILTER (zn = 'r')", 'ring')} FROM al JOIN yg ON yg.row = al.row AND yg.col = al.col GROUP BY al.t, label, year""",
 )
 def ring_series(spark, sf):
-    obj = G.drop_small(flag_cells(spark, sf).where("t = 0"), 8).select(F.lit("g").alias("unit"), F.col("label").alias("object_id"), "row", "col")
+    obj = G.drop_small(flag_cells(spark, sf), 8).select(F.lit("g").alias("unit"), "t", F.col("label").alias("object_id"), "row", "col")
     heights = years_grid(spark, sf).select(F.lit("g").alias("unit"), "row", "col", "year", F.col("chm_height").alias("height"))
-    return A.ring_series(heights, obj, 2).select("object_id", "year", r6("inside").alias("inside"), r6("ring").alias("ring"))
+    return A.ring_series(heights, obj, 2, ("unit", "t", "object_id")).select("t", "object_id", "year", r6("inside").alias("inside"), r6("ring").alias("ring"))
 
 
 # --- reports -----------------------------------------------------------------------------------
@@ -530,7 +535,7 @@ def stream_latest(spark, sf):
 
     def start(stream):
         s = stream.select((u % 7).alias("interpreter"), (u % 50).alias("item"), F.col("event_type").alias("answer"), (i % 6 == 0).alias("void"), F.col("ts").alias("saved"), i.alias("line"))
-        return J.start_once(s, J.upsert_sink(out, keys, order), ckpt)
+        return J.start_once(s, J.folding(J.upsert_sink(out, keys, order), out, keys, order, every=2), ckpt)
 
     in_batches(spark, table(spark, sf, "events"), thirds(i), start)
     last = J.latest_rows(spark, out, keys, order)
@@ -552,8 +557,9 @@ def stream_evidence(spark, sf):
     cells = s.select("unit", "row", (F.col("col") % 16).cast("int").alias("col"), F.floor(F.col("col") / 16).cast("int").alias("t"), (F.col("llr") * 8).cast("double").alias("llr"))
     save = lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")
     t = F.col("t")
-    in_batches(spark, cells, [t == 0, t.isin(1, 2), t > 2], lambda stream: J.start_once(J.running_evidence(stream, 0.05, decay=0.8), save, ckpt))
-    r = spark.read.parquet(out)
+    # the second date comes last, so later dates are given again
+    in_batches(spark, cells, [t == 0, t > 1, t == 1], lambda stream: J.start_once(J.running_evidence(stream, 0.05, decay=0.8), save, ckpt))
+    r = J.evidence_in_force(spark.read.parquet(out))
     return r.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("onset") >= 0, 1)).alias("running"), F.round(F.avg("prob"), 5).alias("mean_prob"))
 
 
@@ -587,13 +593,15 @@ def window_candidates(spark, sf):
 
 @query(
     "unit_candidates",
-    f"""WITH RECURSIVE {YGRID}, {FLAGS}, {comp_sql('flags')}, {KEPT}, {OBJ}
-SELECT 'g-di-' || (2015 + 3 * t) || '-' || object_id AS cand_id, 'di' AS source, {s6('n_cells * 0.036864', 'area_ha')}, {s6('mean_prob', 'mean_prob')} FROM onum WHERE t > 0""",
+    f"""WITH RECURSIVE {YGRID}, {FLAGS}, {comp_sql('flags')}, {KEPT}, {OBJ}, {OTHERS}
+SELECT 'g-di-' || (2015 + 3 * t) || '-' || object_id AS cand_id, 'di' AS source, {s6('n_cells * 0.036864', 'area_ha')}, {s6('mean_prob', 'mean_prob')} FROM onum WHERE t > 0
+UNION ALL SELECT 'g-' || source || '-' || (2015 + 3 * t) || '-' || row_number() OVER (PARTITION BY t ORDER BY label), source, {s6('n_cells * 0.036864')}, {s6('mean_prob')} FROM oc""",
 )
 def unit_candidates(spark, sf):
     cells, objects, years = detection(spark, sf)
-    none = objects.where("false").select("unit", F.col("onset_index").alias("t"), "label", F.lit("weak").alias("source"), "n_cells", "area_ha", "mean_prob")
-    u = L.unit_candidates(objects.where("onset_index > 0"), none, years)
+    g = years_grid(spark, sf).withColumn("probability", F.col("z") / 5)
+    others = G.other_candidates(g, g.where("z < -2.6"), rule={**P.CANDIDATES, "chm_loss_min_drop": 0.5})
+    u = L.unit_candidates(objects.where("onset_index > 0"), others, years)
     return u.select("cand_id", "source", r6("area_ha").alias("area_ha"), r6("mean_prob").alias("mean_prob"))
 
 

@@ -158,10 +158,10 @@ def extend_sample(spark, sf):
 
 @query(
     "hand_picked",
-    f"WITH {OBJECTS} SELECT printf('X%03d', 2 + row_number() OVER (ORDER BY unit, object_id)) AS sample_id, unit, object_id, 1000002 + row_number() OVER (ORDER BY unit, object_id) AS \"order\" FROM ob WHERE object_id % 500 = 7",
+    f"WITH {OBJECTS} SELECT printf('X%03d', 2 + row_number() OVER (ORDER BY unit, object_id)) AS sample_id, unit, object_id, 1000002 + row_number() OVER (ORDER BY unit, object_id) AS \"order\" FROM ob",
 )
 def hand_picked(spark, sf):
-    return M.hand_picked(objects(spark, sf).where("object_id % 500 = 7"), 2).select("sample_id", "unit", "object_id", F.col("order").cast("long").alias("order"))
+    return M.hand_picked(objects(spark, sf), 2).select("sample_id", "unit", "object_id", F.col("order").cast("long").alias("order"))
 
 
 AGENT = ["harvest", "wind", "fire", ""]
@@ -184,33 +184,47 @@ def audit_windows(spark, sf):
     return o.select(F.concat(F.lit("w"), "w").alias("window_id"), pick(["di", "other", "quiet"], F.col("w")).alias("stratum"), (1.0 / (F.col("w") + 1)).alias("incl_prob"), (F.col("m") > 99.5).alias("complete"))
 
 
-def _audit_sql() -> str:
+def _audit_sql(accepted: int = 30, rejected: int = 40, p: str = "") -> str:
+    """Items of a draw as the table ``{p}items``; the names of all its tables begin with ``p``."""
+    import re
+
     from sylvaflow.plans.verdict_queries import sql_pick
 
     k = "(o_orderkey % 4000)"
-    return f"""pp AS (SELECT 'w' || (o_custkey % 90) AS window_id, {k} AS cand_id, {sql_pick(STATUS, k)} AS status, {sql_pick(TYPES, f'({k} // 7)')} AS ctype, {sql_pick(AGENT, f'({k} // 11)')} AS agent, 1.0 / (o_custkey % 90 + 1) AS ip, CAST(o_orderkey % 4 + 2 AS VARCHAR) AS images FROM orders),
+    text = f"""pp AS (SELECT 'w' || (o_custkey % 90) AS window_id, {k} AS cand_id, {sql_pick(STATUS, k)} AS status, {sql_pick(TYPES, f'({k} // 7)')} AS ctype, {sql_pick(AGENT, f'({k} // 11)')} AS agent, 1.0 / (o_custkey % 90 + 1) AS ip, CAST(o_orderkey % 4 + 2 AS VARCHAR) AS images FROM orders),
 vw AS (SELECT * FROM pp QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY {key_sql('0:audit', "(window_id || ':' || cand_id)")}, window_id) = 1),
 sb AS (SELECT *, CASE WHEN status = 'accepted' THEN 'accepted' WHEN status LIKE 'rejected%' THEN 'rejected' WHEN status IN ('disagree', 'date_disputed') THEN 'disagree' END AS stratum,
   CASE WHEN status = 'accepted' THEN 'accepted_' || CASE WHEN ctype IN ('thinning', 'wind') THEN 'diffuse' ELSE 'other' END || '_' || coalesce(nullif(agent, ''), 'mixed') ELSE status END AS sub FROM vw WHERE status <> 'failed'),
 pt AS (SELECT *, CASE WHEN sub LIKE 'accepted_diffuse%' THEN 'd' WHEN stratum = 'accepted' THEN 'o' ELSE stratum END AS part FROM sb), cn AS (SELECT part, sub, count(*) AS n FROM pt GROUP BY ALL),
-ca AS (SELECT * FROM cn WHERE part IN ('d', 'o')), cb AS (SELECT * FROM cn WHERE part NOT IN ('d', 'o')), {alloc_sql('ca', 'aa', '30', 3, 'sub', 'part')}, {alloc_sql('cb', 'ab', "CASE WHEN part = 'rejected' THEN 40 ELSE 20 END", 1, 'sub', 'part')},
+ca AS (SELECT * FROM cn WHERE part IN ('d', 'o')), cb AS (SELECT * FROM cn WHERE part NOT IN ('d', 'o')), {alloc_sql('ca', 'aa', str(accepted), 3, 'sub', 'part')}, {alloc_sql('cb', 'ab', f"CASE WHEN part = 'rejected' THEN {rejected} ELSE 20 END", 1, 'sub', 'part')},
 sh AS (SELECT * FROM aa UNION ALL SELECT * FROM ab),
 ci AS (SELECT 'cand' AS kind, 1 AS block, stratum, sub, window_id, CAST(cand_id AS VARCHAR) AS cand_id, n, share, row_number() OVER (PARTITION BY part, sub ORDER BY {key_sql('0:audit', 'cand_id')}, cand_id) AS rank, CAST(cand_id AS VARCHAR) AS nm FROM pt JOIN sh USING (part, sub)),
 wn AS (SELECT o_custkey % 90 AS w, max(o_totalprice % 100) > 99.5 AS ok FROM orders GROUP BY 1), ww AS (SELECT 'w' || w AS window_id, {sql_pick(['di', 'other', 'quiet'], 'w')} AS sub FROM wn WHERE ok), wc AS (SELECT sub, count(*) AS n FROM ww GROUP BY 1), {alloc_sql('wc', 'aw', '60', 1, 'sub')},
 wi AS (SELECT 'window' AS kind, 2 AS block, 'background' AS stratum, sub, window_id, '' AS cand_id, n, share, row_number() OVER (PARTITION BY sub ORDER BY {key_sql('0:audit', 'window_id')}, window_id) AS rank, window_id AS nm FROM ww JOIN aw USING (sub)),
 al AS (SELECT *, rank > share AS reserve FROM (SELECT * FROM ci UNION ALL SELECT * FROM wi) z WHERE rank <= least(n, share + CAST(ceil(share * 0.5) AS BIGINT))),
-nu AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY reserve, {key_sql('0:audit:order', 'nm')}, cand_id, window_id) AS ord FROM al)
-SELECT CASE block WHEN 1 THEN 'C' ELSE 'B' END || lpad(CAST(ord AS VARCHAR), 3, '0') AS item, kind, stratum, sub, window_id, cand_id, n AS n_population, rank, reserve,
-  stratum IN ('accepted', 'background') AND NOT reserve AND count(*) FILTER (stratum IN ('accepted', 'background') AND NOT reserve) OVER (PARTITION BY block ORDER BY ord) <= 30 AS shared FROM nu"""
+nu AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY reserve, {key_sql('0:audit:order', 'nm')}, cand_id, window_id) AS ord FROM al),
+items AS (SELECT CASE block WHEN 1 THEN 'C' ELSE 'B' END || lpad(CAST(ord AS VARCHAR), 3, '0') AS item, kind, stratum, sub, window_id, cand_id, n AS n_population, rank, reserve, block, ord, nm,
+  stratum IN ('accepted', 'background') AND NOT reserve AND count(*) FILTER (stratum IN ('accepted', 'background') AND NOT reserve) OVER (PARTITION BY block ORDER BY ord) <= 30 AS shared FROM nu)"""
+    names = [*re.findall(r"(?:^|,\s)(\w+) AS \(", text)]
+    return re.sub(r"\b(" + "|".join(sorted(set(names), key=len, reverse=True)) + r")\b(?!')", lambda m: p + m.group(1), text) if p else text
+
+
+ITEM_COLUMNS = "item, kind, stratum, sub, window_id, cand_id, n_population, rank, reserve, shared"
 
 
-@query("audit_items", f"WITH {_audit_sql()}")
+@query("audit_items", f"WITH {_audit_sql()} SELECT {ITEM_COLUMNS} FROM items")
 def audit_items(spark, sf):
     a = M.audit_items(audit_population(spark, sf), audit_windows(spark, sf))
     return a.select("item", "kind", "stratum", "sub", "window_id", "cand_id", "n_population", "rank", "reserve", "shared")
 
 
-@query("extended_items")
+@query(
+    "extended_items",
+    f"""WITH {_audit_sql(15, 20, 'o_')}, {_audit_sql()}, la AS (SELECT block, max(ord) AS last FROM o_items GROUP BY block),
+fr AS (SELECT n.*, row_number() OVER (PARTITION BY block ORDER BY reserve, {key_sql('0:audit:order', 'nm')}, cand_id, window_id) AS place FROM items n ANTI JOIN o_items o ON o.kind = n.kind AND o.window_id = n.window_id AND o.cand_id = n.cand_id)
+SELECT item, kind, window_id, cand_id, ord AS "order", shared FROM o_items
+UNION ALL SELECT CASE fr.block WHEN 1 THEN 'C' ELSE 'B' END || lpad(CAST(place + coalesce(last, 0) AS VARCHAR), 3, '0'), kind, window_id, cand_id, place + coalesce(last, 0), FALSE FROM fr LEFT JOIN la ON la.block = fr.block""",
+)
 def extended_items(spark, sf):
     p, w = audit_population(spark, sf), audit_windows(spark, sf)
     old = M.audit_items(p, w, {**P.AUDIT, "n_accepted": 30, "n_rejected": 20})

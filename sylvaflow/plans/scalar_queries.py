@@ -370,6 +370,6 @@ def decision_filters(spark, sf):
         (F.avg("p_retailprice") % 200).alias("density_per_ha"), (F.avg("p_partkey") % 0.2).alias("capped_fraction"), (F.count(F.lit(1)) % 7 / 7.0).alias("assigned_fraction"),
         (F.sum("p_retailprice") % 1).alias("allo_slope"), F.round(F.avg("p_partkey") % 13, 6).alias("allo_rmse"),
     )
-    d = R.decision_filters(t, P.HARD_FILTERS, "allo_rmse", width=0.25)
+    d = R.decision_filters(t, P.HARD_FILTERS, "allo_rmse")
     return d.select("p_size", "p_brand", *[f"fail_{c}" for c in P.HARD_FILTERS], "passes", "rank")
 

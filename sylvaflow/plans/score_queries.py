@@ -231,7 +231,7 @@ SELECT count(*) AS n, {s6('corr(rx, ry)', 'rho')} FROM r""",
 def spearman(spark, sf):
     p, k = F.col("o_totalprice"), F.col("o_orderkey")
     v = table(spark, sf, "orders").select(F.when(k % 29 != 0, F.floor(p / 500)).alias("x"), F.floor((p + k * 31) % 4000 / 10).alias("y"))
-    return S.spearman(v, "x", "y", 8.0, 8.0).select("n", r6("rho").alias("rho"))
+    return S.spearman(v, "x", "y").select("n", r6("rho").alias("rho"))
 
 
 # --- crown study ---------------------------------------------------------------------------
