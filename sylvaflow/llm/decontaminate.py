@@ -1,21 +1,26 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Test items are cut into word n-grams. A seed is rare when its words would meet
-by chance at most about once per thousand documents, by the counts of the words
+Test items are cut into seeds of three words: those that follow each other, and
+those with one word between them left open, so that an item with every third
+word replaced still has seeds. A seed is rare when its words would meet by
+chance at most about once per thousand documents, by the counts of the words
 over all documents; an item without enough rare seeds keeps its rarest ones. A
 document that holds a seed is aligned with the item around the seed: matching
 words score 2, other words and gaps cost 1. The score is the share of the best
 possible one; it stays high for edited and paraphrased copies, whose runs of
-equal words are short.
+equal words are short. A match also needs a rare seed, or the score of
+``LEAST_MATCHED`` words: a common phrase that is a whole short item by itself
+makes no document a copy.
 
 The items are read in slices of at most ``SLICE_WORDS`` words; each slice is
 one pass over the documents, so what a task holds has a fixed size however
 large the benchmark is.
 
-Cases: null and empty documents or items match nothing; items of fewer words
-than a seed are one seed of their whole length; repeated rows are found each;
-of equal scores the smallest item is given first; empty tables give no rows;
-extra columns are ignored.
+Cases: null and empty documents or item texts match nothing; an item with a
+null id counts like any other and is given with a null ``item_id``; items of
+fewer words than a seed are one seed of their whole length; repeated rows are
+found each; of equal scores the smallest item is given first; empty tables give
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.common import blocks, bounds_of, grams, small_batches, text_column, tidied, words
+from sylvaflow.llm.common import BASE, blocks, bounds_of, mix, small_batches, text_column, tidied, words
 
 SEED = 3
+OPEN = ((0, 1, 2), (0, 1, 3), (0, 2, 3))  # places of a seed's words; later patterns leave one word open
 LEAST_SEEDS = 4
+LEAST_MATCHED = 6
 THRESHOLD = 0.4  # chance meetings of words stay under 0.25, copies with a third of their words edited come to 0.5
 SLICE_WORDS = 1 << 20
 MATCH, OTHER, GAP = 2, 1, 1
@@ -40,7 +47,7 @@ BITS = 1 << 22
 class Items:
     """A slice of the benchmark: word hashes of each item and its seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         self.ids = ids
         parts = [np.concatenate([w for _, t in blocks(pa.array([x], pa.large_string())) for w, _ in [words(t)]]) for x in texts]
         self.words = parts
@@ -50,44 +57,62 @@ class Items:
     def choose_seeds(self, counts: np.ndarray, n_words: int, n_docs: int, n: int = SEED) -> None:
         """Rare n-grams by the expected number of chance meetings."""
         chance = np.log((counts + 1.0) / (n_words + 1.0))
-        seed, item = [], []
+        seed, item, sure = [], [], []
         for k, w in enumerate(self.words):
             if not len(w):
                 continue
-            size = min(n, len(w))
-            gram, _ = grams(w, np.zeros(len(w), np.int64), size)
             p = chance[np.searchsorted(self.vocabulary, w)]
-            expected = np.log(n_words + 1.0) + np.convolve(p, np.ones(size), "valid")
+            parts = [spaced(w, places) for places in seed_places(len(w), n)]
+            gram = np.concatenate([g for g, _ in parts])
+            expected = np.log(n_words + 1.0) + np.concatenate([sum(p[at + o] for o in places) for (_, at), places in zip(parts, seed_places(len(w), n))])
             rare = expected <= np.log(max(1.0, n_docs / 1000))
-            rare[np.argsort(expected, kind="stable")[:LEAST_SEEDS]] = True
-            seed.append(gram[rare])
-            item.append(np.full(int(rare.sum()), k))
+            keep = rare.copy()
+            keep[np.argsort(expected, kind="stable")[:LEAST_SEEDS]] = True
+            seed.append(gram[keep])
+            item.append(np.full(int(keep.sum()), k))
+            sure.append(rare[keep])
         if not seed:
             return
-        seeds, items = np.concatenate(seed), np.concatenate(item)
+        seeds, items, rare = np.concatenate(seed), np.concatenate(item), np.concatenate(sure)
         order = np.lexsort((items, seeds))
-        self.seeds, self.item = seeds[order], items[order]
+        self.seeds, self.item, self.rare = seeds[order], items[order], rare[order]
         self.maybe = np.zeros(BITS, bool)
         self.maybe[(self.seeds >> np.uint64(42)).astype(np.int64)] = True
-        self.sizes = sorted({min(n, len(w)) for w in self.words if len(w)})
+        self.patterns = sorted({places for w in self.words if len(w) for places in seed_places(len(w), n)})
 
-    def hits(self, word: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, item and word number of every seed in a block."""
+    def hits(self, word: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item and word number of every seed in a block, and whether it is rare."""
         found = []
-        for n in self.sizes:
-            if len(word) < n:
-                continue
-            inside = np.flatnonzero(text[: len(word) - n + 1] == text[n - 1 :])
-            gram, _ = grams(word, text, n)
+        for places in self.patterns:
+            reach = places[-1]
+            gram, at_word = spaced(word, places)
+            whole = text[at_word] == text[at_word + reach] if len(at_word) else np.zeros(0, bool)
+            gram, inside = gram[whole], at_word[whole]
             some = np.flatnonzero(self.maybe[(gram >> np.uint64(42)).astype(np.int64)])
             low, high = np.searchsorted(self.seeds, gram[some]), np.searchsorted(self.seeds, gram[some], side="right")
             count = high - low
             at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
             where = np.repeat(inside[some], count)
-            found.append((text[where], self.item[at], where))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))  # type: ignore[return-value]
+            found.append((text[where], self.item[at], where, self.rare[at]))
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(4))  # type: ignore[return-value]
+
+
+def seed_places(words: int, n: int = SEED) -> list[tuple[int, ...]]:
+    """Patterns of the seeds of an item of so many words; a shorter item is one seed."""
+    if words < n:
+        return [tuple(range(words))]
+    return [places for places in OPEN if places[-1] < words] if n == SEED else [tuple(range(n))]
+
+
+def spaced(word: np.ndarray, places: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the words at the places behind every word of a run, and where each begins; the pattern is part of the hash."""
+    size = len(word) - places[-1]
+    if size <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out = np.full(size, np.uint64(sum(1 << p for p in places)))
+    for p in places:
+        out = out * BASE + word[p : p + size]
+    return mix(out), np.arange(size)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -128,7 +153,7 @@ def _word_counts(vocabulary: np.ndarray):
 
 def slices(benchmark: DataFrame, slice_words: int = SLICE_WORDS) -> Iterator[Items]:
     """The benchmark in parts that a task can hold."""
-    rows = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = max(1, -(-int(total) // slice_words))
     for k in range(n):
@@ -157,12 +182,12 @@ def matches(column: pa.Array, items: Items, threshold: float) -> list[tuple[int,
     out: dict[tuple[int, int], tuple[float, int, int]] = {}
     for row, texts in blocks(column):
         word, text = words(texts)
-        t, item, at = items.hits(word, text)
+        t, item, at, rare = items.hits(word, text)
         if not len(t):
             continue
         first = bounds_of(text, len(texts))
         order = np.lexsort((at, item, t))
-        t, item, at = t[order], item[order], at[order]
+        t, item, at, rare = t[order], item[order], at[order], rare[order]
         size = np.array([len(w) for w in items.words])[item]
         apart = np.ones(len(t), bool)
         apart[1:] = (t[1:] != t[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * size[1:])
@@ -174,7 +199,8 @@ def matches(column: pa.Array, items: Items, threshold: float) -> list[tuple[int,
             score, end = align(items.words[item[b]], word[low:high])
             share = score / (MATCH * int(size[b]))
             key = (row + int(t[b]), int(item[b]))
-            if share >= threshold and share > out.get(key, (0.0,))[0]:
+            enough = score >= MATCH * LEAST_MATCHED or rare[b : s + 1].any()
+            if enough and share >= threshold and share > out.get(key, (0.0,))[0]:
                 out[key] = (share, max(0, low + end - int(size[b]) - int(first[t[b]])), low + end - int(first[t[b]]))
     return [(r, k, *v) for (r, k), v in sorted(out.items())]
 
@@ -191,7 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 found = matches(text_column(batch), items, threshold)
                 if found:
                     row, item, score, first, last = zip(*found)
-                    yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array([items.ids[i] for i in item]), pa.array(score), pa.array(first), pa.array(last)], names=["doc_id", "item_id", "score", "first_word", "last_word"])
+                    yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array([items.ids[i] for i in item], pa.int64()), pa.array(score), pa.array(first), pa.array(last)], names=["doc_id", "item_id", "score", "first_word", "last_word"])
 
         out = out.unionByName(docs.select("doc_id", "text").mapInArrow(tidied(run), schema))
     return out

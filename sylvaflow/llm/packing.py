@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sylvaflow.llm.common import small_batches, tidied
 from sylvaflow.llm.tokens import encoder
@@ -216,3 +217,28 @@ def pack_examples(df: DataFrame, key: str, tokens: str, loss: str, length: int =
 
     schema = f"`{key}` {key_type}, tokens long, loss_tokens long, sequence_id long, offset long, over_limit boolean"
     return df.selectExpr(f"`{key}`", f"CAST(`{tokens}` AS LONG)", f"CAST(`{loss}` AS LONG)").mapInArrow(tidied(run), schema)
+
+
+def conversation_sizes(turns: DataFrame, vocabulary: str = "word_bpe_49k.json", kind: str = "word", end_id: int = END_ID) -> DataFrame:
+    """``conv_id``, ``tokens`` and ``loss_tokens`` of whole conversations: every turn is its ids and an end id; loss lies on the turns of the assistant.
+
+    Null texts are empty; a null conversation is one conversation. Turns are
+    summed per task before the shuffle, so a long conversation is no hot key.
+    """
+    small_batches(turns.sparkSession)
+    key = turns.schema["conv_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary, kind)
+        for batch in batches:
+            sizes = [len(ids) + 1 for ids in enc.encode(batch.column(2).to_pylist())]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["conv_id", "role", "n"])
+
+    sized = turns.select("conv_id", "role", "text").mapInArrow(tidied(run), f"conv_id {key}, role string, n long")
+    bearing = F.sum(F.when(F.col("role") == "assistant", F.col("n")).otherwise(0))
+    return sized.groupBy("conv_id").agg(F.sum("n").alias("tokens"), bearing.alias("loss_tokens"))
+
+
+def pack_conversations(turns: DataFrame, length: int = LENGTH, segments: int = 16, loss_tokens: int = LENGTH // 2) -> DataFrame:
+    """Whole conversations in sequences under limits on tokens, conversations and tokens that bear loss at once."""
+    return pack_examples(conversation_sizes(turns), "conv_id", "tokens", "loss_tokens", length, segments, loss_tokens)

@@ -51,6 +51,12 @@ def op3_vector_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("packed_conversations")
+def packed_conversations(spark, sf_dir):
+    """The three limits of the packing together, on instruction data; beside ``op3_vector_packing``."""
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"))
+
+
 @query("op4_suffix_repeats")
 def op4_suffix_repeats(spark, sf_dir):
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))

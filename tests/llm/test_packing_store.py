@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from cases import awkward, nothing
@@ -88,3 +88,33 @@ def test_perfect_hash_numbers_every_key_once():
     index = token_store.PerfectHash.build(keys)
     assert sorted(index.lookup(keys).tolist()) == list(range(len(keys)))
     assert token_store.PerfectHash.build(keys[:0]).lookup(keys[:3]).tolist() == [-1, -1, -1]
+
+
+def test_conversations_under_three_limits(spark):
+    rows = [(c if c else None, t, ("system", "user", "assistant", None)[(c + t) % 4], None if (c * t) % 11 == 5 else f"turn {t} of {c} " * ((c * 7 + t * 3) % 40)) for c in range(160) for t in range(c % 6 + 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", __import__("pyspark").sql.functions.lit("x")).coalesce(2)
+    enc = encoder("word_bpe_49k.json", "word")
+    tokens, loss = defaultdict(int), defaultdict(int)
+    for c, _, role, text in rows:
+        n = len(enc.library.encode(text or "", add_special_tokens=False).ids) + 1
+        tokens[c] += n
+        loss[c] += n * (role == "assistant")
+    out = packing.pack_conversations(df, length=1500, segments=7, loss_tokens=300).collect()
+    assert {(r.conv_id, r.tokens, r.loss_tokens) for r in out} == {(c, tokens[c], loss[c]) for c in tokens} and len(out) == len(tokens)
+    by = defaultdict(list)
+    for r in out:
+        by[r.sequence_id].append(r)
+    bound = Counter()
+    for group in by.values():
+        if group[0].over_limit:
+            assert len(group) == 1 and (group[0].tokens > 1500 or group[0].loss_tokens > 300)
+            continue
+        at = 0
+        for r in sorted(group, key=lambda r: (r.offset, r.tokens)):
+            assert r.offset == at
+            at += r.tokens
+        used = (at, len(group), sum(r.loss_tokens for r in group))
+        assert used[0] <= 1500 and used[1] <= 7 and used[2] <= 300
+        bound.update(k for k, (u, most) in enumerate(zip(used, (1500, 7, 300))) if u > 0.9 * most)
+    assert set(bound) == {0, 1, 2} or len(bound) >= 2  # more than one limit binds somewhere
+    assert packing.pack_conversations(df.where("false")).count() == 0
