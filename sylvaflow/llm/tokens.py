@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LATIN = "à-öø-ÿß"
 UNUSUAL = re.compile("[^\\x20-\\x7e\n\t\rÀ-ÖØ-öø-ÿ]|<\\|")
-KEPT_PIECES = 500_000  # about 100 MB; then a worker starts anew
+KEPT_PIECES = 700_000  # about 130 MB; then a worker starts anew
 RUN_CHARS = 1 << 19  # characters of texts that are encoded together; a longer text is a run of its own
 NONE = np.zeros(0, np.int64)
 LONG_PIECE = 64
@@ -73,54 +73,60 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _bulk(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of pieces, many per call: joined by a character that ends a piece, and cut again at the ids that show it."""
-        if self.kind == "byte":
-            spaced = [p for p in pieces if p[0] == " "]
-            if spaced and len(spaced) < len(pieces):
-                of = dict(zip(spaced, self._bulk(spaced)))
-                rest = [p for p in pieces if p[0] != " "]
-                of.update(zip(rest, self._bulk(rest)))
-                return [of[p] for p in pieces]
-            if spaced:
-                return self._bulk_spaced(pieces)
-        groups = [pieces[i : i + 200] for i in range(0, len(pieces), 200)]
-        glue = " " if self.kind == "word" else "\n"
-        out: list[np.ndarray] = []
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after the other and how many each has, many pieces per call of the library.
+
+        Pieces are joined by a character that ends a piece, or by nothing where each begins
+        with a blank, and cut again at the ids that show it; a group that does not come
+        apart into its pieces is encoded piece by piece.
+        """
+        spaced = self.kind == "byte" and pieces[0][0] == " "
+        step, glue = (400, "") if spaced else (200, " " if self.kind == "word" else "\n")
+        groups = [pieces[i : i + step] for i in range(0, len(pieces), step)]
+        flat, sizes = [], []
         for group, ids in zip(groups, self.whole([glue.join(g) for g in groups])):
-            if self.kind == "word":
-                stop = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
-                start = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
+            if spaced:
+                start = np.flatnonzero(self.blank[ids])
+                size, own = np.diff(np.append(start, len(ids))), ids
+                whole = len(start) == len(group) and start[0] == 0
+            elif self.kind == "word":
+                stop = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else NONE
+                size, own = np.diff(np.append(0, stop)), ids
                 whole = len(stop) == len(group) and (not len(ids) or stop[-1] == len(ids))
             else:
                 at = np.flatnonzero(ids == self.line_feed)
-                start, stop = np.concatenate([[0], at + 1]), np.concatenate([at, [len(ids)]])
+                size, own = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1, ids[ids != self.line_feed]
                 whole = len(at) == len(group) - 1
-            out += [ids[a:b] for a, b in zip(start, stop)] if whole else self.whole(group)
-        return out
-
-    def _bulk_spaced(self, pieces: list[str]) -> list[np.ndarray]:
-        """Pieces that begin with a blank need nothing between them."""
-        groups = [pieces[i : i + 400] for i in range(0, len(pieces), 400)]
-        out: list[np.ndarray] = []
-        for group, ids in zip(groups, self.whole(["".join(g) for g in groups])):
-            start = np.flatnonzero(self.blank[ids])
-            whole = len(start) == len(group) and start[0] == 0
-            out += np.split(ids, start[1:]) if whole else self.whole(group)
-        return out
+            if not whole:
+                each = self.whole(group)
+                size, own = np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)
+            flat.append(own)
+            sizes.append(size)
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _learn(self) -> None:
         """Ids of the pieces that were numbered since the last call."""
         pieces = list(islice(self.place, self.known, None))
         if not pieces:
             return
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])  # with a blank, without, to be encoded each on its own
+        for k, piece in enumerate(pieces):
+            kinds[2 if len(piece) > LONG_PIECE or piece.isspace() else piece[0] != " "].append(k)
+        flat, sizes, order = [], [], []
+        for kind, mine in enumerate(kinds):
+            if not mine:
+                continue
+            some = [pieces[k] for k in mine]
+            if kind < 2:
+                ids, size = self._joined(some)
+            else:
+                each = self.whole(some)
+                ids, size = np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+            flat.append(ids)
+            sizes.append(size)
+            order += mine
+        new, size, at = np.concatenate(flat), np.concatenate(sizes), self.known + np.array(order, np.int64)
         number = self.known + len(pieces)
-        plain = [k for k, p in enumerate(pieces) if len(p) <= LONG_PIECE and not p.isspace()]
-        odd = [k for k, p in enumerate(pieces) if len(p) > LONG_PIECE or p.isspace()]
-        ids = self._bulk([pieces[k] for k in plain]) + (self.whole([pieces[k] for k in odd]) if odd else [])
-        at = self.known + np.array(plain + odd, np.int64)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.concatenate(ids)
         self.first, self.size, self.flat = _room(self.first, number), _room(self.size, number), _room(self.flat, self.used + len(new))
         self.first[at] = self.used + np.cumsum(size) - size
         self.size[at] = size
