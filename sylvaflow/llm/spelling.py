@@ -1,14 +1,14 @@
 """Spelling variants: words at one edit from each other, by a frontier of states that is joined with a trie level by level.
 
 Both the words and their reversals form a trie, as a table of edges (node,
-letter, child) with the letters that may follow the child; the end of a word
-is an edge of its own. A state is (word, position, node, edits). Of an edit,
+letter, child) with the letters that may follow the child and those after them;
+the end of a word is an edge of its own. A state is (word, position, node, edits). Of an edit,
 either the first half of the word or the rest stays whole, so a state without
 edits begins at the node of that half: forward for edits behind it, in the
 reversed trie for edits before it. These states lie on the word's own path,
 so they are all known at the first level; joined with the edges of their node
 they give the states with one edit (a letter replaced, put in or left out),
-kept only where the next letter of the word may follow. Every further level
+kept only where the next two letters of the word may follow. Every further level
 joins the frontier with the edges on (node, next letter). Words that are left
 at the end of a state are near; the last join finds them by their whole text,
 so that the hashes that name the nodes can never make a wrong neighbour.
@@ -135,9 +135,14 @@ def _trie_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trie(words: DataFrame) -> DataFrame:
-    """Edges of both tries: ``node``, ``letter``, ``child`` and ``after``, the letters that may follow the child."""
-    edges = words.select("word").mapInArrow(tidied(_trie_edges), "node long, letter string, child long").distinct()
-    after = edges.groupBy(F.col("node").alias("child")).agg(F.concat_ws("", F.collect_set("letter")).alias("after"))
+    """Edges of both tries: ``node``, ``letter``, ``child`` and ``after``, a map from the letters that may follow the child to those that may follow then.
+
+    A node has at most one edge per letter, so a map is bounded by the square of the alphabet.
+    """
+    edges = written(words.select("word").mapInArrow(tidied(_trie_edges), "node long, letter string, child long").distinct(), "edges")
+    some = edges.groupBy(F.col("node").alias("child")).agg(F.concat_ws("", F.collect_set("letter")).alias("letters"))
+    entry = F.struct("letter", F.when(F.col("letter") == END, "").otherwise(F.col("letters")))
+    after = edges.join(some, "child").groupBy(F.col("node").alias("child")).agg(F.map_from_entries(F.collect_list(entry)).alias("after"))
     return edges.join(after, "child")
 
 
@@ -164,14 +169,14 @@ def _letter(k: int) -> Column:
     return F.substring("ahead", k, 1)
 
 
-def _may_follow(letter: Column) -> Column:
-    """Whether the letter is among those after the child; no letter, where what a state carries is used up, always is."""
-    return F.col("after").contains(letter)
+def _may_follow(letter: Column, then: Column) -> Column:
+    """Whether the two letters may follow the child; no letter, where what a state carries is used up, always may."""
+    return (letter == "") | F.coalesce(F.element_at("after", letter).contains(then), F.lit(False))
 
 
 def first_level(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """States with one edit: ``wid``, ``back``, ``at``, ``edit`` (r, i or d), ``letter``, ``node``, ``ahead`` (what is still to be matched)."""
-    x, y, z = _letter(1), _letter(2), _letter(3)
+    x, y, z, last = (_letter(k) for k in range(1, 5))
     other = (F.col("letter") != END) & (F.col("letter") != x)
     nothing = F.lit(None).cast("struct<edit:string,put:string,node:bigint,ahead:string>")
 
@@ -179,10 +184,10 @@ def first_level(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         return F.struct(F.lit(edit).alias("edit"), put.alias("put"), F.col("child").alias("node"), ahead.alias("ahead"))
 
     made = [
-        F.when(other & (x != END) & _may_follow(y), state("r", F.col("letter"), F.substring("ahead", 2, AHEAD))).otherwise(nothing),
-        F.when(other & _may_follow(x), state("i", F.col("letter"), F.col("ahead"))).otherwise(nothing),
+        F.when(other & (x != END) & _may_follow(y, z), state("r", F.col("letter"), F.substring("ahead", 2, AHEAD))).otherwise(nothing),
+        F.when(other & _may_follow(x, y), state("i", F.col("letter"), F.col("ahead"))).otherwise(nothing),
         # the letter x is left out, and the edge is that of the next one
-        F.when((x != END) & (x != y) & (F.col("letter") == y) & ((y == END) | _may_follow(z)), state("d", F.lit(""), F.substring("ahead", 3, AHEAD))).otherwise(nothing),
+        F.when((x != END) & (x != y) & (F.col("letter") == y) & ((y == END) | _may_follow(z, last)), state("d", F.lit(""), F.substring("ahead", 3, AHEAD))).otherwise(nothing),
     ]
     joined = seeds.join(edges, "node").select("wid", "back", "at", F.explode(F.filter(F.array(*made), lambda s: s.isNotNull())).alias("s"))
     return joined.select("wid", "back", "at", "s.edit", "s.put", "s.node", "s.ahead")
@@ -191,7 +196,7 @@ def first_level(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 def next_level(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """The frontier one letter further; states whose letters do not go on in the trie end here."""
     steps = frontier.withColumn("letter", _letter(1)).join(edges, ["node", "letter"])
-    stay = (F.col("letter") == END) | _may_follow(_letter(2))
+    stay = (F.col("letter") == END) | _may_follow(_letter(2), _letter(3))
     return steps.where(stay).select("wid", "back", "at", "edit", "put", F.col("child").alias("node"), F.substring("ahead", 2, AHEAD).alias("ahead"))
 
 
