@@ -19,6 +19,7 @@ SPREAD = [
     "parse_verdicts", "latest_answers", "route_verdicts", "alloc_strata", "keyed_sample", "seed_windows", "sample_weights", "score_curve", "interval_scores", "judged_table",
     "rank_auc", "run_overlap", "interval_reasons", "chip_index", "crowns_in_stand", "review_store", "stream_latest",
     "decide_full", "decide_bracketed", "distance_bins", "assign_blocks", "stored_observations", "batch_units", "stream_dedup", "window_labels", "labelled_sample",
+    "inspection_sample", "annual_metrics", "union_overlap", "described_tiles", "grid_blocks", "nearby_objects",
 ]
 NAMES = sorted(ORACLES) if os.environ.get("SYLVAFLOW_FULL") else SPREAD
 
