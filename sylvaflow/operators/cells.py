@@ -13,6 +13,7 @@ from math import ceil, cos, exp, pi, sin
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -459,27 +460,52 @@ def within(cells: DataFrame, seeds: DataFrame, pixels: float, keys: Sequence[str
 ROW_BLOCK = 64
 
 
+def _column_gap(seed: np.ndarray, above: np.ndarray, below: np.ndarray, first: int) -> np.ndarray:
+    """Rows to the nearest seed of the same column for a block that begins at row ``first``.
+
+    ``above`` and ``below`` hold the nearest seed row of each column outside the block, infinite where there is none.
+    """
+    at = np.arange(first, first + len(seed), dtype="float64")[:, None]
+    up = np.maximum.accumulate(np.vstack([above, np.where(seed, at, -np.inf)]), axis=0)[1:]
+    down = np.minimum.accumulate(np.vstack([np.where(seed, at, np.inf), below])[::-1], axis=0)[::-1][:-1]
+    return np.minimum(at - up, down - at)
+
+
 def distance_to(cells: DataFrame, seed: Column, keys: Sequence[str] = DATE) -> DataFrame:
     """Exact Euclidean distance in cells to the nearest seed cell, null only where the grid has none.
 
-    Column pass: nearest seed above and below within the column. Row pass: the smallest
-    combination over the columns of the row, for blocks of rows; the reach grows until it
-    exceeds the largest distance that is left. Needs a complete grid.
+    Column pass: the first and last seed row of every column and block of rows, carried from
+    block to block, then nearest seed above and below inside a block. Row pass: the smallest
+    combination over the columns of the row; the reach grows until it exceeds the largest
+    distance that is left. A task holds blocks of rows, never a whole column. Needs a complete grid.
     """
-    keys = list(keys)
-    up = W.partitionBy(*keys, "col").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy(*keys, "col").orderBy("row").rowsBetween(0, W.unboundedFollowing)
-    at = F.when(seed, F.col("row"))
-    gap = F.least(F.col("row") - F.last(at, ignorenulls=True).over(up), F.first(at, ignorenulls=True).over(down) - F.col("row"))
-    df = cells.withColumns({"_g": gap.cast("double"), "_b": F.floor(F.col("row") / ROW_BLOCK)})
+    keys, names = list(keys), cells.columns
+    df = cells.withColumns({"_s": holds(seed), "_b": F.floor(F.col("row") / ROW_BLOCK)})
+    at = F.when(F.col("_s"), F.col("row"))
+    blocks = df.groupBy(*keys, "_b", "col").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    line = W.partitionBy(*keys, "col").rowsBetween(W.unboundedPreceding, -1)
+    outside = blocks.select(
+        *keys, "_b", "col", F.last("_last", ignorenulls=True).over(line.orderBy("_b")).cast("double").alias("_above"),
+        F.last("_first", ignorenulls=True).over(line.orderBy(F.col("_b").desc())).cast("double").alias("_below"),
+    )
     schema = T.StructType([*cells.schema.fields, T.StructField("distance", T.DoubleType())])
 
-    def across(table: pa.Table) -> pa.Table:
+    def across(both: pa.Table) -> pa.Table:
+        is_edge = both["_s"].is_null()
+        edge, table = both.filter(is_edge), both.filter(pc.invert(is_edge))
         row, col = table["row"].to_numpy(), table["col"].to_numpy()
-        g = table["_g"].to_pandas().to_numpy("float64")
-        field = np.full((row.max() - row.min() + 1, col.max() - col.min() + 1), np.inf)
-        y, x = row - row.min(), col - col.min()
-        field[y, x] = np.where(np.isnan(g), np.inf, g**2)
+        first, left = row.min(), col.min()
+        y, x = row - first, col - left
+        shape = (y.max() + 1, x.max() + 1)
+        seeds = np.zeros(shape, bool)
+        here = table["_s"].to_numpy()
+        seeds[y[here], x[here]] = True
+        above, below = np.full(shape[1], -np.inf), np.full(shape[1], np.inf)
+        place = edge["col"].to_numpy() - left
+        above[place] = edge["_above"].fill_null(-np.inf).to_numpy()
+        below[place] = edge["_below"].fill_null(np.inf).to_numpy()
+        field = np.full(shape, np.inf)
+        field[y, x] = _column_gap(seeds, above, below, first)[y, x] ** 2
         best = field.copy()
         some = np.isfinite(field).any(axis=1)
         for k in range(1, field.shape[1]):
@@ -488,40 +514,45 @@ def distance_to(cells: DataFrame, seed: Column, keys: Sequence[str] = DATE) -> D
             best[:, k:] = np.minimum(best[:, k:], field[:, :-k] + k * k)
             best[:, :-k] = np.minimum(best[:, :-k], field[:, k:] + k * k)
         out = np.sqrt(best[y, x])
-        return table.drop_columns(["_g", "_b"]).append_column("distance", pa.array(out, mask=~np.isfinite(out)))
+        return table.select(names).append_column("distance", pa.array(out, mask=~np.isfinite(out)))
 
-    return df.groupBy(*keys, "_b").applyInArrow(across, schema)
+    return df.unionByName(outside, allowMissingColumns=True).groupBy(*keys, "_b").applyInArrow(across, schema)
 
 
 def distances(cells: DataFrame, seeds: Mapping[str, Column], reach: int, keys: Sequence[str] = DATE) -> DataFrame:
     """Exact distance in cells to the nearest seed of every mask, null beyond ``reach``.
 
-    All masks share one column pass (windows) and one row pass (blocks of rows), which looks
-    at most ``reach`` columns to both sides: the work does not grow with the area of a disk.
-    Needs a complete grid.
+    Blocks of rows come with ``reach`` rows more on both sides, and a row looks at most
+    ``reach`` columns to both sides: one shuffle, and the work does not grow with the area of
+    a disk or the height of the grid. Needs a complete grid.
     """
     keys, reach = list(keys), int(reach)
-    up = W.partitionBy(*keys, "col").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy(*keys, "col").orderBy("row").rowsBetween(0, W.unboundedFollowing)
-    gap = lambda at: F.least(F.col("row") - F.last(at, ignorenulls=True).over(up), F.first(at, ignorenulls=True).over(down) - F.col("row"))
-    df = cells.withColumns({n: gap(F.when(seed, F.col("row"))).cast("double") for n, seed in seeds.items()})
-    df = df.withColumn("_b", F.floor(F.col("row") / ROW_BLOCK))
+    size = max(ROW_BLOCK, 4 * reach)
     names = list(seeds)
+    block = lambda shift: F.floor((F.col("row") + shift) / size)
+    df = cells.withColumns({**{f"_s_{n}": holds(seed) for n, seed in seeds.items()}, "_own": block(0)})
+    df = df.withColumn("_b", F.explode(F.sequence(block(-reach), block(reach))))
     schema = T.StructType([*cells.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def across(table: pa.Table) -> pa.Table:
         row, col = table["row"].to_numpy(), table["col"].to_numpy()
         y, x = row - row.min(), col - col.min()
-        out = table.drop_columns([*names, "_b"])
+        shape = (y.max() + 1, x.max() + 1)
+        none = np.full(shape[1], np.inf)
+        own = np.asarray(table["_own"].to_numpy() == table["_b"].to_numpy())
+        out = table.filter(pa.array(own)).drop_columns([*[f"_s_{n}" for n in names], "_own", "_b"])
         for name in names:
-            g = table[name].to_pandas().to_numpy("float64")
-            field = np.full((y.max() + 1, x.max() + 1), np.inf)
-            field[y, x] = np.where(np.isnan(g) | (g > reach), np.inf, g**2)
+            here = table[f"_s_{name}"].to_numpy()
+            seeds = np.zeros(shape, bool)
+            seeds[y[here], x[here]] = True
+            gap = _column_gap(seeds, -none, none, 0)
+            field = np.full(shape, np.inf)
+            field[y, x] = np.where(gap > reach, np.inf, gap**2)[y, x]
             best = field.copy()
             for k in range(1, min(reach + 1, field.shape[1])):
                 best[:, k:] = np.minimum(best[:, k:], field[:, :-k] + k * k)
                 best[:, :-k] = np.minimum(best[:, :-k], field[:, k:] + k * k)
-            far = np.sqrt(best[y, x])
+            far = np.sqrt(best[y[own], x[own]])
             out = out.append_column(name, pa.array(far, mask=~(far <= reach + 1e-9)))
         return out
 

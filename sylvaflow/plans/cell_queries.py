@@ -11,6 +11,7 @@ from sylvaflow.operators import zones as Z
 from sylvaflow.operators.ranks import robust_stats
 from sylvaflow.plans.catalog import query, s6
 from sylvaflow.plans.stand_ins import GRID, GRID_YEARS, SPARSE, grid, grid_years, sparse_cells, table
+from sylvaflow.session import cut_lineage
 
 
 def z_grid(spark, sf):
@@ -451,8 +452,9 @@ FROM b LEFT JOIN d ON dist >= lo AND dist < hi GROUP BY lo, hi""",
 )
 def distance_bins(spark, sf):
     d = K.distance_to(z_grid(spark, sf), K.holds(F.col("v") > 2.2))
-    out = Z.height_by_distance(d.select(F.col("v").alias("height"), (F.col("distance") * 0.6).alias("distance")), [0.0, 0.6, 1.8, 3.6, 5.5])
-    far = Z.height_by_distance(d.select(F.col("v").alias("height"), (F.col("distance") * 0.6).alias("distance")), [50.0, 60.0])
+    d = cut_lineage(d.select(F.col("v").alias("height"), (F.col("distance") * 0.6).alias("distance")))  # several passes follow
+    out = Z.height_by_distance(d, [0.0, 0.6, 1.8, 3.6, 5.5])
+    far = Z.height_by_distance(d, [50.0, 60.0])
     return out.unionByName(far).select("bin_lo", "bin_hi", "n_pixels", *[r6(c).alias(c) for c in ("canopy_fraction", "height_median", "height_p90")])
 
 
