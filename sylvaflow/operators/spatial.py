@@ -132,25 +132,41 @@ def nearby(objects: DataFrame, focus: DataFrame, radius: float, tile: float, ref
     """Objects whose box is within a radius of a focus box; a refined outline is preferred.
 
     Boxes are minx, maxx, miny, maxy; ``focus`` has focus_id, ``refined`` object_id and area_ha.
-    With ``one_box`` no focus_id has two boxes; a pair is then made only in the tile of its common corner, so pairs need not be compared.
+    A pair of boxes is made only in the tile of its common corner, so pairs need not be compared; only those of a
+    focus_id with several boxes are. With ``one_box`` there is no such focus_id. Outlines meet the objects before the pairs do.
     """
-    if one_box:
-        objects, focus = objects.distinct(), focus.distinct()
-    o = objects.select("*", _tiles("minx", "maxx", tile).alias("_tx")).select("*", _tiles("miny", "maxy", tile).alias("_ty"))
-    f = focus.select("focus_id", *[F.col(c).alias(f"f_{c}") for c in ("minx", "maxx", "miny", "maxy")])
+    names = list(objects.columns)
+    box = ["minx", "maxx", "miny", "maxy"]
+    # dealt by the key of the next step, so that rows are compared and joined after one shuffle
+    objects = objects.repartition("object_id").distinct()
+    focus = focus.select("focus_id", *box).repartition("focus_id").distinct()
+    if not one_box:
+        focus = focus.withColumn("_boxes", F.count(F.lit(1)).over(W.partitionBy("focus_id")))
+    carried = list(names)
+    if refined is not None:
+        fine = refined.select("object_id", F.col("area_ha").alias("_fine"))
+        if not one_box:  # several outlines of an object stay several rows
+            fine = fine.withColumn("_outline", F.row_number().over(W.partitionBy("object_id").orderBy("_fine")))
+        objects = objects.join(fine, "object_id", "left")
+        carried += [c for c in fine.columns if c != "object_id"]
+    o = objects.select(*carried, _tiles("minx", "maxx", tile).alias("_tx")).select("*", _tiles("miny", "maxy", tile).alias("_ty"))
+    f = focus.select("focus_id", *[F.col(c).alias(f"f_{c}") for c in box], *(c for c in focus.columns if c == "_boxes"))
     f = f.select("*", _tiles("f_minx", "f_maxx", tile, radius).alias("_tx")).select("*", _tiles("f_miny", "f_maxy", tile, radius).alias("_ty"))
     r = F.lit(radius)
     hit = (F.col("maxx") >= F.col("f_minx") - r) & (F.col("minx") <= F.col("f_maxx") + r) & (F.col("maxy") >= F.col("f_miny") - r) & (F.col("miny") <= F.col("f_maxy") + r)
-    both = o.join(f, ["_tx", "_ty"]).where(hit)
+    corner = lambda low: F.floor(F.greatest(F.col(low), F.col(f"f_{low}") - r) / tile)
+
+    def pairs(f: DataFrame) -> DataFrame:
+        both = o.join(f, ["_tx", "_ty"]).where(hit & (F.col("_tx") == corner("minx")) & (F.col("_ty") == corner("miny")))
+        return both.select("focus_id", *carried)
+
     if one_box:
-        corner = lambda low: F.floor(F.greatest(F.col(low), F.col(f"f_{low}") - r) / tile)
-        both = both.where((F.col("_tx") == corner("minx")) & (F.col("_ty") == corner("miny"))).select("focus_id", *objects.columns)
+        out = pairs(f)
     else:
-        both = both.select("focus_id", *objects.columns).distinct()
+        out = pairs(f.where("_boxes = 1")).unionByName(pairs(f.where("_boxes > 1")).distinct())
     if refined is None:
-        return both.withColumn("geom_src", F.lit("object"))
-    out = both.join(refined.select("object_id", F.col("area_ha").alias("_fine")), "object_id", "left")
-    return out.withColumns({"geom_src": F.when(F.col("_fine").isNotNull(), "refined").otherwise("object"), "area_ha": F.coalesce("_fine", "area_ha")}).drop("_fine")
+        return out.withColumn("geom_src", F.lit("object"))
+    return out.withColumns({"geom_src": F.when(F.col("_fine").isNotNull(), "refined").otherwise("object"), "area_ha": F.coalesce("_fine", "area_ha")}).drop("_fine", "_outline")
 
 
 def tile_strata(cover: DataFrame, tile_cells: int, min_share: float, stratum: str = "dist_label") -> DataFrame:

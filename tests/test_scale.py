@@ -39,3 +39,31 @@ def test_a_cell_that_comes_twice_keeps_its_seed(spark):
     twice = df.unionByName(df.where("row = 1 AND col = 0").withColumn("z", F.lit(1.0)))
     got = sorted((r.row, r.col, round(r.distance, 6)) for r in K.distance_to(twice, F.col("z") > 0).collect())
     assert got == [(0, 0, 1.0), (0, 1, 1.414214), (1, 0, 0.0), (1, 0, 0.0), (1, 1, 1.0), (2, 0, 1.0), (2, 1, 1.414214)]
+
+
+def test_tails_of_large_counts_are_rows(spark, tmp_path):
+    from sylvaflow.plans import QUERIES
+
+    part = spark.range(4000).select(F.when(F.col("id") < 3990, 1).otherwise(F.col("id") - 3988).cast("int").alias("p_size"), (F.col("id") % 3).cast("double").alias("p_retailprice"))
+    part.unionByName(spark.createDataFrame([(None, 0.0), (None, 1.0)], "p_size int, p_retailprice double")).write.parquet(f"{tmp_path}/part.parquet")
+    out = QUERIES["exact_intervals"](spark, str(tmp_path))
+    got = {r.g: (r.n, r.k, r.low_tail, r.high_tail) for r in out.collect()}
+    assert got[1] == (3990, 1330, 0.025, 0.025) and got[None] == (2, 1, 0.025, 0.025) and len(got) == 12
+    assert {v[2:] for k, v in got.items() if v[0] == 1} == {(1.0, 0.025), (0.025, 1.0)}
+    assert "explode" in plan(out)  # not folded inside one expression, where every term counted its factorials again
+
+
+def test_outlines_meet_objects_before_pairs(spark):
+    from sylvaflow.operators import spatial as A
+
+    cols = "minx double, maxx double, miny double, maxy double"
+    objects = spark.createDataFrame([(1, 0.0, 5.0, 0.0, 5.0, 1.0), (1, 0.0, 5.0, 0.0, 5.0, 1.0), (2, 30.0, 31.0, 0.0, 1.0, 2.0), (3, 90.0, 91.0, 0.0, 1.0, 3.0)], f"object_id int, {cols}, area_ha double")
+    focus = spark.createDataFrame([(7, 0.0, 2.0, 0.0, 2.0), (7, 1.0, 25.0, 0.0, 2.0), (8, 85.0, 99.0, 0.0, 9.0), (8, 85.0, 99.0, 0.0, 9.0)], f"focus_id int, {cols}")
+    refined = spark.createDataFrame([(1, 10.0), (1, 10.0), (3, 30.0)], "object_id int, area_ha double")
+    out = A.nearby(objects, focus, 10.0, 8.0, refined)
+    got = sorted((r.focus_id, r.object_id, r.area_ha, r.geom_src) for r in out.collect())
+    assert got == [(7, 1, 10.0, "refined"), (7, 1, 10.0, "refined"), (7, 2, 2.0, "object"), (8, 3, 30.0, "refined")]
+    assert set(out.columns) == {"focus_id", *objects.columns, "geom_src"}
+    for one in (False, True):
+        lines = plan(A.nearby(objects, focus, 10.0, 8.0, refined, one_box=one)).splitlines()
+        assert "_tx" in next(x for x in lines if "join" in x)
