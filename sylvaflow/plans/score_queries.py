@@ -14,6 +14,7 @@ from sylvaflow.plans.change_queries import comp_sql
 from sylvaflow.plans.stand_ins import table
 from sylvaflow.plans.stand_queries import crowns
 from sylvaflow.plans.verdict_queries import pick, sql_pick
+from sylvaflow.session import cut_lineage
 
 
 def predictions(spark, sf):
@@ -128,14 +129,18 @@ def audit_rates(spark, sf):
 )
 def exact_intervals(spark, sf):
     c = table(spark, sf, "part").groupBy(F.col("p_size").alias("g")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("p_retailprice") % 3 < 1, 1)).alias("k"))
-    c = c.withColumn("ci", S.exact_interval(F.col("k"), F.col("n")))
-    n, k = F.col("n").cast("int"), F.col("k").cast("int")
-    lf = lambda x: F.aggregate(F.when(x > 0, F.sequence(F.lit(1), x)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.ln(i.cast("double")))
-    term = lambda i, p: F.exp(lf(n) - lf(i) - lf(n - i) + i * F.ln(p) + (n - i) * F.ln(1.0 - p))
-    tail = lambda a, b, p: F.aggregate(F.sequence(a, b), F.lit(0.0), lambda acc, i: acc + term(i, p))
-    low = F.when(k > 0, tail(k, n, F.col("ci.low"))).otherwise(1.0)
-    high = F.when(k < n, tail(F.lit(0), k, F.col("ci.high"))).otherwise(1.0)
-    return c.select("g", "n", "k", r6(low).alias("low_tail"), r6(high).alias("high_tail"))
+    c = cut_lineage(c.withColumn("ci", S.exact_interval(F.col("k"), F.col("n"))))  # one row per size
+    n, k, i, p = F.col("n"), F.col("k"), F.col("i"), F.col("p")
+    # every term of both tails is a row, so a tail of any length is summed where its terms are
+    tail = lambda name, a, b, p: c.select("g", "n", F.lit(name).alias("tail"), p.alias("p"), F.explode(F.sequence(a, b)).alias("i"))
+    terms = tail("low", k, n, F.col("ci.low")).where("p > 0").unionByName(tail("high", F.lit(0).cast("bigint"), k, F.col("ci.high")).where("p < 1"))
+    lf = lambda x: S.log_gamma(x + 1.0)
+    term = F.exp(lf(n) - lf(i) - lf(n - i) + i * F.ln(p) + (n - i) * F.ln(1.0 - p))
+    half = lambda name: F.sum(F.when(F.col("tail") == name, term)).alias(f"{name}_tail")
+    sums = terms.groupBy(F.col("g").alias("_g")).agg(half("low"), half("high"))
+    whole = c.join(sums, F.col("g").eqNullSafe(F.col("_g")), "left")
+    low, high = F.when(k > 0, F.col("low_tail")).otherwise(1.0), F.when(k < n, F.col("high_tail")).otherwise(1.0)
+    return whole.select("g", "n", "k", r6(low).alias("low_tail"), r6(high).alias("high_tail"))
 
 
 @query(
