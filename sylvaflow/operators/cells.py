@@ -531,10 +531,15 @@ def distances(cells: DataFrame, seeds: Mapping[str, Column], reach: int, keys: S
     names = list(seeds)
     block = lambda shift: F.floor((F.col("row") + shift) / size)
     df = cells.withColumns({**{f"_s_{n}": holds(seed) for n, seed in seeds.items()}, "_own": block(0)})
-    df = df.withColumn("_b", F.explode(F.sequence(block(-reach), block(reach))))
+    df = df.withColumn("_b", F.explode_outer(F.sequence(block(-reach), block(reach))))
     schema = T.StructType([*cells.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def across(table: pa.Table) -> pa.Table:
+        if table["_b"].null_count:  # cells without a row are far from everything
+            out = table.drop_columns([*[f"_s_{n}" for n in names], "_own", "_b"])
+            for name in names:
+                out = out.append_column(name, pa.nulls(len(out), pa.float64()))
+            return out
         row, col = table["row"].to_numpy(), table["col"].to_numpy()
         y, x = row - row.min(), col - col.min()
         shape = (y.max() + 1, x.max() + 1)

@@ -67,3 +67,19 @@ def test_outlines_meet_objects_before_pairs(spark):
     for one in (False, True):
         lines = plan(A.nearby(objects, focus, 10.0, 8.0, refined, one_box=one)).splitlines()
         assert "_tx" in next(x for x in lines if "join" in x)
+
+
+def test_a_pixel_is_one_row_once_its_candidates_are_folded(spark):
+    from sylvaflow.operators import labels as L
+    from sylvaflow.plans.label_queries import SMALL_RULE
+
+    at = "window_id string, k int, row int, col int"
+    pixels = spark.createDataFrame([("w", 0, r, c, c > 4, c > 4, 0.0, 0.0, 0.0, False, False, (r, c) == (8, 8)) for r in range(9) for c in range(9)], f"{at}, forest_before boolean, forest_after boolean, cover_before double, height_before double, prob double, unstable boolean, never_green boolean, no_data boolean")
+    part = lambda r, c, seq, outcome, part, big: ("w", 0, r, c, seq, seq, outcome, part, False, False, False, big, 3)
+    rows = [part(2, 2, 1, "intact", "mask", False), part(2, 2, 2, "open", "mask", False), part(6, 2, 3, "loss_full", "extension", True), part(6, 6, 3, "loss_full", "extension", True), part(0, 8, 4, "loss_full", "core", False), part(50, 50, 5, "intact", "mask", False)]
+    parts = spark.createDataFrame(rows, f"{at}, cand_id int, seq int, outcome string, part string, crisp boolean, precise boolean, wide_margin boolean, oversize boolean, agent int")
+    out = L.interval_reasons(pixels.unionByName(pixels.where("row = 0")), parts, SMALL_RULE)
+    got = {(r.row, r.col): (r.reason, r.agent) for r in out.collect()}
+    assert len(got) == out.count() == 81
+    assert [got[k] for k in ((2, 2), (6, 2), (6, 6), (0, 8), (8, 8), (4, 0))] == [(41, 255), (42, 255), (22, 255), (10, 3), (1, 255), (42, 255)]
+    assert "union" not in plan(L.interval_reasons(pixels, parts, SMALL_RULE))  # every layer was a row of every pixel, sorted to find the highest
