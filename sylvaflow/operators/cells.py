@@ -457,7 +457,7 @@ def within(cells: DataFrame, seeds: DataFrame, pixels: float, keys: Sequence[str
     return cells.join(near, [*keys, "row", "col"], "left_semi")
 
 
-ROW_BLOCK = 64
+ROW_BLOCK = 256
 
 
 def _column_gap(seed: np.ndarray, above: np.ndarray, below: np.ndarray, first: int) -> np.ndarray:
