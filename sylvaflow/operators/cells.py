@@ -327,11 +327,16 @@ def box_sums(cells: DataFrame, columns: Mapping[str, Column], size: int) -> Data
     For an even size the window reaches one cell further to the lower side.
     """
     lo, hi = size // 2, size - 1 - size // 2
+    block = max(ROW_BLOCK, 4 * size)
+    at = lambda shift: F.floor((F.col("row") + shift) / block)
     along = W.partitionBy(*DATE, "row").orderBy("col").rangeBetween(-lo, hi)
-    across = W.partitionBy(*DATE, "col").orderBy("row").rangeBetween(-lo, hi)
+    # blocks of rows come with the rows their windows reach, so a column is no task
+    across = W.partitionBy(*DATE, "_b", "col").orderBy("row").rangeBetween(-lo, hi)
     first = cells.withColumns({f"_x_{n}": F.coalesce(c, F.lit(0.0)) for n, c in columns.items()})
     first = first.withColumns({f"_x_{n}": F.sum(f"_x_{n}").over(along) for n in columns})
-    return first.withColumns({n: F.sum(f"_x_{n}").over(across) for n in columns}).drop(*[f"_x_{n}" for n in columns])
+    first = first.withColumn("_own", at(0)).withColumn("_b", F.explode_outer(F.sequence(at(-hi), at(lo))))
+    second = first.withColumns({n: F.sum(f"_x_{n}").over(across) for n in columns})
+    return second.where(F.col("_own").eqNullSafe(F.col("_b"))).drop("_own", "_b", *[f"_x_{n}" for n in columns])
 
 
 def local_z(cells: DataFrame, value: str, population: str, size: int, *, rule: Mapping = P.LOCAL, out: str = "z", width: float = Z_WIDTH) -> DataFrame:
@@ -362,24 +367,83 @@ def kernel(sigma: float) -> list[float]:
     return [r / total for r in raw]
 
 
+_NO_PLACE = -(1 << 62)
+
+
+def _place(table: pa.Table, name: str) -> np.ndarray:
+    """A coordinate as whole numbers; cells without one come first."""
+    return table[name].cast(pa.int64()).fill_null(_NO_PLACE).to_numpy()
+
+
+def _weighted(table: pa.Table, names: Mapping[str, Sequence[float]], line: np.ndarray, order: np.ndarray) -> dict[str, np.ndarray]:
+    """Kernel sums along lines of cells in the given order, zero beyond the ends of a line."""
+    line = line[order]
+    ahead = [line[k:] == line[:-k] for k in range(1, min(max(map(len, names.values())), len(line)))]
+    out = {}
+    for name, weights in names.items():
+        x = table[name].to_numpy()[order]
+        total = x * weights[0]
+        for k, (w, same) in enumerate(zip(weights[1:], ahead), start=1):
+            both = np.zeros(len(x))
+            both[k:] += np.where(same, x[:-k], 0.0)
+            both[:-k] += np.where(same, x[k:], 0.0)
+            total += w * both
+        out[name] = np.empty(len(x))
+        out[name][order] = total
+    return out
+
+
 def convolve(cells: DataFrame, columns: Mapping[str, tuple[Column, float]]) -> DataFrame:
     """Gaussian sums ``name -> (column, sigma)`` over a complete grid, zero outside.
 
-    All columns share one pass along the rows and one along the columns.
+    All columns share one pass along the rows and one along the columns. Neighbours are the
+    cells next in a line. The first pass reads blocks of rows and numbers the cells of every
+    column; the second one reads blocks of these numbers with the reach of the kernel on both
+    sides, so a task never holds a whole column.
     """
+    names = list(cells.columns)
+    weights = {f"_k_{n}": kernel(s) for n, (_c, s) in columns.items()}
+    reach = max(map(len, weights.values())) - 1
+    size = max(ROW_BLOCK, 4 * reach)
+    rows = F.floor(F.col("row") / size)
+    df = cells.withColumns({**{f"_k_{n}": F.coalesce(c, F.lit(0.0)).cast("double") for n, (c, _s) in columns.items()}, "_b": rows})
+    counts = cells.groupBy(*DATE, rows.alias("_b"), "col").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*DATE, "col").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(*DATE, "_b", "col", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbers = [T.StructField(f"_k_{n}", T.DoubleType()) for n in columns]
+    kept = [*names, *weights]
+
+    def sums(table: pa.Table, line: np.ndarray, order: np.ndarray) -> pa.Table:
+        out = table.select(names)
+        for name, x in _weighted(table, weights, line, order).items():
+            out = out.append_column(name, pa.array(x))
+        return out
 
-    def line(name: str, sigma: float, window) -> Column:
-        weights = kernel(sigma)
-        total = F.col(name) * weights[0]
-        for k, w in enumerate(weights[1:], start=1):
-            total = total + w * (F.coalesce(F.lag(name, k).over(window), F.lit(0.0)) + F.coalesce(F.lead(name, k).over(window), F.lit(0.0)))
-        return total
-
-    along = W.partitionBy(*DATE, "row").orderBy("col")
-    across = W.partitionBy(*DATE, "col").orderBy("row")
-    df = cells.withColumns({f"_k_{n}": F.coalesce(c, F.lit(0.0)) for n, (c, _s) in columns.items()})
-    df = df.withColumns({f"_k_{n}": line(f"_k_{n}", s, along) for n, (_c, s) in columns.items()})
-    return df.withColumns({n: line(f"_k_{n}", s, across) for n, (_c, s) in columns.items()}).drop(*[f"_k_{n}" for n in columns])
+    def along(both: pa.Table) -> pa.Table:
+        is_start = both["_before"].is_valid()
+        start, table = both.filter(is_start), both.filter(pc.invert(is_start))
+        row, col = _place(table, "row"), _place(table, "col")
+        order = np.lexsort((row, col))
+        c = col[order]
+        new = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        first = _place(start, "col")
+        by = np.argsort(first)
+        before = start["_before"].to_numpy()[by][np.searchsorted(first[by], c[new])]
+        length = np.diff(np.r_[new, len(c)])
+        at = np.empty(len(c), dtype="int64")
+        at[order] = np.arange(len(c)) - np.repeat(new - before, length)
+        return sums(table, row, np.lexsort((col, row))).append_column("_at", pa.array(at))
+
+    def across(table: pa.Table) -> pa.Table:
+        col, at = _place(table, "col"), table["_at"].to_numpy()
+        return sums(table, col, np.lexsort((at, col))).filter(pc.equal(table["_own"], table["_b"]))
+
+    field = cells.schema.fields
+    first = df.unionByName(starts, allowMissingColumns=True).groupBy(*DATE, "_b").applyInArrow(along, T.StructType([*field, *numbers, T.StructField("_at", T.LongType())]))
+    block = lambda shift: F.floor((F.col("_at") + shift) / size)
+    wide = first.select(*kept, "_at", block(0).alias("_own")).withColumn("_b", F.explode(F.sequence(block(-reach), block(reach))))
+    second = wide.groupBy(*DATE, "_b").applyInArrow(across, T.StructType([*field, *numbers]))
+    return second.select(*names, *[F.col(f"_k_{n}").alias(n) for n in columns])
 
 
 def smooth_fields(cells: DataFrame, fields: Mapping[str, tuple[Column, Column, float]]) -> DataFrame:
