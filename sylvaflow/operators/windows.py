@@ -52,7 +52,9 @@ def window_table(
         raise ValueError(f"Unknown window metrics {unknown}. Known: {list(METRICS)}")
     if "crowns" in metrics and crowns is None:
         raise ValueError("The crown metrics need crowns")
-    tiles = tiled(pixels, sizes_m, pixel_m, rows, cols).withColumn("height", finite("height"))
+    # dealt by window once: the metrics then need no more shuffles, and a task has as many pixels at any size of the grid
+    parts = max(1, rows * cols * len(sizes_m) >> 17)
+    tiles = tiled(pixels, sizes_m, pixel_m, rows, cols).withColumn("height", finite("height")).repartition(parts, *ZONE)
     out = window_frame(pixels.sparkSession, sizes_m, pixel_m, rows, cols)
     frame = out
     if "heights" in metrics:

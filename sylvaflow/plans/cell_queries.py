@@ -316,7 +316,8 @@ h AS (SELECT wr, wc, a, round(round(cos(a * pi() / 90 - pi() / 2), 12) * x + rou
 SELECT wr, wc, {s6('1 - avg(n) / max(n)', 'linearity_index')} FROM h GROUP BY wr, wc""",
 )
 def line_index(spark, sf):
-    t = tiles(spark, sf, 16).withColumn("canopy", K.holds(F.col("v") >= 0.3))
+    parts = max(1, table(spark, sf, "embeddings").count() >> 11)  # dealt by tile once, as many tiles to a task at any size
+    t = tiles(spark, sf, 16).withColumn("canopy", K.holds(F.col("v") >= 0.3)).repartition(parts, "wr", "wc")
     e = K.edge_cells(t, "canopy", ["wr", "wc"]).where("edge").select("wr", "wc", (F.col("col") % 16).alias("x"), (F.col("row") % 16).alias("y"))
     return K.linearity(e, ["wr", "wc"]).select("wr", "wc", r6("linearity_index").alias("linearity_index"))
 
