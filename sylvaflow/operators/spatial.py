@@ -6,7 +6,7 @@ the tile; the exact test is an expression over the vertices of one shape.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -45,6 +45,38 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, tile: float) -> D
     return both.where(contains(F.col("vertices"), F.col("x"), F.col("y"))).drop("_tx", "_ty", "vertices", "minx", "maxx", "miny", "maxy")
 
 
+def _touches(vertices: Column, x0: Column, y0: Column, size: float) -> Column:
+    """Whether an edge of a ring may touch a square; squares it misses by a hair count too."""
+    n, half = F.size(vertices), size / 2 * (1 + 1e-6)
+    mx, my = x0 + size / 2, y0 + size / 2
+
+    def edge(i: Column) -> Column:
+        a, b = F.get(vertices, i), F.get(vertices, (i + 1) % n)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        near = (F.least(a["x"], b["x"]) <= mx + half) & (F.greatest(a["x"], b["x"]) >= mx - half) & (F.least(a["y"], b["y"]) <= my + half) & (F.greatest(a["y"], b["y"]) >= my - half)
+        return near & (F.abs(dx * (my - a["y"]) - dy * (mx - a["x"])) <= (F.abs(dx) + F.abs(dy)) * half)
+
+    return F.exists(F.sequence(F.lit(0), n - 1), edge)
+
+
+def polygon_sums(points: DataFrame, polygons: DataFrame, zone: str, tile: float, sums: Mapping[str, Column]) -> DataFrame:
+    """Sums over the points (x, y, ...) inside the polygons (vertices, ...) of each zone.
+
+    Points of one place are added up first. A tile that no edge touches lies on one side of the
+    outline and gives its total; only the places of the other tiles are tested one by one.
+    """
+    places = points.groupBy("x", "y").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    places = places.withColumns({"_tx": F.floor(F.col("x") / tile), "_ty": F.floor(F.col("y") / tile)})
+    totals = places.groupBy("_tx", "_ty").agg(*[F.sum(n).alias(n) for n in sums])
+    cover = with_box(polygons).select(zone, "vertices", _tiles("minx", "maxx", tile).alias("_tx"), "miny", "maxy").select(zone, "vertices", "_tx", _tiles("miny", "maxy", tile).alias("_ty"))
+    x0, y0 = F.col("_tx") * tile, F.col("_ty") * tile
+    cover = cover.withColumn("_touched", _touches(F.col("vertices"), x0, y0, tile))
+    whole = cover.where(~F.col("_touched") & contains(F.col("vertices"), x0 + tile / 2, y0 + tile / 2)).select(zone, "_tx", "_ty").join(totals, ["_tx", "_ty"])
+    part = cover.where("_touched").join(places, ["_tx", "_ty"]).where(contains(F.col("vertices"), F.col("x"), F.col("y")))
+    both = whole.select(zone, *sums).unionByName(part.select(zone, *sums))
+    return both.groupBy(zone).agg(*[F.sum(n).alias(n) for n in sums])
+
+
 def zone_runs(polygons: DataFrame, zone: str, cell: float, rows: int, cols: int, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """Runs of cells whose centre lies in each zone: zone, row, first and last column, and the
     cells of its box.

@@ -235,8 +235,9 @@ SELECT h.stand_id, count(*) AS n_crowns, {s6('avg(d)', 'mean_diam')} FROM hit h
 )
 def crowns_in_stand(spark, sf):
     c = crowns(spark, sf).select("x", "y", "crown_diam_m")
-    hit = A.points_in_polygons(c, polygons(spark, sf), 64.0)
-    return hit.groupBy("stand_id").agg(F.count(F.lit(1)).alias("n_crowns"), r6(F.avg("crown_diam_m")).alias("mean_diam"))
+    d = F.col("crown_diam_m")
+    s = A.polygon_sums(c, polygons(spark, sf), "stand_id", 4.0, {"n_crowns": F.lit(1), "_d": d, "_n": F.when(d.isNotNull(), 1)})
+    return s.select("stand_id", "n_crowns", r6(F.try_divide("_d", "_n")).alias("mean_diam"))
 
 
 @query(

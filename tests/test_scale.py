@@ -83,3 +83,45 @@ def test_a_pixel_is_one_row_once_its_candidates_are_folded(spark):
     assert len(got) == out.count() == 81
     assert [got[k] for k in ((2, 2), (6, 2), (6, 6), (0, 8), (8, 8), (4, 0))] == [(41, 255), (42, 255), (22, 255), (10, 3), (1, 255), (42, 255)]
     assert "union" not in plan(L.interval_reasons(pixels, parts, SMALL_RULE))  # every layer was a row of every pixel, sorted to find the highest
+
+
+def test_moving_sums_and_kernels_hold_blocks_of_a_column(spark):
+    z = np.random.default_rng(3).normal(size=(600, 4))
+    df = column_cells(spark, z).where("row % 50 <> 7")
+    rows = [r for r in range(600) if r % 50 != 7]
+    smooth = K.smooth_fields(df, {"s": (F.col("z"), F.lit(True), 1.3)})
+    sums = K.box_sums(df, {"s": F.col("z")}, 5)
+    w = K.kernel(1.3)
+    line = lambda x: np.array([sum(w[abs(i - j)] * x[j] for j in range(max(0, i - len(w) + 1), min(len(x), i + len(w)))) for i in range(len(x))])
+    field = lambda a: np.apply_along_axis(line, 0, np.apply_along_axis(line, 1, a))
+    want = field(z[rows]) / field(np.ones((len(rows), 4)))  # neighbours are the cells next in the column
+    got = {(r.row, r.col): r.s for r in smooth.collect()}
+    assert len(got) == want.size and all(abs(got[r, c] - want[i, c]) < 1e-9 for i, r in enumerate(rows) for c in range(4))
+    got = {(r.row, r.col): r.s for r in sums.collect()}
+    square = lambda r, c: sum(z[a, b] for a in range(max(0, r - 2), min(600, r + 3)) if a % 50 != 7 for b in range(max(0, c - 2), min(4, c + 3)))
+    assert len(got) == want.size and all(abs(got[r, c] - square(r, c)) < 1e-9 for r in (0, 255, 256, 258, 511, 512, 599) for c in range(4))
+    # windows along a column are cut into blocks of rows; kernels need none over cells
+    assert "lag(" not in plan(smooth) and all("_b#" in x for x in plan(sums).splitlines() if x.strip().lstrip("+- ").startswith("window") and "row#" in x.split("], [")[-1] and "col#" in x.split("], [")[-2])
+
+
+def test_tiles_inside_an_outline_give_their_totals(spark):
+    from sylvaflow.operators import spatial as A
+
+    rng = np.random.default_rng(9)
+    at = np.vstack([rng.uniform(0, 40, (1500, 2)), rng.integers(0, 41, (1500, 2))]).tolist()
+    points = spark.createDataFrame([(i, x, y, float(i % 7)) for i, (x, y) in enumerate([*at, *at[:200]])], "i int, x double, y double, d double")
+    rings = [("a", [(1.0, 1.0), (39.0, 1.0), (39.0, 39.0), (20.0, 13.0), (1.0, 39.0)]), ("b", [(4.0, 4.0), (36.0, 8.0), (10.0, 30.0)]), ("b", [(8.0, 8.0), (16.0, 8.0), (16.0, 16.0), (8.0, 16.0)]), ("c", [(0.0, 0.0), (40.0, 40.0), (40.0, 0.0), (0.0, 40.0)])]
+    polygons = spark.createDataFrame(rings, "zone string, vertices array<struct<x:double,y:double>>")
+    want = {r.zone: (r.n, r.d) for r in A.points_in_polygons(points, polygons, 64.0).groupBy("zone").agg(F.count("i").alias("n"), F.sum("d").alias("d")).collect()}
+    out = A.polygon_sums(points, polygons, "zone", 2.0, {"n": F.lit(1), "d": F.col("d")})
+    assert {r.zone: (r.n, r.d) for r in out.collect()} == want and len(want) == 3
+    assert "exists(" in plan(out)  # tiles that no edge touches are not tested point by point
+
+
+def test_window_metrics_are_dealt_by_window_once(spark):
+    from sylvaflow.operators import windows as WN
+
+    px = column_cells(spark, np.random.default_rng(2).normal(size=(32, 32))).select("row", "col", (F.col("z") * 5).alias("height"), F.col("z").alias("band"))
+    lines = WN.window_table(px, [4.0], 1.0, 32, 32, metrics=["lines"])
+    deals = [x for x in lines._jdf.queryExecution().executedPlan().toString().lower().splitlines() if "exchange hashpartitioning" in x]
+    assert deals and not any("rho" in x or "row#" in x for x in deals)  # every vote and every line of a window was shuffled
