@@ -68,7 +68,9 @@ def polygon_sums(points: DataFrame, polygons: DataFrame, zone: str, tile: float,
     places = points.groupBy("x", "y").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     places = places.withColumns({"_tx": F.floor(F.col("x") / tile), "_ty": F.floor(F.col("y") / tile)})
     totals = places.groupBy("_tx", "_ty").agg(*[F.sum(n).alias(n) for n in sums])
-    cover = with_box(polygons).select(zone, "vertices", _tiles("minx", "maxx", tile).alias("_tx"), "miny", "maxy").select(zone, "vertices", "_tx", _tiles("miny", "maxy", tile).alias("_ty"))
+    # few rows become many: dealt by a given number, which is not lowered for their small size
+    dealt = with_box(polygons).repartition(int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions")), zone)
+    cover = dealt.select(zone, "vertices", _tiles("minx", "maxx", tile).alias("_tx"), "miny", "maxy").select(zone, "vertices", "_tx", _tiles("miny", "maxy", tile).alias("_ty"))
     x0, y0 = F.col("_tx") * tile, F.col("_ty") * tile
     cover = cover.withColumn("_touched", _touches(F.col("vertices"), x0, y0, tile))
     whole = cover.where(~F.col("_touched") & contains(F.col("vertices"), x0 + tile / 2, y0 + tile / 2)).select(zone, "_tx", "_ty").join(totals, ["_tx", "_ty"])
