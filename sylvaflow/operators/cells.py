@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from sylvaflow import params as P
 from sylvaflow.functions.columns import finite, holds
-from sylvaflow.operators.ranks import exact_quantiles, robust_stats
+from sylvaflow.operators.ranks import exact_quantiles, join_groups, robust_stats
 from sylvaflow.session import cut_lineage
 
 DATE = ["unit", "t"]
@@ -164,7 +164,7 @@ def stable_forest(masks: DataFrame) -> DataFrame:
 def reference_stats(values: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
     """Median and scaled MAD of reference cells; the scale is 1 when the MAD is zero."""
     med = cut_lineage(exact_quantiles(values, keys, value, {"median": 0.5}, width))
-    dev = values.join(med, list(keys)).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_d"))
+    dev = join_groups(values, med, keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_d"))
     mad = exact_quantiles(dev, keys, "_d", {"mad": 0.5}, width)
     s = F.col("mad") * P.MAD_SCALE
     return med.join(mad, list(keys)).select(*keys, "median", F.when(s > 0, s).otherwise(1.0).alias("scale"))
@@ -175,9 +175,9 @@ def otsu_threshold(values: DataFrame, keys: Sequence[str], value: str, bins: int
     keys = list(keys)
     v = F.col(value)
     rows = values.where(v.isNotNull()).select(*keys, value)
-    span = rows.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    span = cut_lineage(rows.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi")))
     index = F.least(F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
-    hist = rows.join(span, keys).where(F.col("hi") > F.col("lo")).groupBy(*keys, index.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    hist = join_groups(rows, span, keys).where(F.col("hi") > F.col("lo")).groupBy(*keys, index.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     centre = F.col("lo") + (F.col("b") + 0.5) * (F.col("hi") - F.col("lo")) / bins
     hist = hist.withColumn("c", centre)
     low = W.partitionBy(*keys).orderBy("b").rowsBetween(W.unboundedPreceding, 0)
@@ -234,7 +234,7 @@ def shrunk_sd(hist: DataFrame, population: str, *, prior_df: float = 2.0, min_po
     size = pool.groupBy(*DATE).agg(F.count(F.lit(1)).alias("_p")).where(F.col("_p") >= min_pop)
     df = F.greatest(F.col("hist_n") - 1, F.lit(0))
     sd = F.sqrt((df * F.col("hist_var") + prior_df * F.col("s0")) / (df + prior_df))
-    return hist.join(cut_lineage(median.join(size, DATE)), DATE, "left").withColumn("hist_sd", sd).drop("s0", "_p")
+    return join_groups(hist, cut_lineage(median.join(size, DATE)), DATE, "left").withColumn("hist_sd", sd).drop("s0", "_p")
 
 
 def logit(p: Column) -> Column:
@@ -303,9 +303,9 @@ def scene_z(cells: DataFrame, value: str, population: str, *, robust: bool = Tru
         stats = robust_stats(pop, DATE, value, width, min_rows=P.MIN_POPULATION, scale=P.MAD_SCALE)
     else:
         stats = pop.groupBy(*DATE).agg(F.count(value).alias("n"), F.avg(value).alias("centre"), F.stddev_pop(value).alias("scale"))
-        stats = stats.where((F.col("n") >= P.MIN_POPULATION) & (F.col("scale") > 0))
+        stats = cut_lineage(stats.where((F.col("n") >= P.MIN_POPULATION) & (F.col("scale") > 0)))
     z = (F.col(value) - F.col("centre")) / F.col("scale")
-    return cells.join(stats.select(*DATE, "centre", "scale"), DATE, "left").withColumn(out, z).drop("centre", "scale")
+    return join_groups(cells, stats.select(*DATE, "centre", "scale"), DATE, "left").withColumn(out, z).drop("centre", "scale")
 
 
 def history_z(cells: DataFrame, value: str, population: str, method: str, *, prior_df: float = 2.0) -> DataFrame:
@@ -345,7 +345,7 @@ def local_z(cells: DataFrame, value: str, population: str, size: int, *, rule: M
     The deviation has a floor relative to the scene; thin windows fall back on the scene.
     """
     stats = robust_stats(cells.where(F.col(population)), DATE, value, width, min_rows=P.MIN_POPULATION, scale=P.MAD_SCALE)
-    df = cells.join(stats.select(*DATE, "centre", "scale"), DATE, "left")
+    df = join_groups(cells, stats.select(*DATE, "centre", "scale"), DATE, "left")
     v, centre, scale = F.col(value), F.col("centre"), F.col("scale")
     use = holds(F.col(population) & v.isNotNull() & (F.abs((v - centre) / scale) <= rule["trim_z"]))
     x = F.when(use, v)
@@ -476,16 +476,16 @@ def residual_z(cells: DataFrame, *, n_bins: int = 10, min_reference: int = 200,
     index = F.lit(0)
     for name in probs:
         index = index + (F.col("pre") >= F.col(name)).cast("int")
-    df = cells.join(cut_lineage(edges.join(size, keys)), keys, "left").withColumn("bin", index).drop(*probs, "_n")
+    df = join_groups(cells, cut_lineage(edges.join(size, keys)), keys, "left").withColumn("bin", index).drop(*probs, "_n")
     by = [*keys, "bin"]
     ref = df.where(ok & F.col("bin").isNotNull())
     med = cut_lineage(exact_quantiles(ref, by, "post", {"median": 0.5}, width))
-    dev = ref.join(med, by).select(*by, F.abs(F.col("post") - F.col("median")).alias("_d"))
+    dev = join_groups(ref, med, by).select(*by, F.abs(F.col("post") - F.col("median")).alias("_d"))
     mad = exact_quantiles(dev, by, "_d", {"mad": 0.5}, width)
     many = ref.groupBy(*by).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= 5)
     stats = cut_lineage(med.join(mad, by).join(many.select(*by), by))
     z = F.when(F.col("pre").isNotNull(), (F.col("post") - F.col("median")) / (F.col("mad") * P.MAD_SCALE + 1e-4))
-    return df.join(stats, by, "left").withColumn("z", z).drop("median", "mad", "bin")
+    return join_groups(df, stats, by, "left").withColumn("z", z).drop("median", "mad", "bin")
 
 
 # --- neighbourhoods -------------------------------------------------------------------------

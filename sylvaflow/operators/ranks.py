@@ -18,6 +18,20 @@ from pyspark.sql import functions as F
 from sylvaflow.session import cut_lineage
 
 
+#: Up to this many groups are sent to the rows of their group; more are joined by key.
+FEW_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with what is known of their group; ``groups`` has a row per group and is already written.
+
+    A shuffle by few groups, such as the dates of a unit, puts all rows of one into a task,
+    and AQE takes no broadcast where most shuffle partitions are empty.
+    """
+    few = groups.count() <= FEW_GROUPS
+    return rows.join(F.broadcast(groups) if few else groups, list(keys), how)
+
+
 def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """All rows numbered from 1 in a total order, without a task that sees them all.
 
@@ -143,7 +157,7 @@ def robust_stats(
     med = exact_quantiles(use, keys, value, {"median": 0.5}, width).join(moments, keys)
     # one row per group: written once, so that the second pass does not repeat the first
     med = cut_lineage(med.where(F.col("n") >= min_rows))
-    deviation = use.join(med, keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_dev"))
+    deviation = join_groups(use, med, keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_dev"))
     mad = exact_quantiles(deviation, keys, "_dev", {"mad": 0.5}, width)
     spread = F.col("mad") * F.lit(scale)
     robust = spread > 0

@@ -125,3 +125,33 @@ def test_window_metrics_are_dealt_by_window_once(spark):
     lines = WN.window_table(px, [4.0], 1.0, 32, 32, metrics=["lines"])
     deals = [x for x in lines._jdf.queryExecution().executedPlan().toString().lower().splitlines() if "exchange hashpartitioning" in x]
     assert deals and not any("rho" in x or "row#" in x for x in deals)  # every vote and every line of a window was shuffled
+
+
+def date_cells(spark):
+    rows = spark.range(4500).select(F.lit("g").alias("unit"), (F.col("id") % 3).cast("int").alias("t"), F.floor(F.col("id") / 60).cast("int").alias("row"), (F.col("id") % 60).cast("int").alias("col"), (F.col("id") * 7919 % 4499 / 900.0 - 2.5).alias("z"))
+    return rows.withColumns({"monitored": F.lit(True), "population": F.col("t") < 2})
+
+
+def test_scene_of_a_date_goes_to_its_cells(spark, monkeypatch):
+    from sylvaflow.operators import ranks as Q
+
+    df = date_cells(spark)
+    out = K.scene_z(df, "z", "population", out="s")
+    for x in (out, K.scene_z(df, "z", "population", robust=False, out="s"), K.local_z(df, "z", "population", 3, out="s")):
+        assert "strategy=broadcast" in plan(x)
+    assert {(r.t, r.n, r.s) for r in out.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.count("s").alias("s")).collect()} == {(0, 1500, 1500), (1, 1500, 1500), (2, 1500, 0)}
+    monkeypatch.setattr(Q, "cut_lineage", lambda x: x)
+    assert "strategy=broadcast" in plan(Q.robust_stats(df, K.DATE, "z", 0.25, min_rows=5, scale=1.0))
+
+
+def test_many_groups_are_joined_by_key(spark, monkeypatch):
+    from sylvaflow.operators import ranks as Q
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "unit string, v int")
+    groups = spark.createDataFrame([("a", 10), (None, 30)], "unit string, g int")
+    for few, hint in ((1000, True), (1, False)):
+        monkeypatch.setattr(Q, "FEW_GROUPS", few)
+        out = Q.join_groups(rows, groups, ["unit"], "left")
+        assert ("strategy=broadcast" in plan(out)) is hint
+        assert sorted((r.v, r.g) for r in out.collect()) == [(1, 10), (2, 10), (3, None), (4, None)]
+        assert Q.join_groups(rows, groups, ["unit"]).count() == 2 and Q.join_groups(rows, groups, ["unit"], "left_semi").columns == ["unit", "v"]
