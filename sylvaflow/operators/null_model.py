@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sylvaflow import params as P
 from sylvaflow.functions.columns import holds
 from sylvaflow.operators.cells import DATE, LFDR_CLIP, Z_WIDTH, logit, over_dates, smooth_fields
-from sylvaflow.operators.ranks import exact_quantiles, ordered_counts
+from sylvaflow.operators.ranks import exact_quantiles, join_groups, ordered_counts
 from sylvaflow.session import cut_lineage
 
 
@@ -50,7 +50,7 @@ def fit_null(cells: DataFrame, z: str, where: str | None = None, *, keys: Sequen
     bins = F.ceil((F.col("hi") + bin_w - F.col("lo")) / bin_w) - 1
     at = (F.col("_z") - F.col("lo")) / bin_w
     index = F.when(at == bins, bins - 1).otherwise(F.floor(at))
-    counted = rows.join(stats.select(*keys, "lo", "hi"), keys).where((at >= 0) & (at <= bins)).groupBy(*keys, "lo", index.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    counted = join_groups(rows, stats.select(*keys, "lo", "hi"), keys).where((at >= 0) & (at <= bins)).groupBy(*keys, "lo", index.alias("b")).agg(F.count(F.lit(1)).alias("c"))
     # moments about the first edge keep the numbers small
     x, w, y = (F.col("b") + 0.5) * bin_w, F.col("c").cast("double"), F.ln("c")
     mom = counted.groupBy(*keys).agg(
@@ -82,7 +82,7 @@ def lfdr_curves(cells: DataFrame, z: str, where: str | None, null: DataFrame, *,
     base = null.withColumn("lo", lo).withColumn("bins", (F.ceil((F.col("mu0") + bin_w - F.col("lo")) / bin_w) - 1).cast("int"))
     at = (F.col(z).cast("double") - F.col("lo")) / bin_w
     index = F.when(at == F.col("bins"), F.col("bins") - 1).otherwise(F.floor(at)).cast("int")
-    counts = cells.where(use).select(*keys, z).join(base.select(*keys, "lo", "bins"), keys).where((at >= 0) & (at <= F.col("bins"))).groupBy(*keys, index.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    counts = join_groups(cells.where(use).select(*keys, z), base.select(*keys, "lo", "bins"), keys).where((at >= 0) & (at <= F.col("bins"))).groupBy(*keys, index.alias("b")).agg(F.count(F.lit(1)).alias("c"))
     frame = base.select("*", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("b")).join(counts, [*keys, "b"], "left")
     frame = frame.withColumn("c", F.coalesce(F.col("c"), F.lit(0)).cast("double"))
     line = W.partitionBy(*keys).orderBy("b")
@@ -144,7 +144,7 @@ def prior_of(p0: Column, min_prior: float = 0.0) -> Column:
 def with_model(cells: DataFrame, models: DataFrame, keys: Sequence[str] = DATE) -> DataFrame:
     """Cells with the model of their date as one struct column ``_model``."""
     one = models.select(*keys, F.struct("mu0", "sigma0", "p0", "first", "curve").alias("_model"))
-    return cells.join(one, list(keys), "left")
+    return join_groups(cells, one, keys, "left")
 
 
 def loss_probability(cells: DataFrame, z: str, models: DataFrame, out: str, *, keys: Sequence[str] = DATE, bin_w: float = P.DECIDE["bin_w"]) -> DataFrame:
@@ -165,9 +165,9 @@ def date_models(cells: DataFrame, z: str, where: str, *, keys: Sequence[str] = D
     """Models of the dates with enough cells, and one fit row for every date (skipped ones too)."""
     keys = list(keys)
     use = F.col(where) & F.col(z).isNotNull()
-    size = cells.groupBy(*keys).agg(F.count(F.when(use, 1)).alias("n_cells"))
+    size = cut_lineage(cells.groupBy(*keys).agg(F.count(F.when(use, 1)).alias("n_cells")))
     enough = size.where(F.col("n_cells") >= rule["min_fit_cells"])
-    rows = cells.join(enough.select(*keys), keys, "left_semi")
+    rows = join_groups(cells, enough.select(*keys), keys, "left_semi")
     null = cut_lineage(fit_null(rows, z, where, keys=keys, pct0=rule["pct0"], bin_w=rule["bin_w"]))
     models = cut_lineage(lfdr_curves(rows, z, where, null, keys=keys, bin_w=rule["bin_w"], smooth_bins=rule["smooth_bins"]))
     return models, fit_rows(size, null, keys)
@@ -198,7 +198,7 @@ def spatial_probability(cells: DataFrame, z: str, where: str, sigmas: Sequence[f
     smooth = {f"_s{i}": (sign * F.col(z), F.col(where), s) for i, s in enumerate(sigmas)}
     df = cut_lineage(smooth_fields(cells, smooth))
     _null, models = field_models(df, {n: F.col(n) for n in smooth}, rule=rule)
-    df = posteriors(df.join(models, DATE, "left"), {f"_p{n}": (n, F.col(n)) for n in smooth}, rule["bin_w"])
+    df = posteriors(join_groups(df, models, DATE, "left"), {f"_p{n}": (n, F.col(n)) for n in smooth}, rule["bin_w"])
     probs = [F.coalesce(F.col(f"_p{n}"), F.lit(0.0)) for n in smooth]
     return df.withColumn(out, F.greatest(F.lit(0.0), *probs)).drop("models", *smooth, *[f"_p{n}" for n in smooth])
 
@@ -210,13 +210,13 @@ def bh_reject(cells: DataFrame, z: str, null: DataFrame, *, q: float = 0.05, key
     26.2.17, absolute error below 7.5e-8).
     """
     keys = list(keys)
-    df = cells.join(null.select(*keys, "mu0", "sigma0"), keys)
+    df = join_groups(cells, cut_lineage(null.select(*keys, "mu0", "sigma0")), keys)
     u = F.try_divide(F.col(z) - F.col("mu0"), F.col("sigma0"))
     df = df.withColumn("p_value", normal_cdf(u)).drop("mu0", "sigma0")
     ranked = ordered_counts(df.where(F.col("p_value").isNotNull()), keys, "p_value", None, sums={"n": F.lit(1)})
     rank = F.col("n_below") + F.col("n")
-    cut = ranked.where(F.col("p_value") <= q * rank / F.col("n_total")).groupBy(*keys).agg(F.max("p_value").alias("_cut"))
-    return df.join(cut, keys, "left").withColumn("rejected", holds(F.col("p_value") <= F.col("_cut"))).drop("_cut")
+    cut = cut_lineage(ranked.where(F.col("p_value") <= q * rank / F.col("n_total")).groupBy(*keys).agg(F.max("p_value").alias("_cut")))
+    return join_groups(df, cut, keys, "left").withColumn("rejected", holds(F.col("p_value") <= F.col("_cut"))).drop("_cut")
 
 
 def normal_cdf(u: Column) -> Column:
@@ -259,7 +259,7 @@ def decide_flags(cells: DataFrame, rule_name: str, cell_m: float = P.GRAIN_M, *,
     n = {v: F.count(F.when(F.col("monitored") & F.col(v).isNotNull(), 1)) for v in values}
     size = cut_lineage(df.groupBy(*DATE).agg(*[c.alias(f"_n_{v}") for v, c in n.items()]))
     own = size.select(*DATE, F.col(f"_n_{z}").alias("n_cells"))
-    df = df.join(size, DATE, "left")
+    df = join_groups(df, size, DATE, "left")
     ok = {v: F.col("monitored") & (F.col(f"_n_{v}") >= least) for v in values}
     if name == "D6":
         ok["_next"] = ok["_next"] & (F.col(f"_n_{z}") >= least)
@@ -274,7 +274,7 @@ def decide_flags(cells: DataFrame, rule_name: str, cell_m: float = P.GRAIN_M, *,
     fields = {"own": F.when(ok[z], F.col(z)), **{n: F.col(n) for n in smooth}}
     null, models = field_models(df, fields, rule=rule)
     fits = fit_rows(own, null.where("field = 'own'").drop("field"), DATE)
-    df = df.join(models, DATE, "left")
+    df = join_groups(df, models, DATE, "left")
     df = posteriors(df, {"_p_own": ("own", F.col(z)), **{f"_p{n}": (n, F.col(n)) for n in smooth}}, bin_w)
     decided = F.col("monitored") & (F.col(f"_n_{z}") >= least)
     mine = F.col("_p_own")

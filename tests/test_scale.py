@@ -155,3 +155,18 @@ def test_many_groups_are_joined_by_key(spark, monkeypatch):
         assert ("strategy=broadcast" in plan(out)) is hint
         assert sorted((r.v, r.g) for r in out.collect()) == [(1, 10), (2, 10), (3, None), (4, None)]
         assert Q.join_groups(rows, groups, ["unit"]).count() == 2 and Q.join_groups(rows, groups, ["unit"], "left_semi").columns == ["unit", "v"]
+
+
+def test_model_of_a_date_goes_to_its_cells(spark, monkeypatch):
+    from sylvaflow.operators import null_model as N
+
+    df = date_cells(spark)
+    flags, _fits = N.decide_flags(df, "D2")
+    models, fits = N.date_models(df, "z", "monitored")
+    for x in (flags, N.loss_probability(df, "z", models, "p"), N.bh_reject(df, "z", models), N.fit_null(df, "z", "monitored")):
+        assert "strategy=broadcast" in plan(x)
+    assert {(r.t, r.n_cells, r.skipped) for r in fits.collect()} == {(0, 1500, False), (1, 1500, False), (2, 1500, False)}
+    assert flags.count() == 4500
+    monkeypatch.setattr(N, "cut_lineage", lambda x: x)
+    lines = plan(N.date_models(df, "z", "monitored")[0])
+    assert lines.count("strategy=broadcast") >= 3
