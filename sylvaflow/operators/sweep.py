@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from sylvaflow.functions.columns import share
 from sylvaflow.session import cut_lineage
 
+#: Slices of edges that a task gets, so that a task is as large at any size.
+SLICES_A_TASK = 250_000
 BAND = ["unit", "_band"]
 
 
@@ -69,27 +71,33 @@ def covered_parts(shapes: DataFrame, runs: Sequence[str], *, band: float, tile:
     even-odd rule (holes, parts); shapes of a run are joined.
     """
     rows = cut_lineage(banded(shape_edges(shapes), band))
-    ends = rows.select(*BAND, F.explode(F.array("_lo", "_hi")).alias("y"))
-    cuts = ends.unionByName(crossings(rows, tile)).distinct()
+    begin, end = F.struct(F.col("_lo").alias("y"), F.lit(1).alias("_more")), F.struct(F.col("_hi").alias("y"), F.lit(-1).alias("_more"))
+    ends = rows.select(*BAND, F.inline(F.array(begin, end)))
+    cuts = ends.unionByName(crossings(rows, tile).withColumn("_more", F.lit(0))).groupBy(*BAND, "y").agg(F.sum("_more").alias("_more"))
     line = W.partitionBy(*BAND).orderBy("y")
-    cuts = cut_lineage(cuts.withColumns({"_k": F.row_number().over(line), "_next": F.lead("y").over(line)}))
+    cuts = cut_lineage(cuts.withColumns({"_k": F.row_number().over(line), "_next": F.lead("y").over(line), "_edges": F.sum("_more").over(line)}).drop("_more"))
+    # a slice per edge and breakpoint it spans: many more than edges, so tasks are counted by slices
+    count = cuts.agg(F.sum("_edges")).first()[0] or 0
+    tasks = max(int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // SLICES_A_TASK + 1)
+    dealt = lambda df, by: df.repartition(tasks, *BAND, by)
     at = lambda end, name: cuts.select(*BAND, F.col("y").alias(end), F.col("_k").alias(name))
-    spans = rows.join(at("_lo", "_from"), [*BAND, "_lo"]).join(at("_hi", "_to"), [*BAND, "_hi"])
+    spans = rows.join(at("_lo", "_from"), [*BAND, "_lo"])
+    spans = dealt(spans, "_hi").join(dealt(at("_hi", "_to"), "_hi"), [*BAND, "_hi"])
     spans = spans.select(*BAND, "run", "shape", "x0", "y0", "x1", "y1", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("_k"))
-    slices = spans.join(cuts.select(*BAND, "_k", "y", "_next"), [*BAND, "_k"])
-    mid = (F.col("y") + F.col("_next")) / 2.0
-    slices = slices.select(*BAND, "_k", "run", "shape", _x_at(mid).alias("x"), (F.col("_next") - F.col("y")).alias("_height"))
     key = [*BAND, "_k"]
+    slices = dealt(spans, "_k").join(dealt(cuts.select(*key, "y", "_next"), "_k"), key)
+    mid = (F.col("y") + F.col("_next")) / 2.0
+    slices = slices.select(*key, "run", "shape", _x_at(mid).alias("x"), (F.col("_next") - F.col("y")).alias("_height"))
     # a line enters a shape at its odd crossings and leaves it at the even ones
     turn = F.row_number().over(W.partitionBy(*key, "run", "shape").orderBy("x"))
-    signed = slices.withColumn("_step", F.when(turn % 2 == 1, 1).otherwise(-1))
-    steps = signed.groupBy(*key, "x").agg(F.max("_height").alias("_height"), *[F.sum(F.when(F.col("run") == r, F.col("_step")).otherwise(0)).alias(f"_s_{r}") for r in runs])
+    signed = slices.select(*key, "run", "x", "_height", F.when(turn % 2 == 1, 1).otherwise(-1).alias("_step"))
+    # lines at the same x are peers: all count before the width, which only the last of them has
     over = W.partitionBy(*key).orderBy("x")
-    counted = steps.withColumns({"_width": F.lead("x").over(over) - F.col("x"), **{r: F.sum(f"_s_{r}").over(over) > 0 for r in runs}})
+    counted = signed.withColumns({"_width": F.lead("x").over(over) - F.col("x"), **{r: F.sum(F.when(F.col("run") == r, F.col("_step")).otherwise(0)).over(over) > 0 for r in runs}})
     some = F.lit(False)
     for r in runs:
         some = some | F.col(r)
-    return counted.where(some & F.col("_width").isNotNull()).select("unit", (F.col("_width") * F.col("_height")).alias("area"), *runs)
+    return counted.where(some & (F.col("_width") > 0)).select("unit", (F.col("_width") * F.col("_height")).alias("area"), *runs)
 
 
 def union_areas(shapes: DataFrame, runs: Sequence[str], *, band: float, tile: float) -> DataFrame:

@@ -170,3 +170,19 @@ def test_model_of_a_date_goes_to_its_cells(spark, monkeypatch):
     monkeypatch.setattr(N, "cut_lineage", lambda x: x)
     lines = plan(N.date_models(df, "z", "monitored")[0])
     assert lines.count("strategy=broadcast") >= 3
+
+
+def test_slices_of_edges_are_dealt_by_their_number(spark, monkeypatch):
+    from sylvaflow.operators import sweep as U
+
+    ring = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    shapes = [("g", "a", 1, ring(0.0, 0.0, 4.0, 4.0)), ("g", "a", 2, ring(4.0, 0.0, 2.0, 4.0)), ("g", "a", 2, ring(4.0, 0.0, 2.0, 2.0)), ("g", "b", 3, ring(0.0, 1.0, 6.0, 1.0)), ("g", "b", 3, ring(0.0, 1.0, 6.0, 1.0)), ("g", "b", 4, ring(1.0, 0.0, 5.0, 9.0))]
+    df = spark.createDataFrame(shapes, "unit string, run string, shape int, vertices array<struct<x: double, y: double>>")
+    # shape 2 is its upper half, the rings of shape 3 cancel out
+    monkeypatch.setattr(U, "SLICES_A_TASK", 3)
+    parts = U.covered_parts(df, ["a", "b"], band=2.0, tile=2.0)
+    # the session deals to 4 tasks
+    assert "repartition" in parts._jdf.queryExecution().logical().toString().lower() and parts.rdd.getNumPartitions() > 4
+    got = {r.run: (r.area, r.in_a, r.in_b) for r in U.union_areas(df, ["a", "b"], band=2.0, tile=2.0).collect()}
+    assert got == {"a": (20.0, 20.0, 16.0), "b": (45.0, 16.0, 45.0)}
+    assert parts.where("area <= 0").count() == 0
