@@ -79,13 +79,11 @@ def covered_parts(shapes: DataFrame, runs: Sequence[str], *, band: float, tile:
     # a slice per edge and breakpoint it spans: many more than edges, so tasks are counted by slices
     count = cuts.agg(F.sum("_edges")).first()[0] or 0
     tasks = max(int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // SLICES_A_TASK + 1)
-    dealt = lambda df, by: df.repartition(tasks, *BAND, by)
     at = lambda end, name: cuts.select(*BAND, F.col("y").alias(end), F.col("_k").alias(name))
-    spans = rows.join(at("_lo", "_from"), [*BAND, "_lo"])
-    spans = dealt(spans, "_hi").join(dealt(at("_hi", "_to"), "_hi"), [*BAND, "_hi"])
+    spans = rows.join(at("_lo", "_from"), [*BAND, "_lo"]).join(at("_hi", "_to"), [*BAND, "_hi"])
     spans = spans.select(*BAND, "run", "shape", "x0", "y0", "x1", "y1", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("_k"))
     key = [*BAND, "_k"]
-    slices = dealt(spans, "_k").join(dealt(cuts.select(*key, "y", "_next"), "_k"), key)
+    slices = spans.repartition(tasks, *key).join(cuts.select(*key, "y", "_next").repartition(tasks, *key), key)
     mid = (F.col("y") + F.col("_next")) / 2.0
     slices = slices.select(*key, "run", "shape", _x_at(mid).alias("x"), (F.col("_next") - F.col("y")).alias("_height"))
     # a line enters a shape at its odd crossings and leaves it at the even ones
