@@ -18,6 +18,9 @@ cost in proportion to their length; a state that has come so far goes to the
 last join at once. A node has at most as many edges as there are letters, so
 the frontier grows with the words and not with their pairs; a hot node has its
 states split by the skew join. Counts are taken per task before any shuffle.
+Tables that grow with the words are joined by key: Spark sizes one that a task
+makes by its input, or by its compressed file, and would send it to every task.
+Only a counted frontier of a few states is sent.
 
 Cases: null and empty texts have no words; a null ``doc_id`` counts as an
 empty one in the key of the damage; rows are counted as often as they stand
@@ -45,6 +48,7 @@ TIMES = 2  # a form is at least so many times as frequent
 AHEAD = 16  # letters of a word that a state carries
 END = "."  # the end of a word, which is no letter
 COUNTED = 200_000  # different words that a task counts before it sends them on
+FEW_STATES = 20_000  # open states that are sent to the edges (about 3 MB)
 BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 ROWS = 20_000
 
@@ -58,6 +62,11 @@ def damaged(run: str, prefix: int) -> str:
     return run[:at] + run[at + 1 :]
 
 
+def by_key(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join whose two sides are shuffled, whatever size Spark takes them to be."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def runs(text: str | None) -> list[str]:
     """Maximal runs of letters, with A-Z lowered and all else kept."""
     return LETTERS.findall(text.encode().lower().decode()) if text else []
@@ -138,7 +147,7 @@ def trie(words: DataFrame) -> DataFrame:
     """Edges of both tries: ``node``, ``letter``, ``child`` and ``after``, the letters that may follow the child."""
     edges = words.select("word").mapInArrow(tidied(_trie_edges), "node long, letter string, child long").distinct()
     after = edges.groupBy(F.col("node").alias("child")).agg(F.concat_ws("", F.collect_set("letter")).alias("after"))
-    return edges.join(after, "child")
+    return by_key(edges, after, "child")
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +193,14 @@ def first_level(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         # the letter x is left out, and the edge is that of the next one
         F.when((x != END) & (x != y) & (F.col("letter") == y) & ((y == END) | _may_follow(z)), state("d", F.lit(""), F.substring("ahead", 3, AHEAD))).otherwise(nothing),
     ]
-    joined = seeds.join(edges, "node").select("wid", "back", "at", F.explode(F.filter(F.array(*made), lambda s: s.isNotNull())).alias("s"))
+    joined = by_key(seeds, edges, "node").select("wid", "back", "at", F.explode(F.filter(F.array(*made), lambda s: s.isNotNull())).alias("s"))
     return joined.select("wid", "back", "at", "s.edit", "s.put", "s.node", "s.ahead")
 
 
-def next_level(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """The frontier one letter further; states whose letters do not go on in the trie end here."""
-    steps = frontier.withColumn("letter", _letter(1)).join(edges, ["node", "letter"])
+def next_level(frontier: DataFrame, edges: DataFrame, few: bool = False) -> DataFrame:
+    """The frontier one letter further; states whose letters do not go on in the trie end here. ``few`` states go to the edges."""
+    at, on = frontier.withColumn("letter", _letter(1)), ["node", "letter"]
+    steps = F.broadcast(at).join(edges, on) if few else by_key(at, edges, on)
     stay = (F.col("letter") == END) | _may_follow(_letter(2))
     return steps.where(stay).select("wid", "back", "at", "edit", "put", F.col("child").alias("node"), F.substring("ahead", 2, AHEAD).alias("ahead"))
 
@@ -214,15 +224,16 @@ def near_words(words: DataFrame) -> DataFrame:
     ended = [frontier.where("ahead = ''")]
     for _ in range(AHEAD):
         opened = frontier.where("ahead <> ''")
-        if opened.isEmpty():
+        n = opened.count()
+        if not n:
             break
-        frontier = written(next_level(opened, edges), "frontier")
+        frontier = written(next_level(opened, edges, n <= FEW_STATES), "frontier")
         ended.append(frontier.where("ahead = ''"))
     states = ended[0]
     for more in ended[1:]:
         states = states.unionByName(more)
-    found = states.join(words.select("wid", "word"), "wid").select("word", edited(F.col("word")).alias("near")).distinct()
-    return found.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    found = by_key(states, words.select("wid", "word"), "wid").select("word", edited(F.col("word")).alias("near")).distinct()
+    return by_key(found, words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
 
 
 def variants(docs: DataFrame, damage: bool = False) -> DataFrame:
@@ -233,7 +244,7 @@ def variants(docs: DataFrame, damage: bool = False) -> DataFrame:
     """
     words = written(word_counts(docs, damage).withColumn("wid", F.monotonically_increasing_id()), "words")
     best = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
-    joined = words.join(best, "word", "left")
+    joined = by_key(words, best, "word", "left")
     has = -F.col("best.minus") >= TIMES * F.col("n")
     formed = joined.select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
@@ -245,6 +256,6 @@ def variants(docs: DataFrame, damage: bool = False) -> DataFrame:
     up = formed.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     for _ in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
         further = up.select(F.col("word").alias("root"), F.col("root").alias("then"))
-        up = written(up.join(further, "root", "left").select("word", F.coalesce("then", "root").alias("root")), "roots")
-    rooted = formed.join(up, "word", "left")
+        up = written(by_key(up, further, "root", "left").select("word", F.coalesce("then", "root").alias("root")), "roots")
+    rooted = by_key(formed, up, "word", "left")
     return rooted.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -101,3 +101,24 @@ def test_runs_of_one_letter_long_words_and_ties(spark):
 
 def test_no_words(spark):
     assert spelling.variants(nothing(spark)).count() == 0
+
+
+def test_tables_that_grow_with_the_words_are_joined_by_key(spark, monkeypatch):
+    plans, write = [], spelling.written
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(spelling, "written", seen)
+    docs = spark.createDataFrame([*random_texts(3, "abcd", 40, 40).items()], "doc_id long, text string")
+    for few in (0, spelling.FEW_STATES):
+        plans.clear()
+        monkeypatch.setattr(spelling, "FEW_STATES", few)
+        out = spelling.variants(docs)
+        plans.append(("out", out._jdf.queryExecution().executedPlan().toString()))
+        sent = [name for name, plan in plans if "Broadcast" in plan]
+        assert set(sent) <= ({"frontier"} if few else set()) and {"trie", "frontier", "forms", "roots", "out"} <= {name for name, _ in plans}
+        assert len(sent) == (sum(name == "frontier" for name, _ in plans) - 1 if few else 0)  # the first level joins all seeds
+        want = brute([(r.doc_id, r.text) for r in docs.collect()])
+        assert {r.word: tuple(r[n] for n in NAMES) for r in out.collect()} == want
