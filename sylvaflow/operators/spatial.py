@@ -73,8 +73,9 @@ def polygon_sums(points: DataFrame, polygons: DataFrame, zone: str, tile: float,
     cover = dealt.select(zone, "vertices", _tiles("minx", "maxx", tile).alias("_tx"), "miny", "maxy").select(zone, "vertices", "_tx", _tiles("miny", "maxy", tile).alias("_ty"))
     x0, y0 = F.col("_tx") * tile, F.col("_ty") * tile
     cover = cover.withColumn("_touched", _touches(F.col("vertices"), x0, y0, tile))
-    whole = cover.where(~F.col("_touched") & contains(F.col("vertices"), x0 + tile / 2, y0 + tile / 2)).select(zone, "_tx", "_ty").join(totals, ["_tx", "_ty"])
-    part = cover.where("_touched").join(places, ["_tx", "_ty"]).where(contains(F.col("vertices"), F.col("x"), F.col("y")))
+    # Spark sizes the cover by the polygons, without their tiles, and would send it to every task: both sides are dealt by tile
+    whole = cover.where(~F.col("_touched") & contains(F.col("vertices"), x0 + tile / 2, y0 + tile / 2)).select(zone, "_tx", "_ty").join(totals.hint("merge"), ["_tx", "_ty"])
+    part = cover.where("_touched").join(places.hint("merge"), ["_tx", "_ty"]).where(contains(F.col("vertices"), F.col("x"), F.col("y")))
     both = whole.select(zone, *sums).unionByName(part.select(zone, *sums))
     return both.groupBy(zone).agg(*[F.sum(n).alias(n) for n in sums])
 

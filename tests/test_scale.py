@@ -118,6 +118,18 @@ def test_tiles_inside_an_outline_give_their_totals(spark):
     assert "exists(" in plan(out)  # tiles that no edge touches are not tested point by point
 
 
+def test_tiles_of_outlines_are_not_sent_to_every_task(spark, tmp_path):
+    from sylvaflow.operators import spatial as A
+
+    points = spark.range(400).select((F.col("id") % 20 + 0.5).alias("x"), F.floor(F.col("id") / 20).cast("double").alias("y"), F.lit(2.0).alias("d"))
+    rings = [(k, [(0.0, 0.0), (10.0 + k, 0.0), (10.0 + k, 12.0), (0.0, 12.0)]) for k in range(5)]
+    spark.createDataFrame(rings, "zone int, vertices array<struct<x:double,y:double>>").write.parquet(f"{tmp_path}/rings")
+    out = A.polygon_sums(points, spark.read.parquet(f"{tmp_path}/rings"), "zone", 4.0, {"n": F.lit(1), "d": F.col("d")})
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sum("SortMergeJoin" in x for x in lines) == 2 and not any("Broadcast" in x for x in lines)  # a polygon is small, its tiles are not
+    assert {r.zone: (r.n, r.d) for r in out.collect()} == {k: ((10 + k) * 12, (10 + k) * 24.0) for k in range(5)}
+
+
 def test_window_metrics_are_dealt_by_window_once(spark):
     from sylvaflow.operators import windows as WN
 
