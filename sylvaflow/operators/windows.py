@@ -16,22 +16,29 @@ from sylvaflow.functions.columns import finite, holds
 from sylvaflow.operators import cells as K
 from sylvaflow.operators.zones import crown_stats, pixel_aggregates, window_pixels
 
-ZONE = ["window_m", "wr", "wc"]
+#: Key of a window. The size is a number: Spark groups doubles by a normalized value, which rows dealt by the double itself don't fit.
+ZONE = ["_size", "wr", "wc"]
 METRICS = ("heights", "texture", "edges", "lines", "crowns")
 
 
+def numbered_sizes(sizes_m: Sequence[float], pixel_m: float) -> list[tuple[int, float, int]]:
+    """Number, metres and pixels of every size; equal sizes have one number."""
+    metres = [float(s) for s in sizes_m]
+    return [(metres.index(m), m, window_pixels(s, pixel_m)) for s, m in zip(sizes_m, metres)]
+
+
 def window_frame(spark, sizes_m: Sequence[float], pixel_m: float, rows: int, cols: int) -> DataFrame:
     """Whole windows of every size on a grid of ``rows`` x ``cols`` pixels."""
-    sizes = spark.createDataFrame([(float(s), window_pixels(s, pixel_m)) for s in sizes_m], "window_m double, px int")
+    sizes = spark.createDataFrame(numbered_sizes(sizes_m, pixel_m), "_size int, window_m double, px int")
     nr, nc = F.floor(F.lit(rows) / F.col("px")).cast("int"), F.floor(F.lit(cols) / F.col("px")).cast("int")
     whole = sizes.where((nr > 0) & (nc > 0))
-    return whole.select("window_m", "px", F.explode(F.sequence(F.lit(0), nr - 1)).alias("wr"), nc.alias("_nc")).select("window_m", "px", "wr", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).alias("wc"))
+    return whole.select("_size", "window_m", "px", F.explode(F.sequence(F.lit(0), nr - 1)).alias("wr"), nc.alias("_nc")).select("_size", "window_m", "px", "wr", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).alias("wc"))
 
 
 def tiled(pixels: DataFrame, sizes_m: Sequence[float], pixel_m: float, rows: int, cols: int) -> DataFrame:
     """Every pixel with its whole window of every size; pixels of partial windows are left out."""
-    size = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("window_m"), F.lit(window_pixels(s, pixel_m)).alias("px")) for s in sizes_m]))
-    out = pixels.select("*", size.alias("_w")).select("*", F.col("_w.window_m").alias("window_m"), F.col("_w.px").alias("_px"))
+    size = F.explode(F.array(*[F.struct(F.lit(k).alias("size"), F.lit(px).alias("px")) for k, _, px in numbered_sizes(sizes_m, pixel_m)]))
+    out = pixels.select("*", size.alias("_w")).select("*", F.col("_w.size").alias("_size"), F.col("_w.px").alias("_px"))
     out = out.withColumns({"wr": F.floor(F.col("row") / F.col("_px")).cast("int"), "wc": F.floor(F.col("col") / F.col("_px")).cast("int")})
     whole = (F.col("wr") < F.floor(F.lit(rows) / F.col("_px"))) & (F.col("wc") < F.floor(F.lit(cols) / F.col("_px")))
     return out.where(whole).drop("_w")
@@ -56,7 +63,6 @@ def window_table(
     parts = max(1, rows * cols * len(sizes_m) >> 17)
     tiles = tiled(pixels, sizes_m, pixel_m, rows, cols).withColumn("height", finite("height")).repartition(parts, *ZONE)
     out = window_frame(pixels.sparkSession, sizes_m, pixel_m, rows, cols)
-    frame = out
     if "heights" in metrics:
         valid = tiles.where(F.col("height").isNotNull()).withColumn("h", F.col("height")).groupBy(*ZONE)
         out = out.join(valid.agg(F.count("h").alias("n_valid"), *pixel_aggregates(F.col("h"), canopy_m)), ZONE, "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
@@ -77,4 +83,4 @@ def window_table(
         place = tiled(place.where("row >= 0 AND col >= 0"), sizes_m, pixel_m, rows, cols)
         stats = crown_stats(place, ZONE, min_crowns=min_crowns)
         out = out.join(stats.select(*ZONE, "crown_count", "crown_mean", "crown_cv"), ZONE, "left").withColumn("crown_count", F.coalesce("crown_count", F.lit(0)))
-    return out.drop("px") if out is not frame else frame.drop("px")
+    return out.select("window_m", "wr", "wc", *[c for c in out.columns if c not in ("window_m", "px", *ZONE)])

@@ -139,6 +139,19 @@ def test_window_metrics_are_dealt_by_window_once(spark):
     assert deals and not any("rho" in x or "row#" in x for x in deals)  # every vote and every line of a window was shuffled
 
 
+def test_windows_of_several_sizes_are_dealt_once(spark):
+    from sylvaflow.operators import windows as WN
+
+    px = column_cells(spark, np.random.default_rng(2).normal(size=(32, 32))).select("row", "col", (F.col("z") * 5).alias("height"), F.col("z").alias("band"))
+    asked = ["heights", "edges", "lines"]
+    out = WN.window_table(px, [16.0, 32.0], 1.0, 8192, 32, metrics=asked)  # of a grid that is dealt to several tasks
+    deals = [x for x in out._jdf.queryExecution().executedPlan().toString().lower().splitlines() if "exchange hashpartitioning" in x]
+    assert sum("repartition_by_num" in x for x in deals) == 3 and not any(y in x for x in deals for y in ("_groupingexpression", "rho", "row#", "col#", "normalizenanandzero"))
+    assert out.columns[:3] == ["window_m", "wr", "wc"] and "_size" not in out.columns
+    want = {(m, r.wr, r.wc): r for m in (16.0, 32.0) for r in WN.window_table(px, [m], 1.0, 8192, 32, metrics=asked).collect()}
+    assert {(r.window_m, r.wr, r.wc): r for r in out.collect()} == want and len(want) == 1024 + 256 and want[32.0, 0, 0].n_valid == 1024
+
+
 def date_cells(spark):
     rows = spark.range(4500).select(F.lit("g").alias("unit"), (F.col("id") % 3).cast("int").alias("t"), F.floor(F.col("id") / 60).cast("int").alias("row"), (F.col("id") % 60).cast("int").alias("col"), (F.col("id") * 7919 % 4499 / 900.0 - 2.5).alias("z"))
     return rows.withColumns({"monitored": F.lit(True), "population": F.col("t") < 2})
